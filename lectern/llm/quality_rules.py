@@ -33,7 +33,7 @@ COMMON = {
 MIN_WORDS = 50
 
 #: Limits of the two distances: the first number plus the second over the square root of the number of words.
-CLASS_LIMIT, WORD_LIMIT = (0.09, 1.6), (0.12, 2.0)
+CLASS_LIMIT, WORD_LIMIT = (0.11, 1.8), (0.15, 2.1)
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 7
