@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, packing, quality_rules, simhash
+from . import bpe, line_dedup, packing, quality_rules, simhash, topk
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,15 +34,22 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op4_packing": op4_packing,
     "op6_simhash": op6_simhash,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
+    "op10_topk": op10_topk,
 }
 
 #: DuckDB SQL by query; a query that SQL cannot express is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.SQL,
+    "op10_topk": topk.SQL,
 }
