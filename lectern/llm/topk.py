@@ -30,7 +30,13 @@ from .common import arrow_schema, checkpointed, prepare
 CHUNK, BLOCK = 8192, 1024
 
 #: Shares of the largest impact at which processing pauses to test whether it may stop.
-STOPS = (0.30, 0.20, 0.13, 0.08, 0.04, 0.0)
+STOPS = (0.06, 0.0, -0.06)
+
+#: What one met dimension adds to a vector's sum, far above any gain; sums stay exact in doubles.
+MET = float(1 << 40)
+
+#: The share of a chunk's vectors that is rescored rather than narrowed further.
+RESCORE = 0.6
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -71,8 +77,8 @@ class ImpactIndex:
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
         self.ids, self.data = ids, data.astype(np.int64)
-        self.order = np.argsort(self.data, axis=0, kind="stable").T.astype(np.int32)  # by dimension, ascending value
-        self.values = np.take_along_axis(self.data, self.order.T, axis=0).T.copy()
+        self.order = np.argsort(self.data, axis=0, kind="stable").T.copy()  # by dimension, ascending value
+        self.values = np.take_along_axis(self.data, self.order.T, axis=0).T.astype(np.float64)
         self.exact = float(np.abs(self.data).max(initial=0))
 
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -95,57 +101,51 @@ class ImpactIndex:
         return self.ids[at[best]], score[best]
 
     def _possible(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Places of all vectors that can be among the k best, ties included."""
+        """Places of all vectors that can be among the k best, ties included.
+
+        At level t every segment of greater impact has been processed: gained holds what each vector got from them and met how
+        many dimensions that were. Each other dimension gives at most t, or its best impact if that is less.
+        """
         n = len(self.ids)
         dims = np.flatnonzero(q)
-        if not len(dims):
-            return np.arange(n)
-        qf = q.astype(np.float64)
-        #: Impacts run from the best end of a dimension's list.
-        best = np.where(qf > 0, self.values[:, -1], self.values[:, 0]) * qf
-        worst = np.where(qf > 0, self.values[:, 0], self.values[:, -1]) * qf
-        peak = best[dims].max()
-        low = worst[dims].min()
-        #: What each vector has gained so far, with the bound for what it has not met: start from every dimension's best.
-        level = best.copy()
-        upper = np.full(n, best[dims].sum())
-        done = np.zeros(len(q), np.int64)  # postings read, from the best end
-        slack = 1e-6 * (1.0 + np.abs(best[dims]).sum() + np.abs(worst[dims]).sum())
-        stops = [peak * s for s in STOPS] + [low / 2]
-        for stop in stops:
-            for d in dims:
-                if level[d] <= stop:
+        if not len(dims) or np.abs(q).sum() * self.exact >= MET / 4:
+            return np.arange(n)  # beyond what is summed without loss here, all are rescored
+        weight = q[dims].astype(np.float64)
+        first, last = self.values[dims, 0], self.values[dims, -1]
+        best = np.where(weight > 0, last, first) * weight
+        slack = 0.5
+        both = gained = met = np.zeros(n)  # both: the gains, and MET for each dimension met
+        done = np.zeros(len(dims), np.int64)  # postings read of each dimension, from its best end
+        for stop in [best.max() * share for share in STOPS] + [-np.inf]:
+            places, impacts = [], []
+            for m, (d, w) in enumerate(zip(dims.tolist(), weight.tolist(), strict=True)):
+                if best[m] <= stop:
                     continue
-                v, o, w = self.values[d], self.order[d], qf[d]
+                v = self.values[d]
                 if w > 0:
-                    upto = n - int(np.searchsorted(v, stop / w, "left"))
-                    new = slice(n - upto, n - int(done[d]))
-                else:
-                    upto = int(np.searchsorted(v, stop / w, "right"))
-                    new = slice(int(done[d]), upto)
-                if upto > done[d]:
-                    # the vectors of these segments get their true impact instead of the bound, all others fall to the new level
-                    upper[o[new]] += w * v[new] - level[d]
-                    done[d] = upto
-                if upto < n:
-                    drop = level[d] - min(level[d], stop)
-                    if upto:
-                        rest = o[: n - upto] if w > 0 else o[upto:]
-                        if 2 * upto < n:
-                            upper -= drop
-                            upper[o[n - upto :] if w > 0 else o[:upto]] += drop
-                        else:
-                            upper[rest] -= drop
-                    else:
-                        upper -= drop
-                    level[d] = min(level[d], stop)
+                    upto = n - int(v.searchsorted(stop / w, "right"))
+                    new = slice(n - upto, n - int(done[m]))
                 else:
-                    level[d] = stop
+                    upto = int(v.searchsorted(stop / w, "left"))
+                    new = slice(int(done[m]), upto)
+                if upto > done[m]:
+                    places.append(self.order[d, new])
+                    impacts.append(v[new] * w + MET)
+                    done[m] = upto
+            if places:
+                both = both + np.bincount(np.concatenate(places), np.concatenate(impacts), n)
+                met = np.floor(both / MET + 0.5)
+                gained = both - met * MET
+            if stop == -np.inf:
+                upper = gained
+            else:
+                open_dims = best > stop
+                upper = gained + (open_dims.sum() - met) * stop + best[~open_dims].sum()
             lead = np.argpartition(upper, n - k)[n - k :]
-            floor = np.sort(self.scores(lead, q))[0]
-            possible = np.flatnonzero(upper >= float(floor) - slack)
-            if len(possible) <= max(4 * k, n // 50):
-                return possible
+            floor = float(self.scores(lead, q).min())
+            possible = np.flatnonzero(upper >= floor - slack)
+            if len(possible) <= max(8 * k, n * RESCORE):  # to rescore them costs less than to process more
+                break
         return possible
 
 
