@@ -46,6 +46,13 @@ def fold(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int) -> DataFrame:
+    """(doc_id, text, label): the sample labelled rows with the smallest hash of their id. The ids are chosen first, so that texts of no other rows travel."""
+    ids = labels.filter(F.col(label).isin(0, 1) & usable(F.col("doc_id"))).selectExpr("cast(doc_id as long) doc_id", f"cast({label} as int) label")
+    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(sample).select("doc_id", "text", "label")
+
+
 def words(text: str | None) -> list[bytes]:
     """The words [^\\x20\\x09-\\x0D]+ of a text, with A-Z in lower case; bytes.split() and lower() know ASCII alone."""
     return text.encode().lower().split() if text else []

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, fold, prepare
+from .common import arrow_schema, fold, labelled, prepare
 
 #: Labelled rows that are learned from at most, buckets of the table, length of a vector, rounds over the sample, step.
 SAMPLE, BUCKETS_LOG2, DIM, EPOCHS, STEP = 4000, 18, 8, 6, 4.0
@@ -89,13 +89,6 @@ def score(raw: bytes, table: np.ndarray, bias: float) -> float:
     return float(1 / (1 + np.exp(-max(-60.0, min(60.0, z)))))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int) -> DataFrame:
-    """(text, label): the sample labelled rows with the smallest hash of their id. The ids are chosen first, so that texts of no other rows travel."""
-    ids = labels.filter(F.col(label).isin(0, 1) & usable(F.col("doc_id"))).selectExpr("cast(doc_id as long) doc_id", f"cast({label} as int) label")
-    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(sample).select("text", "label")
-
-
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=lambda doc_id: fold(doc_id, 5) != 0, sample: int = SAMPLE) -> tuple[np.ndarray, float] | None:
     """Trains in one task on at most sample rows and returns the model, of a fixed size."""
     prepare(docs.sparkSession)
@@ -106,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", usable=lambd
             table, bias = train(rows)
             yield pa.RecordBatch.from_arrays([pa.array([table.tobytes()]), pa.array([bias])], schema=arrow_schema("weights binary, bias double"))
 
-    found = labelled(docs, labels, label, usable, sample).repartition(1).mapInArrow(run, "weights binary, bias double").collect()
+    found = labelled(docs, labels, label, usable, sample).select("text", "label").repartition(1).mapInArrow(run, "weights binary, bias double").collect()
     return (np.frombuffer(bytes(found[0][0]), np.float32), found[0][1]) if found else None
 
 
