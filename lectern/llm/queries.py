@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, line_dedup, lm, packing, quality_model, quality_rules, simhash, topk, toxicity
+from . import bpe, html_text, line_dedup, lm, packing, quality_model, quality_rules, simhash, topk, toxicity
 from .common import table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -31,6 +31,10 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lm": op2_lm,
     "op3_toxicity": op3_toxicity,
     "op4_packing": op4_packing,
+    "op5_html_text": op5_html_text,
     "op6_simhash": op6_simhash,
     "op7_quality": op7_quality,
     "op8_line_dedup": op8_line_dedup,
