@@ -39,7 +39,7 @@ MU, BLOCK = 300.0, 4_000_000
 END, START = 0, 1
 NAMES = (b" end", b" start")
 
-SUCCESSOR_BITS = 32
+SUCCESSOR_BITS, CONTEXT_BITS = 32, 24
 
 
 # --- Elias-Fano ---------------------------------------------------------------------------------------------------------
@@ -52,6 +52,10 @@ for _b in range(256):
         _SELECT[_b, _k] = _i
 
 
+#: Numbers that are sought at once.
+ASKED = 1 << 18
+
+
 class EliasFano:
     """A monotone sequence of unsigned numbers: low bits packed, high bits in unary, found through counts for each 64-bit word."""
 
@@ -83,34 +87,40 @@ class EliasFano:
     def select_zero(self, k: np.ndarray) -> np.ndarray:
         """Places of the k-th zeros, from 0."""
         word = np.searchsorted(self.zeros, k, "right") - 1
-        rest = (k - self.zeros[word]).astype(np.int64)
+        rest = (k - self.zeros[word]).astype(np.uint8)
         of = ~self.bits.reshape(-1, 8)[word]
-        before = np.cumsum(_POP[of], axis=1, dtype=np.int64)
-        byte = (before <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(word))
-        rest = rest - np.where(byte > 0, before[rows, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[of[rows, byte], rest]
+        before = np.cumsum(_POP[of], axis=1, dtype=np.uint8)
+        byte = (before <= rest[:, None]).sum(axis=1, dtype=np.int64)
+        flat = np.arange(0, 8 * len(word), 8) + byte
+        rest -= np.where(byte > 0, before.reshape(-1)[flat - (byte > 0)], 0).astype(np.uint8)
+        return word * 64 + byte * 8 + _SELECT[of.reshape(-1)[flat], rest]
 
     def find(self, x: np.ndarray) -> np.ndarray:
         """Places of the numbers x, -1 for those that are absent: successor search within the numbers of equal high bits."""
+        if len(x) > ASKED:
+            return np.concatenate([self.find(x[k : k + ASKED]) for k in range(0, len(x), ASKED)])
         found = np.full(len(x), -1, np.int64)
         if not self.n or not len(x):
             return found
         shift = np.uint64(self.low_bits)
         high = (x >> shift).astype(np.int64)
-        low = x & ((np.uint64(1) << shift) - np.uint64(1))
         ok = np.flatnonzero(high < int(self.zeros[-1]))
-        last = self.select_zero(high[ok]) - high[ok]
-        first = np.zeros(len(ok), np.int64)
-        some = high[ok] > 0
-        first[some] = self.select_zero(high[ok][some] - 1) + 1 - high[ok][some]
-        while len(ok := ok[m := first < last]):
-            first, last = first[m], last[m]
-            value = self._low(first)
-            found[ok[value == low[ok]]] = first[value == low[ok]]
-            go = value < low[ok]
-            ok, first, last = ok[go], first[go] + 1, last[go]
-        return found
+        low = (x & ((np.uint64(1) << shift) - np.uint64(1)))[ok]
+        high = high[ok]
+        first = self.select_zero(np.maximum(high - 1, 0)) + 1 - high  # numbers with these high bits lie between two zeros
+        first[high == 0] = 0
+        last = self.select_zero(high) - high
+        while True:
+            m = first < last
+            ok, low, first, last = ok[m], low[m], first[m], last[m]
+            if not len(ok):
+                return found
+            middle = (first + last) >> 1
+            value = self._low(middle)
+            same, go = value == low, value < low
+            found[ok[same]] = middle[same]
+            last = np.where(go, last, middle)
+            first = np.where(go, middle + 1, np.where(same, last, first))
 
 
 # --- codes --------------------------------------------------------------------------------------------------------------
@@ -134,7 +144,7 @@ class Trie:
         self.words = EliasFano(word_keys >> np.uint64(1), 1 << 63)
         context = pair_keys >> np.uint64(SUCCESSOR_BITS)
         starts = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.empty(0, np.int64)
-        self.contexts = EliasFano(context[starts], 1 << 24)
+        self.contexts = EliasFano(context[starts], 1 << CONTEXT_BITS)
         pointers = np.append(starts, len(context)).astype(np.uint64)
         self.pointers = EliasFano(pointers, max(1, len(context)))
         number = np.repeat(np.arange(len(starts), dtype=np.uint64), np.diff(pointers.astype(np.int64)))
@@ -157,7 +167,7 @@ class Trie:
             f.flush()
             for level, name, at, dtype, shape in spots:
                 if math.prod(shape):
-                    setattr(level, name, np.memmap(f, dtype, "r", at, shape))
+                    setattr(level, name, np.asarray(np.memmap(f, dtype, "r", at, shape)))
 
     def word_counts_of(self, keys: np.ndarray) -> np.ndarray:
         at = self.words.find(keys >> np.uint64(1))
@@ -249,18 +259,31 @@ class Block:
         before[np.append(0, np.cumsum(self.lengths)[:-1])] = START
         return before * np.uint64(len(self.hashes)) + self.tokens
 
-    def requests(self, shards: int):
-        """The distinct words and pairs in the order in which shards are asked: (words, their shards, pairs, pair keys, their shards)."""
+    def requests(self):
+        """The distinct words and pairs in the order in which shards are asked.
+
+        Returns the words in that order and their hashes; for each token the place of its pair, and the pairs' keys. Shards are ranges of these
+        hashes and keys, so that one sort serves both.
+        """
+        w = np.argsort(self.hashes)
+        own = self.pairs()
+        order = np.argsort(own)
+        new = np.append(True, own[order[1:]] != own[order[:-1]])
+        distinct = own[order[new]]
         size = np.uint64(len(self.hashes))
-        word_shard = (self.hashes % np.uint64(shards)).astype(np.int64)
-        w = np.lexsort((self.hashes, word_shard))
-        distinct = np.unique(self.pairs())
         a, b = self.hashes[distinct // size], self.hashes[distinct % size]
-        mixed = _mixed(a, b)
-        keys = ((a >> np.uint64(40)) << np.uint64(SUCCESSOR_BITS)) | (mixed >> np.uint64(64 - SUCCESSOR_BITS))
-        pair_shard = ((mixed & np.uint64(0xFFFFFFFF)) % np.uint64(shards)).astype(np.int64)
-        p = np.lexsort((keys, pair_shard))
-        return w, word_shard[w], distinct[p], keys[p], pair_shard[p]
+        keys = ((_mixed(a, b) >> np.uint64(64 - SUCCESSOR_BITS)) << np.uint64(CONTEXT_BITS)) | (a >> np.uint64(64 - CONTEXT_BITS))
+        p = np.argsort(keys)
+        rank = np.empty(len(p), np.int64)
+        rank[p] = np.arange(len(p))
+        place = np.empty(len(own), np.int64)
+        place[order] = rank[np.cumsum(new) - 1]
+        return w, self.hashes[w], place, keys[p]
+
+
+def shard_bounds(sorted_keys: np.ndarray, bits: int, shards: int) -> np.ndarray:
+    """Where each shard's range of keys of so many bits begins, and the end."""
+    return np.searchsorted(sorted_keys, np.array([min((1 << 64) - 1, -(-(s << bits) // shards)) for s in range(shards)], np.uint64)).tolist() + [len(sorted_keys)]
 
 
 def blocks(batches, most: int = BLOCK) -> Iterator[Block]:
@@ -343,20 +366,15 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu: float =
         for serial, block in enumerate(blocks(batches, block_tokens)):
             name = base + serial
             train = np.repeat(block.held == 0, block.lengths)
-            counts = np.bincount(block.tokens[train], minlength=len(block.hashes))
-            w, word_shard, pairs, keys, pair_shard = block.requests(shards)
-            own, times = _sums(np.sort(block.pairs()[train]))
-            order = np.argsort(pairs)
-            pair_counts = np.zeros(len(pairs), np.uint32)
-            pair_counts[order[np.searchsorted(pairs, own, sorter=order)]] = times
-            word_counts = counts[w].astype(np.uint32)
-            words_at = np.searchsorted(word_shard, np.arange(shards + 1))
-            pairs_at = np.searchsorted(pair_shard, np.arange(shards + 1))
+            w, hashes, place, keys = block.requests()
+            word_counts = np.bincount(block.tokens[train], minlength=len(w))[w].astype(np.uint32)
+            pair_counts = np.bincount(place[train], minlength=len(keys)).astype(np.uint32)
+            words_at, pairs_at = shard_bounds(hashes, 64, shards), shard_bounds(keys, SUCCESSOR_BITS + CONTEXT_BITS, shards)
             yield pa.RecordBatch.from_arrays([pa.array([-1 - name]), pa.array([name]), pa.array([-1], pa.int32()), pa.array([block.dump()], pa.binary())], schema=schema)
             for s in range(shards):
                 a, b, c, d = words_at[s], words_at[s + 1], pairs_at[s], pairs_at[s + 1]
                 if b > a or d > c:
-                    payload = _join(_planes(np.diff(block.hashes[w[a:b]], prepend=np.uint64(0))), _planes(word_counts[a:b]), _planes(np.diff(keys[c:d], prepend=np.uint64(0))), _planes(pair_counts[c:d]))
+                    payload = _join(_planes(np.diff(hashes[a:b], prepend=np.uint64(0))), _planes(word_counts[a:b]), _planes(np.diff(keys[c:d], prepend=np.uint64(0))), _planes(pair_counts[c:d]))
                     yield pa.RecordBatch.from_arrays([pa.array([s], pa.int64()), pa.array([name]), pa.array([s], pa.int32()), pa.array([payload], pa.binary())], schema=schema)
 
     def answer(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -369,17 +387,27 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu: float =
         for _, _, x in asked:
             x[0], x[2] = np.cumsum(x[0], dtype=np.uint64), np.cumsum(x[2], dtype=np.uint64)
 
-        def total(k):
-            keys = np.concatenate([x[k][x[k + 1] > 0] for _, _, x in asked])
-            times = np.concatenate([x[k + 1][x[k + 1] > 0] for _, _, x in asked]).astype(np.int64)
-            order = np.argsort(keys, kind="stable")
-            keys, times = keys[order], times[order]
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-            return keys[starts], np.add.reduceat(times, starts) if len(starts) else times
-
-        trie = Trie(*total(0), *total(2))
+        def total(k, turn):
+            """The distinct keys that were asked for, in a trie's order, their training counts, and for each asked key its place among them."""
+            keys, times = np.concatenate([x[k] for _, _, x in asked]), np.concatenate([x[k + 1] for _, _, x in asked])
+            keys = turn(keys)
+            order = np.argsort(keys)
+            keys = keys[order]
+            new = np.append(True, keys[1:] != keys[:-1]) if len(keys) else np.empty(0, bool)
+            place = np.empty(len(keys), np.int64)
+            place[order] = np.cumsum(new) - 1
+            return keys[new], np.bincount(place, times, int(new.sum())).astype(np.int64), place
+
+        word_keys, word_counts, word_place = total(0, lambda x: x)
+        context_first = lambda x: ((x & np.uint64((1 << CONTEXT_BITS) - 1)) << np.uint64(SUCCESSOR_BITS)) | (x >> np.uint64(CONTEXT_BITS))
+        pair_keys, pair_counts, pair_place = total(2, context_first)
+        trie = Trie(word_keys[word_counts > 0], word_counts[word_counts > 0], pair_keys[pair_counts > 0], pair_counts[pair_counts > 0])
+        of_words, of_pairs = trie.word_counts_of(word_keys).astype(np.int64)[word_place], trie.codes_of(pair_keys)[pair_place]
+        a = c = 0
         for name, s, x in asked:
-            payload = _join(_planes(trie.word_counts_of(x[0]).astype(np.int64)), _planes(trie.codes_of(x[2])))
+            b, d = a + len(x[0]), c + len(x[2])
+            payload = _join(_planes(of_words[a:b]), _planes(of_pairs[c:d]))
+            a, c = b, d
             yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([s], pa.int32()), pa.array([payload], pa.binary())], names)
 
     def score(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -390,17 +418,17 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu: float =
                     block = Block.load(payload)
                 else:
                     answers[s] = _split(payload, 2)
-        w, _, pairs, _, _ = block.requests(shards)
+        w, _, place, _ = block.requests()
         in_order = [answers[s] for s in sorted(answers)]
         word_counts = np.empty(len(w))
         word_counts[w] = np.concatenate([_numbers(x[0], np.int64) for x in in_order])
         codes = np.concatenate([_numbers(x[1], np.uint16) for x in in_order])
         word_counts[START] = word_counts[END]  # each training document starts once
-        order = np.argsort(pairs)
-        own = block.pairs()
-        together = CODEBOOK[codes[order[np.searchsorted(pairs, own, sorter=order)]]]
+        together = CODEBOOK[codes[place]]
         count = word_counts[block.tokens]
-        context = word_counts[(own // np.uint64(len(block.hashes))).astype(np.int64)]
+        context = np.empty_like(count)
+        context[1:] = count[:-1]
+        context[np.append(0, np.cumsum(block.lengths)[:-1])] = word_counts[START]
         plain = (count + 1) / denominator
         smoothed = (np.minimum(together, context) + mu * plain) / (context + mu)
         starts = np.append(0, np.cumsum(block.lengths)[:-1])

@@ -63,7 +63,7 @@ def test_trie_holds_counts_in_little_space():
     assert (lm.CODEBOOK[trie.codes_of(pairs)] == counts).all()
     assert (trie.codes_of(pairs ^ np.uint64(1 << 49)) == 0).mean() > 0.99
     assert (trie.word_counts_of(words_) == np.arange(len(words_))).all()
-    assert isinstance(trie.codes, np.memmap)
+    assert isinstance(trie.codes.base, np.memmap) and isinstance(trie.successors.low.base, np.memmap)
 
 
 def test_codes_are_exact_for_small_counts_and_close_for_large_ones():
