@@ -27,10 +27,10 @@ from pyspark.sql.window import Window
 from .common import arrow_schema, checkpointed, prepare
 
 #: Candidates in a chunk and queries in a block: what one task holds.
-CHUNK, BLOCK = 8192, 1024
+CHUNK, BLOCK = 16384, 512
 
 #: Shares of the largest impact at which processing pauses to test whether it may stop.
-STOPS = (0.06, 0.0, -0.06)
+STOPS = (0.5, 0.3, 0.2, 0.12, 0.07, 0.03, -0.03)
 
 #: What one met dimension adds to a vector's sum, far above any gain; sums stay exact in doubles.
 MET = float(1 << 40)
@@ -72,17 +72,27 @@ def pack_blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
     return vectors.mapInArrow(run, "n int, ids binary, data binary")
 
 
+def gathered(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
+    """Packs dealt anew by id, so that they are full whatever the files were."""
+    parts = -(-vectors.count() // rows) or 1
+    return pack_blocks(vectors.repartition(parts, "vec_id"), rows, dims)
+
+
 class ImpactIndex:
     """The posting segments of one chunk of vectors."""
 
     def __init__(self, ids: np.ndarray, data: np.ndarray):
         self.ids, self.data = ids, data.astype(np.int64)
+        self.reals = data.astype(np.float64)
         self.order = np.argsort(self.data, axis=0, kind="stable").T.copy()  # by dimension, ascending value
         self.values = np.take_along_axis(self.data, self.order.T, axis=0).T.astype(np.float64)
         self.exact = float(np.abs(self.data).max(initial=0))
 
     def scores(self, at: np.ndarray, q: np.ndarray) -> np.ndarray:
-        if self.exact * float(np.abs(q).max(initial=0)) * len(q) < 2**62:
+        most = self.exact * float(np.abs(q).max(initial=0)) * len(q)
+        if most < 2**52:
+            return (self.reals[at] @ q.astype(np.float64)).astype(np.int64)
+        if most < 2**62:
             return self.data[at] @ q
         whole = self.data[at].astype(object) @ q.astype(object)
         return np.array([max(-(2**63), min(2**63 - 1, int(x))) for x in whole], np.int64)
@@ -113,11 +123,13 @@ class ImpactIndex:
         weight = q[dims].astype(np.float64)
         first, last = self.values[dims, 0], self.values[dims, -1]
         best = np.where(weight > 0, last, first) * weight
-        slack = 0.5
-        both = gained = met = np.zeros(n)  # both: the gains, and MET for each dimension met
+        # a floor to begin with: the k-th best of the first vectors
+        floor = float(np.partition(self.scores(np.arange(min(n, 16 * k)), q), -k)[-k])
+        both = np.zeros(n)  # the gains, and MET for each dimension met
         done = np.zeros(len(dims), np.int64)  # postings read of each dimension, from its best end
         for stop in [best.max() * share for share in STOPS] + [-np.inf]:
-            places, impacts = [], []
+            if np.minimum(best, stop).sum() > floor:
+                continue  # even a vector that has met nothing could still reach the floor here
             for m, (d, w) in enumerate(zip(dims.tolist(), weight.tolist(), strict=True)):
                 if best[m] <= stop:
                     continue
@@ -129,21 +141,18 @@ class ImpactIndex:
                     upto = int(v.searchsorted(stop / w, "left"))
                     new = slice(int(done[m]), upto)
                 if upto > done[m]:
-                    places.append(self.order[d, new])
-                    impacts.append(v[new] * w + MET)
+                    gain = v[new] * w
+                    gain += MET
+                    both[self.order[d, new]] += gain  # a vector stands once in a dimension's list
                     done[m] = upto
-            if places:
-                both = both + np.bincount(np.concatenate(places), np.concatenate(impacts), n)
-                met = np.floor(both / MET + 0.5)
-                gained = both - met * MET
-            if stop == -np.inf:
-                upper = gained
-            else:
+            met = np.floor(both / MET + 0.5)
+            upper = both - met * MET
+            if stop != -np.inf:
                 open_dims = best > stop
-                upper = gained + (open_dims.sum() - met) * stop + best[~open_dims].sum()
+                upper += (open_dims.sum() - met) * stop + best[~open_dims].sum()
             lead = np.argpartition(upper, n - k)[n - k :]
-            floor = float(self.scores(lead, q).min())
-            possible = np.flatnonzero(upper >= floor - slack)
+            floor = max(floor, float(self.scores(lead, q).min()))
+            possible = np.flatnonzero(upper >= floor - 0.5)
             if len(possible) <= max(8 * k, n * RESCORE):  # to rescore them costs less than to process more
                 break
         return possible
@@ -157,11 +166,15 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = CHUN
     vectors, queries = usable(vectors), usable(queries)
     dims = vectors.agg(F.max(F.size("embedding"))).first()[0]
     dims = max(1, dims or 0, queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    asked = checkpointed(pack_blocks(queries, block, dims).withColumn("block", F.monotonically_increasing_id()))
-    numbers = asked.groupBy().agg(F.collect_list("block").alias("blocks"))  # one number for each block of queries
-    blocks = numbers.first()[0]
-    chunks = pack_blocks(vectors, chunk, dims).withColumn("block", F.explode(F.array(*(F.lit(b) for b in blocks)) if blocks else F.expr("cast(array() as array<bigint>)")))
-    pairs = chunks.join(asked.selectExpr("block", "n qn", "ids qids", "data qdata"), "block").select("n", "ids", "data", "qn", "qids", "qdata")
+    asked = checkpointed(gathered(queries, block, dims))
+    chunks = checkpointed(gathered(vectors, chunk, dims))
+    # a grid: chunks and blocks get a cell each in their own direction, and meet in the cells of both
+    across, down = max(1, chunks.count()), max(1, asked.count())
+    cell = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    wide = chunks.select("n", "ids", "data", cell(across).alias("c"), every(down).alias("r"))
+    tall = asked.select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), every(across).alias("c"), cell(down).alias("r"))
+    pairs = wide.join(tall, ["c", "r"]).select("n", "ids", "data", "qn", "qids", "qdata")
 
     def run(batches):
         schema = arrow_schema(FOUND)
