@@ -32,6 +32,9 @@ SPLIT = 2048
 #: Buckets agree on more and more bits; after the last level at most 20 bits are free.
 LEVELS = 5
 
+#: Rows that every task is told to drop at most.
+SEND_ROWS = 1_000_000
+
 
 def fingerprint(found: list[bytes], size: int = SHINGLE) -> int:
     """The bits set in more than half of the shingles' hashes."""
@@ -216,13 +219,20 @@ def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
     return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, split: int = SPLIT) -> DataFrame:
-    """docs with one row of each group of near duplicates: the one with the smallest doc_id, the first of several such rows."""
+def keep_one(docs: DataFrame, split: int = SPLIT, send_rows: int = SEND_ROWS) -> DataFrame:
+    """docs with one row of each group of near duplicates: the one with the smallest doc_id, the first of several such rows.
+
+    The rows to drop are known by number. While they are at most send_rows (8 bytes each) every task gets them, and texts stay where they are; beyond
+    that they meet the texts in a shuffled join.
+    """
     numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
     prints = checkpointed(fingerprints(numbered, ("doc_id", "_row")))
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
     distinct = checkpointed(prints.groupBy("fp").agg(chosen))
     parts = connected_components(links(distinct.select("fp"), split)).withColumnRenamed("node", "fp")
-    named = distinct.join(parts, "fp", "left").select(F.coalesce("component", "fp").alias("component"), "first")
-    kept = named.groupBy("component").agg(F.min("first").alias("first")).select(F.col("first._row").alias("_row"))
-    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
+    named = distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
+    kept = named.groupBy("component").agg(F.min("first").alias("first"))
+    of = named.select("fp", "component").join(kept, "component").select("fp", F.col("first._row").alias("kept"))
+    dropped = checkpointed(prints.join(of, "fp").filter("_row <> kept").select("_row"))
+    sent = F.broadcast(dropped) if dropped.count() <= send_rows else dropped
+    return numbered.join(sent, "_row", "left_anti").select(*docs.columns)

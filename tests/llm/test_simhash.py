@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 import xxhash
 
 from lectern.llm import simhash
@@ -77,8 +78,9 @@ def test_every_path_covers_all_bits_once():
         assert len(m) == 4**level and max(64 - (x & (1 << 64) - 1).bit_count() for x in m) <= free + 1
 
 
-def test_keep_one_keeps_whole_rows(odd_docs):
-    kept = simhash.keep_one(odd_docs)
+@pytest.mark.parametrize("send", [simhash.SEND_ROWS, 0])
+def test_keep_one_keeps_whole_rows(odd_docs, send):
+    kept = simhash.keep_one(odd_docs, send_rows=send)
     assert kept.columns == odd_docs.columns
     rows = odd_docs.collect()
     of = components(slow_fingerprint(r.text) for r in rows)
