@@ -54,7 +54,8 @@ by_id("sanitize_filename_string", lambda: sanitizing.filename_string(C("filename
 on_table("sanitize_markdown_string", "pages", lambda t: t.select("page_id", sanitizing.markdown_string(C("html")).alias("out")), f"SELECT page_id, {MD.format('html')} AS out FROM pages")
 on_table("sanitize_markdown", "pages", lambda t: t.select("page_id", sanitizing.markdown(C("html")).alias("out")), r"""SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>', '', 'gi'), '</script>', '', 'gi'), 'javascript:', '', 'gi'), 'data:[^"\s]*]', '', 'gi'), 50000) AS out FROM pages""")
 FENCED = "CASE doc_id % 3 WHEN 0 THEN '```markdown' || chr(10) || substr(text, 1, 200) || chr(10) || '```  ' WHEN 1 THEN '  ' || substr(text, 1, 100) || ' ' ELSE substr(text, 1, 50) || '```' END"
-on_table("strip_code_fences", "documents", lambda t: t.select("doc_id", sanitizing.code_fences(F.expr(FENCED)).alias("out")), rf"SELECT doc_id, {TRIM.format(f'''regexp_replace(regexp_replace({FENCED}, '\A```[^\n]*\n', ''), '\n?```\s*\z', '')''')} AS out FROM documents")
+UNFENCED = r"regexp_replace(regexp_replace({}, '\A```[^\n]*\n', ''), '\n?```\s*\z', '')".format(FENCED)
+on_table("strip_code_fences", "documents", lambda t: t.select("doc_id", sanitizing.code_fences(F.expr(FENCED)).alias("out")), f"SELECT doc_id, {TRIM.format(UNFENCED)} AS out FROM documents")
 on_inputs("title_from_filename", lambda i: i.select("id", labels.title_of(C("filename")).alias("out")), r"SELECT id, regexp_replace(regexp_replace(string_split(filename, '/')[-1], '\.pdf$', ''), '[_-]+', ' ', 'g') AS out FROM w_inputs")
 
 # --- labels, paths, paging ----------------------------------------------------------------------------------------------
