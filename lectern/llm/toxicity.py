@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
 Terms are whole words and beginnings of words (4 to 8 letters), in lower case; those kept are the ones whose presence in labelled examples goes
-with the label beyond chance (log-likelihood ratio), so that a text of unmarked words has the zero vector. Examples with terms
+with the label beyond chance (log-likelihood ratio), one for each set of examples, so that a text of unmarked words has the zero vector. Examples with terms
 form a block-max inverted index: each term has its examples in blocks and the greatest weight in each block. A query's
 bound for a block is the sum of its weights times these maxima; blocks are searched by falling bound until no other block can hold one of the k nearest,
 which are exact. Neighbours vote with weights that rise as the distance falls, and a prior vote for the share of label 1 keeps scores
@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Remembered
 from .common import arrow_schema, fold, labelled, prepare
 
 SAMPLE, TERMS, BLOCK, NEAREST = 6000, 4096, 64, 16
@@ -56,21 +57,29 @@ class NearestExamples:
     def __init__(self, examples: list[tuple[int, str, int]], max_terms: int = TERMS):
         """examples: (id, text, label), in any order."""
         examples = sorted(examples, key=lambda e: (e[0], e[2], e[1]))
-        found = [Counter(_words(text.lower())) for _, text, _ in examples]
-        sets = [{t for w in words for t in terms_of(w)} if y else None for words, (_, _, y) in zip(found, examples, strict=True)]
+        found = [_words(text.lower()) for _, text, _ in examples]
+        sets = [{t for w in set(words) for t in terms_of(w)} if y else None for words, (_, _, y) in zip(found, examples, strict=True)]
         with_1 = Counter(t for s in sets if s for t in s)
         with_1 = {t: n for t, n in with_1.items() if n >= LEAST_EXAMPLES}
         with_0: Counter = Counter()
-        for words, (_, _, y) in zip(found, examples, strict=True):
+        same: dict[str, int] = dict.fromkeys(with_1, 0)  # by term a fingerprint of the set of examples that have it
+        marks = np.random.default_rng(1).integers(1, 1 << 62, len(examples)).tolist()
+        for words, (_, _, y), mark in zip(found, examples, marks, strict=True):
+            own = {t for w in set(words) for t in terms_of(w) if t in with_1}
+            for t in own:
+                same[t] += mark
             if not y:
-                with_0.update({t for w in words for t in terms_of(w) if t in with_1})
+                with_0.update(own)
         n1 = sum(y for _, _, y in examples)
         n0 = len(examples) - n1
-        rated = sorted(((-ratio(n, with_0[t], n1, n0), t) for t, n in with_1.items()))[:max_terms]
+        # of terms with the same examples the shortest speaks for all: it also knows words that no example has
+        speaks = {same[t]: t for t in sorted(with_1, key=lambda t: (-len(t), t))}
+        rated = sorted((-ratio(with_1[t], with_0[t], n1, n0), t) for t in speaks.values())[:max_terms]
         kept = [t for r, t in rated if -r >= LEAST_RATIO]
         self.term = {t: k for k, t in enumerate(kept)}
         self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + with_1[t] + with_0[t])) for t in kept])
         self.starts = {t.rstrip("$")[:SHORTEST] for t in kept}
+        self.known = Remembered(self._terms)
         rows = [(i, y, v) for (i, _, y), words in zip(examples, found, strict=True) if len((v := self._vector(words))[0])]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
@@ -90,26 +99,35 @@ class NearestExamples:
             self.blocks[t] = block, np.maximum.reduceat(w, first), {int(k): (at[a:b] % BLOCK, w[a:b]) for k, a, b in zip(block, first, ends, strict=True)}
         self.n_blocks = -(-len(rows) // BLOCK)
 
-    def _vector(self, words: dict[str, int]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length 1."""
-        starts, term = self.starts, self.term
+    def _terms(self, word: str) -> tuple[int, ...]:
+        """The kept terms that a word has; it is asked only for words that begin like one of them."""
+        return tuple(k for t in terms_of(word) if (k := self.term.get(t)) is not None)
+
+    def _vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Terms and weights of length 1 of a text's words."""
+        known, starts = self.known, self.starts
         counts: Counter = Counter()
-        for w, n in words.items():
-            if w[:SHORTEST] in starts:
-                for t in terms_of(w):
-                    if (k := term.get(t)) is not None:
-                        counts[k] += n
+        for w in [w for w in set(words) if w[:SHORTEST] in starts]:
+            if own := known[w]:
+                n = words.count(w)
+                for k in own:
+                    counts[k] += n
         if not counts:
             return np.empty(0, np.int64), np.empty(0)
         at = np.array(sorted(counts))
         weight = np.array([1 + math.log(counts[k]) for k in at.tolist()]) * self.idf[at]
         return at, weight / np.linalg.norm(weight)
 
+    def __getstate__(self):
+        return {k: v for k, v in self.__dict__.items() if k != "known"}
+
+    def __setstate__(self, state):
+        self.__dict__.update(state)
+        self.known = Remembered(self._terms)
+
     def nearest(self, text: str, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, in order."""
-        starts = self.starts
-        words = Counter([w for w in _words(text.lower()) if w[:SHORTEST] in starts])
-        terms, weights = self._vector(words) if words else ((), ())
+        terms, weights = self._vector(_words(text.lower()))
         known = [(self.blocks[t], w) for t, w in zip(terms, weights, strict=True) if t in self.blocks]
         if not known:
             return np.empty(0, np.int64), np.empty(0)
