@@ -27,7 +27,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, arrow_schema, checkpointed, prepare
+from .common import ASCII_SPACE, arrow_schema, checkpointed, fresh, prepare
 
 #: Bits of a filter: eight for a line, between these bounds; the upper one is 32 MB, what any task can hold.
 MIN_BITS, MAX_BITS, SEGMENTS = 1 << 18, 1 << 28, 256
@@ -198,7 +198,8 @@ def remove_lines(docs: DataFrame, keep, schema: str | object, min_docs: int = 10
         return docs.mapInArrow(run, schema)
 
     columns = docs.columns
-    numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
+    place, gone_at = fresh(docs, "place"), fresh(docs, "gone")
+    numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id()))
 
     def ask(batches):
         out_schema, known = arrow_schema("key binary, row long, salt int"), Suspects(sent.value, bits)
@@ -212,20 +213,20 @@ def remove_lines(docs: DataFrame, keep, schema: str | object, min_docs: int = 10
                     r_out += [row] * len(hit)
             yield pa.RecordBatch.from_arrays([pa.array(k_out, pa.binary()), pa.array(r_out, pa.int64()), pa.array([r % SALTS for r in r_out], pa.int32())], schema=out_schema)
 
-    asked = numbered.select("_row", "text").mapInArrow(ask, "key binary, row long, salt int")
+    asked = numbered.select(place, "text").mapInArrow(ask, "key binary, row long, salt int")
     salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = asked.join(salted, ["key", "salt"]).groupBy("row").agg(F.collect_list("key").alias("gone"))
+    found = asked.join(salted, ["key", "salt"]).groupBy(F.col("row").alias(place)).agg(F.collect_list("key").alias(gone_at))
 
     def strip(batches):
         for batch in batches:
             texts = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column("gone").to_pylist(), strict=True):
+            for text, own in zip(batch.column("text").to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 ks = keys_of(raw, min_chars)
                 texts.append((len(ks), *strip_lines(raw, ks, frozenset(own or ()))))
             yield keep(batch.select(columns), texts)
 
-    return numbered.join(found, numbered["_row"] == found["row"], "left").select(*columns, "gone").mapInArrow(strip, schema)
+    return numbered.join(found, place, "left").select(*columns, gone_at).mapInArrow(strip, schema)
 
 
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"

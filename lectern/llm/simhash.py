@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, checkpointed, prepare, words
+from .common import arrow_schema, checkpointed, fresh, prepare, words
 from .components import connected_components
 
 RADIUS = 3
@@ -225,14 +225,15 @@ def keep_one(docs: DataFrame, split: int = SPLIT, send_rows: int = SEND_ROWS) ->
     The rows to drop are known by number. While they are at most send_rows (8 bytes each) every task gets them, and texts stay where they are; beyond
     that they meet the texts in a shuffled join.
     """
-    numbered = checkpointed(docs.withColumn("_row", F.monotonically_increasing_id()))
-    prints = checkpointed(fingerprints(numbered, ("doc_id", "_row")))
-    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("first")
+    place = fresh(docs, "place")
+    numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id()))
+    prints = checkpointed(fingerprints(numbered.select("doc_id", "text", F.col(place).alias("row")), ("doc_id", "row")))
+    chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
     distinct = checkpointed(prints.groupBy("fp").agg(chosen))
     parts = connected_components(links(distinct.select("fp"), split)).withColumnRenamed("node", "fp")
     named = distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
     kept = named.groupBy("component").agg(F.min("first").alias("first"))
-    of = named.select("fp", "component").join(kept, "component").select("fp", F.col("first._row").alias("kept"))
-    dropped = checkpointed(prints.join(of, "fp").filter("_row <> kept").select("_row"))
+    of = named.select("fp", "component").join(kept, "component").select("fp", F.col("first.row").alias("kept"))
+    dropped = checkpointed(prints.join(of, "fp").filter("row <> kept").select(F.col("row").alias(place)))
     sent = F.broadcast(dropped) if dropped.count() <= send_rows else dropped
-    return numbered.join(sent, "_row", "left_anti").select(*docs.columns)
+    return numbered.join(sent, place, "left_anti").select(*docs.columns)

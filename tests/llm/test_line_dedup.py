@@ -52,8 +52,10 @@ def test_the_filter_has_no_false_negatives(spark):
     assert twice.dtype == np.uint8
 
 
-def test_rows_and_columns_stay(odd_docs):
-    kept = ld.without_shared_lines(odd_docs)
+@pytest.mark.parametrize("send", [ld.SEND_BYTES, -1])
+def test_rows_and_columns_stay(odd_docs, send):
+    odd_docs = odd_docs.withColumnRenamed("fp", "place").withColumnRenamed("label", "gone")
+    kept = ld.without_shared_lines(odd_docs, send_bytes=send)
     assert kept.columns == odd_docs.columns and kept.count() == odd_docs.count()
     by = {r.doc_id: r for r in kept.collect()}
     assert by[100].text == " doc 0\nmore".replace("\nmore", "") and by[100].n_chars == len(by[100].text)

@@ -80,6 +80,7 @@ def test_every_path_covers_all_bits_once():
 
 @pytest.mark.parametrize("send", [simhash.SEND_ROWS, 0])
 def test_keep_one_keeps_whole_rows(odd_docs, send):
+    odd_docs = odd_docs.withColumnRenamed("fp", "place")
     kept = simhash.keep_one(odd_docs, send_rows=send)
     assert kept.columns == odd_docs.columns
     rows = odd_docs.collect()
