@@ -31,8 +31,9 @@ from .common import arrow_schema, fold, labelled, prepare
 
 SAMPLE, TERMS, BLOCK, NEAREST = 6000, 4096, 64, 16
 
-#: A term is kept from this log-likelihood ratio on, if at least so many examples of label 1 have it.
-LEAST_RATIO, LEAST_EXAMPLES = 20.0, 4
+#: A term is kept from this log-likelihood ratio on, if at least so many examples of label 1 have it, and if they have it so many
+#: times as often as the others: common words that lean to one side by chance of language or length stay out.
+LEAST_RATIO, LEAST_EXAMPLES, LEAST_LIFT = 20.0, 4, 4.0
 
 SHORTEST, LONGEST = 4, 8
 
@@ -75,7 +76,7 @@ class NearestExamples:
         # of terms with the same examples the shortest speaks for all: it also knows words that no example has
         speaks = {same[t]: t for t in sorted(with_1, key=lambda t: (-len(t), t))}
         rated = sorted((-ratio(with_1[t], with_0[t], n1, n0), t) for t in speaks.values())[:max_terms]
-        kept = [t for r, t in rated if -r >= LEAST_RATIO]
+        kept = [t for r, t in rated if -r >= LEAST_RATIO and with_1[t] * n0 >= LEAST_LIFT * with_0[t] * n1]
         self.term = {t: k for k, t in enumerate(kept)}
         self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + with_1[t] + with_0[t])) for t in kept])
         self.starts = {t.rstrip("$")[:SHORTEST] for t in kept}
