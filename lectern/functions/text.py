@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import stemmers
+
 SPLIT = r"[^\p{L}\p{N}]+"
 
 # --- the published Porter2 (Snowball English) algorithm ---
@@ -158,7 +160,7 @@ def stem_german(word: str) -> str:
 
 
 #: By configuration; one that is missing here only drops stop words.
-STEMMERS = {"english": stem_english, "german": stem_german}
+STEMMERS = {"english": stem_english, "german": stem_german, "spanish": stemmers.spanish, "french": stemmers.french, "swedish": stemmers.swedish, "danish": stemmers.danish, "norwegian": stemmers.norwegian}
 
 _STOP: dict[str, frozenset] = {}
 

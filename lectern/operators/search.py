@@ -44,12 +44,15 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
     simple = text.query_terms(query)
     if not simple:
         return found.select("page_id", "document_id", F.lit(0.0).alias("fts_score")).filter("false")
+    if analyzer == "simple":
+        # a text that lacks a term's letters needs no tokens
+        found = found.filter(_may_match(F.col("original_markdown"), simple) | _may_match(F.col("translated_markdown"), simple))
     found = found.withColumn("_o", text.tokens(F.col("original_markdown")))
     original_hit, original = text.matches(F.col("_o"), simple), _density(F.col("_o"), simple)
     if analyzer == "simple":
         found = found.withColumn("_t", text.tokens(F.col("translated_markdown")))
         hit, score = text.matches(F.col("_t"), simple), _density(F.col("_t"), simple)
-        return found.filter(original_hit | hit).select("page_id", "document_id", (original + score).alias("fts_score"))
+        return found.filter(original_hit | hit).select("page_id", "document_id", F.round(original + score, 9).alias("fts_score"))
     configs = [analyzer] if analyzer else ["simple", *labels.FTS_CONFIGS.values()]
     config = F.lit(analyzer) if analyzer else labels.fts_config(F.col("target_language"))
     found = found.withColumn("_config", config)
@@ -64,7 +67,14 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
             hit = hit | (own & text.matches(F.col("_t"), terms))
             score = F.when(own, _density(F.col("_t"), terms)).otherwise(score)
     hit = F.coalesce(hit, F.lit(False))
-    return found.filter(original_hit | hit).select("page_id", "document_id", (original + F.coalesce(score, F.lit(0.0))).alias("fts_score"))
+    return found.filter(original_hit | hit).select("page_id", "document_id", F.round(original + F.coalesce(score, F.lit(0.0)), 9).alias("fts_score"))
+
+
+def _may_match(column: Column, terms: list[str]) -> Column:
+    low, hit = F.lower(column), F.lit(True)
+    for t in terms:
+        hit = hit & low.contains(t)
+    return F.coalesce(hit, F.lit(False))
 
 
 def _density(token_column: Column, terms: list[str]) -> Column:
@@ -82,7 +92,8 @@ def stemmed_tokens(pages: DataFrame) -> DataFrame:
 
 
 def text_ranked(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = "simple") -> DataFrame:
-    return global_row_number(text_scores(pages, documents, query, analyzer), "fts_score", "page_id", "fts_rank", 0.0, 100.0)
+    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()  # two numbers from one column's statistics
+    return global_row_number(text_scores(pages, documents, query, analyzer), "fts_score", "page_id", "fts_rank", 0.0, 1.0, (lo or 0, hi or 0))
 
 
 def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = "simple") -> DataFrame:

@@ -6,37 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets of the score and, within one of them, of the id.
-SCORE_BUCKETS, ID_BUCKETS = 2048, 64
+#: Buckets of a score that varies, and of the key among equal scores.
+SCORE_BUCKETS, KEY_BUCKETS = 2048, 64
 
+#: Decimal digits of scores that many rows share.
+DIGITS = 9
 
-def global_row_number(df: DataFrame, score: str, key: str, name: str, low: float, high: float) -> DataFrame:
+
+def global_row_number(df: DataFrame, score: str, key: str, name: str, low: float, high: float, keys: tuple[int, int] | None = None) -> DataFrame:
     """df with name: the row number by score descending, then key ascending, over all rows.
 
-    Rows fall into ordered buckets by score (between low and high) and, among equal scores, by the key's share of its range; a row's number is the rows in
-    better buckets plus its place in its own. The bucket counts are bounded (SCORE_BUCKETS x ID_BUCKETS), so the cumulative sum over them is small whatever
-    the data, and no task sorts more than one bucket. Buckets are deterministic functions of the row: a recomputed task finds the same ones.
+    Rows fall into ordered cells; a row's number is the rows in better cells plus its place in its own. If scores vary, a cell is a slice of the range
+    from low to high. If many rows share few scores, the range of the keys is given, and a cell is one score and a slice of that range. There is one exchange, of
+    df's columns, which counts and places share; the sum over the cells' counts is small whatever the data, and no task sorts more than a cell's rows. Cells
+    are functions of the row alone, so a recomputed task finds the same ones. Scores are not null and, where keys are given, rounded to DIGITS.
     """
-    lo, hi = df.agg(F.min(key), F.max(key)).first()
-    lo, hi = lo or 0, hi or 0
-    share = F.least(F.lit(SCORE_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.lit(float(high)) - F.col(score)) / F.lit(float(high - low)) * SCORE_BUCKETS)))
-    placed = df.withColumns(
-        {
-            "_s": share.cast("int"),
-            # the key decides only among equal scores: buckets of the key stay apart only where the score bucket has one score
-            "_k": F.least(F.lit(ID_BUCKETS - 1), F.floor((F.col(key) - F.lit(lo)) * F.lit(ID_BUCKETS / (hi - lo + 1)))).cast("int"),
-        }
-    )
-    counts = placed.groupBy("_s").agg(F.min(score).alias("_min"), F.max(score).alias("_max"), *(F.sum(F.when(F.col("_k") == k, 1).otherwise(0)).alias(f"_c{k}") for k in range(ID_BUCKETS)))
-    cells = counts.select("_s", (F.col("_min") == F.col("_max")).alias("_one"), F.posexplode(F.array(*(F.col(f"_c{k}") for k in range(ID_BUCKETS)))).alias("_kk", "_n"))
-    # a score bucket with several scores is one cell, one with a single score is cut by key
-    merged = cells.groupBy("_s", "_one", F.when(F.col("_one"), F.col("_kk")).otherwise(F.lit(0)).alias("_cell")).agg(F.sum("_n").alias("_n"))
-    before = Window.orderBy("_s", "_cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = merged.filter("_n > 0").withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
-    ones = offsets.groupBy("_s").agg(F.first("_one").alias("_one"))
-    celled = placed.join(F.broadcast(ones), "_s").withColumn("_cell", F.when(F.col("_one"), F.col("_k")).otherwise(F.lit(0)))
-    inside = F.row_number().over(Window.partitionBy("_s", "_cell").orderBy(F.desc(score), F.asc(key)))
-    return celled.withColumn("_in", inside).join(F.broadcast(offsets.select("_s", "_cell", "_before")), ["_s", "_cell"]).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
+    whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))  # noqa: E731  never null, so that no join filters one branch alone
+    if keys is None:
+        cell = F.least(F.lit(SCORE_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.lit(float(high)) - F.col(score)) / F.lit(float(high - low)) * SCORE_BUCKETS))).cast("int")
+        placed, cells = df.withColumn("_cell", cell), ["_cell"]
+        better: list[str] = ["_cell"]
+    else:
+        lo, hi = keys
+        slice_ = F.least(F.lit(KEY_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.col(key) - F.lit(lo)) * F.lit(KEY_BUCKETS / (hi - lo + 1)))))
+        placed, cells = df.withColumn("_level", whole(F.round(F.col(score) * F.lit(-(10.0**DIGITS))))).withColumn("_slice", whole(slice_)), ["_level", "_slice"]
+        better = cells
+    placed = placed.repartition(*cells)
+    before = Window.orderBy(*better).rowsBetween(Window.unboundedPreceding, -1)
+    # counts every row; the hash holds on to all columns, as only equal exchanges are shared
+    every = F.count(F.when(F.xxhash64(*df.columns) >= F.lit(-(1 << 63)), 1))
+    offsets = placed.groupBy(*cells).agg(every.alias("_n")).select(*cells, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy(*cells).orderBy(F.desc(score), F.asc(key)))
+    return placed.withColumn("_in", inside).join(F.broadcast(offsets), cells).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
 
 
 def reciprocal(rank: Column, k: int) -> Column:

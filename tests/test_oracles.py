@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from lectern import queries, queries_rules  # noqa: F401
+from lectern import queries, queries_rules, queries_tools  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SF = "/root/testdata/sf0.01"

@@ -72,14 +72,15 @@ def test_pages_of_results_join_to_the_whole_list(spark, tables):
     assert search.hybrid_count(pages, docs, "the", q).first().total == len(whole)
 
 
-def test_global_row_numbers_without_a_single_partition(spark):
-    rows = [(k, float(k % 7) / 7) for k in range(3000)] + [(5000 + k, 0.5) for k in range(2000)]
+@pytest.mark.parametrize("keys", [None, (0, 6999), (100, 3000)])
+def test_global_row_numbers_without_a_single_partition(spark, keys):
+    rows = [(k, float(k % 8) / 8) for k in range(3000)] + [(5000 + k, 0.5) for k in range(2000)] + [(-1, 7.0), (-2, -7.0)]
     df = spark.createDataFrame(rows, "id long, score double").repartition(5)
-    numbered = global_row_number(df, "score", "id", "n", 0.0, 1.0)
+    numbered = global_row_number(df, "score", "id", "n", 0.0, 1.0, keys)
     want = {i: n for n, (i, s) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert {r.id: r.n for r in numbered.collect()} == want
     plan = numbered._jdf.queryExecution().executedPlan().toString()
-    assert "Window" in plan and "CartesianProduct" not in plan
+    assert "Window" in plan and "CartesianProduct" not in plan and "ReusedExchange" in plan
 
 
 def test_ranking_reads_no_text_for_the_semantic_list(spark, data):
@@ -126,3 +127,24 @@ def test_headlines():
     assert "<b>w50</b>" in out and len(out.split()) <= 35
     assert text.headline(words, ["none"]) == " ".join(f"w{k}" for k in range(15))
     assert text.headline(None, ["x"]) is None
+
+
+@pytest.mark.parametrize(
+    ("language", "pairs"),
+    [
+        ("spanish", "cheques chequ chica chic chilena chilen torneos torne torres torr tortura tortur canciones cancion rápidamente rapid haciéndolo hac cantando cant gobierno gobiern"),
+        ("french", "continua continu continuait continu continuellement continuel continuité continu contraindre contraindr contradictoire contradictoir majesté majest majestueusement majestu maison maison maître maîtr chevaux cheval nationale national"),
+        ("swedish", "jakt jakt jaktkarlarne jaktkarl klo klo klockan klockan klockor klock kloster klost möjligheter möj"),
+        ("danish", "indtage indtag undersøgelse undersøg hændelser hænd venlighed ven bestemmelse bestem barnlige barn"),
+        ("norwegian", "havnedistriktene havnedistrikt opning opning opninga opning oppmerksomhet oppmerksom hastighet hast"),
+    ],
+)
+def test_other_stems(language, pairs):
+    words = pairs.split()
+    assert [text.STEMMERS[language](w) for w in words[::2]] == words[1::2]
+
+
+@pytest.mark.parametrize("language", sorted(text.STEMMERS))
+def test_stemmers_take_any_word(language):
+    for word in ("", "a", "s", "e", "qu", "yyy", "äöü", "é", "ß" * 5, "1234", "ement", "mente", "heten", "ions", "漢字"):
+        assert isinstance(text.STEMMERS[language](word), str)
