@@ -188,6 +188,12 @@ def frequency(text_tokens: Column, term: str) -> Column:
     return F.size(F.filter(text_tokens, lambda t: t == term))
 
 
+def occurrences(text: Column, term: str) -> Column:
+    """How often a text has a term as a token, without making tokens: the term's letters between characters that are none. Null counts as empty."""
+    pattern = rf"{term}(?<![\p{{L}}\p{{N}}]{term})(?![\p{{L}}\p{{N}}])"
+    return F.regexp_count(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern))
+
+
 def query_terms(query: str, config: str = "simple") -> list[str]:
     """The distinct terms that a plain query asks for: all of them must occur."""
     found = [t for t in re.split(r"[\W_]+", query.lower()) if t]

@@ -44,6 +44,10 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
     simple = text.query_terms(query)
     if not simple:
         return found.select("page_id", "document_id", F.lit(0.0).alias("fts_score")).filter("false")
+    if analyzer == "simple" and len(simple) == 1:
+        # one term needs its number of occurrences alone
+        hits = text.occurrences(F.col("original_markdown"), simple[0]) + text.occurrences(F.col("translated_markdown"), simple[0])
+        return found.select("page_id", "document_id", F.round(hits * F.lit(0.1), 9).alias("fts_score")).filter("fts_score > 0")
     if analyzer == "simple":
         # a text that lacks a term's letters needs no tokens
         found = found.filter(_may_match(F.col("original_markdown"), simple) | _may_match(F.col("translated_markdown"), simple))

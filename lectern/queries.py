@@ -293,9 +293,9 @@ query("snippet_headline")(lambda s, d: w.table(s, d, "documents").select("doc_id
 on_documents("fts_config", lambda d: d.select("document_id", labels.fts_config(C("target_language")).alias("config")), f"SELECT document_id, {FTS_CASE} AS config FROM w_documents")
 on_table("to_tsvector", "documents", lambda t: search.postings(t.selectExpr("doc_id AS page_id", "text AS original_markdown")).select("lexeme", "page_id", "tf"), f"SELECT w AS lexeme, doc_id AS page_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS w FROM documents) GROUP BY ALL")
 query("plainto_tsquery", "SELECT 'the' AS term UNION ALL SELECT 'and'")(lambda s, d: s.createDataFrame([(t,) for t in text.query_terms("The, and the!")], "term string"))
-on_table("ts_match", "documents", lambda t: t.filter(text.matches(text.tokens(C("text")), text.query_terms(WORDS))).select("doc_id"), f"SELECT doc_id FROM documents WHERE list_has_all({TOK.format('text')}, ['the', 'and'])")
+on_table("ts_match", "documents", lambda t: t.filter(F.forall(F.array(*(text.occurrences(C("text"), x) for x in text.query_terms(WORDS))), lambda n: n > 0)).select("doc_id"), f"SELECT doc_id FROM documents WHERE list_has_all({TOK.format('text')}, ['the', 'and'])")
 on_table("ts_match_postings", "documents", lambda t: search.match_postings(search.postings(t.selectExpr("doc_id AS page_id", "text AS original_markdown")), ["the", "and"]), f"SELECT doc_id AS page_id, (SELECT count(*) FROM (SELECT unnest(toks) AS x) WHERE x IN ('the', 'and')) AS tf FROM (SELECT doc_id, {TOK.format('text')} AS toks FROM documents) WHERE list_has_all(toks, ['the', 'and'])")
-on_table("ts_rank_cd", "documents", lambda t: t.select("doc_id", F.round(text.frequency(text.tokens(C("text")), "the") * 0.1, 6).alias("rank")), f"SELECT doc_id, round({TF.format('text', 'the')} * 0.1::DOUBLE, 6) AS rank FROM documents")
+on_table("ts_rank_cd", "documents", lambda t: t.select("doc_id", F.round(text.occurrences(C("text"), "the") * 0.1, 6).alias("rank")), f"SELECT doc_id, round({TF.format('text', 'the')} * 0.1::DOUBLE, 6) AS rank FROM documents")
 query("ts_rank_cd_cover")(lambda s, d: w.table(s, d, "documents").select("doc_id", F.round(text.rank_texts(["the", "and"])(text.tokens(C("text"))), 6).alias("rank")))
 
 # --- joins, aggregates, windows -----------------------------------------------------------------------------------------
