@@ -8,27 +8,27 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, html_text, line_dedup, lm, packing, quality_model, quality_rules, simhash, topk, toxicity
-from .common import table
+from .common import spread, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents"), BYTE_BPE)
+    return bpe.round_trip_digests(spread(table(spark, sf_dir, "documents")), BYTE_BPE)
 
 
 def op2_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_documents(spread(table(spark, sf_dir, "documents")))
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return toxicity.apply_index(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.apply_index(spread(docs), toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_documents(table(spark, sf_dir, "documents"), WORD_BPE)
+    return packing.pack_documents(spread(table(spark, sf_dir, "documents")), WORD_BPE)
 
 
 def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,12 +36,12 @@ def op5_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return simhash.near_duplicates(spread(table(spark, sf_dir, "documents")))
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return quality_model.apply_model(docs, quality_model.fit(docs, table(spark, sf_dir, "labels")))
+    return quality_model.apply_model(spread(docs), quality_model.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +49,7 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.apply_rules(table(spark, sf_dir, "documents"))
+    return quality_rules.apply_rules(spread(table(spark, sf_dir, "documents")))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
