@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from . import workload as w
-from .functions import labels, resilience, sanitizing, text, validation, vectors
-from .operators import corpus, lifecycle, ops, rag, search
+from .functions import labels, sanitizing, text, vectors
+from .operators import corpus, lifecycle, ops, search
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}

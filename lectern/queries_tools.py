@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from . import queries_rules, workload as w  # noqa: F401  some names below are aliases of its queries
 from .functions import labels, markdown
 from .operators import health, ingest, rag
+from .operators.lifecycle import TRANSITIONS
 from .queries import ORACLES, QUERIES, C, docs_pages, on_documents, on_inputs, on_table, query  # noqa: F401
 from .sources import files, models
+from .streaming import run, stateful
 
 
 def uploads(s, d):
@@ -72,3 +74,42 @@ query("dir_scan")(lambda s, d: files.listing(s, d))
 query("file_mtime_scan")(lambda s, d: files.listing(s, d).filter("is_dir = false AND mtime < now() - INTERVAL 0 HOURS").select("name"))
 for alias, name in {"status_text": "status_color", "permanent": "retryable", "language_name": "language_name_ui"}.items():
     QUERIES[alias], ORACLES[alias] = QUERIES[name], ORACLES[name]
+
+
+# --- streams, run to the end of their source ----------------------------------------------------------------------------
+
+
+@query("topic_broadcast_stream", "SELECT event_id, topic FROM (SELECT event_id, unnest(['document:' || user_id, 'documents']) AS topic FROM events)")
+def _(s, d):
+    updates = run.table_stream(s, f"{d}/events.parquet").select("event_id", C("user_id").cast("string").alias("document_id"))
+    return run.drained(stateful.broadcasts(updates).select("event_id", "topic"))
+
+
+@query("viewer_refresh", "SELECT event_id FROM events WHERE user_id = 7")
+def _(s, d):
+    return run.drained(stateful.viewed(run.table_stream(s, f"{d}/events.parquet").select("event_id", C("user_id").alias("page_id")), 7).select("event_id"))
+
+
+@query("dashboard_refresh", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
+def _(s, d):
+    """The whole view is recomputed for each micro-batch; what is left is the view after the last one."""
+    shown = {}
+    events = run.table_stream(s, f"{d}/events.parquet")
+    view = lambda: w.table(s, d, "events").groupBy("event_type").agg(F.count("*").alias("n"))
+    stateful.refreshed(events, view, lambda df, epoch: shown.update(last=df)).trigger(availableNow=True).start().awaitTermination()
+    return shown.get("last", view())
+
+
+@query("circuit_breaker_stream")
+def _(s, d):
+    """State changes of breakers by event type; rows only, tests hold them against the plain rule."""
+    events = run.table_stream(s, f"{d}/events.parquet").select(C("event_type").alias("fuse"), C("ts").cast("timestamp").alias("ts"), (C("value") > 5).alias("failed"))
+    return run.drained(stateful.breakers(events, 3, 14_400, 1_800))
+
+
+@query("document_fsm_stream")
+def _(s, d):
+    """Life cycles of documents under a stream of events; rows only, tests hold them against the plain rule."""
+    events = run.table_stream(s, f"{d}/events.parquet")
+    name = F.element_at(F.array(*(F.lit(e) for e in TRANSITIONS)), (C("event_id") % len(TRANSITIONS) + 1).cast("int"))
+    return run.drained(stateful.life_cycles(events.select(C("user_id").cast("string").alias("document_id"), C("event_id").alias("seq"), F.when(C("event_type") == "signup", "create").otherwise(name).alias("event"), F.lit("queued").alias("status"))))

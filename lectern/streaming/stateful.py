@@ -16,7 +16,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.lifecycle import TRANSITIONS, topics
 
 BREAKER_OUT = "fuse string, ts timestamp, state string"
-BREAKER_STATE = "failures array<double>, opened double"
+BREAKER_STATE = "failures array<long>, opened long"
 
 
 def breakers(events: DataFrame, tolerated: int, seconds: int, refresh: int, watermark: str = "10 minutes") -> DataFrame:
@@ -25,30 +25,35 @@ def breakers(events: DataFrame, tolerated: int, seconds: int, refresh: int, wate
     A breaker opens when more than tolerated failures lie within the seconds up to one of them, and closes refresh seconds later; failures while it is open do not count.
     """
 
+    window, pause = seconds * 1_000_000, refresh * 1_000_000  # times are whole microseconds
+
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         failures, opened = (list(state.get[0]), state.get[1]) if state.exists else ([], None)
         out = []
+
+        def say(at: int, what: str) -> None:
+            out.append((key[0], pd.Timestamp(at, unit="us"), what))
+
         rows = pd.concat(list(batches)).sort_values("ts") if not state.hasTimedOut else pd.DataFrame({"ts": [], "failed": []})
         for ts, failed in zip(rows["ts"], rows["failed"], strict=True):
-            at = pd.Timestamp(ts).timestamp()
-            if opened is not None and at >= opened + refresh:
-                out.append((key[0], pd.Timestamp(opened + refresh, unit="s"), "ok"))
+            at = pd.Timestamp(ts).value // 1000
+            if opened is not None and at >= opened + pause:
+                say(opened + pause, "ok")
                 opened, failures = None, []
             if failed and opened is None:
-                failures = [f for f in failures if f >= at - seconds][-tolerated:] + [at]
+                failures = [f for f in failures if f >= at - window][-tolerated:] + [at]
                 if len(failures) > tolerated:
                     opened = at
-                    out.append((key[0], pd.Timestamp(at, unit="s"), "blown"))
-        if state.hasTimedOut and opened is not None:
-            out.append((key[0], pd.Timestamp(opened + refresh, unit="s"), "ok"))
-            opened, failures = None, []
-        if state.hasTimedOut and opened is None:
-            state.remove()
+                    say(at, "blown")
+        if state.hasTimedOut:
+            if opened is not None:
+                say(opened + pause, "ok")
+            state.remove()  # nothing in it matters after its time
         else:
             state.update((failures, opened))
-            due = (opened + refresh if opened is not None else (failures[-1] + seconds if failures else None)) if rows is not None else None
-            if due is not None:
-                state.setTimeoutTimestamp(int(max(due * 1000, state.getCurrentWatermarkMs() + 1)))
+            if opened is not None or failures:
+                due = opened + pause if opened is not None else failures[-1] + window
+                state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame(out, columns=["fuse", "ts", "state"])
 
     return events.withWatermark("ts", watermark).groupBy("fuse").applyInPandasWithState(step, BREAKER_OUT, BREAKER_STATE, "append", GroupStateTimeout.EventTimeTimeout)
