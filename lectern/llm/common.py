@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
@@ -30,11 +32,19 @@ def prepare(spark: SparkSession) -> None:
 def checkpointed(df: DataFrame) -> DataFrame:
     """df written to the shared checkpoint folder and read back, so that lost executors cost no recomputation.
 
-    The folder is the session's spark.checkpoint.dir; a folder of our own is set only where the session names none.
+    The folder is the session's spark.checkpoint.dir. A local session that names none gets a temporary one; on a cluster that would be a folder of one
+    machine, so there it is an error.
     """
-    sc = df.sparkSession.sparkContext
+    spark = df.sparkSession
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lectern-checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not (sc.master == "local" or sc.master.startswith("local[")):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+            folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 

@@ -3,7 +3,7 @@
 A document's histogram of character classes and its histogram of common words are held against references by the
 Jensen-Shannon distance (base 2, so from 0 to 1). The references are sums over all documents of at least MIN_WORDS
 words, by language; a document's language is the one whose common words it uses most. A document fails if its nearest
-reference is farther than a limit that falls with the number of words, as short texts scatter more; texts below
+reference, or a blend of them for texts in several languages, is farther than a limit that falls with the number of words, as short texts scatter more; texts below
 MIN_WORDS are never judged by divergence. The limits leave clean prose of every length a margin.
 
 Results: a null or empty text has no words, so it fails the base rules. Rows with equal ids or texts are judged each
@@ -33,7 +33,7 @@ COMMON = {
 MIN_WORDS = 50
 
 #: Limits of the two distances: the first number plus the second over the square root of the number of words.
-CLASS_LIMIT, WORD_LIMIT = (0.11, 1.8), (0.15, 2.1)
+CLASS_LIMIT, WORD_LIMIT = (0.11, 1.8), (0.165, 2.1)
 
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 7
@@ -117,12 +117,21 @@ def references(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[str, tuple[n
     return {lang: (sums[k, :CLASSES], sums[k, CLASSES:]) for k, lang in enumerate(LANGUAGES) if sums[k].sum()}
 
 
+def blended(common: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray]:
+    """The reference of a text in several languages: theirs, weighted by the common words that the text has of each."""
+    langs = list(refs)
+    weights = MEMBER[[LANGUAGES.index(x) for x in langs]] @ common[:-1] + 1e-9
+    weights /= weights.sum()
+    return tuple(sum(w * refs[x][k] / refs[x][k].sum() for w, x in zip(weights, langs, strict=True)) for k in (0, 1))
+
+
 def divergent(n: int, classes: np.ndarray, common: np.ndarray, refs: dict, min_words: int = MIN_WORDS) -> tuple[bool, float, float]:
     """Whether a text is too far from every reference, and its distances to the nearest ones."""
     if n < min_words or not refs:
         return False, 0.0, 0.0
-    by_class = min(distance(classes, a) for a, _ in refs.values())
-    by_word = min(distance(common, b) for _, b in refs.values())
+    near = [*refs.values(), blended(common, refs)]
+    by_class = min(distance(classes, a) for a, _ in near)
+    by_word = min(distance(common, b) for _, b in near)
     return by_class > CLASS_LIMIT[0] + CLASS_LIMIT[1] / n**0.5 or by_word > WORD_LIMIT[0] + WORD_LIMIT[1] / n**0.5, by_class, by_word
 
 

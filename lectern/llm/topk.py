@@ -13,7 +13,8 @@ blocks), and of each pairing k rows a query leave the task.
 
 Results: components become floor(64 * x). Vectors that are null or hold null, NaN or infinite components take no part. Shorter vectors count as
 padded with zeros. Ties go to the smaller vec_id, then arbitrarily among rows with the same id. Components that 32 bits do not hold, and scores that
-64 bits do not hold, are clamped to the range. A query's own row is every row with its id. Rows with a null vec_id take no part.
+64 bits do not hold, are clamped to the range. A query's own row is every row with its id; queries with the same id are
+answered together, by one list of k. Rows with a null vec_id take no part.
 """
 
 from __future__ import annotations
@@ -73,9 +74,9 @@ def pack_blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
 
 
 def gathered(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
-    """Packs dealt anew by id, so that they are full whatever the files were."""
+    """Packs dealt anew by a hash of whole rows, so that they are full whatever the files were, and even if one id has very many rows."""
     parts = -(-vectors.count() // rows) or 1
-    return pack_blocks(vectors.repartition(parts, "vec_id"), rows, dims)
+    return pack_blocks(vectors.repartition(parts, F.xxhash64("vec_id", "embedding")), rows, dims)
 
 
 class ImpactIndex:

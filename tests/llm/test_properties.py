@@ -3,7 +3,6 @@
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
-from tokenizers import Tokenizer
 
 from lectern.llm import bpe, html_text, lm, packing, quality_rules, simhash
 from lectern.llm.queries import BYTE_BPE, WORD_BPE

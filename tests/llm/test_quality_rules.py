@@ -61,3 +61,14 @@ def test_keep_good_keeps_whole_rows(odd_docs):
     assert kept.columns == odd_docs.columns
     want = sorted(str(r.doc_id) for r in qr.apply_rules(odd_docs).filter("kept").collect())
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
+
+
+def test_a_text_in_two_languages_is_near_the_blend_of_both(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    refs = qr.references(docs)
+    clean = docs.join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1 AND toxic = 0"), "doc_id")
+    by = {lang: " ".join(r.text for r in clean.filter(f"lang = '{lang}'").orderBy("doc_id").limit(5).collect()) for lang in ("en", "fr")}
+    mixed = (by["en"][:4000] + " " + by["fr"][:4000]).encode()
+    n, classes, common = qr.histograms(mixed)
+    far, by_class, by_word = qr.divergent(n, classes, common, refs)
+    assert not far and by_word < min(qr.distance(common, b) for _, b in refs.values())
