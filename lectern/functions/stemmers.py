@@ -1,4 +1,4 @@
-"""The published Snowball algorithms for Spanish, French, Swedish, Danish and Norwegian. Words come in lower case."""
+"""The published Snowball algorithms for Spanish, French, Swedish, Danish, Norwegian, Portuguese, Italian and Dutch. Words come in lower case."""
 
 from __future__ import annotations
 
@@ -304,3 +304,222 @@ def norwegian(word: str) -> str:
         word = word[:-1]
     s = _longest(word, "leg eleg ig eig lig elig els lov elov slov hetslov", r1)
     return word[: -len(s)] if s else word
+
+
+# --- Portuguese ---
+
+_PT_VOWELS = "aeiouáéíóúâêô"
+_PT_DELETE = "eza ezas ico ica icos icas ismo ismos ável ível ista istas oso osa osos osas amento amentos imento imentos adora ador aça~o adoras adores aço~es ante antes ância"
+_PT_ALL = f"{_PT_DELETE} logia logias uça~o uço~es ência ências amente mente idade idades iva ivo ivas ivos ira iras"
+_PT_VERB = (
+    "ada ida ia aria eria iria ará ara erá era irá ava asse esse isse aste este iste ei arei erei irei am iam ariam eriam iriam aram eram iram avam em arem erem irem assem essem issem ado ido ando "
+    "endo indo ara~o era~o ira~o ar er ir as adas idas ias arias erias irias arás aras erás eras irás avas es ardes erdes irdes ares eres ires asses esses isses astes estes istes is ais eis íeis "
+    "aríeis eríeis iríeis áreis areis éreis ereis íreis ireis ásseis ésseis ísseis áveis ados idos ámos amos íamos aríamos eríamos iríamos áramos éramos íramos ávamos emos aremos eremos iremos "
+    "ássemos êssemos íssemos imos armos ermos irmos eu iu ou ira iras"
+)
+
+
+def portuguese(word: str) -> str:
+    word = word.replace("ã", "a~").replace("õ", "o~")
+    v = _PT_VOWELS
+    r1, r2 = _regions(word, v)
+    if len(word) < 2:
+        rv = len(word)
+    elif word[1] not in v or word[0] in v:
+        m = re.compile(f"[{v}]" if word[1] not in v else f"[^{v}]").search(word, 2)
+        rv = m.end() if m else len(word)
+    else:
+        rv = min(3, len(word))
+    was = word
+    s = _longest(word, _PT_ALL)
+    if s:
+        at, stem = len(word) - len(s), word[: -len(s)]
+
+        def gone(text: str, *endings: str) -> str:
+            for e in endings:
+                if text.endswith(e):
+                    return text[: -len(e)] if len(text) - len(e) >= r2 else text
+            return text
+
+        if s in ("ira", "iras"):
+            word = stem + "ir" if at >= rv and stem.endswith("e") else word
+        elif s == "amente":
+            if at >= r1:
+                word = stem
+                if word.endswith("iv"):
+                    word = gone(word[:-2], "at") if len(word) - 2 >= r2 else word
+                else:
+                    word = gone(word, "os", "ic", "ad")
+        elif at >= r2:
+            if s in _PT_DELETE.split():
+                word = stem
+            elif s.startswith("logia"):
+                word = stem + "log"
+            elif s.startswith("uç"):
+                word = stem + "u"
+            elif s.startswith("ência"):
+                word = stem + "ente"
+            elif s == "mente":
+                word = gone(stem, "ante", "avel", "ível")
+            elif s.startswith("idade"):
+                word = gone(stem, "abil", "ic", "iv")
+            else:
+                word = gone(stem, "at")
+    if word == was:
+        s = _longest(word, _PT_VERB, rv)
+        word = word[: -len(s)] if s else word
+    if word != was:
+        if word.endswith("ci") and len(word) - 1 >= rv:
+            word = word[:-1]
+    else:
+        s = _longest(word, "os a i o á í ó", rv)
+        word = word[: -len(s)] if s else word
+    if word[-1:] in tuple("eéê") and len(word) - 1 >= rv:
+        word = word[:-1]
+        if word.endswith(("gu", "ci")) and len(word) - 1 >= rv:
+            word = word[:-1]
+    elif word.endswith("ç"):
+        word = word[:-1] + "c"
+    return word.replace("a~", "ã").replace("o~", "õ")
+
+
+# --- Italian ---
+
+_IT_VOWELS = "aeiouàèìòù"
+_IT_PRONOUNS = "ci gli la le li lo mi ne si ti vi sene gliela gliele glieli glielo gliene mela mele meli melo mene tela tele teli telo tene cela cele celi celo cene vela vele veli velo vene"
+_IT_DELETE = "anza anze ico ici ica ice iche ichi ismo ismi abile abili ibile ibili ista iste isti istà istè istì oso osi osa ose mente atrice atrici ante anti"
+_IT_ALL = f"{_IT_DELETE} azione azioni atore atori logia logie uzione uzioni usione usioni enza enze amento amenti imento imenti amente ità ivo ivi iva ive"
+_IT_VERB = (
+    "ammo ando ano are arono asse assero assi assimo ata ate ati ato ava avamo avano avate avi avo emmo enda ende endi endo erà erai eranno ere erebbe erebbero erei eremmo eremo ereste eresti erete "
+    "erò erono essero ete eva evamo evano evate evi evo Yamo iamo immo irà irai iranno ire irebbe irebbero irei iremmo iremo ireste iresti irete irò irono isca iscano isce isci isco iscono issero "
+    "ita ite iti ito iva ivamo ivano ivate ivi ivo ono uta ute uti uto ar ir"
+)
+
+
+def italian(word: str) -> str:
+    v = _IT_VOWELS
+    word = word.translate(str.maketrans("áéíóú", "àèìòù")).replace("qu", "qU")
+    word = re.sub(rf"(?<=[{v}])([ui])(?=[{v}])", lambda m: m[1].upper(), word)
+    r1, r2 = _regions(word, v)
+    if len(word) < 2:
+        rv = len(word)
+    elif word[1] not in v or word[0] in v:
+        m = re.compile(f"[{v}]" if word[1] not in v else f"[^{v}]").search(word, 2)
+        rv = m.end() if m else len(word)
+    else:
+        rv = min(3, len(word))
+    s = _longest(word, _IT_PRONOUNS, rv)
+    if s:
+        stem = word[: -len(s)]
+        if _longest(stem, "ando endo", rv):
+            word = stem
+        elif _longest(stem, "ar er ir", rv):
+            word = stem + "e"
+    was = word
+    s = _longest(word, _IT_ALL)
+    if s:
+        at, stem = len(word) - len(s), word[: -len(s)]
+
+        def gone(text: str, *endings: str) -> str:
+            for e in endings:
+                if text.endswith(e):
+                    return text[: -len(e)] if len(text) - len(e) >= r2 else text
+            return text
+
+        if s == "amente":
+            if at >= r1:
+                word = stem
+                if word.endswith("iv"):
+                    word = gone(word[:-2], "at") if len(word) - 2 >= r2 else word
+                else:
+                    word = gone(word, "os", "ic", "abil")
+        elif s in ("amento", "amenti", "imento", "imenti"):
+            word = stem if at >= rv else word
+        elif at >= r2:
+            if s in _IT_DELETE.split():
+                word = stem
+            elif s.startswith(("azion", "ator")):
+                word = gone(stem, "ic")
+            elif s.startswith("logi"):
+                word = stem + "log"
+            elif s.startswith(("uzion", "usion")):
+                word = stem + "u"
+            elif s.startswith("enz"):
+                word = stem + "ente"
+            elif s == "ità":
+                word = gone(stem, "abil", "ic", "iv")
+            else:
+                cut = gone(stem, "at")
+                word = gone(cut, "ic") if cut != stem else cut
+    if word == was:
+        s = _longest(word, _IT_VERB, rv)
+        word = word[: -len(s)] if s else word
+    if word[-1:] in tuple("aeioàèìò") and len(word) - 1 >= rv:
+        word = word[:-1]
+        if word.endswith("i") and len(word) - 1 >= rv:
+            word = word[:-1]
+    if word.endswith(("ch", "gh")) and len(word) - 2 >= rv:
+        word = word[:-1]
+    return word.lower()
+
+
+# --- Dutch ---
+
+_NL_VOWELS = "aeiouyè"
+_NL_PLAIN = str.maketrans("äëïöüáéíóú", "aeiouaeiou")
+
+
+def dutch(word: str) -> str:
+    v = _NL_VOWELS
+    word = word.translate(_NL_PLAIN)
+    word = re.sub(rf"^y|(?<=[{v}])y", "Y", word)
+    word = re.sub(rf"(?<=[{v}])i(?=[{v}])", "I", word)
+    r1, r2 = _regions(word, v)
+    r1 = max(3, r1)
+
+    def undoubled(text: str) -> str:
+        return text[:-1] if text.endswith(("kk", "dd", "tt")) else text
+
+    def without_en(text: str, ending: str) -> str:
+        stem = text[: -len(ending)]
+        if len(stem) >= r1 and stem and stem[-1] not in v and not stem.endswith("gem"):
+            return undoubled(stem)
+        return text
+
+    def without_e(text: str) -> str:
+        if text.endswith("e") and len(text) - 1 >= r1 and text[-2:-1] and text[-2] not in v:
+            return undoubled(text[:-1])
+        return text
+
+    s = _longest(word, "heden en ene s se")
+    if s == "heden":
+        word = word[:-5] + "heid" if len(word) - 5 >= r1 else word
+    elif s in ("en", "ene"):
+        word = without_en(word, s)
+    elif s:
+        stem = word[: -len(s)]
+        if len(stem) >= r1 and stem and stem[-1] not in v + "j":
+            word = stem
+    before = word
+    word = without_e(word)
+    removed = word != before
+    if word.endswith("heid") and len(word) - 4 >= r2 and word[-5:-4] != "c":
+        word = word[:-4]
+        if word.endswith("en"):
+            word = without_en(word, "en")
+    s = _longest(word, "end ing ig lijk baar bar", r2)
+    if s in ("end", "ing"):
+        word = word[:-3]
+        if word.endswith("ig") and len(word) - 2 >= r2 and word[-3:-2] != "e":
+            word = word[:-2]
+        else:
+            word = undoubled(word)
+    elif s == "ig":
+        word = word[:-2] if word[-3:-2] != "e" else word
+    elif s == "lijk":
+        word = without_e(word[:-4])
+    elif s == "baar" or s == "bar" and removed:
+        word = word[: -len(s)]
+    if re.search(rf"[^{v}](aa|ee|oo|uu)[^{v}I]$", word):
+        word = word[:-2] + word[-1]
+    return word.lower()

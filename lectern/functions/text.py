@@ -160,7 +160,7 @@ def stem_german(word: str) -> str:
 
 
 #: By configuration; one that is missing here only drops stop words.
-STEMMERS = {"english": stem_english, "german": stem_german, "spanish": stemmers.spanish, "french": stemmers.french, "swedish": stemmers.swedish, "danish": stemmers.danish, "norwegian": stemmers.norwegian}
+STEMMERS = {"english": stem_english, "german": stem_german, "spanish": stemmers.spanish, "french": stemmers.french, "swedish": stemmers.swedish, "danish": stemmers.danish, "norwegian": stemmers.norwegian, "portuguese": stemmers.portuguese, "italian": stemmers.italian, "dutch": stemmers.dutch}
 
 _STOP: dict[str, frozenset] = {}
 

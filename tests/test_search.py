@@ -136,6 +136,9 @@ def test_headlines():
         ("french", "continua continu continuait continu continuellement continuel continuité continu contraindre contraindr contradictoire contradictoir majesté majest majestueusement majestu maison maison maître maîtr chevaux cheval nationale national"),
         ("swedish", "jakt jakt jaktkarlarne jaktkarl klo klo klockan klockan klockor klock kloster klost möjligheter möj"),
         ("danish", "indtage indtag undersøgelse undersøg hændelser hænd venlighed ven bestemmelse bestem barnlige barn"),
+        ("portuguese", "boas boas boatos boat quilométricas quilométr quilômetros quilômetr quilombos quilomb quilos quil químicos químic quimioterapia quimioterap"),
+        ("italian", "abbandonata abbandon abbandonare abbandon pronto pront pronunciamento pronunc propaga propag propagare propag"),
+        ("dutch", "lichaamsziek lichaamsziek lichamelijk licham lichamelijkheden licham opgave opgav opgehangen opgehang mogelijkheid mogelijk katten kat"),
         ("norwegian", "havnedistriktene havnedistrikt opning opning opninga opning oppmerksomhet oppmerksom hastighet hast"),
     ],
 )
