@@ -33,7 +33,10 @@ SAMPLE, TERMS, BLOCK, NEAREST = 6000, 4096, 64, 16
 
 #: A term is kept from this log-likelihood ratio on, if at least so many examples of label 1 have it, and if they have it so many
 #: times as often as the others: common words that lean to one side by chance of language or length stay out.
-LEAST_RATIO, LEAST_EXAMPLES, LEAST_LIFT = 20.0, 4, 4.0
+LEAST_RATIO, LEAST_EXAMPLES, LEAST_LIFT = 20.0, 4, 25.0
+
+#: Weight of the prior vote; a neighbour at distance 0 has 20, one that shares little has almost none.
+PRIOR_VOTES = 2.0
 
 SHORTEST, LONGEST = 4, 8
 
@@ -157,7 +160,7 @@ class NearestExamples:
         if not len(at):
             return self.plain, [], 0.0
         vote = cosine / (0.05 + np.maximum(0.0, 1 - cosine))
-        return float((vote @ self.labels[at] + self.prior) / (vote.sum() + 1)), self.ids[at[:3]].tolist(), float(cosine[0])
+        return float((vote @ self.labels[at] + PRIOR_VOTES * self.prior) / (vote.sum() + PRIOR_VOTES)), self.ids[at[:3]].tolist(), float(cosine[0])
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=lambda doc_id: fold(doc_id, 3) != 1, sample: int = SAMPLE) -> bytes | None:
