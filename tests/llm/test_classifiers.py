@@ -61,7 +61,7 @@ def test_block_max_search_is_exact():
     examples = []
     for i in range(1500):
         y = int(i % 3 == 0)
-        words = ["plain%d" % w for w in rng.integers(0, 50, 20)] + ([bad[k] for k in rng.integers(0, 12, rng.integers(1, 6))] if y or i % 10 == 1 else [])
+        words = ["plain%d" % w for w in rng.integers(0, 50, 20)] + ([bad[k] for k in rng.integers(0, 12, rng.integers(1, 6))] if y or i % 100 == 1 else [])
         examples.append((i, " ".join(words), y))
     index = toxicity.NearestExamples(examples)
     assert index.n_blocks > 5 and len(index.term) > 10
