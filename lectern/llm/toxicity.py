@@ -1,16 +1,17 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are whole words and beginnings of words (4 to 8 letters), in lower case; those kept are the ones whose presence in labelled examples goes
-with the label beyond chance (log-likelihood ratio), one for each set of examples, so that a text of unmarked words has the zero vector. Examples with terms
-form a block-max inverted index: each term has its examples in blocks and the greatest weight in each block. A query's
-bound for a block is the sum of its weights times these maxima; blocks are searched by falling bound until no other block can hold one of the k nearest,
-which are exact. Neighbours vote with weights that rise as the distance falls, and a prior vote for the share of label 1 keeps scores
-calibrated; the nearest examples' ids are the evidence. Texts with the zero vector score the share among examples with the zero vector.
-
-Learned from a bounded sample: the SAMPLE labelled rows with the smallest hash of their id, in one task, and at most TERMS terms; the index that is broadcast
-is bounded by the two. Only text is an input of a score; whole texts are read.
-
-Results: a null text counts as empty and has the zero vector. Without labelled rows every score is 0.5. Null labels teach nothing, a row labelled
+Terms are all words of a text, in lower case, weighted by 1 + log of their number and by the smoothed inverse document frequency in the sample; words that no
+example has count in a text's length. Every sampled example of both labels is in the index: each term has its examples in order of place, in blocks.
+Terms of many examples (common ones) also lie in dense columns with the greatest weight in each block. A query's bound for a block is the greatest score there by
+its rarer terms, which is exact, plus the sum of its common weights times these maxima; blocks are searched by falling bound until no other block can hold one of the k
+nearest, which are exact. Neighbours vote with weights that rise as the distance falls. The votes become a score by a logistic curve that is
+learned on the examples, each scored without itself, and weighted to the labels' true shares; the nearest examples' ids are the evidence. Texts that
+share no word with an example score the share of label 1.
+
+Learned from a bounded sample, in one task: of each label the rows with the smallest hash of their id, label 1 first up to half of SAMPLE, so that all
+examples of a rare label are learned. The index that is broadcast is bounded by the sample's words. Only text is an input of a score; whole texts are read.
+
+Results: a null text counts as empty. Without labelled rows every score is 0.5. Null labels teach nothing, a row labelled
 twice teaches twice; equal similarities go to the smaller example id. Other columns are ignored.
 """
 
@@ -19,160 +20,196 @@ from __future__ import annotations
 import math
 import pickle
 import re
-from collections import Counter, defaultdict
+from collections import Counter
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Remembered
 from .common import arrow_schema, fold, labelled, prepare
 
-SAMPLE, TERMS, BLOCK, NEAREST = 6000, 4096, 64, 16
-
-#: A term is kept from this log-likelihood ratio on, if at least so many examples of label 1 have it, and if they have it so many
-#: times as often as the others: common words that lean to one side by chance of language or length stay out.
-LEAST_RATIO, LEAST_EXAMPLES, LEAST_LIFT = 20.0, 4, 25.0
+SAMPLE, BLOCK, NEAREST = 6000, 64, 16
 
-#: Weight of the prior vote; a neighbour at distance 0 has 20, one that shares little has almost none.
-PRIOR_VOTES = 2.0
+#: A term that at least one in so many examples has is common: its weights lie in a dense column.
+COMMON = 8
 
-SHORTEST, LONGEST = 4, 8
+#: So many texts are weighed at once.
+GROUP = 64
 
 _words = re.compile(r"\w+").findall
 
 
-def terms_of(word: str) -> list[str]:
-    """The word itself, marked by an end, and its beginnings."""
-    return [word + "$", *(word[:n] for n in range(SHORTEST, min(LONGEST, len(word)) + 1))]
-
-
-def ratio(a: int, b: int, n1: int, n0: int) -> float:
-    """Log-likelihood ratio of a term in a of n1 examples of label 1 and b of n0 of label 0; 0 if it doesn't favour label 1."""
-    n = n1 + n0
-    if not n1 or not n0 and a == n1 or a * n0 <= b * n1:
-        return 0.0
-    cells = ((a, a + b, n1), (b, a + b, n0), (n1 - a, n - a - b, n1), (n0 - b, n - a - b, n0))
-    return 2 * sum(o * math.log(o * n / (row * col)) for o, row, col in cells if o)
-
-
 class NearestExamples:
-    def __init__(self, examples: list[tuple[int, str, int]], max_terms: int = TERMS):
-        """examples: (id, text, label), in any order."""
+    def __init__(self, examples: list[tuple[int, str, int]], of_labels: tuple[int, int] | None = None):
+        """examples: (id, text, label), in any order; of_labels: the rows of label 0 and of label 1 that they were drawn from, if not all are here."""
         examples = sorted(examples, key=lambda e: (e[0], e[2], e[1]))
-        found = [_words(text.lower()) for _, text, _ in examples]
-        sets = [{t for w in set(words) for t in terms_of(w)} if y else None for words, (_, _, y) in zip(found, examples, strict=True)]
-        with_1 = Counter(t for s in sets if s for t in s)
-        with_1 = {t: n for t, n in with_1.items() if n >= LEAST_EXAMPLES}
-        with_0: Counter = Counter()
-        same: dict[str, int] = dict.fromkeys(with_1, 0)  # by term a fingerprint of the set of examples that have it
-        marks = np.random.default_rng(1).integers(1, 1 << 62, len(examples)).tolist()
-        for words, (_, _, y), mark in zip(found, examples, marks, strict=True):
-            own = {t for w in set(words) for t in terms_of(w) if t in with_1}
-            for t in own:
-                same[t] += mark
-            if not y:
-                with_0.update(own)
-        n1 = sum(y for _, _, y in examples)
-        n0 = len(examples) - n1
-        # of terms with the same examples the shortest speaks for all: it also knows words that no example has
-        speaks = {same[t]: t for t in sorted(with_1, key=lambda t: (-len(t), t))}
-        rated = sorted((-ratio(with_1[t], with_0[t], n1, n0), t) for t in speaks.values())[:max_terms]
-        kept = [t for r, t in rated if -r >= LEAST_RATIO and with_1[t] * n0 >= LEAST_LIFT * with_0[t] * n1]
-        self.term = {t: k for k, t in enumerate(kept)}
-        self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + with_1[t] + with_0[t])) for t in kept])
-        self.starts = {t.rstrip("$")[:SHORTEST] for t in kept}
-        self.known = Remembered(self._terms)
-        rows = [(i, y, v) for (i, _, y), words in zip(examples, found, strict=True) if len((v := self._vector(words))[0])]
+        counts = [Counter(_words(text.lower())) for _, text, _ in examples]
+        having = Counter(w for c in counts for w in c)
+        self.term = {w: k for k, w in enumerate(sorted(having))}
+        self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + having[w])) for w in self.term])
+        self.unknown = 1 + math.log(1 + len(examples))
+        rows = [(i, y, self._weights(c)) for (i, _, y), c in zip(examples, counts, strict=True) if c]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
-        self.prior = (n1 + 1) / (len(examples) + 2)
-        plain_1, plain = n1 - int(self.labels.sum()), len(examples) - len(rows)
-        self.plain = (plain_1 + self.prior) / (plain + 1)
-        postings: dict[int, list] = defaultdict(list)
-        for at, (_, _, (terms, weights)) in enumerate(rows):
-            for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
-                postings[t].append((at, w))
-        #: By term: the blocks it occurs in, its greatest weight in each, and by block the places in it with their weights.
-        self.blocks: dict[int, tuple[np.ndarray, np.ndarray, dict]] = {}
-        for t, pairs in postings.items():
-            at, w = np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])
-            block, first = np.unique(at // BLOCK, return_index=True)
-            ends = np.append(first[1:], len(at))
-            self.blocks[t] = block, np.maximum.reduceat(w, first), {int(k): (at[a:b] % BLOCK, w[a:b]) for k, a, b in zip(block, first, ends, strict=True)}
         self.n_blocks = -(-len(rows) // BLOCK)
-
-    def _terms(self, word: str) -> tuple[int, ...]:
-        """The kept terms that a word has; it is asked only for words that begin like one of them."""
-        return tuple(k for t in terms_of(word) if (k := self.term.get(t)) is not None)
-
-    def _vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Terms and weights of length 1 of a text's words."""
-        known, starts = self.known, self.starts
-        counts: Counter = Counter()
-        for w in [w for w in set(words) if w[:SHORTEST] in starts]:
-            if own := known[w]:
-                n = words.count(w)
-                for k in own:
-                    counts[k] += n
-        if not counts:
-            return np.empty(0, np.int64), np.empty(0)
-        at = np.array(sorted(counts))
-        weight = np.array([1 + math.log(counts[k]) for k in at.tolist()]) * self.idf[at]
-        return at, weight / np.linalg.norm(weight)
+        of = np.concatenate([np.empty(0, np.int64), *(r[2][0] for r in rows)])
+        order = np.argsort(of, kind="stable")
+        #: The postings of term k, in order of place: start[k] to start[k + 1].
+        self.start = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(self.term)))))
+        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2][0]) for r in rows])[order]
+        self.weight = np.concatenate([np.empty(0), *(r[2][1] for r in rows)])[order]
+        self._open()
+        n1 = sum(y for _, _, y in examples)
+        n0, n1 = of_labels or (len(examples) - n1, n1)
+        self.prior = (n1 + 1) / (n0 + n1 + 2)
+        self.reach = max(NEAREST, math.isqrt(len(rows)))
+        self._calibrate([r[2] for r in rows], n0, n1)
+
+    def _open(self) -> None:
+        """The dense columns of common terms and their block maxima; they follow from the postings and do not travel."""
+        common = np.flatnonzero(np.diff(self.start) * COMMON > len(self.ids))
+        self.column = np.full(len(self.term), -1)
+        self.column[common] = np.arange(len(common))
+        self.dense = np.zeros((self.n_blocks, BLOCK, len(common)))
+        for k, t in enumerate(common.tolist()):
+            at = self.at[self.start[t] : self.start[t + 1]]
+            self.dense[at // BLOCK, at % BLOCK, k] = self.weight[self.start[t] : self.start[t + 1]]
+        self.most = self.dense.max(axis=1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k != "known"}
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most")}
 
     def __setstate__(self, state):
         self.__dict__.update(state)
-        self.known = Remembered(self._terms)
+        self._open()
+
+    @property
+    def blocks(self) -> dict[int, tuple[np.ndarray, np.ndarray, dict]]:
+        """By term: the blocks it occurs in, its greatest weight in each, and by block the places in it with their weights. For inspection."""
+        out = {}
+        for t in range(len(self.term)):
+            at, w = (x[self.start[t] : self.start[t + 1]] for x in (self.at, self.weight))
+            block, first = np.unique(at // BLOCK, return_index=True)
+            ends = np.append(first[1:], len(at))
+            out[t] = block, np.maximum.reduceat(w, first), {int(k): (at[a:b] % BLOCK, w[a:b]) for k, a, b in zip(block, first, ends, strict=True)}
+        return out
+
+    def _weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+        """Known terms of a text and their weights; the text's length is 1 with its unknown words."""
+        term, known, n, unknown = self.term, [], [], 0.0
+        for w, c in counts.items():
+            k = term.get(w)
+            if k is None:
+                unknown += (self.unknown * (1 + math.log(c))) ** 2
+            else:
+                known.append(k)
+                n.append(c)
+        at = np.array(known, np.int64)
+        weight = (1 + np.log(np.array(n, float))) * self.idf[at]
+        length = math.sqrt(float(weight @ weight) + unknown)
+        return at, weight / length if length else weight
+
+    def _vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._weights(Counter(words))
+
+    def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int | None = None):
+        """For each vector the places and cosines of its k nearest examples that share a term, in order. With but, vector j is example but + j and leaves itself out."""
+        if not self.n_blocks:
+            yield from ((np.empty(0, np.int64), np.empty(0)) for _ in vectors)
+            return
+        common = np.zeros((len(vectors), self.dense.shape[2]))
+        for row, (terms, weights) in zip(common, vectors, strict=True):
+            column = self.column[terms]
+            row[column[column >= 0]] = weights[column >= 0]
+        bounds, product = common @ self.most.T, None
+        for j, (terms, weights) in enumerate(vectors):
+            rare = self.column[terms] < 0
+            a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
+            n = b - a
+            posting = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else a, n) + np.arange(n.sum())
+            score = np.bincount(self.at[posting], np.repeat(weights[rare], n) * self.weight[posting], self.n_blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+            if but is not None:
+                score[(but + j) // BLOCK, (but + j) % BLOCK] = -np.inf
+            bound = score.max(axis=1) + bounds[j]
+            order = np.argsort(-bound, kind="stable")
+            done = order[: max(8, -(-4 * k // BLOCK))]
+            done = done[bound[done] > 0]
+            for b in done.tolist():
+                score[b] += self.dense[b] @ common[j]
+            if len(done) * BLOCK > k:
+                floor = np.partition(score[done], -k, axis=None)[-k]
+                rest = order[len(done) :]
+                rest = rest[(bound[rest] > 0) & (bound[rest] >= floor - 1e-9)]
+                if len(rest) > 8:  # one product for the group costs less than many small ones
+                    product = common @ self.dense.reshape(-1, common.shape[1]).T if product is None else product
+                    score[rest] += product[j].reshape(-1, BLOCK)[rest]
+                else:
+                    for b in rest.tolist():
+                        score[b] += self.dense[b] @ common[j]
+                done = np.concatenate((done, rest))
+            done.sort()
+            found = score[done].ravel()
+            places = (done[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+            if len(found) > 4 * k:
+                few = found >= np.partition(found, -k)[-k] - 1e-9
+                found, places = found[few], places[few]
+            best = np.lexsort((places, -np.round(found, 12)))[:k]
+            best = best[found[best] > 0]
+            yield places[best], found[best]
 
     def nearest(self, text: str, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, in order."""
-        terms, weights = self._vector(_words(text.lower()))
-        known = [(self.blocks[t], w) for t, w in zip(terms, weights, strict=True) if t in self.blocks]
-        if not known:
-            return np.empty(0, np.int64), np.empty(0)
-        bound = np.zeros(self.n_blocks)
-        for (block, most, _), w in known:
-            bound[block] += w * most
-        places, cosines, floor = np.empty(0, np.int64), np.empty(0), 0.0
-        for b in np.lexsort((np.arange(self.n_blocks), -bound)).tolist():
-            if bound[b] <= 0 or len(places) == k and bound[b] < floor - 1e-12:
-                break
-            score = np.zeros(BLOCK)
-            for (_, _, of), w in known:
-                if b in of:
-                    at, v = of[b]
-                    score[at] += w * v
-            at = np.flatnonzero(score > 0)
-            places, cosines = np.append(places, at + b * BLOCK), np.append(cosines, score[at])
-            best = np.lexsort((places, -np.round(cosines, 12)))[:k]
-            places, cosines = places[best], cosines[best]
-            floor = cosines[-1]
-        return places, cosines
-
-    def score(self, text: str) -> tuple[float, list[int], float]:
-        """The score, the ids of the nearest examples and the cosine of the nearest one."""
-        at, cosine = self.nearest(text)
-        if not len(at):
-            return self.plain, [], 0.0
+        return next(self._nearest([self._vector(_words(text.lower()))], k))
+
+    def _votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
+        """The share of label 1 among neighbours, weighted by nearness: 20 at distance 0, almost nothing if little is shared."""
         vote = cosine / (0.05 + np.maximum(0.0, 1 - cosine))
-        return float((vote @ self.labels[at] + PRIOR_VOTES * self.prior) / (vote.sum() + PRIOR_VOTES)), self.ids[at[:3]].tolist(), float(cosine[0])
+        return float(vote @ self.labels[at] / vote.sum()) if len(at) else self.share
+
+    def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], n0: int, n1: int) -> None:
+        """The logistic curve from votes to the share of label 1 among n0 + n1 rows, by Newton's steps on the examples, each without itself."""
+        y = self.labels
+        self.curve, self.share = None, float(y.mean()) if len(y) else self.prior
+        if not 0 < self.share < 1 or not n0 or not n1:
+            return
+        groups = range(0, len(vectors), GROUP)
+        x = np.array([self._votes(*found) for g in groups for found in self._nearest(vectors[g : g + GROUP], self.reach, g)])
+        weight = np.where(y == 1, n1 / self.share, n0 / (1 - self.share)) / (n0 + n1)
+        middle, spread = x.mean(), x.std() + 1e-9
+        z = np.stack((np.ones(len(x)), (x - middle) / spread), axis=1)
+        b, ridge = np.zeros(2), np.diag([1e-3, 1.0])
+        for _ in range(30):
+            p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+            b += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ b)
+        self.curve = float(b[0] - b[1] * middle / spread), float(b[1] / spread)
+
+    def scores(self, texts: list[str]):
+        """For each text the score, the ids of the nearest examples and the cosine of the nearest one."""
+        for g in range(0, len(texts), GROUP):
+            for at, cosine in self._nearest([self._vector(_words(t.lower())) for t in texts[g : g + GROUP]], self.reach):
+                if not len(at) or self.curve is None:
+                    score = self.prior
+                else:
+                    score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * self._votes(at, cosine)))))
+                yield score, self.ids[at[:3]].tolist(), float(cosine[0]) if len(at) else 0.0
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=lambda doc_id: fold(doc_id, 3) != 1, sample: int = SAMPLE) -> bytes | None:
-    """The index of at most sample labelled rows, built in one task."""
+    """The index of at most sample labelled rows, built in one task: all rows of label 1 up to half of them, or more if label 0 has fewer."""
     prepare(docs.sparkSession)
+    n = dict(labels.filter(F.col(label).isin(0, 1) & usable(F.col("doc_id"))).groupBy(F.col(label).cast("int")).count().collect())
+    n0, n1 = n.get(0, 0), n.get(1, 0)
+    most_1 = min(n1, max(sample // 2, sample - n0))
 
     def run(batches):
         rows = [(i, t or "", y) for batch in batches for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(NearestExamples(rows))])], schema=arrow_schema("index binary"))
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(NearestExamples(rows, (n0, n1)))])], schema=arrow_schema("index binary"))
 
-    found = labelled(docs, labels, label, usable, sample).repartition(1).mapInArrow(run, "index binary").collect()
+    of = [labelled(docs, labels.filter(F.col(label) == y), label, usable, most) for y, most in ((1, most_1), (0, min(n0, sample - most_1))) if most]
+    found = reduce(DataFrame.unionAll, of).repartition(1).mapInArrow(run, "index binary").collect() if of else []
     return bytes(found[0][0]) if found else None
 
 
@@ -186,7 +223,8 @@ def apply_index(docs: DataFrame, index: bytes | None, threshold: float = 0.7) ->
     def run(batches):
         index = pickle.loads(sent.value) if sent.value else None
         for batch in batches:
-            out = [index.score(x or "") if index else (0.5, [], 0.0) for x in batch.column(1).to_pylist()]
+            texts = [x or "" for x in batch.column(1).to_pylist()]
+            out = list(index.scores(texts)) if index else [(0.5, [], 0.0)] * len(texts)
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([o[0] for o in out], pa.float64()), pa.array([int(o[0] >= threshold) for o in out], pa.int32()), pa.array([o[1] for o in out], pa.list_(pa.int64())), pa.array([o[2] for o in out], pa.float64())],
                 ["doc_id", "held_out", "score", "predicted", "nearest", "similarity"],

@@ -1,3 +1,4 @@
+import pickle
 import re
 import zlib
 
@@ -76,3 +77,25 @@ def test_block_max_search_is_exact():
         scores = dense[:, terms] @ weights if len(terms) else np.zeros(len(dense))
         want = [k for k in np.lexsort((np.arange(len(scores)), -np.round(scores, 12)))[: toxicity.NEAREST] if scores[k] > 0]
         assert at.tolist() == want and np.allclose(cosine, scores[want])
+
+
+def test_whole_texts_of_both_labels_are_searched():
+    plain = [(i, f"meadow river stone{i} lantern", 0) for i in range(40)]
+    index = toxicity.NearestExamples([*plain, (90, "a vile remark", 1), (91, "", 1)])
+    assert len(index.ids) == 41 and index.labels.sum() == 1
+    (_, nearest, cosine), (_, rare, _) = index.scores(["Lantern stone7 meadow", "vile"])
+    assert nearest[0] == 7 and 0.5 < cosine < 1 and rare == [90]
+    assert list(index.scores(["nothing shared"])) == [(index.prior, [], 0.0)]
+
+
+def test_words_that_no_example_has_lengthen_a_text():
+    index = toxicity.NearestExamples([(1, "one two", 0), (2, "three four", 1)])
+    assert index.nearest("one two")[1][0] == pytest.approx(1) and index.nearest("one two unheard of")[1][0] < 0.7
+
+
+def test_all_examples_of_a_rare_label_are_learned(spark):
+    docs = spark.createDataFrame([(i, f"text number {i}") for i in range(400)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(400)], "doc_id long, toxic int")
+    index = pickle.loads(toxicity.fit(docs, labels, usable=lambda doc_id: doc_id >= 0, sample=30))
+    assert len(index.ids) == 30 and sorted(index.ids[index.labels == 1].tolist()) == list(range(0, 400, 40))
+    assert index.prior == pytest.approx(11 / 402)
