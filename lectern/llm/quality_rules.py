@@ -1,9 +1,11 @@
 """Quality rules: counted measures of a text, and its divergence from references of its languages.
 
 A document's histogram of character classes and its histogram of common words are held against references by the
-Jensen-Shannon distance (base 2, so from 0 to 1). The references are sums over all documents of at least MIN_WORDS
-words, by language; a document's language is the one whose common words it uses most. A document fails if its nearest
-reference, or a blend of them for texts in several languages, is farther than a limit that falls with the number of words, as short texts scatter more; texts below
+Jensen-Shannon distance (base 2, so from 0 to 1). The references are sums of shares over all documents of at least MIN_WORDS
+words that the base rules keep and that use common words, by language; a document's language is the one whose common words it uses most, and each document
+counts alike. A document fails if its nearest
+reference, or a blend of them for texts in several languages, is farther in either distance than a limit that falls with the number of words, as short texts scatter more; both
+distances are to the same reference, the one whose worse distance is the least part of its limit. Texts below
 MIN_WORDS are never judged by divergence. The limits leave clean prose of every length a margin.
 
 Results: a null or empty text has no words, so it fails the base rules. Rows with equal ids or texts are judged each
@@ -35,6 +37,9 @@ MIN_WORDS = 50
 #: Limits of the two distances: the first number plus the second over the square root of the number of words.
 CLASS_LIMIT, WORD_LIMIT = (0.11, 1.8), (0.165, 2.1)
 
+#: Parts of a document's shares in a reference.
+UNITS = 1 << 24
+
 SYMBOLS = b"#*$%&|<>"
 CLASSES = 7
 
@@ -94,8 +99,17 @@ def measures(raw: bytes, n_points: int) -> tuple[int, int, int, int, int]:
     return n, n_points - spaces, len(raw) - len(raw.translate(None, SYMBOLS)), len(lines) - len(set(lines)), repeats
 
 
-def references(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[str, tuple[np.ndarray, np.ndarray]]:
-    """By language: summed histograms over all documents of enough words. What reaches the driver is one small histogram a language."""
+def base_failed(n: int, repeat: int) -> bool:
+    """Whether a text of n words, repeat of them in repeated windows, fails the rules that need no reference."""
+    return n < 50 or 100 * repeat > 50 * n
+
+
+def references(docs: DataFrame, min_words: int = MIN_WORDS, clean: bool = False) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+    """By language: summed histograms over all documents of enough words. What reaches the driver is one small histogram a language.
+
+    If clean, texts that fail the base rules or have no common word stay out, and each of the others adds its shares, in whole units of
+    1 / UNITS so that sums don't depend on order. Else each adds its counts.
+    """
     prepare(docs.sparkSession)
     width = CLASSES + len(VOCABULARY) + 1
 
@@ -103,9 +117,14 @@ def references(docs: DataFrame, min_words: int = MIN_WORDS) -> dict[str, tuple[n
         sums = np.zeros((len(LANGUAGES), width))
         for batch in batches:
             for text in batch.column(0).to_pylist():
-                n, classes, common = histograms((text or "").encode())
+                raw = (text or "").encode()
+                n, classes, common = histograms(raw)
                 if n >= min_words:
                     hits = MEMBER @ common[:-1]
+                    if clean:
+                        if not hits.any() or base_failed(n, measures(raw, 0)[4]):
+                            continue
+                        classes, common = (np.round(x / x.sum() * UNITS) for x in (classes, common))
                     sums[int(hits.argmax())] += np.concatenate((classes, common))
         k, at = np.nonzero(sums)
         yield pa.RecordBatch.from_pydict({"lang": k, "bin": at, "n": sums[k, at].astype(np.int64)}, schema=arrow_schema("lang int, bin int, n long"))
@@ -126,13 +145,13 @@ def blended(common: np.ndarray, refs: dict) -> tuple[np.ndarray, np.ndarray]:
 
 
 def divergent(n: int, classes: np.ndarray, common: np.ndarray, refs: dict, min_words: int = MIN_WORDS) -> tuple[bool, float, float]:
-    """Whether a text is too far from every reference, and its distances to the nearest ones."""
+    """Whether a text is too far from every reference, and its distances to the nearest one."""
     if n < min_words or not refs:
         return False, 0.0, 0.0
     near = [*refs.values(), blended(common, refs)]
-    by_class = min(distance(classes, a) for a, _ in near)
-    by_word = min(distance(common, b) for _, b in near)
-    return by_class > CLASS_LIMIT[0] + CLASS_LIMIT[1] / n**0.5 or by_word > WORD_LIMIT[0] + WORD_LIMIT[1] / n**0.5, by_class, by_word
+    class_limit, word_limit = (a + b / n**0.5 for a, b in (CLASS_LIMIT, WORD_LIMIT))
+    by_class, by_word = min(((distance(classes, a), distance(common, b)) for a, b in near), key=lambda d: max(d[0] / class_limit, d[1] / word_limit))
+    return by_class > class_limit or by_word > word_limit, by_class, by_word
 
 
 RULED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, class_distance double, word_distance double"
@@ -141,7 +160,7 @@ RULED = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines
 def apply_rules(docs: DataFrame, refs: dict | None = None) -> DataFrame:
     """For each document the measures and the verdict; refs are learned from docs themselves if none are given."""
     prepare(docs.sparkSession)
-    refs = references(docs) if refs is None else refs
+    refs = references(docs, clean=True) if refs is None else refs
 
     def run(batches):
         schema = arrow_schema(RULED)
@@ -150,7 +169,7 @@ def apply_rules(docs: DataFrame, refs: dict | None = None) -> DataFrame:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 raw = (text or "").encode()
                 n, chars, symbols, dup, repeat = measures(raw, len(text or ""))
-                failed = n < 50 or 100 * repeat > 50 * n
+                failed = base_failed(n, repeat)
                 far, by_class, by_word = divergent(*histograms(raw), refs)
                 out.append((doc_id, n, chars, symbols, dup, repeat, failed, not failed and not far, by_class, by_word))
             yield _batch(out, schema)
@@ -165,7 +184,7 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, in one pass over the rows themselves: all columns travel through, nothing is joined."""
     prepare(docs.sparkSession)
-    refs = references(docs)
+    refs = references(docs, clean=True)
 
     def run(batches):
         for batch in batches:
@@ -173,7 +192,7 @@ def keep_good(docs: DataFrame) -> DataFrame:
             for text in batch.column("text").to_pylist():
                 raw = (text or "").encode()
                 n, _, _, _, repeat = measures(raw, 0)
-                verdicts.append(n >= 50 and 100 * repeat <= 50 * n and not divergent(*histograms(raw), refs)[0])
+                verdicts.append(not base_failed(n, repeat) and not divergent(*histograms(raw), refs)[0])
             yield batch.filter(pa.array(verdicts, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -72,3 +72,24 @@ def test_a_text_in_two_languages_is_near_the_blend_of_both(spark):
     n, classes, common = qr.histograms(mixed)
     far, by_class, by_word = qr.divergent(n, classes, common, refs)
     assert not far and by_word < min(qr.distance(common, b) for _, b in refs.values())
+
+
+def test_junk_and_long_texts_do_not_rule_a_reference(spark):
+    prose = " ".join(f"der {w}{k} die und {w}b{k} nicht x{k}" for k, w in enumerate("haus baum weg tal see".split() * 4))
+    junk = " ".join(f"|{k}" for k in range(3000))
+    repeated = "der die das " * 4000
+    both = " ".join(f"{w}{k} und" for k in range(4000) for w in "ABC")
+    clean = qr.references(spark.createDataFrame([(prose,)], "text string"), clean=True)
+    refs = qr.references(spark.createDataFrame([(prose,), (junk,), (repeated,)], "text string"), clean=True)
+    assert list(refs) == ["de"] and all(np.array_equal(a, b) for a, b in zip(refs["de"], clean["de"], strict=True))
+    long = qr.references(spark.createDataFrame([(prose,), (both,)], "text string"), clean=True)["de"][0]
+    assert long.sum() == pytest.approx(2 * clean["de"][0].sum(), rel=1e-5)
+    judged = qr.apply_rules(spark.createDataFrame([(1, prose), (2, junk)], "doc_id long, text string")).collect()
+    assert {r.doc_id: r.kept for r in judged} == {1: True, 2: False}
+
+
+def test_both_distances_are_to_the_same_reference():
+    classes, common = np.eye(qr.CLASSES), np.eye(len(qr.VOCABULARY) + 1)
+    refs = {"de": (classes[0], common[0]), "en": (classes[1], common[-1])}
+    far, by_class, by_word = qr.divergent(10000, classes[0], common[-1], refs)
+    assert far and max(by_class, by_word) > 0.5
