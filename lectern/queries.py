@@ -354,7 +354,7 @@ def _(s, d):
 
 
 query("lang_cross", "WITH t AS (" + TEMPLATES + ") SELECT l.lang, t.domain, count(*) AS n FROM t CROSS JOIN (SELECT DISTINCT lang FROM documents) l GROUP BY ALL")(
-    lambda s, d: (lambda t: s.sql(TEMPLATES.replace("documents", "{t}"), t=t).crossJoin(F.broadcast(t.select("lang").distinct().limit(100))).groupBy("lang", "domain").agg(F.count("*").alias("n")))(w.table(s, d, "documents"))
+    lambda s, d: (lambda t: s.sql(TEMPLATES.replace("documents", "{t}"), t=t).crossJoin(F.broadcast(t.select("lang").distinct())).groupBy("lang", "domain").agg(F.count("*").alias("n")))(w.table(s, d, "documents"))
 )
 query("missing_by_lang_domain", f"SELECT lang, domain, count(*) AS n FROM ({MISSING}) GROUP BY ROLLUP (lang, domain)")(lambda s, d: ops.missing_counts(QUERIES["missing_translation_anti"](s, d)))
 query("translation_completeness", f"SELECT lang, count(*) AS n FROM ({MISSING}) GROUP BY 1")(lambda s, d: QUERIES["missing_translation_anti"](s, d).groupBy("lang").agg(F.count("*").alias("n")))

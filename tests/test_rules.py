@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lectern import schema
 from lectern.functions import labels, markdown, resilience, sanitizing, validation
 from lectern.operators import corpus, lifecycle, rag
-from lectern.queries import C
+from lectern.queries import QUERIES, C
 
 
 def one(spark, column, **values):
@@ -127,3 +127,10 @@ def test_ids_sort_by_time(spark):
     got = [r.u for r in df.collect()]
     assert got == sorted(got) and len(set(got)) == 50 and all(x[14] == "7" and x[19] in "89ab" and len(x) == 36 for x in got)
     assert markdown.message("%{count} file", {"count": 3}, "%{count} files") == "3 files" and markdown.message("%{a} %{b}", {"a": 1}) == "1 %{b}"
+
+
+def test_lang_cross_takes_every_language(spark, tmp_path):
+    docs = spark.range(130).selectExpr("id AS doc_id", "'l' || id AS lang", "'src' || id % 2 AS source")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = QUERIES["lang_cross"](spark, str(tmp_path)).collect()
+    assert len({r.lang for r in got}) == 130 and len(got) == 260
