@@ -1,8 +1,9 @@
 """Text of web pages as a reader sees it.
 
 A tree builder reads the markup: raw-text elements, void elements, end tags that other tags imply (paragraphs, list items, table
-rows and cells, options, definition terms), unknown or stray end tags. Visibility rules drop what is not shown: head, scripts, styles,
-templates, comments, and elements that are hidden by attribute or inline style. Layout rules emit the rest: blocks on lines of their
+rows and cells, options, definition terms), unknown or stray end tags. Text and tags that no head may have end an open head. Visibility rules drop what is not shown: head, scripts, styles,
+templates, comments, frames and media, choices of data lists, descriptions and definitions of drawings, annotations of formulas, and elements that are hidden by attribute
+or inline style. Labels of drawings, formulas and the fallback of objects are shown. Layout rules emit the rest: blocks on lines of their
 own with their spacing, items with bullets or numbers and indentation, preformatted text as it is, and table cells aligned in columns.
 
 Nothing recurses, so depth is bounded by memory alone, and time is linear in the page but for tables, which pad. Results: a null or empty page has
@@ -23,11 +24,15 @@ from .common import arrow_schema, prepare
 # Element names of HTML, by the role they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe object svg math audio video canvas datalist noembed noframes".split())
+HIDDEN = frozenset("head script style title template noscript iframe audio video canvas datalist noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir xmp".split())
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li optgroup option summary tbody td tfoot th thead tr".split()) | {"hr"}
 LISTS = frozenset("ul ol menu dir".split())
+STAYS_IN_HEAD = frozenset("html head base basefont bgsound link meta noframes noscript script style template title".split())
+
+#: By a drawing or formula: what inside it is never shown. The title of a drawing is hidden as every title.
+UNSEEN_IN = {"svg": frozenset("desc defs metadata".split()), "math": frozenset("annotation annotation-xml".split())}
 
 #: By a start tag: the open elements it ends, and the elements beyond which it looks no further.
 ENDS = {
@@ -85,6 +90,8 @@ def parse(page: str) -> Node:
 
     def text(raw: str) -> None:
         if raw:
+            if stack[-1].tag == "head" and _blank.sub("", raw):
+                pop_to(len(stack) - 1)
             stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
 
     def pop_to(depth: int) -> None:
@@ -116,6 +123,8 @@ def parse(page: str) -> Node:
             elif open_tags.get(tag):
                 for k in range(len(stack) - 1, 0, -1):
                     if stack[k].tag == tag:
+                        if tag == "text" and open_tags.get("svg"):
+                            stack[k].children.append(" ")
                         pop_to(k)
                         break
                     if stack[k].tag in ("table", "td", "th") and tag not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
@@ -127,9 +136,12 @@ def parse(page: str) -> Node:
             ends(*ENDS[tag])
         if tag in CLOSES_P and open_tags.get("p"):
             ends({"p"}, SCOPES)
-        elif open_tags.get("head") and tag not in HIDDEN and tag not in ("meta", "link", "base") and tag in BLOCK:
-            ends({"head"}, {"html"})
-        node = Node(tag, attributes)
+        if stack[-1].tag == "head" and tag not in STAYS_IN_HEAD:
+            pop_to(len(stack) - 1)
+        foreign = [x for x in UNSEEN_IN if open_tags.get(x)]
+        node = Node(tag, attributes + " hidden" if any(tag in UNSEEN_IN[x] for x in foreign) else attributes)
+        if tag == "text" and "svg" in foreign:
+            node.children.append(" ")  # labels stand apart
         stack[-1].children.append(node)
         if tag in VOID:
             continue
@@ -140,7 +152,7 @@ def parse(page: str) -> Node:
             if tag in ("textarea", "xmp"):
                 node.children.append(html.unescape(body) if tag == "textarea" else body)
             continue
-        if attributes.endswith("/") and tag in ("path", "circle", "rect", "use", "g"):
+        if attributes.endswith("/") and (foreign or tag in UNSEEN_IN or tag in ("path", "circle", "rect", "use", "g")):
             continue
         stack.append(node)
         open_tags[tag] = open_tags.get(tag, 0) + 1

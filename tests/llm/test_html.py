@@ -50,3 +50,16 @@ def test_query(spark):
     pages = spark.createDataFrame([(1, None, "u"), (None, "<p>a<p>b", "u"), (1, "<p>a<p>b", "u")], "page_id long, html string, text string")
     assert sorted((str(r.page_id), r.text, r.n_lines) for r in html_text.extract(pages).collect()) == [("1", "", 0), ("1", "a\n\nb", 3), ("None", "a\n\nb", 3)]
     assert html_text.extract(pages.limit(0)).collect() == []
+
+
+def test_formulas_labels_and_fallbacks_are_shown():
+    assert html_text.visible_text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn><annotation>x=1</annotation></math>.</p>") == "so x=1."
+    assert html_text.visible_text("<svg><title>T</title><desc>D</desc><defs><text>no</text></defs><metadata>M</metadata><text>one</text><text>two</text></svg>after") == "one two after"
+    assert html_text.visible_text("<svg><defs/><text>seen</text></svg>") == "seen" and html_text.visible_text("<desc>seen</desc>") == "seen"
+    assert html_text.visible_text('<object data="a.swf"><param name="a"><p>fallback</p></object>') == "fallback"
+
+
+def test_inline_content_ends_an_open_head():
+    for body in ("text", "<span>text</span>", "<a href=x>text</a>", "<b>text</b>", '<img alt="text">'):
+        assert html_text.visible_text(f"<html><head><meta charset=utf-8> <title>T</title>\n<style>s</style>{body}") == "text"
+    assert html_text.visible_text("<head><noscript><img alt=no><div>no</div></noscript><template>no</template></head><body>yes") == "yes"
