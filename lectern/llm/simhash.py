@@ -90,20 +90,25 @@ def within(fps: np.ndarray, radius: int = RADIUS, block: int = 512) -> np.ndarra
         real[-1] = np.uint64((1 << (n % 64)) - 1)
     for at in range(0, n, block):
         rows = np.arange(at, min(at + block, n))
-        from_word = at // 64  # earlier pairs were seen from the other side
-        shape = (len(rows), width - from_word)
+        words = np.arange(at // 64, width)  # earlier pairs were seen from the other side
+        shape = (len(rows), len(words))
         low, high, over = (np.zeros(shape, np.uint64) for _ in range(3))
-        over |= ~real[from_word:]
+        over |= ~real[words]
+        own = rows // 64 - at // 64  # nor are the row itself and the ones before it sought
+        over[np.arange(len(words)) < own[:, None]] = ~np.uint64(0)
+        over[np.arange(len(rows)), own] |= ~np.uint64(0) >> (63 - rows % 64).astype(np.uint64)
         for step, k in enumerate(varied):
-            differ = planes[k, from_word:] ^ np.where(bits[rows, k] > 0, ~np.uint64(0), np.uint64(0))[:, None]
+            differ = planes[k, words] ^ np.where(bits[rows, k] > 0, ~np.uint64(0), np.uint64(0))[:, None]
             carry = low & differ
             low ^= differ
             over |= high & carry
             high ^= carry
             if step % 8 == 7 and step + 1 < len(varied):
-                live = (over != ~np.uint64(0)).any(axis=1)
-                if not live.all():
-                    rows, low, high, over = rows[live], low[live], high[live], over[live]
+                left = over != ~np.uint64(0)
+                live, some = left.any(axis=1), left.any(axis=0)
+                if not live.all() or not some.all():
+                    rows, words = rows[live], words[some]
+                    low, high, over = (x[np.ix_(live, some)] for x in (low, high, over))
                     if not len(rows):
                         break
         if radius < 3:
@@ -112,7 +117,7 @@ def within(fps: np.ndarray, radius: int = RADIUS, block: int = 512) -> np.ndarra
             continue
         near = np.unpackbits(np.ascontiguousarray(~over).view(np.uint8), axis=1, bitorder="little")
         i, j = np.nonzero(near)
-        label = _joined(label, rows[i], j + from_word * 64)
+        label = _joined(label, rows[i], words[j // 64] * 64 + j % 64)
     return label
 
 

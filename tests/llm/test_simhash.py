@@ -87,3 +87,13 @@ def test_keep_one_keeps_whole_rows(odd_docs, send):
     of = components(slow_fingerprint(r.text) for r in rows)
     assert kept.count() == len({of[slow_fingerprint(r.text)] for r in rows})
     assert {0} <= {r.doc_id for r in kept.collect()}
+
+
+def test_rows_and_words_beyond_the_radius_are_abandoned(monkeypatch):
+    fps = np.random.default_rng(5).integers(0, 1 << 63, 700).astype(np.uint64)
+    fps[690] = fps[3] ^ np.uint64(5)
+    joined = []
+    monkeypatch.setattr(simhash, "_joined", lambda label, i, j: joined.extend(zip(i.tolist(), j.tolist(), strict=True)) or label)
+    simhash.within(fps, 3)
+    assert joined == [(3, 690)]
+    assert len(simhash.within(np.repeat(fps[:1], 130), 3)) == 130 and len(joined) == 1 + 130 * 129 // 2
