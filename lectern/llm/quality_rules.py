@@ -104,12 +104,13 @@ def base_failed(n: int, repeat: int) -> bool:
     return n < 50 or 100 * repeat > 50 * n
 
 
-def references(docs: DataFrame, min_words: int = MIN_WORDS, clean: bool = False) -> dict[str, tuple[np.ndarray, np.ndarray]]:
+def references(docs: DataFrame, min_words: int = MIN_WORDS, clean: bool | None = None) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """By language: summed histograms over all documents of enough words. What reaches the driver is one small histogram a language.
 
     If clean, texts that fail the base rules or have no common word stay out, and each of the others adds its shares, in whole units of
-    1 / UNITS so that sums don't depend on order. Else each adds its counts.
+    1 / UNITS so that sums don't depend on order. Else each adds its counts. By default clean, unless min_words asks for texts that the base rules reject.
     """
+    clean = min_words >= MIN_WORDS if clean is None else clean
     prepare(docs.sparkSession)
     width = CLASSES + len(VOCABULARY) + 1
 
