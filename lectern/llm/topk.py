@@ -1,20 +1,21 @@
 """Exact top-k by integer inner product over an impact-ordered index, score at a time.
 
-Candidates lie in chunks; each chunk is indexed once. For every dimension its vectors are listed by value, so a run of equal value is a
-posting segment, and for a query a segment's impact is the query's component times that value: from the largest impact on,
+Candidates lie in chunks; each chunk is indexed once, and its index is stored with it. For every dimension its vectors are listed by value, so a run of
+equal value is a posting segment, and for a query a segment's impact is the query's component times that value: from the largest impact on,
 a dimension's segments are read from one end of its list. A query processes the segments of all dimensions by descending quantised impact,
 level by level. A vector not yet met in a dimension cannot gain more there than the next impact, so the level bounds every
 score from above. Scores of the most promising vectors, computed exactly, bound the k-th best from below. Processing
-stops only when no vector outside a set of possible members can reach that bound; those members are rescored exactly. The
-chunks' best are merged by query.
+pauses at levels to test whether it may stop, and stops only when few vectors are left that can reach that bound; those are rescored exactly. The
+chunks' best are merged by query. The query's own rows are no candidates from the start.
 
-Queries come in blocks; every block of queries meets every chunk in a task of its own (a stated query set against all rows, in
-blocks), and of each pairing k rows a query leave the task.
+Queries come in blocks; every block of queries meets every chunk in a cell of its own (a stated query set against all rows, in
+blocks), cells are dealt evenly by number, and of each pairing k rows a query leave the task. A chunk travels once for each block; blocks grow with the queries up
+to BLOCK, once there are cells enough for all cores.
 
 Results: components become floor(64 * x). Vectors that are null or hold null, NaN or infinite components take no part. Shorter vectors count as
 padded with zeros. Ties go to the smaller vec_id, then arbitrarily among rows with the same id. Components that 32 bits do not hold, and scores that
 64 bits do not hold, are clamped to the range. A query's own row is every row with its id; queries with the same id are
-answered together, by one list of k. Rows with a null vec_id take no part.
+answered together, by one list of the k best of all their pairs. Rows with a null vec_id take no part.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ from pyspark.sql.window import Window
 
 from .common import arrow_schema, checkpointed, prepare
 
-#: Candidates in a chunk and queries in a block: what one task holds.
-CHUNK, BLOCK = 16384, 512
+#: Candidates in a chunk and queries in a block, at most about so many: what one task holds.
+CHUNK, BLOCK = 16384, 16384
+
+#: Queries in a block at least, and cells for each core that are wanted before blocks grow.
+LEAST_BLOCK, CELLS = 256, 3
+
+#: Tasks over which cells are dealt at most.
+TASKS = 20_000
 
 #: Shares of the largest impact at which processing pauses to test whether it may stop.
 STOPS = (0.5, 0.3, 0.2, 0.12, 0.07, 0.03, -0.03)
@@ -36,8 +43,8 @@ STOPS = (0.5, 0.3, 0.2, 0.12, 0.07, 0.03, -0.03)
 #: What one met dimension adds to a vector's sum, far above any gain; sums stay exact in doubles.
 MET = float(1 << 40)
 
-#: The share of a chunk's vectors that is rescored rather than narrowed further.
-RESCORE = 0.6
+#: Processing stops once no more than this share of a chunk is left to rescore.
+RESCORE = 0.15
 
 FOUND = "query_id long, vec_id long, score long"
 
@@ -49,43 +56,38 @@ def quantised(vectors: list, dims: int) -> np.ndarray:
     return out
 
 
-def pack_blocks(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
-    """(n int, ids binary, data binary): vectors in packs of up to rows, as they lie; nothing is shuffled."""
+PACK = "number long, n int, ids binary, data binary, listed binary"
 
-    def run(batches):
-        schema = arrow_schema("n int, ids binary, data binary")
-        ids: list[int] = []
-        held: list = []
 
-        def flush():
-            return pa.RecordBatch.from_arrays([pa.array([len(ids)], pa.int32()), pa.array([np.array(ids, np.int64).tobytes()]), pa.array([quantised(held, dims).astype(np.int32).tobytes()])], schema=schema)
+def packs(vectors: DataFrame, rows: int, dims: int, indexed: bool) -> tuple[DataFrame, int]:
+    """Vectors in numbered packs of about rows, and how many numbers there are. Rows are dealt in turn, so packs are full whatever the files were, and even if
+    one id has very many rows. An indexed pack carries the order of its vectors in each dimension."""
+    parts = -(-vectors.count() // rows) or 1
+
+    def run(batches):
+        from pyspark import TaskContext
 
+        ids, held = [], []
         for batch in batches:
-            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                ids.append(i)
-                held.append(v)
-                if len(ids) == rows:
-                    yield flush()
-                    ids, held = [], []
+            ids.append(batch.column(0).to_numpy())
+            held.append(quantised(batch.column(1).to_pylist(), dims).astype(np.int32))
         if ids:
-            yield flush()
-
-    return vectors.mapInArrow(run, "n int, ids binary, data binary")
+            data = np.concatenate(held)
+            kind = np.uint16 if len(data) <= 1 << 16 else np.uint32
+            listed = np.argsort(data, axis=0, kind="stable").T.astype(kind).tobytes() if indexed else b""
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()]), pa.array([len(data)], pa.int32()), pa.array([np.concatenate(ids).astype(np.int64).tobytes()]), pa.array([data.tobytes()]), pa.array([listed])], schema=arrow_schema(PACK))
 
-
-def gathered(vectors: DataFrame, rows: int, dims: int) -> DataFrame:
-    """Packs dealt anew by a hash of whole rows, so that they are full whatever the files were, and even if one id has very many rows."""
-    parts = -(-vectors.count() // rows) or 1
-    return pack_blocks(vectors.repartition(parts, F.xxhash64("vec_id", "embedding")), rows, dims)
+    return checkpointed(vectors.repartition(parts).mapInArrow(run, PACK)), parts
 
 
 class ImpactIndex:
     """The posting segments of one chunk of vectors."""
 
-    def __init__(self, ids: np.ndarray, data: np.ndarray):
+    def __init__(self, ids: np.ndarray, data: np.ndarray, listed: np.ndarray | None = None):
+        """listed: by dimension the vectors' places, by ascending value."""
         self.ids, self.data = ids, data.astype(np.int64)
         self.reals = data.astype(np.float64)
-        self.order = np.argsort(self.data, axis=0, kind="stable").T.copy()  # by dimension, ascending value
+        self.order = np.argsort(self.data, axis=0, kind="stable").T.copy() if listed is None else listed.astype(np.int64)
         self.values = np.take_along_axis(self.data, self.order.T, axis=0).T.astype(np.float64)
         self.exact = float(np.abs(self.data).max(initial=0))
 
@@ -100,19 +102,14 @@ class ImpactIndex:
 
     def top(self, query_id: int, q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         """The ids and scores of the k best, in order."""
-        n = len(self.ids)
-        others = self.ids != query_id
-        if n > 4 * k:
-            at = self._possible(q, k + int(n - others.sum()))
-            at = at[others[at]]
-        else:
-            at = np.flatnonzero(others)
+        others = np.flatnonzero(self.ids != query_id)
+        at = self._possible(q, k, others) if len(others) > 4 * k else others
         score = self.scores(at, q)
         best = np.lexsort((self.ids[at], -score))[:k]
         return self.ids[at[best]], score[best]
 
-    def _possible(self, q: np.ndarray, k: int) -> np.ndarray:
-        """Places of all vectors that can be among the k best, ties included.
+    def _possible(self, q: np.ndarray, k: int, others: np.ndarray) -> np.ndarray:
+        """Places of all vectors of others that can be among their k best, ties included; there are more than k others.
 
         At level t every segment of greater impact has been processed: gained holds what each vector got from them and met how
         many dimensions that were. Each other dimension gives at most t, or its best impact if that is less.
@@ -120,12 +117,12 @@ class ImpactIndex:
         n = len(self.ids)
         dims = np.flatnonzero(q)
         if not len(dims) or np.abs(q).sum() * self.exact >= MET / 4:
-            return np.arange(n)  # beyond what is summed without loss here, all are rescored
+            return others  # beyond what is summed without loss here, all are rescored
         weight = q[dims].astype(np.float64)
         first, last = self.values[dims, 0], self.values[dims, -1]
         best = np.where(weight > 0, last, first) * weight
         # a floor to begin with: the k-th best of the first vectors
-        floor = float(np.partition(self.scores(np.arange(min(n, 16 * k)), q), -k)[-k])
+        floor = float(np.partition(self.scores(others[: 16 * k], q), -k)[-k])
         both = np.zeros(n)  # the gains, and MET for each dimension met
         done = np.zeros(len(dims), np.int64)  # postings read of each dimension, from its best end
         for stop in [best.max() * share for share in STOPS] + [-np.inf]:
@@ -151,15 +148,17 @@ class ImpactIndex:
             if stop != -np.inf:
                 open_dims = best > stop
                 upper += (open_dims.sum() - met) * stop + best[~open_dims].sum()
-            lead = np.argpartition(upper, n - k)[n - k :]
+            if len(others) < n:
+                upper = upper[others]
+            lead = others[np.argpartition(upper, len(others) - k)[len(others) - k :]]
             floor = max(floor, float(self.scores(lead, q).min()))
-            possible = np.flatnonzero(upper >= floor - 0.5)
+            possible = others[upper >= floor - 0.5]
             if len(possible) <= max(8 * k, n * RESCORE):  # to rescore them costs less than to process more
                 break
         return possible
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = CHUNK, block: int = BLOCK) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = CHUNK, block: int | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k best other rows of vectors for every row of queries (both vec_id, embedding)."""
     spark = vectors.sparkSession
     prepare(spark)
@@ -167,32 +166,38 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20, chunk: int = CHUN
     vectors, queries = usable(vectors), usable(queries)
     dims = vectors.agg(F.max(F.size("embedding"))).first()[0]
     dims = max(1, dims or 0, queries.agg(F.max(F.size("embedding"))).first()[0] or 0)
-    asked = checkpointed(gathered(queries, block, dims))
-    chunks = checkpointed(gathered(vectors, chunk, dims))
-    # a grid: chunks and blocks get a cell each in their own direction, and meet in the cells of both
-    across, down = max(1, chunks.count()), max(1, asked.count())
-    cell = lambda n: F.pmod(F.xxhash64("ids"), F.lit(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    wide = chunks.select("n", "ids", "data", cell(across).alias("c"), every(down).alias("r"))
-    tall = asked.select(F.col("n").alias("qn"), F.col("ids").alias("qids"), F.col("data").alias("qdata"), every(across).alias("c"), cell(down).alias("r"))
-    pairs = wide.join(tall, ["c", "r"]).select("n", "ids", "data", "qn", "qids", "qdata")
+    chunks, across = packs(vectors, chunk, dims, True)
+    if block is None:
+        wanted = -(-CELLS * spark.sparkContext.defaultParallelism // across)  # blocks that give every core some cells
+        block = min(BLOCK, max(LEAST_BLOCK, -(-queries.count() // wanted)))
+    asked, down = packs(queries, block, dims, False)
+    # a grid: chunk c and block r meet in cell c * down + r; in a cell the chunk comes first
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long")))
+    wide = chunks.select("*", every(down).alias("other")).selectExpr(f"number * {down} + other cell", "0 kind", "n", "ids", "data", "listed")
+    tall = asked.select("*", every(across).alias("other")).selectExpr(f"other * {down} + number cell", "1 kind", "n", "ids", "data", "listed")
+    tasks = min(TASKS, across * down)
+    cells = wide.unionByName(tall).repartitionById(tasks, F.expr(f"cast(cell % {tasks} as int)")).sortWithinPartitions("cell", "kind")
 
     def run(batches):
         schema = arrow_schema(FOUND)
-        seen, index = None, None
+        here, index = None, None
         for batch in batches:
-            for n, ids, data, qn, qids, qdata in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if seen != (ids, data):
-                    seen, index = (ids, data), ImpactIndex(np.frombuffer(ids, np.int64), np.frombuffer(data, np.int32).reshape(n, dims))
-                out_q, out_v, out_s = [], [], []
-                for query_id, q in zip(np.frombuffer(qids, np.int64).tolist(), np.frombuffer(qdata, np.int32).reshape(qn, dims).astype(np.int64), strict=True):
-                    best, score = index.top(query_id, q, k)
-                    out_q.append(np.full(len(best), query_id))
-                    out_v.append(best)
-                    out_s.append(score)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_v, out_s)], schema=schema)
-
-    found = pairs.mapInArrow(run, FOUND)
+            for row in range(batch.num_rows):  # one pack at a time
+                cell, kind, n, ids, data, listed = (c[row].as_py() for c in batch.columns)
+                ids, data = np.frombuffer(ids, np.int64), np.frombuffer(data, np.int32).reshape(n, dims)
+                if kind == 0:
+                    here, index = cell, ImpactIndex(ids, data, np.frombuffer(listed, np.uint16 if n <= 1 << 16 else np.uint32).reshape(dims, n))
+                elif here == cell:
+                    for at in range(0, n, 512):
+                        out_q, out_v, out_s = [], [], []
+                        for query_id, q in zip(ids[at : at + 512].tolist(), data[at : at + 512].astype(np.int64), strict=True):
+                            best, score = index.top(query_id, q, k)
+                            out_q.append(np.full(len(best), query_id))
+                            out_v.append(best)
+                            out_s.append(score)
+                        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(np.int64)) for x in (out_q, out_v, out_s)], schema=schema)
+
+    found = cells.mapInArrow(run, FOUND)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -14,7 +14,7 @@ def slow(rows, k):
     return sorted(out)
 
 
-@pytest.mark.parametrize(("n", "chunk", "block"), [(700, 150, 7), (700, 8192, 1024), (15, 4, 2)])
+@pytest.mark.parametrize(("n", "chunk", "block"), [(700, 150, 7), (700, 8192, 1024), (700, 100, None), (15, 4, 2)])
 def test_query_against_brute_force(spark, n, chunk, block):
     rng = np.random.default_rng(n)
     rows = [(i, [float(x) for x in rng.normal(0, 0.1, 16)]) for i in range(n)]
@@ -38,3 +38,33 @@ def test_repeated_rows_take_part_each_for_itself(spark):
     vectors = spark.createDataFrame([(20, [1.0]), (20, [2.0]), (1, [1.0]), (1, [1.0])], "vec_id long, embedding array<float>")
     rows = topk.top_k(vectors, vectors.filter("vec_id = 1").limit(1), 5).collect()
     assert sorted(r.vec_id for r in rows) == [20, 20]
+
+
+def test_own_rows_are_no_candidates_however_many(spark):
+    rng = np.random.default_rng(5)
+    for own, rest in ((100, 5), (100, 90), (3000, 400), (1, 2000)):
+        ids = np.append(np.full(own, 20), np.arange(100, 100 + rest))
+        data = rng.integers(-9, 9, (own + rest, 6))
+        found, score = topk.ImpactIndex(ids, data).top(20, data[0], 20)
+        right = sorted((-int(x @ data[0]), int(i)) for i, x in zip(ids, data, strict=True) if i != 20)[:20]
+        assert list(zip((-score).tolist(), found.tolist(), strict=True)) == right
+    vectors = spark.createDataFrame([(20, [1.0, 2.0])] * 300 + [(i, [float(i), 1.0]) for i in range(5)], "vec_id long, embedding array<float>")
+    rows = topk.top_k(vectors, vectors.filter("vec_id = 20"), 20).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in rows] == [(k, 4) for k in range(1, 21)]  # 300 queries of one id share a list
+    rows = topk.top_k(vectors, vectors.filter("vec_id = 20").limit(1), 20).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id) for r in rows] == [(1, 4), (2, 3), (3, 2), (4, 1), (5, 0)]
+
+
+def test_few_vectors_are_rescored():
+    rng = np.random.default_rng(6)
+    data = np.floor(64 * rng.normal(0, 0.12, (4000, 64))).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(4000), data)
+    left = [len(index._possible(data[j], 20, np.flatnonzero(np.arange(4000) != j))) for j in range(0, 4000, 100)]
+    assert max(left) <= max(160, 4000 * topk.RESCORE)
+
+
+def test_packs_are_numbered_and_full(spark):
+    vectors = spark.createDataFrame([(7, [1.0])] * 900 + [(i, [2.0]) for i in range(300)], "vec_id long, embedding array<float>").repartition(3)
+    rows, n = topk.packs(vectors, 100, 1, True)
+    found = rows.collect()
+    assert n == 12 and sorted(r.number for r in found) == list(range(12)) and sum(r.n for r in found) == 1200 and max(r.n for r in found) <= 110
