@@ -2,12 +2,14 @@
 
 A tree builder reads the markup: raw-text elements, void elements, end tags that other tags imply (paragraphs, list items, table
 rows and cells, options, definition terms), unknown or stray end tags. Text and tags that no head may have end an open head. Visibility rules drop what is not shown: head, scripts, styles,
-templates, comments, frames and media, choices of data lists, descriptions and definitions of drawings, annotations of formulas, and elements that are hidden by attribute
-or inline style. Labels of drawings, formulas and the fallback of objects are shown. Layout rules emit the rest: blocks on lines of their
-own with their spacing, items with bullets or numbers and indentation, preformatted text as it is, and table cells aligned in columns.
-
-Nothing recurses, so depth is bounded by memory alone, and time is linear in the page but for tables, which pad. Results: a null or empty page has
-the empty text. Rows with equal ids are pages of their own; other columns are ignored.
+templates, comments, frames and media, choices of data lists, descriptions and definitions of drawings, annotations of formulas, and elements that the hidden attribute
+or their inline style's display takes out, with all that is in them; a display that is set shows a hidden element. An inline style's visibility is inherited, and what sets it to visible inside is
+shown. Labels of drawings, formulas and the fallback of objects are shown. Layout rules emit the rest: blocks on lines of their
+own with their spacing, items with bullets or numbers and indentation, preformatted text as it is, and table cells aligned in columns, over spans of columns and rows; a cell of
+several lines, as one that holds a table, takes several. Alignment has bounds (WIDE, LINE, REACHING), so that padding stays in proportion to the cells.
+
+Nothing recurses, so depth is bounded by memory alone, and time is linear in the page but for tables in tables, whose lines are copied once for each level. Results: a null or empty page has
+the empty text. Rows with equal ids are pages of their own; very long pages are read whole; ties do not arise. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -55,7 +57,26 @@ SCOPES = frozenset({"html", "table", "td", "th", "caption", "template", "button"
 _token = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"'=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?|["'])*+)(?:(>)|\Z)|</[^>]*(?:>|\Z)""", re.S)
 _attribute = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _blank = re.compile(r"[ \t\n\r\f]+")
-_unseen = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_declaration = re.compile(r"""\s*([-\w]+)\s*:\s*((?:[^;"'(]++|"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|\([^)]*+(?:\)|\Z))*+)(?:;|\Z)|[^;]*(?:;|\Z)""")
+_remark = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+
+#: Blanks and tabs of preformatted text while lines are built; pages keep no such characters.
+KEPT = str.maketrans({" ": "\0", "\t": "\x01"})
+GIVEN = str.maketrans({"\0": " ", "\x01": "\t"})
+
+#: Columns of a table are widened up to WIDE and begin at LINE at most; so many cells at once reach into rows below. Beyond that cells stand less well aligned, none is lost.
+WIDE, LINE, REACHING = 160, 1000, 256
+
+
+def declared(style: str) -> dict[str, str]:
+    """The properties of an inline style: the last one of a name stands, unless an earlier one is important."""
+    out: dict[str, str] = {}
+    for name, value in _declaration.findall(_remark.sub(" ", style)):
+        name, value = name.lower(), " ".join(value.lower().split())
+        important = value.endswith("important") and "!" in value
+        if name and (important or not out.get(name, "").endswith("!")):
+            out[name] = value.partition("!")[0].strip() + "!" * important
+    return {name: value.rstrip("!") for name, value in out.items()}
 
 
 class Node:
@@ -71,18 +92,26 @@ class Node:
                     return html.unescape(a or b or c)
         return None
 
-    def hidden(self) -> bool:
+    def shown(self) -> tuple[bool, bool | None]:
+        """Whether the element is laid out at all, and whether it is visible (None: as its parent)."""
         if self.tag in HIDDEN:
-            return True
-        a = self.attributes
-        if not a:
-            return False
-        low = a.lower()
-        return "hidden" in low and (self.get("hidden") is not None or self.tag == "input" and self.get("type") == "hidden" or bool(_unseen.search(self.get("style") or ""))) or "none" in low and bool(_unseen.search(self.get("style") or "")) or "collapse" in low and bool(_unseen.search(self.get("style") or ""))
+            return False, None
+        low = self.attributes.lower()
+        if "hidden" not in low and "style" not in low:
+            return True, None
+        style = declared(self.get("style") or "") if "style" in low else {}
+        display = style.get("display")
+        if display == "none" or self.tag == "input" and (self.get("type") or "").lower() == "hidden":
+            return False, None
+        hidden = self.get("hidden") if "hidden" in low else None
+        if hidden is not None and (display in (None, "", "initial", "inherit", "unset", "revert") or hidden.lower() == "until-found"):
+            return False, None
+        return True, {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility", ""))
 
 
 def parse(page: str) -> Node:
     """The tree of a page; text children are unescaped."""
+    page = page.replace("\r\n", "\n").replace("\r", "\n").replace("\0", "").replace("\x01", "")
     root = Node("#root")
     stack = [root]
     open_tags: dict[str, int] = {}
@@ -92,7 +121,7 @@ def parse(page: str) -> Node:
         if raw:
             if stack[-1].tag == "head" and _blank.sub("", raw):
                 pop_to(len(stack) - 1)
-            stack[-1].children.append(html.unescape(raw) if "&" in raw else raw)
+            stack[-1].children.append(html.unescape(raw).translate({0: None, 1: None}) if "&" in raw else raw)
 
     def pop_to(depth: int) -> None:
         while len(stack) > depth:
@@ -139,7 +168,7 @@ def parse(page: str) -> Node:
         if stack[-1].tag == "head" and tag not in STAYS_IN_HEAD:
             pop_to(len(stack) - 1)
         foreign = [x for x in UNSEEN_IN if open_tags.get(x)]
-        node = Node(tag, attributes + " hidden" if any(tag in UNSEEN_IN[x] for x in foreign) else attributes)
+        node = Node(tag, "hidden=until-found" if any(tag in UNSEEN_IN[x] for x in foreign) else attributes)
         if tag == "text" and "svg" in foreign:
             node.children.append(" ")  # labels stand apart
         stack[-1].children.append(node)
@@ -181,12 +210,18 @@ class Flow:
         self.inline.append(raw)
 
     def end_line(self, gap: int = 0) -> None:
-        line = _blank.sub(" ", "".join(self.inline)).strip(" ")
+        line = _blank.sub(" ", "".join(self.inline)).strip(" ").translate(GIVEN)
         self.inline = []
         if line:
             self.put(line)
         self.gap = max(self.gap, gap)
 
+    def end_kept(self) -> None:
+        """Ends a line of preformatted text, also an empty one."""
+        line = "".join(self.inline).translate(GIVEN)
+        self.inline = []
+        self.put(line)
+
     def put(self, line: str) -> None:
         if self.lines and self.gap:
             self.lines.extend([""] * self.gap)
@@ -203,65 +238,96 @@ class Flow:
 
 
 class Grid:
-    """A table's rows; a cell is its text, its span and whether it closes a row."""
+    """A table's rows; a cell is its lines and its spans of columns and rows."""
 
     def __init__(self):
-        self.rows: list[list[tuple[str, int]]] = []
+        self.rows: list[list[tuple[list[str], int, int]]] = []
+
+    def placed(self) -> list[list[tuple[int, int, list[str]]]]:
+        """For each row its own cells, each as the columns it begins and ends before; columns that cells from above reach into are passed over."""
+        below: list[tuple[int, int, int]] = []  # (first column, column after the last, rows still taken), by column
+        out = []
+        for r in self.rows:
+            k, j, row, reach = 0, 0, [], []
+            for lines, across, down in r:
+                while j < len(below) and below[j][0] <= k:
+                    k, j = max(k, below[j][1]), j + 1
+                row.append((k, k + across, lines))
+                if down > 1 and len(below) + len(reach) < REACHING:
+                    reach.append((k, k + across, down))
+                k += across
+            out.append(row)
+            if below or reach:
+                below = sorted((a, b, n - 1) for a, b, n in below + reach if n > 1)
+        return out
 
     def lines(self) -> list[str]:
-        rows = [r for r in self.rows if any(t for t, _ in r)]
-        if not rows:
-            return []
-        widths: list[int] = []
+        rows = [r for r in self.placed() if any(x for _, _, x in r)]
+        column = {c: n for n, c in enumerate(sorted({c for r in rows for a, b, _ in r for c in (a, b)}))}  # only where cells begin or end
+        widths = [0] * len(column)
+        spans = []
         for r in rows:
-            k = 0
-            for text, span in r:
-                widths.extend([0] * (k + span - len(widths)))
-                if span == 1:
-                    widths[k] = max(widths[k], width(text))
-                k += span
-        for r in rows:  # what spans columns widens the last of them
-            k = 0
-            for text, span in r:
-                if span > 1:
-                    lack = width(text) - sum(widths[k : k + span]) - 2 * (span - 1)
-                    widths[k + span - 1] += max(0, lack)
-                k += span
+            for a, b, lines in r:
+                a, b = column[a], column[b]
+                wide = max((w for w in map(width, lines) if w <= WIDE), default=0)
+                if b == a + 1:
+                    widths[a] = max(widths[a], wide)
+                elif wide:
+                    spans.append((a, b, wide))
+        for a, b, wide in spans:  # what spans columns widens the last of them
+            widths[b - 1] += max(0, wide - sum(widths[a:b]) - 2 * (b - a - 1))
+        starts = [0]
+        for w in widths:
+            starts.append(min(LINE, starts[-1] + w + 2))
         out = []
         for r in rows:
-            parts, k = [], 0
-            for text, span in r:
-                parts.append(text + " " * (sum(widths[k : k + span]) + 2 * (span - 1) - width(text)))
-                k += span
-            out.append("  ".join(parts).rstrip())
+            for n in range(max(len(x) for _, _, x in r)):
+                line, at = [], 0
+                for a, _, lines in r:
+                    if n < len(lines) and lines[n]:
+                        gap = max(2 if at else 0, starts[column[a]] - at)
+                        line += (" " * gap, lines[n])
+                        at += gap + width(lines[n])
+                out.append("".join(line).rstrip())
         return out
 
 
+def number(raw: str | None, least: int, most: int) -> int:
+    """A span as an attribute gives it; 1 if it gives none."""
+    return min(most, max(least, int(raw))) if raw and raw.strip().isdecimal() and len(raw) < 8 else 1
+
+
 def render(root: Node) -> str:
     flows, grids, counters = [Flow()], [], []
     pre = 0
-    todo: list = [(root, False)]
+    todo: list = [(root, False, True)]
     while todo:
-        node, leaving = todo.pop()
+        node, leaving, visible = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if not visible:
+                continue
             if pre:
-                parts = node.split("\n")
-                flow.write(parts[0].replace(" ", "\xa0"))
-                for part in parts[1:]:
-                    line = "".join(flow.inline).replace("\xa0", " ")
-                    flow.inline = []
-                    flow.put(line)
-                    flow.write(part.replace(" ", "\xa0"))
+                parts = node.translate(KEPT).split("\n")
+                for part in parts[:-1]:
+                    flow.write(part)
+                    flow.end_kept()
+                flow.write(parts[-1])
             else:
                 flow.write(node)
             continue
         tag = node.tag
         if not leaving:
-            if node.hidden():
+            laid_out, own = node.shown()
+            if not laid_out:
+                continue
+            visible = visible if own is None else own
+            if tag in ("hr", "img", "input") and not visible:
                 continue
             if tag == "br":
-                if not _blank.sub("", "".join(flow.inline)):
+                if pre:
+                    flow.end_kept()
+                elif not _blank.sub("", "".join(flow.inline)):
                     flow.inline = []
                     if flow.lines:
                         flow.gap = max(flow.gap, 1)
@@ -273,10 +339,10 @@ def render(root: Node) -> str:
                 flow.put("---")
                 continue
             if tag == "img":
-                flow.write(node.get("alt") or "")
+                flow.write((node.get("alt") or "").translate({0: None, 1: None}))
                 continue
             if tag == "input":
-                flow.write(node.get("value") or "" if (node.get("type") or "text") not in ("hidden", "password", "checkbox", "radio", "file") else "")
+                flow.write((node.get("value") or "").translate({0: None, 1: None}) if (node.get("type") or "text").lower() not in ("hidden", "password", "checkbox", "radio", "file") else "")
                 continue
             if tag in ("td", "th") and grids:
                 flows.append(Flow())
@@ -301,15 +367,17 @@ def render(root: Node) -> str:
                     flow.prefix.append("    " if tag == "dd" else "> ")
                 elif tag in ("pre", "xmp"):
                     pre += 1
-            todo.append((node, True))
-            todo.extend((c, False) for c in reversed(node.children))
+                    if node.children and isinstance(node.children[0], str):
+                        node.children[0] = node.children[0].removeprefix("\n")
+            todo.append((node, True, visible))
+            todo.extend((c, False, visible) for c in reversed(node.children))
             continue
         if tag in ("td", "th") and grids and len(flows) > 1:
-            cell = " ".join(x.strip() for x in flows.pop().text().split("\n") if x.strip())
-            span = node.get("colspan") if node.attributes else None
+            lines = [x for x in flows.pop().text().split("\n") if x.strip()]
             if not grids[-1].rows:
                 grids[-1].rows.append([])
-            grids[-1].rows[-1].append((cell, min(1000, max(1, int(span))) if span and span.isdecimal() and len(span) < 6 else 1))
+            spans = (number(node.get("colspan"), 1, 1000), number(node.get("rowspan"), 0, 65534) or 65534) if "span" in node.attributes.lower() else (1, 1)
+            grids[-1].rows[-1].append((lines, *spans))
         elif tag == "table":
             flow.end_line()
             for line in grids.pop().lines():
@@ -318,10 +386,8 @@ def render(root: Node) -> str:
         elif tag in BLOCK and not (tag == "tr" and grids):
             if pre and tag in ("pre", "xmp"):
                 pre -= 1
-                line = "".join(flow.inline).replace("\xa0", " ")
-                flow.inline = []
-                if line:
-                    flow.put(line)
+                if flow.inline and any(flow.inline):
+                    flow.end_kept()
             flow.end_line(1 if tag in SPACED and not (tag in LISTS and len(counters) > 1) else 0)
             if tag in LISTS and counters:
                 counters.pop()

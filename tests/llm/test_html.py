@@ -35,6 +35,20 @@ from lectern.llm import html_text
         ("<img alt='pic'>", "pic"),
         ("x<a href=", "x"),
         ("1 < 2 > 1", "1 < 2 > 1"),
+        ("<p style='backface-visibility:hidden'>a</p><p style='--display:none'>b</p>", "a\n\nb"),
+        ("<p style='content: \"display:none\"; background:url(a;display:none)'>a</p>", "a"),
+        ("<div style='visibility:hidden'>a<b style='visibility: visible'>b</b>c<i style='visibility:inherit'>d</i></div>e", "b\ne"),
+        ("<div style='display:none'>a<b style='visibility:visible;display:block'>b</b></div>c", "c"),
+        ("<p hidden style='display:block'>a</p><p style='display:block;display:none'>b</p><p style='display:block!important;display:none'>c</p>", "a\n\nc"),
+        ("<p style='display/**/:none'>a</p><p style='/* display:none */'>b</p>", "b"),
+        ("<table><tr><td rowspan=2>k<td>1<tr><td>2</table>", "k  1\n   2"),
+        ("<table><tr><td>a<td rowspan=2 colspan=2>b<td>c<tr><td>d<td>e</table>", "a  b  c\nd     e"),
+        ("<table><tr><td rowspan=0>k<td>1<tr><td>2<tr><td>3</table>", "k  1\n   2\n   3"),
+        ("<table><tr><td>n<td><table><tr><td>a<td>b<tr><td>cc<td>d</table><tr><td>mm<td>z</table>", "n   a   b\n    cc  d\nmm  z"),
+        ("<table><tr><td><p>one<p>two<td>x</table>", "one  x\ntwo"),
+        ("<pre>a&nbsp;b  c\t<b>d  e</b></pre>", "a\xa0b  c\td  e"),
+        ("<pre>\nfirst\r\n\r\nthird</pre>x", "first\n\nthird\n\nx"),
+        ("<pre>a  b<div>c  d</div></pre>", "a  b\nc  d"),
     ],
 )
 def test_text(page, text):
@@ -42,7 +56,7 @@ def test_text(page, text):
 
 
 def test_deep_and_broken_pages_take_little_time():
-    for page in ("<div>" * 50_000 + "x", "<p><b>" * 30_000, '<a "' * 20_000, "</" * 40_000, "<ul><li>" * 2000 + "z", "<table><tr><td>" * 2000 + "q", "<td>" * 3000):
+    for page in ("<div>" * 50_000 + "x", "<p><b>" * 30_000, '<a "' * 20_000, "</" * 40_000, "<ul><li>" * 2000 + "z", "<table><tr><td>" * 2000 + "q", "<td>" * 3000, "<table>" + "<tr><td rowspan=65534>x" * 20_000, "<table>" + "<tr><td colspan=1000>x<td>y" * 20_000, "<table><tr>" + "<td colspan=1000>x" * 20_000, "<p style='" + "a:b;" * 50_000 + "'>", "<p style='" + "(\"" * 50_000 + "'>"):
         html_text.visible_text(page)
 
 
