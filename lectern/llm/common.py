@@ -8,7 +8,9 @@ import shutil
 import tempfile
 from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,3 +89,29 @@ def arrow_schema(ddl: str) -> pa.Schema:
     """The Arrow schema of a plain DDL string; nothing here nests."""
     kinds = {"long": pa.int64(), "int": pa.int32(), "double": pa.float64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary()}
     return pa.schema([(name, kinds[kind]) for name, kind in (x.split() for x in ddl.split(","))])
+
+
+def planes(a: np.ndarray) -> bytes:
+    """Numbers as compressed planes of bytes."""
+    if not len(a):
+        return b""
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), -1).T).tobytes())
+
+
+def numbers(data: bytes, dtype) -> np.ndarray:
+    """The numbers that planes has packed."""
+    size = np.dtype(dtype).itemsize
+    if not data:
+        return np.empty(0, dtype)
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    return np.ascontiguousarray(raw.reshape(size, -1).T).view(dtype).reshape(-1)
+
+
+def steps(ascending: np.ndarray) -> bytes:
+    """Ascending unsigned 64-bit numbers, packed as their differences."""
+    return planes(np.diff(ascending, prepend=np.uint64(0)))
+
+
+def climbed(data: bytes) -> np.ndarray:
+    """The numbers that steps has packed."""
+    return np.cumsum(numbers(data, np.uint64), dtype=np.uint64)

@@ -1,17 +1,19 @@
 """Removal of lines that many documents share.
 
-1. Every task folds the key hashes of its documents' lines into two Bloom filters, seen once and seen twice or more; each filter
-   is cut into segments that travel compressed, and one row of a segment is merged from the partial rows of all tasks: what is in two
-   tasks' filters is seen twice, so there are no false negatives. Their size follows the number of lines up to MAX_BITS.
-2. A second pass asks the twice-seen filter; only lines it knows, the suspected repeats, leave their task, as
-   (key, number of documents) pairs summed within the task. Their exact sums decide; a false positive of the filter or
-   a full filter costs traffic, never a wrong result.
-3. The keys found in enough documents are removed. If their exact total size is below a bound they reach every task as
-   a set; beyond it they stay distributed: each document's suspected keys meet them in a join that is salted against hot keys.
+1. Every task sends the 64-bit hashes of its documents' line keys, each once for some rows with the number of documents, to the segment of the hash; segments are ranges
+   of hashes and their number follows the number of lines, so none grows with the data. A segment folds what it gets into two Bloom filters, seen once and
+   seen twice or more, which it sizes by what it holds. There are no false negatives: what comes again is known to the first filter and enters the second one.
+   Only hashes that the second one knows are counted; those in enough documents are suspected. A false positive costs a counter, never a wrong result.
+2. Lines whose hash is suspected, and no others, leave their tasks whole, as (key, hash, documents, first row) summed within the task. Their exact sums by key
+   decide, and show which hashes several keys share.
+3. The lines of keys found in enough documents go, all of them or (keep_first) all but the first line of the first row that has the key. Suspected hashes reach every task while they are few
+   by a bound on their exact size. Beyond it no task gets them all: each segment answers for each run of rows which of its hashes are suspected, and rows and answers meet by the
+   run's number. A line in very many documents is one hash in each run, so it makes no task hot.
 
 A row is a document. A key is a line stripped of ASCII white space at both ends with A-Z in lower case. Results: a null or
 empty text is one empty line; empty keys (shorter than min_chars) are never removed; a key counts once for each document, however
-often the document repeats it. Rows with equal ids count as documents of their own. Other columns pass or are ignored.
+often the document repeats it. Rows with equal ids count as documents of their own; the first row is the first as rows lie in docs, so ties do not arise. Very long texts are
+split whole; what a task holds back is bounded by bytes, not by texts. An empty table stays empty. Other columns pass or are ignored.
 """
 
 from __future__ import annotations
@@ -19,24 +21,27 @@ from __future__ import annotations
 import hashlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ASCII_SPACE, arrow_schema, checkpointed, fresh, prepare
+from .common import ASCII_SPACE, arrow_schema, checkpointed, climbed, fresh, numbers, planes, prepare, steps
 
-#: Bits of a filter: eight for a line, between these bounds; the upper one is 32 MB, what any task can hold.
-MIN_BITS, MAX_BITS, SEGMENTS = 1 << 18, 1 << 28, 256
+#: Lines of a segment, about; segments at least.
+SEGMENT, LEAST_SEGMENTS = 1 << 22, 16
 
-#: Keys to remove are sent to every task while their exact total size is below this.
+#: Hashes that a task holds before it sends them, bytes of keys likewise.
+HELD, HELD_BYTES = 1 << 21, 32 << 20
+
+#: Suspected hashes are sent to every task while their exact total size is below this.
 SEND_BYTES = 16 << 20
 
-#: Copies of each removed key in the join, among which the documents of a hot key are spread.
-SALTS = 16
+#: A run has two to the power of this many rows.
+RUN = 10
 
 
 def keys_of(raw: bytes, min_chars: int) -> list[bytes | None]:
@@ -47,186 +52,260 @@ def keys_of(raw: bytes, min_chars: int) -> list[bytes | None]:
     return [k if len(k) >= min_chars and len(k.decode()) >= min_chars else None for k in found]
 
 
-def places(keys, bits: int) -> np.ndarray:
-    """Two filter positions for each key, in the same segment: an array of shape (2, number of keys)."""
-    h = np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
-    span = np.uint64(bits // SEGMENTS)
-    base = (h >> np.uint64(56)) * span
-    return np.stack((base + (h & np.uint64(0xFFFFFFF)) % span, base + ((h >> np.uint64(28)) & np.uint64(0xFFFFFFF)) % span))
+def hashes_of(keys: list[bytes | None], seed: int = 0, bits: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The places of the lines that have a key, and the keys' hashes; only tests want fewer than 64 bits."""
+    at = np.array([k for k, x in enumerate(keys) if x is not None], np.int64)
+    h = np.fromiter(map(partial(xxhash.xxh3_64_intdigest, seed=seed), (x for x in keys if x is not None)), np.uint64, len(at))
+    return at, h & np.uint64((1 << 64) - (1 << (64 - bits)))
 
 
-def _packed(bits: np.ndarray) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(bits.tobytes())
+def line_count(docs: DataFrame) -> int:
+    text = F.coalesce("text", F.lit(""))
+    return docs.select((F.length(text) - F.length(F.translate(text, "\n", "")) + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
 
 
-def _merge(once: np.ndarray, twice: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Adds the filters a, b to once, twice."""
-    twice |= b
-    twice |= once & a
-    once |= a
+PARCEL = "segment int, run long, hashes binary, documents binary"
 
 
-def repeat_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
-    """The twice-seen filter of all keys, as bytes of packed bits."""
+def parcels(docs: DataFrame, place: str | None, segments: int, min_chars: int, seed: int, bits: int) -> DataFrame:
+    """The distinct hashes of some rows and in how many of these each is, by segment. With place, the rows are of one run."""
 
-    def partial(batches):
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+    def run(batches):
+        schema = arrow_schema(PARCEL)
+        held, n, here = [], 0, None
 
-        def add(keys):
-            """Folds a batch of keys, each given once for each document, into the filters: rows are sums, not sets."""
-            key_list = list(keys)
-            both = places(key_list, bits)
-            order = np.argsort(both[0], kind="stable")
-            both = both[:, order]
-            again = np.array([keys[key_list[i]] > 1 for i in order], bool)
-            known = _get(once, both[0]) & _get(once, both[1])
-            same = np.zeros(len(order), bool)  # two keys of one batch at the same first place count as repeats too
-            same[1:] = both[0][1:] == both[0][:-1]
-            for row in both:
-                _set(twice, row[known | again | same])
-            same[:-1] |= same[1:]
-            for row in both:
-                _set(twice, row[same])
-                _set(once, row)
+        def flush():
+            h, documents = np.unique(np.concatenate(held), return_counts=True)
+            ends = np.searchsorted((h >> np.uint64(32)) * np.uint64(segments) >> np.uint64(32), np.arange(segments + 1, dtype=np.uint64))
+            some = np.flatnonzero(np.diff(ends)).tolist()
+            cols = [some, [here] * len(some), [steps(h[ends[s] : ends[s + 1]]) for s in some], [planes(documents[ends[s] : ends[s + 1]].astype(np.uint32)) for s in some]]
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, schema.types, strict=True)], schema=schema)
 
-        pending: Counter = Counter()
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                pending.update({k for k in keys_of((text or "").encode(), min_chars) if k is not None})
-            if len(pending) > 100_000:
-                add(pending)
-                pending = Counter()
-        if pending:
-            add(pending)
-        span = bits // 8 // SEGMENTS
-        out = [(s, _packed(a), _packed(twice[s * span : (s + 1) * span])) for s in range(SEGMENTS) if (a := once[s * span : (s + 1) * span]).any()]
-        schema = arrow_schema("segment int, once binary, twice binary")
-        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in out], t) for k, t in enumerate(schema.types)], schema=schema)
-
-    def merged(key: tuple[pa.Scalar, ...], parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        span = bits // 8 // SEGMENTS
-        once, twice = np.zeros(span, np.uint8), np.zeros(span, np.uint8)
-        unpack = zstandard.ZstdDecompressor().decompress
-        for batch in parts:
-            for a, b in zip(batch.column("once").to_pylist(), batch.column("twice").to_pylist(), strict=True):
-                _merge(once, twice, np.frombuffer(unpack(a), np.uint8), np.frombuffer(unpack(b), np.uint8))
-        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([_packed(twice)], pa.binary())], ["segment", "twice"])
-
-    rows = docs.select("text").mapInArrow(partial, "segment int, once binary, twice binary").groupBy("segment").applyInArrow(merged, "segment int, twice binary").collect()
-    whole = np.zeros((SEGMENTS, bits // 8 // SEGMENTS), np.uint8)
-    for segment, data in rows:
-        whole[segment] = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    return whole.reshape(-1)
+            for row, text in zip(batch.column(1).to_pylist() if place else [None] * batch.num_rows, batch.column(0).to_pylist(), strict=True):
+                now = None if row is None else row >> RUN
+                if n >= HELD or n and now != here:
+                    yield flush()
+                    held, n = [], 0
+                here = now
+                _, h = hashes_of(keys_of((text or "").encode(), min_chars), seed, bits)
+                if len(h):
+                    held.append(np.unique(h) if len(h) > 1 else h)
+                    n += len(held[-1])
+        if n:
+            yield flush()
+
+    return docs.select("text", *([place] if place else [])).mapInArrow(run, PARCEL)
+
+
+def places(h: np.ndarray, bits: int) -> np.ndarray:
+    """Two filter positions for each hash: an array of shape (2, number of hashes). High bits choose the segment, low ones the position."""
+    return np.stack((h, (h * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(20))) & np.uint64(bits - 1)
 
 
 def _get(bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
+    return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8) & 1).astype(bool).all(axis=0)
 
 
 def _set(bits: np.ndarray, at: np.ndarray) -> None:
-    np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(1, at & np.uint64(7)).astype(np.uint8))
+    np.bitwise_or.at(bits, at.reshape(-1) >> np.uint64(3), np.left_shift(1, at.reshape(-1) & np.uint64(7)).astype(np.uint8))
 
 
-class Suspects:
-    """The twice-seen filter as tasks ask it."""
+class Segment:
+    """The parcels of one segment and its two filters."""
 
-    def __init__(self, packed: bytes, bits: int):
-        self.twice, self.bits = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8), bits
+    def __init__(self, held: list[tuple[int | None, bytes, bytes]], bits: int | None = None):
+        self.held = held
+        total = sum(len(numbers(documents, np.uint32)) for _, _, documents in held)
+        self.bits = bits or 1 << max(13, (8 * total - 1).bit_length())
+        self.once, self.twice = np.zeros(self.bits // 8, np.uint8), np.zeros(self.bits // 8, np.uint8)
+        for _, h, documents in self.parcels():
+            at = places(h, self.bits)
+            _set(self.twice, at[:, _get(self.once, at) | (documents > 1)])
+            _set(self.once, at)  # the hashes of a parcel are distinct
 
-    def __call__(self, keys: list[bytes]) -> np.ndarray:
-        a, b = places(keys, self.bits)
-        return _get(self.twice, a) & _get(self.twice, b)
+    def parcels(self) -> Iterator[tuple[int | None, np.ndarray, np.ndarray]]:
+        for run, h, documents in self.held:
+            yield run, climbed(h), numbers(documents, np.uint32)
 
+    def suspected(self, min_docs: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hashes in at least min_docs documents, ascending, and their numbers of documents."""
+        h, n, waiting = np.empty(0, np.uint64), np.empty(0, np.int64), []
 
-def filter_bits(docs: DataFrame) -> int:
-    """Eight bits for each line of docs, as a power of two within the bounds."""
-    n = docs.select((F.length(F.coalesce("text", F.lit(""))) - F.length(F.translate(F.coalesce("text", F.lit("")), "\n", "")) + 1).alias("n")).agg(F.sum("n")).first()[0] or 0
-    return min(MAX_BITS, max(MIN_BITS, 1 << max(0, 8 * n - 1).bit_length()))
+        def summed():
+            every = np.concatenate((h, *(x for x, _ in waiting)))
+            keys, of = np.unique(every, return_inverse=True)
+            return keys, np.bincount(of, np.concatenate((n, *(x for _, x in waiting))), len(keys)).astype(np.int64)
 
+        for _, x, documents in self.parcels():
+            again = np.ones(len(x), bool) if min_docs < 2 else _get(self.twice, places(x, self.bits))
+            waiting.append((x[again], documents[again]))
+            if sum(len(x) for x, _ in waiting) > HELD:
+                (h, n), waiting = summed(), []
+        h, n = summed()
+        return h[n >= min_docs], n[n >= min_docs]
 
-def frequent_keys(docs: DataFrame, min_docs: int, min_chars: int) -> tuple[DataFrame, object, int]:
-    """(key binary, n long) of the keys in at least min_docs documents, and the filter they were suspected by."""
-    spark = docs.sparkSession
-    bits = filter_bits(docs)
-    sent = spark.sparkContext.broadcast(_packed(repeat_filter(docs, bits, min_chars)))
 
-    def suspected(batches):
-        schema = arrow_schema("key binary, n long")
-        known = Suspects(sent.value, bits)
+def suspected_hashes(sent: DataFrame, min_docs: int) -> DataFrame:
+    """(h long, n long): the suspected hashes, as signed numbers, and their numbers of documents."""
 
-        def flush(counts):
-            keys = list(counts)
-            kept = [k for k, x in zip(keys, known(keys), strict=True) if x] if keys else []
-            return pa.RecordBatch.from_arrays([pa.array(kept, pa.binary()), pa.array([counts[k] for k in kept], pa.int64())], schema=schema)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        h, n = Segment([x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("run", "hashes", "documents")), strict=True)]).suspected(min_docs)
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
-        counts: Counter = Counter()
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                counts.update({k for k in keys_of((text or "").encode(), min_chars) if k is not None})
-            if len(counts) > 200_000:
-                yield flush(counts)
-                counts = Counter()
-        yield flush(counts)
+    return sent.groupBy("segment").applyInArrow(run, "h long, n long")
 
-    sums = docs.select("text").mapInArrow(suspected, "key binary, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= min_docs)
-    return checkpointed(sums), sent, bits
 
+def answers(sent: DataFrame, min_docs: int) -> DataFrame:
+    """(run long, hashes binary): of each run the suspected hashes, by segment."""
 
-def strip_lines(raw: bytes, keys: list, gone) -> tuple[int, bytes]:
-    """The number of lines whose key is in gone, and the other lines joined."""
-    if not any(k in gone for k in keys):
-        return 0, raw
-    kept = [line for line, k in zip(raw.split(b"\n"), keys, strict=True) if k not in gone]
-    return len(keys) - len(kept), b"\n".join(kept)
+    def run(key: tuple[pa.Scalar, ...], batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        segment = Segment([x for b in batches for x in zip(*(b.column(c).to_pylist() for c in ("run", "hashes", "documents")), strict=True)])
+        known, _ = segment.suspected(min_docs)
+        for of, h, _ in segment.parcels():
+            h = h[among(h, known)]
+            if len(h):
+                yield pa.RecordBatch.from_arrays([pa.array([of], pa.int64()), pa.array([steps(h)], pa.binary())], ["run", "hashes"])
 
+    return sent.groupBy("segment").applyInArrow(run, "run long, hashes binary")
 
-def remove_lines(docs: DataFrame, keep, schema: str | object, min_docs: int = 10, min_chars: int = 1, send_bytes: int = SEND_BYTES) -> DataFrame:
-    """Applies keep(batch, texts, counts) to docs, where texts are the remaining texts and counts (lines, dropped lines).
 
-    docs must be stable if there are too many keys to send: a row is then found again by its place among docs.
-    """
-    prepare(docs.sparkSession)
-    keys, sent, bits = frequent_keys(docs, min_docs, min_chars)
-    total = keys.agg(F.coalesce(F.sum(F.length("key") + 64), F.lit(0))).first()[0]
-    if total <= send_bytes:
-        gone = docs.sparkSession.sparkContext.broadcast(frozenset(bytes(r[0]) for r in keys.select("key").collect()))
+def among(h: np.ndarray, ascending: np.ndarray) -> np.ndarray:
+    if not len(ascending):
+        return np.zeros(len(h), bool)
+    at = np.searchsorted(ascending, h)
+    return ascending[np.minimum(at, len(ascending) - 1)] == h
 
-        def run(batches):
-            for batch in batches:
-                yield keep(batch, [(len(ks := keys_of(raw, min_chars)), *strip_lines(raw, ks, gone.value)) for raw in ((x or "").encode() for x in batch.column("text").to_pylist())])
 
-        return docs.mapInArrow(run, schema)
+def marked_rows(numbered: DataFrame, place: str, answered: DataFrame, min_chars: int, seed: int, bits: int) -> DataFrame:
+    """numbered with column marks, the ascending suspected hashes of the row's lines: a run's rows and its answers meet in one task, answers first."""
+    run_no, kind, marks = (fresh(numbered, x) for x in ("run", "kind", "marks"))
+    rows = numbered.withColumn(run_no, F.shiftright(place, RUN)).withColumn(kind, F.lit(1)).withColumn(marks, F.lit(None).cast("binary"))
+    asked = answered.select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in numbered.schema), F.col("run").alias(run_no), F.lit(0).alias(kind), F.col("hashes").alias(marks))
+    schema = rows.drop(run_no, kind).schema
 
-    columns = docs.columns
-    place, gone_at = fresh(docs, "place"), fresh(docs, "gone")
-    numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id()))
+    def mark(batches):
+        here, known, new = None, np.empty(0, np.uint64), []
+        for batch in batches:
+            names = batch.schema.names
+            kinds, runs, given, texts = (batch.column(names.index(c)).to_pylist() for c in (kind, run_no, marks, "text"))
+            out, kept = [], []
+            for k in range(batch.num_rows):
+                if runs[k] != here:
+                    here, known, new = runs[k], np.empty(0, np.uint64), []
+                if kinds[k] == 0:
+                    new.append(climbed(given[k]))
+                    continue
+                if new:
+                    known, new = np.sort(np.concatenate(new)), []
+                h = np.unique(hashes_of(keys_of((texts[k] or "").encode(), min_chars), seed, bits)[1])
+                out.append(h[among(h, known)].tobytes())
+                kept.append(k)
+            batch = batch.take(pa.array(kept, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*(batch.column(names.index(f)) for f in schema.names[:-1]), pa.array(out, pa.binary())], names=schema.names)
+
+    return rows.unionByName(asked).repartition(F.col(run_no)).sortWithinPartitions(run_no, kind).mapInArrow(mark, schema)
+
+
+def suspects(rows: DataFrame, place: str | None, marks: str | None, sent, min_chars: int, seed: int, bits: int) -> DataFrame:
+    """(key, h, n, first): the lines whose hash is suspected, with the number of documents and the first row. rows is (text, place, marks) as far as given."""
+    ddl = "key binary, h long, n long, first long"
+
+    def run(batches):
+        schema = arrow_schema(ddl)
+        n: Counter = Counter()
+        of: dict = {}
+        size = 0
+
+        def flush():
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(([k for k in n], [of[k][0] for k in n], list(n.values()), [of[k][1] for k in n]), schema.types, strict=True)], schema=schema)
 
-    def ask(batches):
-        out_schema, known = arrow_schema("key binary, row long, salt int"), Suspects(sent.value, bits)
         for batch in batches:
-            k_out, r_out = [], []
-            for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = list({k for k in keys_of((text or "").encode(), min_chars) if k is not None})
-                if own:
-                    hit = [k for k, x in zip(own, known(own), strict=True) if x]
-                    k_out += hit
-                    r_out += [row] * len(hit)
-            yield pa.RecordBatch.from_arrays([pa.array(k_out, pa.binary()), pa.array(r_out, pa.int64()), pa.array([r % SALTS for r in r_out], pa.int32())], schema=out_schema)
-
-    asked = numbered.select(place, "text").mapInArrow(ask, "key binary, row long, salt int")
-    salted = keys.select("key", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    found = asked.join(salted, ["key", "salt"]).groupBy(F.col("row").alias(place)).agg(F.collect_list("key").alias(gone_at))
+            columns = {c: batch.column(c).to_pylist() for c in batch.schema.names}
+            for k, text in enumerate(columns["text"]):
+                known = np.frombuffer(columns[marks][k] or b"", np.uint64) if marks else sent.value
+                if not len(known):
+                    continue
+                keys = keys_of((text or "").encode(), min_chars)
+                at, h = hashes_of(keys, seed, bits)
+                hit = among(h, known)
+                for key, x in {keys[a]: x for a, x in zip(at[hit].tolist(), h[hit].view(np.int64).tolist(), strict=True)}.items():
+                    if key not in of:
+                        of[key] = (x, columns[place][k] if place else 0)
+                        size += len(key) + 200
+                    n[key] += 1
+                if size > HELD_BYTES:
+                    yield flush()
+                    n, of, size = Counter(), {}, 0
+        yield flush()
+
+    chosen = rows.select("text", *(c for c in (place, marks) if c))
+    return chosen.mapInArrow(run, ddl).groupBy("key", "h").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+
+
+def remove_lines(docs: DataFrame, keep, schema: str | object, min_docs: int = 10, min_chars: int = 1, keep_first: bool = False, send_bytes: int = SEND_BYTES, seed: int = 0, bits: int = 64) -> DataFrame:
+    """Applies keep(batch, texts) to docs, where texts are (lines, dropped lines, what stays) of each row."""
+    prepare(docs.sparkSession)
+    columns = docs.columns
+    place, first = fresh(docs, "place"), fresh(docs, "first")
+    segments = max(LEAST_SEGMENTS, -(-line_count(docs) // SEGMENT))
+    numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id())) if keep_first else None
+    found = checkpointed(suspected_hashes(parcels(docs if numbered is None else numbered, None, segments, min_chars, seed, bits), min_docs))
+    few = found.count() * (16 if keep_first else 8) <= send_bytes
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    if few:
+        marks, rows = None, docs if numbered is None else numbered
+        sent = broadcast(np.sort(np.array([r.h for r in found.select("h").collect()], np.int64).view(np.uint64)))
+    else:
+        numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id())) if numbered is None else numbered
+        sent, marks = None, fresh(numbered, "marks")
+        rows = checkpointed(marked_rows(numbered, place, answers(parcels(numbered, place, segments, min_chars, seed, bits), min_docs), min_chars, seed, bits))
+
+    exact = checkpointed(suspects(rows, place if keep_first else None, marks, sent, min_chars, seed, bits))
+    shared = exact.join(exact.groupBy("h").count().filter("count > 1").select("h"), "h")
+    if shared.agg(F.coalesce(F.sum(F.length("key") + 100), F.lit(0))).first()[0] > max(send_bytes, SEND_BYTES):
+        return remove_lines(docs, keep, schema, min_docs, min_chars, keep_first, send_bytes, seed + 1, bits)  # hashes of another seed fall together elsewhere
+    shared = [(r.h, bytes(r.key), r.n, r.first) for r in shared.collect()]
+    #: Keys whose hash is not theirs alone: whether they go is known by key.
+    doubtful = broadcast((np.unique(np.array([r[0] for r in shared], np.int64).view(np.uint64)), frozenset(r[1] for r in shared if r[2] >= min_docs)))
+    at_first = None
+    if keep_first:
+        stay = exact.filter(F.col("n") >= min_docs).select("first", "key")
+        stay = checkpointed(stay.groupBy(F.col("first").alias(place)).agg(F.collect_list("key").alias(first)))
+        rows = rows.join(stay, place, "left")
+        at_first = first
 
     def strip(batches):
+        mixed, gone = doubtful.value
         for batch in batches:
+            names = batch.schema.names
             texts = []
-            for text, own in zip(batch.column("text").to_pylist(), batch.column(gone_at).to_pylist(), strict=True):
+            own_marks = batch.column(names.index(marks)).to_pylist() if marks else None
+            own_first = batch.column(names.index(at_first)).to_pylist() if at_first else None
+            for k, text in enumerate(batch.column(names.index("text")).to_pylist()):
                 raw = (text or "").encode()
-                ks = keys_of(raw, min_chars)
-                texts.append((len(ks), *strip_lines(raw, ks, frozenset(own or ()))))
+                keys = keys_of(raw, min_chars)
+                at, h = hashes_of(keys, seed, bits)
+                hit = among(h, np.frombuffer(own_marks[k] or b"", np.uint64) if marks else sent.value)
+                drop = at[hit].tolist()
+                if drop and len(mixed):
+                    drop = [a for a, m in zip(drop, among(h[hit], mixed).tolist(), strict=True) if not m or keys[a] in gone]
+                if drop and own_first and own_first[k]:
+                    left = set(map(bytes, own_first[k]))
+                    once = []
+                    for a in drop:
+                        if keys[a] in left:
+                            left.discard(keys[a])
+                        else:
+                            once.append(a)
+                    drop = once
+                if drop:
+                    out = frozenset(drop)
+                    raw = b"\n".join(line for a, line in enumerate(raw.split(b"\n")) if a not in out)
+                texts.append((len(keys), len(drop), raw))
             yield keep(batch.select(columns), texts)
 
-    return numbered.join(found, place, "left").select(*columns, gone_at).mapInArrow(strip, schema)
+    return rows.mapInArrow(strip, schema)
 
 
 DIGEST = "doc_id long, n_lines long, n_dropped long, kept_sha256 string"

@@ -35,21 +35,48 @@ def test_longer_keys_and_fewer_documents(spark):
     assert got == slow(rows, 3, 3)
 
 
-def test_a_full_filter_only_costs_traffic(spark, odd_docs, monkeypatch):
-    monkeypatch.setattr(ld, "filter_bits", lambda docs: 1 << 11)
-    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.line_digests(odd_docs).collect())
-    assert got == slow([(r.doc_id, r.text) for r in odd_docs.collect()])
+@pytest.mark.parametrize("send", [ld.SEND_BYTES, -1])
+def test_hashes_that_keys_share_only_cost_traffic(spark, odd_docs, send):
+    rows = [(r.doc_id, r.text) for r in odd_docs.collect()] + [(1000 + k, f"a {k % 30}\nb {k}\nc {k % 7}") for k in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.line_digests(docs, bits=6, send_bytes=send).collect())
+    assert got == slow(rows)
+
+
+def segment(lines_of_parcels, bits=None):
+    held = []
+    for lines in lines_of_parcels:
+        h, n = np.unique(ld.hashes_of(lines)[1], return_counts=True)
+        held.append((0, ld.steps(h), ld.planes(n.astype(np.uint32))))
+    return ld.Segment(held, bits)
 
 
-def test_the_filter_has_no_false_negatives(spark):
-    rows = [(k, f"line {k % 500}\nonly {k}") for k in range(1000)]
+@pytest.mark.parametrize("bits", [None, 1 << 6])
+def test_filters_have_no_false_negatives_and_counts_are_exact(bits):
+    parcels = [[b"line %d" % k for k in range(500)], [b"only %d" % k for k in range(1000)], [b"line %d" % k for k in range(250)], [b"twice", b"twice"]]
+    found = segment(parcels, bits)
+    h, n = found.suspected(2)
+    assert dict(zip(h.tolist(), n.tolist(), strict=True)) == {ld.hashes_of([x])[1].item(): 2 for x in [b"line %d" % k for k in range(250)] + [b"twice"]}
+    again = ld._get(found.twice, ld.places(ld.hashes_of([b"only %d" % k for k in range(1000)])[1], found.bits))
+    assert again.mean() < 0.05 if bits is None else again.all()
+
+
+def test_segments_follow_the_lines(spark, monkeypatch):
+    monkeypatch.setattr(ld, "SEGMENT", 20)
+    monkeypatch.setattr(ld, "LEAST_SEGMENTS", 1)
+    rows = [(k, f"line {k % 50}\nonly {k}") for k in range(1000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
-    bits = 1 << 18
-    twice = ld.repeat_filter(docs, bits, 1)
-    asked = ld.Suspects(ld._packed(twice), bits)
-    assert asked([b"line %d" % k for k in range(500)]).all()
-    assert asked([b"only %d" % k for k in range(1000)]).mean() < 0.05
-    assert twice.dtype == np.uint8
+    assert -(-ld.line_count(docs) // ld.SEGMENT) == 100
+    for send in (ld.SEND_BYTES, -1):
+        assert sorted((str(r.doc_id), r.n_lines, r.n_dropped, r.kept_sha256) for r in ld.line_digests(docs, send_bytes=send).collect()) == slow(rows)
+
+
+@pytest.mark.parametrize("send", [ld.SEND_BYTES, -1])
+def test_first_occurrences_may_stay(spark, send):
+    rows = [(k, f"Shared\nown {k}\nshared \nodd {k % 2}") for k in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    got = {r.doc_id: r.text for r in ld.without_shared_lines(docs, keep_first=True, send_bytes=send).collect()}
+    assert got == {k: "Shared\nown 0\nodd 0" if k == 0 else "own 1\nodd 1" if k == 1 else f"own {k}" for k in range(40)}
 
 
 @pytest.mark.parametrize("send", [ld.SEND_BYTES, -1])
