@@ -8,7 +8,7 @@ would leave the two side by side. Back-pointers from the end then give the ids.
 for one very long pre-token.
 
 Results: a null text counts as empty (no tokens, hashes of the empty string). Rows with equal ids or texts are
-encoded independently, one result row for each input row; other columns are ignored.
+encoded independently, one result row for each input row; very long texts and pre-tokens are encoded whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ from .common import arrow_schema, prepare
 #: engines; texts that hold one are cut by the tokenizer library's own pre-tokenizer.
 UNSETTLED = re.compile("[^\x00-԰ -⁰₠-₿℀-⯿　-龥가-힣＀-￯]")
 
-#: Pre-tokens that one worker remembers before it forgets the older half.
-REMEMBERED = 800_000
+#: Pre-tokens that one worker remembers before it forgets the older half; longer ones than LONG characters are not remembered, so a memo is bounded in bytes too.
+REMEMBERED, LONG = 800_000, 64
 
 #: Characters on which Python's own regular expressions class differently from the tokenizer's: information separators, numbers
 #: that are no digits, and all beyond the extended Latin letters. Texts without them are cut by the faster engine.
@@ -51,14 +51,17 @@ def byte_letters() -> list[str]:
 class Remembered(dict):
     """A memo of two generations: bounded memory, and what is used often stays."""
 
-    def __init__(self, make, most: int = REMEMBERED):
+    def __init__(self, make, most: int = REMEMBERED, long: int | None = None):
+        """long: the length beyond which a key is not remembered; None if all keys are short."""
         super().__init__()
-        self.make, self.most, self.old = make, most // 2, {}
+        self.make, self.most, self.old, self.long = make, most // 2, {}, long
 
     def __missing__(self, key):
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
+            if self.long is not None and len(key) > self.long:
+                return value
         if len(self) >= self.most:
             self.old = dict(self)
             self.clear()
@@ -98,7 +101,7 @@ class PrefixBPE:
         self.plain_pieces = re.compile(public_tokenizers.PATTERN.replace(r"\p{L}+", r"[^\W\d_]+").replace(r"\p{N}+", r"\d+").replace(r"[^\s\p{L}\p{N}]+", r"(?:[^\s\w]|_)+")).findall
         self.path = path
         self.fits = Remembered(self._fits, 1_000_000)
-        self.ids_of = Remembered(lambda piece: self.encode_bytes(piece.encode()))
+        self.ids_of = Remembered(lambda piece: self.encode_bytes(piece.encode()), long=LONG)
 
     def _fits(self, pair: tuple[int, int]) -> bool:
         """Whether merges leave the two tokens side by side.

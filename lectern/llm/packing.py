@@ -4,14 +4,15 @@ A sequence (bin) has three capacities: tokens, documents and attention cost (the
 block-diagonal attention pays). Pieces are placed longest first; among the open bins in which every residual
 capacity suffices, the one is taken with the least weighted norm of what would remain (rule "norm") or the greatest
 weighted dot product of demand and residual (rule "dot"); if there is none, a bin opens. Capacities that other
-capacities imply (as many documents as tokens, the squared token capacity as cost) never bind.
+capacities imply (as many documents as tokens, the squared token capacity as cost) never bind. Documents are cut into pieces that an empty bin can hold; a piece that none can hold
+is an error.
 
-Pieces are dealt by a hash into groups of about GROUP, packed one group at a time, so that no task holds more than one
+Pieces are dealt in turn into groups of about GROUP, so equal rows spread like others, packed one group at a time, so that no task holds more than one
 group's bins; then the bins of all groups that are least full are emptied and packed once more, together. Tokens
 never travel: a piece is its document, place, length and checksum.
 
 Results: a null text counts as empty and yields one piece, the end token. Documents with equal ids or equal texts
-are packed each for itself. An empty table gives an empty table. Other columns are ignored.
+are packed each for itself; very long texts are cut, never shortened; ties go to the bin that opened first. An empty table gives an empty table. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import UNSETTLED, Remembered, byte_letters
+from .bpe import LONG, UNSETTLED, Remembered, byte_letters
 from .common import arrow_schema, checkpointed, prepare
 
 MAX_TOKENS = 2048
@@ -56,7 +57,7 @@ class WordIds:
         self.specials = re.compile("(" + "|".join(map(re.escape, added)) + ")") if added else None
         self.words = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
         self.letters = byte_letters()
-        self.of = Remembered(self.word)
+        self.of = Remembered(self.word, long=LONG)
 
     def word(self, word: str) -> bytes:
         return np.array([t.id for t in self.library.model.tokenize("".join(map(self.letters.__getitem__, word.encode())))], "<u4").tobytes()
@@ -101,6 +102,8 @@ def cut_documents(docs: DataFrame, path: str, max_tokens: int = MAX_TOKENS, end_
 def best_fit(lengths: np.ndarray, max_tokens: int, max_docs: int, max_cost: int, weights=(1.0, 0.05, 0.05), rule: str = "norm") -> tuple[np.ndarray, np.ndarray, int]:
     """For each piece its bin and offset, and the number of bins. Ties go to the bin that opened first."""
     n = len(lengths)
+    if n and (int(lengths.max()) > max_tokens or int(lengths.max()) ** 2 > max_cost or max_docs < 1):
+        raise ValueError(f"no sequence of {max_tokens} tokens, {max_docs} documents and cost {max_cost} can hold a piece of {int(lengths.max())} tokens")
     order = np.argsort(-lengths, kind="stable")
     bins, offsets = np.zeros(n, np.int64), np.zeros(n, np.int64)
     w = np.array(weights) ** 0.5
@@ -179,9 +182,7 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int |
         return run
 
     def dealt(df: DataFrame, n: int) -> DataFrame:
-        spread = F.xxhash64("doc_id", "piece", "length", "ids_crc32")
-        parts = max(1, math.ceil(n / group))
-        return df.withColumn("spread", spread).repartition(parts, "spread").sortWithinPartitions("spread", "doc_id", "piece", "length", "ids_crc32").drop("spread")
+        return df.repartition(max(1, math.ceil(n / group))).sortWithinPartitions(F.xxhash64("doc_id", "piece"), "doc_id", "piece", "length", "ids_crc32")
 
     first = checkpointed(dealt(rest, rest.count()).mapInArrow(packer(1, 0.97), PACKED + ", again boolean"))
     loose = first.filter("again").select(*[x.split()[0] for x in PIECES.split(", ")])
@@ -189,5 +190,10 @@ def pack_pieces(pieces: DataFrame, max_tokens: int = MAX_TOKENS, max_docs: int |
     return alone.unionByName(first.filter("not again").drop("again")).unionByName(second.drop("again"))
 
 
+def longest_piece(max_tokens: int = MAX_TOKENS, max_cost: int | None = None, **_) -> int:
+    """Tokens that an empty sequence can hold in one piece."""
+    return max(1, min(max_tokens, math.isqrt(max_cost or max_tokens**2)))
+
+
 def pack_documents(docs: DataFrame, path: str, **limits) -> DataFrame:
-    return pack_pieces(checkpointed(cut_documents(docs, path, limits.get("max_tokens", MAX_TOKENS))), **limits)
+    return pack_pieces(checkpointed(cut_documents(docs, path, longest_piece(**limits))), **limits)

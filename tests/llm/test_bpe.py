@@ -50,3 +50,11 @@ def test_memo_forgets_but_never_lies():
     memo = bpe.Remembered(lambda x: x * 2, 10)
     assert all(memo[k % 37] == 2 * (k % 37) for k in range(500))
     assert len(memo) <= 10
+
+
+def test_long_pieces_are_not_remembered():
+    memo = bpe.Remembered(len, 4, bpe.LONG)
+    assert memo["x" * 1000] == 1000 and not memo
+    for k in range(9):
+        assert memo["y" * k] == k
+    assert len(memo) + len(memo.old) <= 4

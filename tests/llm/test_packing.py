@@ -60,3 +60,27 @@ def test_capacities_reach_the_operator(spark, data):
     docs = spark.read.parquet(f"{data}/documents.parquet")
     rows = packing.pack_documents(docs, WORD_BPE, max_docs=2).collect()
     assert max(len(x) for x in check(rows, 2048).values()) <= 2
+
+
+def test_pieces_that_no_sequence_can_hold(spark):
+    for lengths, limits in (([100, 20], (1000, 9, 1000)), ([1001], (1000, 9, 10**7)), ([1], (1000, 0, 1000))):
+        with pytest.raises(ValueError, match="can hold"):
+            packing.best_fit(np.array(lengths), *limits)
+    docs = spark.createDataFrame([(1, "some words " * 200), (2, "few words")], "doc_id long, text string")
+    rows = packing.pack_documents(docs, WORD_BPE, max_cost=1000).collect()
+    cost = defaultdict(int)
+    for r in rows:
+        cost[r.sequence_id] += r.length**2
+    assert max(cost.values()) <= 1000 and max(r.length for r in rows) == 31
+    check(rows, 2048)
+
+
+def test_equal_rows_spread_over_all_groups(spark):
+    docs = spark.createDataFrame([(None, "")] * 3000 + [(5, "same text")] * 3000, "doc_id long, text string").repartition(4)
+    pieces = packing.cut_documents(docs, WORD_BPE)
+    rows = packing.pack_pieces(packing.checkpointed(pieces), group=500).collect()
+    check(rows, 2048)
+    tasks = defaultdict(int)
+    for r in rows:
+        tasks[r.sequence_id >> 35] += 1
+    assert len(rows) == 6000 and len(tasks) == 12 and max(tasks.values()) < 600
