@@ -6,6 +6,8 @@ import atexit
 import os
 import shutil
 import tempfile
+import uuid
+from collections.abc import Callable
 from pathlib import Path
 
 import numpy as np
@@ -13,6 +15,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: Rows in one Arrow batch: whole texts may be long, so batches are kept short.
 BATCH_ROWS = 1000
@@ -31,13 +34,12 @@ def prepare(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(64 << 20))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the shared checkpoint folder and read back, so that lost executors cost no recomputation.
+def checkpoint_folder(spark: SparkSession) -> None:
+    """Sees that the session has a checkpoint folder.
 
     The folder is the session's spark.checkpoint.dir. A local session that names none gets a temporary one; on a cluster that would be a folder of one
     machine, so there it is an error.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None)
@@ -47,9 +49,41 @@ def checkpointed(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="lectern-checkpoint-")
             atexit.register(shutil.rmtree, folder, ignore_errors=True)
         sc.setCheckpointDir(folder)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the shared checkpoint folder and read back, so that lost executors cost no recomputation."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
+    """df as a table in the shared checkpoint folder, and what removes it once it has been used."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    sc = spark.sparkContext
+    path = f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
+#: Rows of one key that a join leaves to one task; keys with more are sent to every task. There are at most HOT_KEYS of these, whatever the data.
+HOT_ROWS, HOT_KEYS = 200_000, 10_000
+
+
+def skew_join(left: DataFrame, right: DataFrame, key: str, n: str, rows: int, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """left joined with right by key, where right has each key once, with n, the number of its rows in left, and left has so many rows in all.
+
+    Keys with more rows than hot_rows, and than their share of HOT_KEYS keys, are broadcast with what right has for them, so that their rows stay where they are.
+    """
+    if rows <= hot_rows:
+        return left.join(right.drop(n), key)
+    much = F.col(n) > max(hot_rows, rows // HOT_KEYS)
+    hot, cold = right.filter(much).drop(n), right.filter(~much).drop(n)
+    return left.join(F.broadcast(hot), key).unionByName(left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """A column name that df does not have."""
     taken = {c.lower() for c in df.columns}
@@ -73,11 +107,22 @@ def fold(doc_id, folds: int):
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(folds))
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int) -> DataFrame:
-    """(doc_id, text, label): the sample labelled rows with the smallest hash of their id. The ids are chosen first, so that texts of no other rows travel."""
+#: Bytes of the texts in a sample of labelled rows: what the one task that learns holds.
+SAMPLE_BYTES = 256 << 20
+
+
+def labelled(docs: DataFrame, labels: DataFrame, label: str, usable, sample: int, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(doc_id, text, label): the sample labelled rows with the smallest hash of their id, as far as their texts are at most sample_bytes together, one row at least.
+
+    The ids are chosen first, among those that docs has, so that texts of no other rows travel.
+    """
     ids = labels.filter(F.col(label).isin(0, 1) & usable(F.col("doc_id"))).selectExpr("cast(doc_id as long) doc_id", f"cast({label} as int) label")
-    few = ids.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
-    return docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"), "label").limit(sample).select("doc_id", "text", "label")
+    few = ids.join(docs.selectExpr("cast(doc_id as long) doc_id"), "doc_id", "left_semi").orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(sample)
+    order = (F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text"), F.col("label"))
+    rows = docs.selectExpr("cast(doc_id as long) doc_id", "text").join(F.broadcast(few), "doc_id").orderBy(*order).limit(sample)
+    upto = Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)  # over the sample alone
+    rows = rows.withColumn("upto", F.sum(F.octet_length(F.coalesce("text", F.lit("")))).over(upto)).withColumn("nth", F.count(F.lit(1)).over(upto))
+    return rows.filter((F.col("upto") <= sample_bytes) | (F.col("nth") == 1)).select("doc_id", "text", "label")
 
 
 def words(text: str | None) -> list[bytes]:

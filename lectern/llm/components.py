@@ -5,17 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import HOT_ROWS, skew_join, stored
 
 
-def connected_components(links: DataFrame) -> DataFrame:
+def connected_components(links: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(node, component) for every node of links (a long, b long); component is the least node that can be reached.
 
     Alternates large-star and small-star steps: each hangs nodes on the least neighbour they know, so every component becomes
     a star around its least node in about log(diameter) rounds. A round is grouped minima (combined before the shuffle) and joins with
-    them, which Spark may split where one node has very many links; each round is checkpointed, and only two sums reach the driver.
+    them, in which nodes with very many links are not shuffled; each round is a table in the checkpoint folder that goes with the next one, and only three sums reach the driver.
     """
-    edges = checkpointed(links.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct())
+    edges, remove = stored(links.filter("a <> b").selectExpr("greatest(a, b) a", "least(a, b) b").distinct(), "links")
     before = None
     while True:
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
@@ -23,10 +23,12 @@ def connected_components(links: DataFrame) -> DataFrame:
             break
         before = state
         both = edges.unionByName(edges.selectExpr("b a", "a b"))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).selectExpr("a", "least(a, m) m")
-        large = both.filter("b > a").join(least, "a").selectExpr("b a", "m b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(least, "a")
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).selectExpr("a", "least(a, m) m", "n")
+        large = skew_join(both.filter("b > a"), least, "a", "n", 2 * state[0], hot_rows).selectExpr("b a", "m b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hung = skew_join(large, least, "a", "n", 2 * state[0], hot_rows)
         small = hung.filter("b <> m").selectExpr("b a", "m b").unionByName(least.selectExpr("a", "m b"))
-        edges = checkpointed(small.distinct())
+        done = remove
+        edges, remove = stored(small.distinct(), "links")
+        done()
     return edges.selectExpr("a node", "b component").unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -9,7 +9,7 @@ spanning forest, never all its pairs; components are found over these links.
 
 Results: null, empty and wordless texts have fingerprint zero and are linked like any other. A text of one or two words is one
 shingle. component_id is the smallest doc_id reachable; null ids count as larger than any (a component of null ids alone has a null
-component_id). Repeated rows and ids stay rows of their own. Other columns are ignored, or pass through keep_one.
+component_id). Repeated rows and ids stay rows of their own; a fingerprint or component of very many rows is not shuffled. Very long texts are read whole. Other columns are ignored, or pass through keep_one.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, checkpointed, fresh, prepare, words
+from .common import HOT_ROWS, arrow_schema, checkpointed, fresh, prepare, skew_join, words
 from .components import connected_components
 
 RADIUS = 3
@@ -212,19 +212,19 @@ def _linked(rows: DataFrame, level: int) -> DataFrame:
     return rows.select("path", "fp").repartition(F.col("path"), bucket).sortWithinPartitions(F.col("path"), bucket, F.col("fp")).mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, split: int = SPLIT) -> DataFrame:
+def near_duplicates(docs: DataFrame, split: int = SPLIT, hot_rows: int = HOT_ROWS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every document."""
     prints = checkpointed(fingerprints(docs))
-    least = prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"))
-    distinct = checkpointed(least)
-    parts = connected_components(links(distinct.select("fp"), split)).withColumnRenamed("node", "fp")
-    named = distinct.join(parts, "fp", "left").select("fp", "doc_id", F.coalesce("component", "fp").alias("component"))
-    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of = named.join(first, "component").select("fp", "component_id")
-    return prints.join(of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    distinct = checkpointed(prints.groupBy("fp").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("n")))
+    parts = connected_components(links(distinct.select("fp"), split), hot_rows).withColumnRenamed("node", "fp")
+    named = distinct.join(parts, "fp", "left").select("fp", "doc_id", "n", F.coalesce("component", "fp").alias("component"))
+    first = named.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("m"))
+    sizes = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of = skew_join(named, first, "component", "m", sizes[0], hot_rows).select("fp", "component_id", "n")
+    return skew_join(prints, of, "fp", "n", sizes[1], hot_rows).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, split: int = SPLIT, send_rows: int = SEND_ROWS) -> DataFrame:
+def keep_one(docs: DataFrame, split: int = SPLIT, send_rows: int = SEND_ROWS, hot_rows: int = HOT_ROWS) -> DataFrame:
     """docs with one row of each group of near duplicates: the one with the smallest doc_id, the first of several such rows.
 
     The rows to drop are known by number. While they are at most send_rows (8 bytes each) every task gets them, and texts stay where they are; beyond
@@ -234,11 +234,12 @@ def keep_one(docs: DataFrame, split: int = SPLIT, send_rows: int = SEND_ROWS) ->
     numbered = checkpointed(docs.withColumn(place, F.monotonically_increasing_id()))
     prints = checkpointed(fingerprints(numbered.select("doc_id", "text", F.col(place).alias("row")), ("doc_id", "row")))
     chosen = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
-    distinct = checkpointed(prints.groupBy("fp").agg(chosen))
-    parts = connected_components(links(distinct.select("fp"), split)).withColumnRenamed("node", "fp")
-    named = distinct.join(parts, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), "first")
-    kept = named.groupBy("component").agg(F.min("first").alias("first"))
-    of = named.select("fp", "component").join(kept, "component").select("fp", F.col("first.row").alias("kept"))
-    dropped = checkpointed(prints.join(of, "fp").filter("row <> kept").select(F.col("row").alias(place)))
+    distinct = checkpointed(prints.groupBy("fp").agg(chosen, F.count("*").alias("n")))
+    parts = connected_components(links(distinct.select("fp"), split), hot_rows).withColumnRenamed("node", "fp")
+    named = distinct.join(parts, "fp", "left").select("fp", "n", F.coalesce("component", "fp").alias("component"), "first")
+    kept = named.groupBy("component").agg(F.min("first").alias("first"), F.count("*").alias("m"))
+    sizes = distinct.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    of = skew_join(named.select("fp", "n", "component"), kept, "component", "m", sizes[0], hot_rows).select("fp", "n", F.col("first.row").alias("kept"))
+    dropped = checkpointed(skew_join(prints, of, "fp", "n", sizes[1], hot_rows).filter("row <> kept").select(F.col("row").alias(place)))
     sent = F.broadcast(dropped) if dropped.count() <= send_rows else dropped
     return numbered.join(sent, place, "left_anti").select(*docs.columns)

@@ -48,6 +48,8 @@ def test_query_against_brute_force(spark, odd_docs, no_docs, data):
     for split in (2, simhash.SPLIT):
         got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs, split).collect())
         assert got == want
+    got = sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in simhash.near_duplicates(docs, hot_rows=1).collect())
+    assert got == want  # keys of more than one row go another way
     assert simhash.near_duplicates(no_docs).collect() == []
 
 
@@ -70,6 +72,9 @@ def test_a_chain_is_one_component(spark):
     got = {r.node: r.component for r in connected_components(links).collect()}
     assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100}
     assert connected_components(links.limit(0)).collect() == []
+    star = spark.createDataFrame([(50, k) for k in range(40)] + [(50, 60), (60, 61), (70, 71)], "a long, b long")
+    for hot in (1, 5, 10**6):
+        assert {r.node: r.component for r in connected_components(star, hot).collect()} == {**{k: 0 for k in (*range(40), 50, 60, 61)}, 70: 70, 71: 70}
 
 
 def test_every_path_covers_all_bits_once():
@@ -78,10 +83,10 @@ def test_every_path_covers_all_bits_once():
         assert len(m) == 4**level and max(64 - (x & (1 << 64) - 1).bit_count() for x in m) <= free + 1
 
 
-@pytest.mark.parametrize("send", [simhash.SEND_ROWS, 0])
-def test_keep_one_keeps_whole_rows(odd_docs, send):
+@pytest.mark.parametrize(("send", "hot"), [(simhash.SEND_ROWS, 1), (0, simhash.HOT_ROWS)])
+def test_keep_one_keeps_whole_rows(odd_docs, send, hot):
     odd_docs = odd_docs.withColumnRenamed("fp", "place")
-    kept = simhash.keep_one(odd_docs, send_rows=send)
+    kept = simhash.keep_one(odd_docs, send_rows=send, hot_rows=hot)
     assert kept.columns == odd_docs.columns
     rows = odd_docs.collect()
     of = components(slow_fingerprint(r.text) for r in rows)
