@@ -5,7 +5,9 @@ import zlib
 import numpy as np
 import pytest
 
-from lectern.llm import quality_model, queries, toxicity
+from lectern.llm import common, quality_model, queries, toxicity
+
+from . import slow
 
 
 def auc(scores, labels):
@@ -99,3 +101,78 @@ def test_all_examples_of_a_rare_label_are_learned(spark):
     index = pickle.loads(toxicity.fit(docs, labels, usable=lambda doc_id: doc_id >= 0, sample=30))
     assert len(index.ids) == 30 and sorted(index.ids[index.labels == 1].tolist()) == list(range(0, 400, 40))
     assert index.prior == pytest.approx(11 / 402)
+
+
+TEXTS = [b"", b" ", b"a", b"ab ab c", "Stra\u00dfe \U0001f600\tx\ny  y".encode(), b"long" * 60 + b" word", b"good words here good words", b"### $$$ *** ###"]
+
+
+def test_features_and_scores_against_brute_force():
+    rng = np.random.default_rng(3)
+    table = rng.normal(0, 1, 1 << 10).astype(np.float32)
+    for raw in TEXTS:
+        assert sorted(quality_model.features(raw, 10).tolist()) == sorted(slow.subword_features(raw, 10))
+        assert quality_model.score(raw, table, 0.3) == pytest.approx(slow.score(raw, table, 0.3), rel=1e-5)
+
+
+def test_training_against_brute_force():
+    examples = [(t, k % 2) for k, t in enumerate(TEXTS[1:])]
+    table, bias = quality_model.train(examples, 8, 3, 4, 1.0, 5)
+    rng = np.random.default_rng(5)
+    vectors, layer = rng.uniform(-1 / 3, 1 / 3, (256, 3)).astype(np.float32).tolist(), rng.uniform(-0.5, 0.5, (2, 3)).astype(np.float32).tolist()
+    want, want_bias = slow.train(examples, vectors, layer, [rng.permutation(len(examples)).tolist() for _ in range(4)], 1.0, 8)
+    assert bias == pytest.approx(want_bias) and np.allclose(table, want, rtol=1e-3, atol=1e-4)
+
+
+def test_query_of_quality_against_brute_force(spark, odd_docs):
+    labels = spark.createDataFrame([(k, k % 2) for k in range(13)], "doc_id long, quality int")
+    table, bias = quality_model.fit(odd_docs, labels)
+    got = sorted((str(r.doc_id), r.held_out, r.predicted, r.score) for r in quality_model.apply_model(odd_docs, (table, bias)).collect())
+    rows = odd_docs.collect()
+    scores = [slow.score((r.text or "").encode(), table, bias) for r in rows]
+    want = sorted((str(r.doc_id), r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 5 == 0, int(s >= 0.3), s) for r, s in zip(rows, scores, strict=True))
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and a[3] == pytest.approx(b[3], rel=1e-4) and (a[2] == b[2] or abs(b[3] - 0.3) < 1e-4)
+
+
+def test_query_of_toxicity_against_brute_force(spark, data):
+    """Weights, cosines and neighbours of every text from their definitions; the votes become scores by the fitted curve."""
+    import math
+    from collections import Counter
+
+    docs, labels = (spark.read.parquet(f"{data}/{t}.parquet") for t in ("documents", "labels"))
+    packed = toxicity.fit(docs, labels)
+    index = pickle.loads(packed)
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    learned = sorted({(r.doc_id, r.toxic) for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts})
+    count = {i: Counter(re.findall(r"\w+", texts[i].lower())) for i in texts}
+    having = Counter(w for i, _ in learned for w in count[i])
+
+    def vector(c):
+        v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(learned)) / (1 + having[w]))) for w, n in c.items()}
+        length = math.sqrt(sum(x * x for x in v.values())) or 1.0
+        return {w: x / length for w, x in v.items()}
+
+    vectors = {i: vector(count[i]) for i in texts}
+    examples = [(i, y) for i, y in learned if count[i]]
+    assert index.ids.tolist() == [i for i, _ in examples]
+    got = {r.doc_id: r for r in toxicity.apply_index(docs, packed).collect()}
+    assert set(got) == set(texts)
+    for i in texts:
+        cosines = sorted(((-round(sum(x * vectors[e].get(w, 0.0) for w, x in vectors[i].items()), 12), k) for k, (e, _) in enumerate(examples)))[: index.reach]
+        cosines = [(-c, k) for c, k in cosines if c < 0]
+        if not cosines or index.curve is None:
+            assert got[i].score == index.prior
+            continue
+        votes = [(c / (0.05 + 1 - min(1.0, c)), examples[k][1]) for c, k in cosines]
+        share = sum(v * y for v, y in votes) / sum(v for v, _ in votes)
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(index.curve[0] + index.curve[1] * share))), rel=1e-6, abs=1e-9)
+        assert got[i].similarity == pytest.approx(cosines[0][0], abs=1e-9)
+
+
+def test_labels_of_absent_documents_and_long_texts_leave_a_sample(spark):
+    docs = spark.createDataFrame([(i, "x" * 1000) for i in range(50)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(5000)], "doc_id long, quality int")
+    usable = lambda doc_id: doc_id >= 0
+    assert common.labelled(docs, labels, "quality", usable, 20).count() == 20
+    assert common.labelled(docs, labels, "quality", usable, 20, 4500).count() == 4
+    assert common.labelled(docs, labels, "quality", usable, 20, 10).count() == 1

@@ -1,20 +1,26 @@
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import corpus_pipeline
+import numpy as np
 from lectern.llm import quality_model, quality_rules, queries
 from lectern.llm.common import table
+from tokenizers import Tokenizer
 
+from . import slow
 from .test_simhash import components, slow_fingerprint
 
 
 def test_stages_against_brute_force(spark):
     sf = "/root/testdata/sf0.01"
     docs = table(spark, sf, "documents")
-    model = quality_model.fit(docs, table(spark, sf, "labels"))
-    refs = quality_rules.references(docs)
-    rows = [r for r in docs.collect() if (m := quality_rules.measures((r.text or "").encode(), 0))[0] >= 50 and 100 * m[4] <= 50 * m[0] and not quality_rules.divergent(*quality_rules.histograms((r.text or "").encode()), refs)[0]]
-    rows = [(r.doc_id, r.text or "") for r in rows if quality_model.score((r.text or "").encode(), *model) >= 0.3]
+    folded, bias = quality_model.fit(docs, table(spark, sf, "labels"))  # held against brute force in test_classifiers
+    common = {lang: words.split() for lang, words in quality_rules.COMMON.items()}
+    rows = [(r.doc_id, r.text or "") for r in docs.collect()]
+    refs = slow.references([t for _, t in rows], common, quality_rules.UNITS)
+    rows = [(i, t) for i, t in rows if slow.kept(t, refs, common, quality_rules.CLASS_LIMIT, quality_rules.WORD_LIMIT)]
+    rows = [(i, t) for i, t in rows if slow.score(t.encode(), folded, bias) >= 0.3]
     key = lambda line: re.sub("^[\x20\x09-\x0d]+|[\x20\x09-\x0d]+$", "", line).encode().lower()
     df = Counter(k for _, t in rows for k in {key(x) for x in t.split("\n")} if k)
     rows = [(i, "\n".join(x for x in t.split("\n") if df[key(x)] < 10)) for i, t in rows]
@@ -26,7 +32,20 @@ def test_stages_against_brute_force(spark):
     kept = set(first.values())
     packed = corpus_pipeline.run(spark, sf).collect()
     assert {r.doc_id for r in packed} == kept and len(kept) > 300
-    assert len({(r.doc_id, r.piece) for r in packed}) == len(packed)
+    library = Tokenizer.from_file(queries.WORD_BPE)
+    want = []
+    for i, t in rows:
+        if i in kept:
+            ids = np.array(library.encode(t, add_special_tokens=False).ids + [0], "<u4")
+            want += [(i, k, a, len(ids[a : a + 2048]), zlib.crc32(ids[a : a + 2048].tobytes())) for k, a in enumerate(range(0, len(ids), 2048))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    placed = defaultdict(list)
+    for r in packed:
+        placed[r.sequence_id].append((r.offset, r.length))
+    for parts in placed.values():
+        parts.sort()
+        assert [o for o, _ in parts] == [sum(n for _, n in parts[:k]) for k in range(len(parts))] and sum(n for _, n in parts) <= 2048
+    assert len(placed) <= -(-sum(w[3] for w in want) // 2048) + 1
 
 
 def test_stages_keep_the_columns_and_take_odd_rows(spark, odd_docs, no_docs):

@@ -6,6 +6,8 @@ import pytest
 
 from lectern.llm import quality_rules as qr
 
+from . import slow as plain
+
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -93,3 +95,13 @@ def test_both_distances_are_to_the_same_reference():
     refs = {"de": (classes[0], common[0]), "en": (classes[1], common[-1])}
     far, by_class, by_word = qr.divergent(10000, classes[0], common[-1], refs)
     assert far and max(by_class, by_word) > 0.5
+
+
+def test_verdicts_against_brute_force(spark, odd_docs, data):
+    docs = odd_docs.select("doc_id", "text").union(spark.read.parquet(f"{data}/documents.parquet").selectExpr("doc_id + 1000", "text"))
+    rows = docs.collect()
+    common = {lang: words.split() for lang, words in qr.COMMON.items()}
+    refs = plain.references([r.text or "" for r in rows], common, qr.UNITS)
+    want = sorted((str(r.doc_id), plain.kept(r.text or "", refs, common, qr.CLASS_LIMIT, qr.WORD_LIMIT)) for r in rows)
+    got = sorted((str(r.doc_id), r.kept) for r in qr.apply_rules(docs).collect())
+    assert got == want and {k for _, k in want} == {True, False} and len(refs) > 1
