@@ -68,6 +68,15 @@ def stored(df: DataFrame, name: str) -> tuple[DataFrame, Callable[[], None]]:
     return spark.read.schema(df.schema).parquet(path), lambda: where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def bucketed(df: DataFrame, name: str, key: str, buckets: int) -> DataFrame:
+    """df as a table in the shared checkpoint folder, bucketed by a column, so that what is grouped by that column later meets it without another exchange of df."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    name = f"lectern_{name}_{uuid.uuid4().hex}"
+    df.write.option("path", f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/{name}").bucketBy(buckets, key).saveAsTable(name)
+    return spark.table(name)
+
+
 #: Rows of one key that a join leaves to one task; keys with more are sent to every task. There are at most HOT_KEYS of these, whatever the data.
 HOT_ROWS, HOT_KEYS = 200_000, 10_000
 

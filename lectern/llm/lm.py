@@ -12,7 +12,7 @@ Smoothing is by Dirichlet priors, interpolated down to single words: P(w) = (c(w
 mass m(v w) = c(v w) / (c(v) + MU[0]), m(u v w) = c(u v w) / (c(u v) + MU[1]) and the back-off weights b(v) = MU[0] / (c(v) + MU[0]), b(u v) = MU[1] / (c(u v) + MU[1]);
 an unknown n-gram has mass 0 and an unknown context weight 1, so every text has a finite score. The first word of a text has the context of a start token alone.
 
-Documents are tokenised once, in blocks that are kept in the checkpoint folder. A block asks each shard for its distinct n-grams, as a small trie of hashes
+Documents are tokenised once, in blocks that are kept as a bucketed table in the checkpoint folder, so that they never travel; answers come to them. A block asks each shard for its distinct n-grams, as a small trie of hashes
 with the block's training counts; the shard sums the counts, builds its trie from those above zero and answers each block, also one without training documents, in the order of its
 question. A shard is worked off in parts, which bounds what a task holds. A word's n-grams are in one shard, but those of frequent words are dealt by their first two words, and
 pairs of very frequent words by all three, with the pair's count told to all shards that need it. So no shard grows with a frequent word. A block and a shard exchange one row.
@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, climbed, fold, numbers, planes, prepare, steps, stored, words
+from .common import arrow_schema, bucketed, climbed, fold, numbers, planes, prepare, steps, stored, words
 
 #: Strength of the priors in tokens, for the second and the third level: of a few pairs those that gave held-out text of the test tables the best scores.
 MU = (1000.0, 3.0)
@@ -281,8 +281,8 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     order = np.argsort(keys)
     ordered = keys[order]
     new = np.append(True, ordered[1:] != ordered[:-1]) if len(keys) else np.empty(0, bool)
-    place = np.empty(len(keys), np.int64)
-    place[order] = np.cumsum(new) - 1
+    place = np.empty(len(keys), np.int32 if len(keys) < 1 << 31 else np.int64)
+    place[order] = np.cumsum(new, dtype=place.dtype) - 1
     return ordered[new], place
 
 
@@ -296,12 +296,18 @@ class Block:
         self.tokens, self.lengths, self.ids, self.id_known, self.held, self.hashes = tokens, lengths, ids, id_known, held, hashes
 
     def dump(self) -> bytes:
-        return _join(planes(self.tokens), planes(self.lengths), planes(self.ids), planes(self.id_known), planes(self.held), steps(self.hashes))
+        """The block in bytes; tokens as ranks by frequency, which take less room. The ranks follow from the counts."""
+        counts = np.bincount(self.tokens, minlength=len(self.hashes)).astype(np.uint32)
+        by_rank = np.argsort(-counts.astype(np.int64), kind="stable")
+        rank = np.empty(len(by_rank), np.uint32)
+        rank[by_rank] = np.arange(len(by_rank), dtype=np.uint32)
+        return _join(planes(rank[self.tokens]), planes(counts), planes(self.lengths), planes(self.ids), planes(self.id_known), planes(self.held), steps(self.hashes))
 
     @classmethod
     def load(cls, data: bytes) -> Block:
-        t, n, i, k, h, x = _split(data)
-        return cls(numbers(t, np.uint32), numbers(n, np.int64), numbers(i, np.int64), numbers(k, np.uint8), numbers(h, np.uint8), climbed(x))
+        t, c, n, i, k, h, x = _split(data)
+        by_rank = np.argsort(-numbers(c, np.uint32).astype(np.int64), kind="stable").astype(np.uint32)
+        return cls(by_rank[numbers(t, np.uint32)], numbers(n, np.int64), numbers(i, np.int64), numbers(k, np.uint8), numbers(h, np.uint8), climbed(x))
 
     def trained(self) -> np.ndarray:
         """Whether each token is one of a training document."""
@@ -311,16 +317,21 @@ class Block:
         """The distinct pairs (word, word) and triples (pair, word), sorted, and for each token the places of its own; triples are those of tokens that are not first."""
         self.starts = np.append(0, np.cumsum(self.lengths)[:-1])
         size = np.uint64(len(self.hashes))
-        before = np.empty(len(self.tokens), np.uint64)
-        before[1:] = self.tokens[:-1]
-        before[self.starts] = np.searchsorted(self.hashes, START_HASH)
-        keys, self.pair_at = _distinct(before * size + self.tokens)
-        self.pair_a, self.pair_b = (keys // size).astype(np.int64), (keys % size).astype(np.int64)
-        self.later = np.ones(len(self.tokens), bool)
-        self.later[self.starts] = False
-        self.later = np.flatnonzero(self.later)
-        keys, self.triple_at = _distinct(self.pair_at[self.later - 1].astype(np.uint64) * size + self.tokens[self.later])
-        self.triple_p, self.triple_c = (keys // size).astype(np.int64), (keys % size).astype(np.int64)
+        keys = np.empty(len(self.tokens), np.uint64)
+        keys[1:] = self.tokens[:-1]
+        keys[self.starts] = np.searchsorted(self.hashes, START_HASH)
+        keys *= size
+        keys += self.tokens
+        keys, self.pair_at = _distinct(keys)
+        self.pair_a, self.pair_b = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
+        later = np.ones(len(self.tokens), bool)
+        later[self.starts] = False
+        self.later = np.flatnonzero(later).astype(np.int32)
+        keys = self.pair_at[self.later - 1].astype(np.uint64)
+        keys *= size
+        keys += self.tokens[self.later]
+        keys, self.triple_at = _distinct(keys)
+        self.triple_p, self.triple_c = (keys // size).astype(np.int32), (keys % size).astype(np.int32)
 
     def deal(self, shards: int, frequent: np.ndarray, very: np.ndarray):
         """Deals words, pairs and triples to shards; frequent and very are sorted hashes of words.
@@ -346,19 +357,23 @@ class Block:
         pair_key = np.concatenate((shard * pairs_ + np.arange(pairs_), (every[:, 1:] * pairs_ + copies[:, None]).ravel()))
         order = np.argsort(pair_key, kind="stable")
         pair_key = pair_key[order]
-        self.pair_of = pair_key % pairs_
+        self.pair_of = (pair_key % max(1, pairs_)).astype(np.int32)
         self.pair_slot = np.empty(pairs_, np.int64)  # where each pair's own entry is
         own = order < pairs_
         self.pair_slot[self.pair_of[own]] = np.flatnonzero(own)
-        pair_shard = pair_key // pairs_
+        pair_shard = pair_key // max(1, pairs_)
+        del order, own, every
         # triples
-        triple_shard = shard[self.triple_p]
+        triple_shard = shard.astype(np.uint16 if shards <= 1 << 16 else np.int64)[self.triple_p]
         spread = np.flatnonzero(wide[self.triple_p])
         triple_shard[spread] = (triple_shard[spread] + (_mixed(h[self.triple_c[spread]], h[a[self.triple_p[spread]]]) % np.uint64(split)).astype(np.int64) * stride) % shards
-        self.triple_of = np.argsort(triple_shard, kind="stable")
+        self.triple_of = np.argsort(triple_shard, kind="stable").astype(np.int32)
         triple_shard = triple_shard[self.triple_of]
-        entry = np.searchsorted(pair_key, triple_shard * pairs_ + self.triple_p[self.triple_of])
+        entry = triple_shard.astype(np.int64) * pairs_
+        entry += self.triple_p[self.triple_of]
+        entry = np.searchsorted(pair_key, entry)
         self.triples_of_pair = np.bincount(entry, minlength=len(pair_key))
+        del entry, pair_key
         # words
         needed = pair_shard * words_ + a[self.pair_of]
         needed = needed[np.append(True, needed[1:] != needed[:-1])] if len(needed) else needed
@@ -367,7 +382,7 @@ class Block:
         word_shard = word_key // words_
         self.word_home = word_shard == home[self.word_of]
         self.pairs_of_word = np.bincount(np.searchsorted(word_key, pair_shard * words_ + a[self.pair_of]), minlength=len(word_key))
-        self.bounds = [np.searchsorted(x, np.arange(shards + 1)) for x in (word_shard, pair_shard, triple_shard)]
+        self.bounds = [np.concatenate(([0], np.cumsum(np.bincount(x, minlength=shards)))) for x in (word_shard, pair_shard, triple_shard)]
 
     def counts(self):
         """The training counts of the entries; a word counts at its home alone, the start token once a document."""
@@ -376,7 +391,7 @@ class Block:
         word[np.searchsorted(self.hashes, START_HASH)] = int((self.held == 0).sum())
         pair = np.bincount(self.pair_at[train], minlength=len(self.pair_a))
         triple = np.bincount(self.triple_at[train[self.later]], minlength=len(self.triple_p))
-        return np.where(self.word_home, word[self.word_of], 0), pair[self.pair_of], triple[self.triple_of]
+        return tuple(x.astype(np.uint32) for x in (np.where(self.word_home, word[self.word_of], 0), pair[self.pair_of], triple[self.triple_of]))
 
 
 def question(block: Block, counts, shard: int) -> bytes:
@@ -514,8 +529,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
         for serial, block in enumerate(blocks(batches, block_tokens)):
             yield pa.RecordBatch.from_arrays([pa.array([base + serial]), pa.array([block.dump()], pa.binary())], schema=arrow_schema("block long, payload binary"))
 
-    table, _ = stored(source.mapInArrow(tokenise, "block long, payload binary"), "blocks")
     cores = spark.sparkContext.defaultParallelism
+    table = bucketed(source.mapInArrow(tokenise, "block long, payload binary"), "blocks", "block", min(50_000, max(2 * cores, source.rdd.getNumPartitions())))
     seen, drop_seen = stored(vocabulary(table, max(cores, table.count())), "vocabulary")
     n_train, every, n_distinct = (x or 0 for x in seen.agg(F.sum("n"), F.sum("every"), F.sum("v")).first())
     denominator = n_train + n_distinct + 1
@@ -563,14 +578,9 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
     def key_array(key):
         return pa.array([key[0].as_py()], pa.int32())
 
-    def score(key: tuple[pa.Scalar, ...], given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found, block = {}, None
-        for batch in given:
-            for s, payload in zip(batch.column("shard").to_pylist(), batch.column("payload").to_pylist(), strict=True):
-                if s < 0:
-                    block = Block.load(payload)
-                else:
-                    found[s] = payload
+    def score(key: tuple[pa.Scalar, ...], given: pa.Table, found: pa.Table) -> pa.Table:
+        block = Block.load(given.column("payload")[0].as_py())
+        found = dict(zip(found.column("shard").to_pylist(), found.column("payload").to_pylist(), strict=True))
         block.deal(shards * parts, sent.value[0], sent.value[2])
         each = [_split(x) for s in sorted(found) for x in _split(found[s]) if x]
         counts, word_back, pair_mass, pair_back, triple_mass = (np.concatenate([numbers(x[k], t) for x in each]) for k, t in enumerate((np.int64, np.uint16, np.uint16, np.uint16, np.uint16)))
@@ -593,8 +603,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
             "base_score": pa.array(np.add.reduceat(np.log10(plain), block.starts)),
             "score": pa.array(np.add.reduceat(np.log10(smoothed), block.starts)),
         }
-        yield pa.RecordBatch.from_pydict(cols, schema=arrow_schema(SCORED))
+        return pa.Table.from_pydict(cols, schema=arrow_schema(SCORED))
 
     answers = table.mapInArrow(ask, "block long, shard int, payload binary").groupBy("shard").applyInArrow(answer, "block long, shard int, payload binary")
-    texts = table.select("block", F.lit(-1).alias("shard"), "payload")
-    return answers.unionByName(texts).groupBy("block").applyInArrow(score, SCORED)
+    return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
