@@ -41,7 +41,7 @@ from .common import arrow_schema, bucketed, climbed, fold, numbers, planes, prep
 MU = (1000.0, 3.0)
 
 #: Tokens in a block at most, and about in a part of a shard and in a shard.
-BLOCK, PART, SHARD = 4_000_000, 3_000_000, 24_000_000
+BLOCK, PART, SHARD = 4_000_000, 3_000_000, 8_000_000
 
 #: The names of the end and the start token; no word contains white space.
 NAMES = (b" end", b" start")
