@@ -1,7 +1,7 @@
 """Text analysis for full-text search: tokens, stop words, stems, term statistics and headlines.
 
-The simple configuration lower-cases and splits; the others also drop stop words and stem. Stemming works on the distinct
-vocabulary, never on every token. Tokens are runs of letters and digits.
+The simple configuration lower-cases and splits; the others also drop stop words and stem. Every distinct word is stemmed once in a worker, not every token. Tokens are
+runs of letters and digits.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import stemmers
@@ -208,55 +208,98 @@ def matches(text_tokens: Column, terms: list[str]) -> Column:
     return F.size(F.array_intersect(text_tokens, F.array(*(F.lit(t) for t in terms)))) == len(terms)
 
 
-def analysed(words: DataFrame, config: Column | str = "config") -> DataFrame:
-    """(config, word, stem) for the distinct pairs of a DataFrame with columns config and word; stop words have a null stem."""
-    sent = {c: sorted(stop_words(c)) for c in ("danish", "german", "english", "spanish", "french", "italian", "dutch", "norwegian", "portuguese", "swedish")}
-
-    def run(batches):
-        known = {c: frozenset(w) for c, w in sent.items()}
-        for batch in batches:
-            stems = [None if w in known.get(c, ()) else STEMMERS.get(c, lambda x: x)(w) for c, w in zip(batch["config"], batch["word"], strict=True)]
-            yield pd.DataFrame({"config": batch["config"], "word": batch["word"], "stem": stems})
-
-    return words.select("config", "word").distinct().mapInPandas(run, "config string, word string, stem string")
-
-
 # --- ranking ---
 
 
 def cover_density(places: list[list[int]], weight: float = 0.1) -> float:
     """Sum over the minimal covers of all terms of weight / (1 + words in a cover that are none of the terms).
 
-    After Clarke, Cormack and Tudhope; for one term it is the weight times the term's frequency.
+    After Clarke, Cormack and Tudhope; for one term it is the weight times the term's frequency. places are ascending, each place is of one term; the time is linear in
+    them, times the number of terms.
     """
     if not places or any(not p for p in places):
         return 0.0
     events = sorted((at, k) for k, own in enumerate(places) for at in own)
-    latest: dict[int, int] = {}
+    latest: dict[int, int] = {}  # by term: the number of its last event
     total, last_start = 0.0, -1
-    for at, k in events:
-        latest[k] = at
+    for n, (at, k) in enumerate(events):
+        latest[k] = n
         if len(latest) == len(places):
             start = min(latest.values())
             if start > last_start:  # a cover that holds no other ends here
-                inside = sum(start <= e <= at for e, _ in events)
-                total += weight / (1 + (at - start + 1) - inside)
+                total += weight / (1 + (at - events[start][0]) - (n - start))
                 last_start = start
     return total
 
 
+def density(found, terms: list[str]) -> float:
+    """Cover density of terms in a list of lexemes."""
+    places: dict[str, list[int]] = {t: [] for t in terms}
+    for at, token in enumerate(found if found is not None else ()):
+        if token in places:
+            places[token].append(at)
+    return cover_density(list(places.values()))
+
+
 def rank_texts(terms: list[str]):
     """A pandas UDF from tokens to the cover density of the terms; for one term use 0.1 * frequency, which stays in the JVM."""
 
     @F.pandas_udf("double")
     def rank(token_lists: pd.Series) -> pd.Series:
+        return pd.Series([density(found, terms) for found in token_lists], dtype=float)
+
+    return rank
+
+
+class Lexemes(dict):
+    """The lexemes of one configuration by word: stems, and the empty string for stop words, which keep their places. Forgets all beyond `most` words."""
+
+    def __init__(self, config: str, stop: frozenset[str], most: int = 500_000):
+        super().__init__()
+        self.stem, self.stop, self.most = STEMMERS.get(config, lambda w: w), stop, most
+
+    def __missing__(self, word: str) -> str:
+        if len(self) >= self.most:
+            self.clear()
+        out = self[word] = "" if word in self.stop else self.stem(word)
+        return out
+
+
+_LEXEMES: dict[str, Lexemes] = {}
+
+
+def lexemes_of(config: str, stop: list[str]) -> Lexemes:
+    """A worker's own lexemes of a configuration; they stay from batch to batch."""
+    if config not in _LEXEMES:
+        _LEXEMES[config] = Lexemes(config, frozenset(stop))
+    return _LEXEMES[config]
+
+
+def lexemes(token_column: Column, config: Column):
+    """The lexemes of tokens in the configuration of their row, in order; null tokens have none."""
+    sent = {c: sorted(stop_words(c)) for c in STEMMERS}
+
+    @F.pandas_udf("array<string>")
+    def analyse(token_lists: pd.Series, configs: pd.Series) -> pd.Series:
+        of = {c: lexemes_of(c, sent.get(c, [])) for c in configs.dropna().unique()}
+        return pd.Series([None if found is None or c is None else list(map(of[c].__getitem__, found)) for found, c in zip(token_lists, configs, strict=True)], dtype=object)
+
+    return analyse(token_column, config)
+
+
+def language_scores(query: str, configs: list[str]):
+    """A pandas UDF from tokens and configuration to the cover density of the query's terms there; null where not all of them occur, or where the query has none."""
+    terms = {c: query_terms(query, c) for c in configs}
+    sent = {c: sorted(stop_words(c)) for c in configs}
+
+    @F.pandas_udf("double")
+    def rank(token_lists: pd.Series, configs: pd.Series) -> pd.Series:
+        of = {c: lexemes_of(c, sent.get(c, [])) for c in configs.dropna().unique()}
         out = []
-        for found in token_lists:
-            places: dict[str, list[int]] = {t: [] for t in terms}
-            for at, token in enumerate(found if found is not None else ()):
-                if token in places:
-                    places[token].append(at)
-            out.append(cover_density(list(places.values())))
+        for found, c in zip(token_lists, configs, strict=True):
+            wanted = terms.get(c) if c is not None else None
+            score = density(list(map(of[c].__getitem__, found)), wanted) if wanted and found is not None else 0.0
+            out.append(score or None)
         return pd.Series(out, dtype=float)
 
     return rank
@@ -283,3 +326,14 @@ def headlines(terms: list[str], config: str = "simple"):
         return texts.map(lambda t: headline(t, terms, stem))
 
     return make
+
+
+def language_headlines(query: str, configs: list[str]):
+    """A pandas UDF from text and configuration to a headline in which the words whose stems the query asks for are marked."""
+    terms = {c: query_terms(query, c) for c in configs}
+
+    @F.pandas_udf("string")
+    def make(texts: pd.Series, configs: pd.Series) -> pd.Series:
+        return pd.Series([headline(t, terms.get(c, []), STEMMERS.get(c, lambda w: w)) for t, c in zip(texts, configs, strict=True)], dtype=object)
+
+    return make

@@ -2,6 +2,9 @@
 
 Pages have page_id, document_id, page_number, image_path, original_markdown, translated_markdown, extraction_status, embedding; documents have document_id, title,
 status, target_language. Ties are broken by page_id everywhere. Ranking branches carry ids and scores alone; texts join after the limit.
+
+Originals are analysed in the simple configuration, translations in the one of their document's language. Pages may have these lexemes as columns (`indexed`), else they are
+made on the way.
 """
 
 from __future__ import annotations
@@ -12,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, sanitizing, text, vectors
-from ..plans.rank import fused, global_row_number
+from ..plans.rank import deepest, fused, global_row_number
 
 RRF_K, FLOOR, PAGE_SIZE = 60, 0.01, 20
 CONTEXT_PAGES, MIN_SIMILARITY = 3, 0.35
@@ -31,10 +34,24 @@ def semantic_scores(pages: DataFrame, documents: DataFrame, query: Sequence[floa
 
 
 def semantic_ranked(pages: DataFrame, documents: DataFrame, query: Sequence[float]) -> DataFrame:
-    return global_row_number(semantic_scores(pages, documents, query), "semantic_score", "page_id", "semantic_rank", -1.0, 1.0)
+    return global_row_number(semantic_scores(pages, documents, query), "semantic_score", "page_id", "semantic_rank")
+
+
+#: The configurations that a translation can be in.
+CONFIGS = ["simple", *dict.fromkeys(labels.FTS_CONFIGS.values())]
+
+
+def indexed(pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """pages with original_searchable and translated_searchable, the lexemes of both texts in order: what is written with a page whenever its texts change.
+
+    The language is the document's, English if it has none; stop words leave empty strings, so that places stay. Null texts have no lexemes.
+    """
+    config = labels.fts_config(F.coalesce("target_language", F.lit("en")))
+    found = pages.join(documents.select("document_id", "target_language"), "document_id", "left")
+    return found.select(*(F.col(c) for c in pages.columns), text.tokens(F.col("original_markdown")).alias("original_searchable"), text.lexemes(text.tokens(F.col("translated_markdown")), config).alias("translated_searchable"))
 
 
-def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = "simple") -> DataFrame:
+def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = None) -> DataFrame:
     """(page_id, document_id, fts_score) of the searchable pages that match the query.
 
     Originals are always matched in the simple configuration, translations in the one of the document's language, or in `analyzer` if that is given.
@@ -42,36 +59,40 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
     """
     found = searchable(pages, documents)
     simple = text.query_terms(query)
+    config = F.lit(analyzer) if analyzer else labels.fts_config(F.coalesce("target_language", F.lit("en")))
+    of = {c: terms for c in ([analyzer] if analyzer else CONFIGS) if (terms := text.query_terms(query, c))}
     if not simple:
         return found.select("page_id", "document_id", F.lit(0.0).alias("fts_score")).filter("false")
-    if analyzer == "simple" and len(simple) == 1:
+    ready = "original_searchable" in pages.columns and analyzer is None
+    if ready:
+        original = F.col("original_searchable")
+        first = F.when(text.matches(original, simple), _density(original, simple))
+    elif len(simple) == 1:
         # one term needs its number of occurrences alone
-        hits = text.occurrences(F.col("original_markdown"), simple[0]) + text.occurrences(F.col("translated_markdown"), simple[0])
-        return found.select("page_id", "document_id", F.round(hits * F.lit(0.1), 9).alias("fts_score")).filter("fts_score > 0")
-    if analyzer == "simple":
+        hits = text.occurrences(F.col("original_markdown"), simple[0])
+        first = F.when(hits > 0, hits * F.lit(0.1))
+    else:
         # a text that lacks a term's letters needs no tokens
-        found = found.filter(_may_match(F.col("original_markdown"), simple) | _may_match(F.col("translated_markdown"), simple))
-    found = found.withColumn("_o", text.tokens(F.col("original_markdown")))
-    original_hit, original = text.matches(F.col("_o"), simple), _density(F.col("_o"), simple)
-    if analyzer == "simple":
-        found = found.withColumn("_t", text.tokens(F.col("translated_markdown")))
-        hit, score = text.matches(F.col("_t"), simple), _density(F.col("_t"), simple)
-        return found.filter(original_hit | hit).select("page_id", "document_id", F.round(original + score, 9).alias("fts_score"))
-    configs = [analyzer] if analyzer else ["simple", *labels.FTS_CONFIGS.values()]
-    config = F.lit(analyzer) if analyzer else labels.fts_config(F.col("target_language"))
-    found = found.withColumn("_config", config)
-    # translated terms by configuration: the vocabulary is stemmed once and only pages of that configuration are looked at
-    stemmed = stemmed_tokens(found.select("page_id", "_config", "translated_markdown"))
-    found = found.join(stemmed, "page_id", "left")
-    hit, score = F.lit(False), F.lit(0.0)
-    for c in dict.fromkeys(configs):
-        terms = text.query_terms(query, c)
-        own = F.col("_config") == c
-        if terms:
-            hit = hit | (own & text.matches(F.col("_t"), terms))
-            score = F.when(own, _density(F.col("_t"), terms)).otherwise(score)
-    hit = F.coalesce(hit, F.lit(False))
-    return found.filter(original_hit | hit).select("page_id", "document_id", F.round(original + F.coalesce(score, F.lit(0.0)), 9).alias("fts_score"))
+        original = text.tokens(F.when(_may_match(F.col("original_markdown"), simple), F.col("original_markdown")))
+        first = F.when(text.matches(original, simple), _density(original, simple))
+    if ready:
+        second = F.lit(None).cast("double")
+        for c, terms in of.items():
+            own = F.col("translated_searchable")
+            second = F.when((config == c) & text.matches(own, terms), _density(own, terms)).otherwise(second)
+    elif analyzer == "simple" and len(simple) == 1:
+        hits = text.occurrences(F.col("translated_markdown"), simple[0])
+        second = F.when(hits > 0, hits * F.lit(0.1))
+    elif of:
+        # only translations in a configuration in which the query has terms leave the JVM
+        own = F.col("translated_markdown").isNotNull() & config.isin(*of)
+        if "simple" in of:
+            own = own & ((config != "simple") | _may_match(F.col("translated_markdown"), simple))
+        second = text.language_scores(query, list(of))(F.when(own, text.tokens(F.col("translated_markdown"))), config)
+    else:
+        second = F.lit(None).cast("double")
+    scored = found.select("page_id", "document_id", first.alias("_first"), second.alias("_second")).filter("_first IS NOT NULL OR _second IS NOT NULL")
+    return scored.select("page_id", "document_id", F.round(F.coalesce("_first", F.lit(0.0)) + F.coalesce("_second", F.lit(0.0)), 9).alias("fts_score"))
 
 
 def _may_match(column: Column, terms: list[str]) -> Column:
@@ -88,21 +109,19 @@ def _density(token_column: Column, terms: list[str]) -> Column:
     return text.rank_texts(terms)(F.coalesce(token_column, F.array().cast("array<string>")))
 
 
-def stemmed_tokens(pages: DataFrame) -> DataFrame:
-    """(page_id, _t): the stems of translated texts in order, without stop words, by way of the distinct vocabulary."""
-    words = pages.select("page_id", F.col("_config").alias("config"), F.posexplode(text.tokens(F.col("translated_markdown"))).alias("at", "word"))
-    stems = text.analysed(words)
-    return words.join(stems, ["config", "word"]).filter("stem IS NOT NULL").groupBy("page_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "stem"))), lambda x: x["stem"]).alias("_t"))
+def text_ranked(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = None) -> DataFrame:
+    return global_row_number(text_scores(pages, documents, query, analyzer), "fts_score", "page_id", "fts_rank")
 
 
-def text_ranked(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = "simple") -> DataFrame:
-    lo, hi = pages.agg(F.min("page_id"), F.max("page_id")).first()  # two numbers from one column's statistics
-    return global_row_number(text_scores(pages, documents, query, analyzer), "fts_score", "page_id", "fts_rank", 0.0, 1.0, (lo or 0, hi or 0))
+def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None) -> DataFrame:
+    """Both lists joined in full by page, with the fused score; pages below the floor are gone.
 
-
-def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = "simple") -> DataFrame:
-    """Both lists joined in full by page, with the fused score; pages below the floor are gone."""
+    A page beyond a fixed rank in both lists cannot reach the floor, so only the few that are better in one of them are joined.
+    """
     semantic, matched = semantic_ranked(pages, documents, vector), text_ranked(pages, documents, query or "", analyzer)
+    most = deepest(FLOOR, k)
+    best = semantic.filter(F.col("semantic_rank") <= most).select("page_id").unionByName(matched.filter(F.col("fts_rank") <= most).select("page_id")).distinct()  # 2 * most rows at most
+    semantic, matched = (x.join(F.broadcast(best), "page_id", "left_semi") for x in (semantic, matched))
     f = matched.select(F.col("page_id").alias("f_page"), F.col("document_id").alias("f_document"), "fts_score", "fts_rank")
     both = semantic.join(f, semantic.page_id == f.f_page, "full_outer")
     return both.select(
@@ -121,25 +140,34 @@ def snippet(original: Column, translated: Column) -> Column:
     return F.when(F.length(chosen) > SNIPPET, F.concat(F.substring(chosen, 1, SNIPPET), F.lit("..."))).otherwise(chosen)
 
 
-def hybrid_search(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], limit: int = PAGE_SIZE, offset: int = 0, k: int = RRF_K, analyzer: str | None = "simple", highlight: bool = True) -> DataFrame:
-    """page_id, document_id, document_title, page_number, image_path, score, snippet: one page of results, best first. An empty query finds nothing."""
-    if not query:
-        vector, limit = [1.0], 0
-    top = combined(pages, documents, query, vector, k, analyzer).orderBy(F.desc("rrf_score"), "page_id").offset(offset).limit(limit)
+FOUND = "page_id long, document_id string, semantic_score double, fts_score double, semantic_rank long, fts_rank long, rrf_score double"
+
+
+def hybrid_search(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], limit: int = PAGE_SIZE, offset: int = 0, k: int = RRF_K, analyzer: str | None = None, highlight: bool = True) -> DataFrame:
+    """page_id, document_id, document_title, page_number, image_path, score, snippet: one page of results, best first. An empty query finds nothing.
+
+    The results of the ranking, `limit` rows at most, pass the driver, so that their texts and numbers are read by key and no other text is touched. Headlines mark a translation in
+    its language's configuration, an original in the simple one.
+    """
+    top = combined(pages, documents, query, vector, k, analyzer).orderBy(F.desc("rrf_score"), "page_id").offset(offset).limit(limit).collect() if query else []
+    ids = [r.page_id for r in top]
+    chosen = pages.filter(F.col("page_id").isin(*ids)) if ids else pages.filter("false")
     shown = (
-        F.broadcast(top)  # at most `limit` rows
-        .join(pages.select("page_id", "page_number", "image_path", "original_markdown", "translated_markdown"), "page_id")
-        .join(documents.select("document_id", "title"), "document_id")
+        F.broadcast(pages.sparkSession.createDataFrame(top, FOUND))
+        .join(chosen.select("page_id", "page_number", "image_path"), "page_id")
+        .join(chosen.select("page_id", "original_markdown", "translated_markdown"), "page_id")
+        .join(documents.select("document_id", "title", "target_language"), "document_id")
     )
     plain = snippet(F.col("original_markdown"), F.col("translated_markdown"))
     if highlight and query:
-        terms = text.query_terms(query)
-        marked = text.headlines(terms)(F.coalesce("translated_markdown", "original_markdown"))
-        plain = F.when(F.col("fts_score") > 0, sanitizing.snippet_text(marked)).otherwise(plain)
+        translated = F.col("translated_markdown").isNotNull()
+        config = F.when(translated, F.lit(analyzer) if analyzer else labels.fts_config(F.coalesce("target_language", F.lit("en")))).otherwise("simple")
+        marked = text.language_headlines(query, list(dict.fromkeys([*CONFIGS, analyzer or "simple"])))(F.coalesce("translated_markdown", "original_markdown"), config)
+        plain = F.when(F.col("fts_score") > 0, marked).otherwise(plain)
     return shown.select("page_id", "document_id", F.col("title").alias("document_title"), "page_number", "image_path", F.col("rrf_score").alias("score"), sanitizing.snippet_text(plain).alias("snippet")).orderBy(F.desc("score"), "page_id")
 
 
-def hybrid_count(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = "simple") -> DataFrame:
+def hybrid_count(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None) -> DataFrame:
     """total: how many results there are."""
     found = combined(pages, documents, query, vector, k, analyzer)
     return (found if query else found.filter("false")).agg(F.count("*").alias("total"))

@@ -6,33 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-#: Buckets of a score that varies, and of the key among equal scores.
-SCORE_BUCKETS, KEY_BUCKETS = 2048, 64
+#: Quantiles of the scores and of the keys that bound cells, the same number whatever the data, and the accuracy of their sketch.
+SCORES, KEYS, ACCURACY = 256, 64, 4096
 
-#: Decimal digits of scores that many rows share.
-DIGITS = 9
 
+def bucketed(df: DataFrame, column: str, marks: list[float], name: str) -> DataFrame:
+    """df with name: how many of the ascending marks are at most the column, by binary search."""
+    if not marks:
+        return df.withColumn(name, F.lit(0))
+    from pyspark.ml.feature import Bucketizer
 
-def global_row_number(df: DataFrame, score: str, key: str, name: str, low: float, high: float, keys: tuple[int, int] | None = None) -> DataFrame:
-    """df with name: the row number by score descending, then key ascending, over all rows.
+    out = Bucketizer(splits=[float("-inf"), *marks, float("inf")], inputCol=column, outputCol=name).transform(df)
+    return out.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(0)))  # never null, so that no join filters one branch alone
 
-    Rows fall into ordered cells; a row's number is the rows in better cells plus its place in its own. If scores vary, a cell is a slice of the range
-    from low to high. If many rows share few scores, the range of the keys is given, and a cell is one score and a slice of that range. There is one exchange, of
-    df's columns, which counts and places share; the sum over the cells' counts is small whatever the data, and no task sorts more than a cell's rows. Cells
-    are functions of the row alone, so a recomputed task finds the same ones. Scores are not null and, where keys are given, rounded to DIGITS.
+
+def global_row_number(df: DataFrame, score: str, key: str, name: str, scores: int = SCORES, keys: int = KEYS) -> DataFrame:
+    """df with name: the row number by score descending, then key ascending, over all rows. Scores and keys are not null.
+
+    Rows fall into ordered cells; a row's number is the rows in better cells plus its place in its own. Cells are bounded by quantiles of a sketch, one pass over df that
+    leaves a fixed number of values: a score between two quantiles is in the cell of that gap, a score that is itself a quantile, as one that very many
+    rows share, is in a cell of its own, which is cut again by quantiles of the key. So there are at most (2 * scores + 1) * (keys + 1) cells, none of which grows beyond its share of the rows,
+    and the window over their counts is as small. There is one exchange, of df's columns, which counts and places share. Cells are functions of the row
+    alone, so a recomputed task finds the same ones.
     """
-    whole = lambda c: F.coalesce(c.cast("long"), F.lit(0).cast("long"))  # noqa: E731  never null, so that no join filters one branch alone
-    if keys is None:
-        cell = F.least(F.lit(SCORE_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.lit(float(high)) - F.col(score)) / F.lit(float(high - low)) * SCORE_BUCKETS))).cast("int")
-        placed, cells = df.withColumn("_cell", cell), ["_cell"]
-        better: list[str] = ["_cell"]
-    else:
-        lo, hi = keys
-        slice_ = F.least(F.lit(KEY_BUCKETS - 1), F.greatest(F.lit(0), F.floor((F.col(key) - F.lit(lo)) * F.lit(KEY_BUCKETS / (hi - lo + 1)))))
-        placed, cells = df.withColumn("_level", whole(F.round(F.col(score) * F.lit(-(10.0**DIGITS))))).withColumn("_slice", whole(slice_)), ["_level", "_slice"]
-        better = cells
+    share = lambda n: [k / n for k in range(n + 1)]
+    row = df.agg(F.percentile_approx(score, share(scores), ACCURACY).alias("s"), F.percentile_approx(key, share(keys), ACCURACY).alias("k")).first()
+    marks, cuts = sorted(set(row.s or [])), sorted(set(row.k or []))
+    placed = bucketed(bucketed(df, score, marks, "_level"), key, [float(x) for x in cuts], "_part")
+    is_mark = F.coalesce(F.element_at(F.array(*map(F.lit, marks)), F.nullif(F.col("_level"), F.lit(0))) == F.col(score), F.lit(False)) if marks else F.lit(False)
+    placed = placed.withColumn("_part", F.when(is_mark, F.col("_part")).otherwise(0)).withColumn("_level", is_mark.cast("int") - 2 * F.col("_level"))
+    cells = ["_level", "_part"]
     placed = placed.repartition(*cells)
-    before = Window.orderBy(*better).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.orderBy(*cells).rowsBetween(Window.unboundedPreceding, -1)
     # counts every row; the hash holds on to all columns, as only equal exchanges are shared
     every = F.count(F.when(F.xxhash64(*df.columns) >= F.lit(-(1 << 63)), 1))
     offsets = placed.groupBy(*cells).agg(every.alias("_n")).select(*cells, F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -40,6 +45,11 @@ def global_row_number(df: DataFrame, score: str, key: str, name: str, low: float
     return placed.withColumn("_in", inside).join(F.broadcast(offsets), cells).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
 
 
+def deepest(floor: float, k: int) -> int:
+    """The last rank in the better of two lists that can still reach a floor of the fused score: both ranks would have to be it."""
+    return max(0, int(2 / floor - k + 1e-9))
+
+
 def reciprocal(rank: Column, k: int) -> Column:
     """1 / (k + rank) in doubles, 0 for a row that a list lacks; a literal 1.0 in SQL would be a decimal."""
     return F.coalesce(F.lit(1.0) / (F.lit(float(k)) + rank), F.lit(0.0))

@@ -21,6 +21,9 @@ DOC = "src1-en"
 QUERY_VECTOR = 7
 WORD, WORDS = "nicht", "the and"
 
+#: A question of several words; in German the first one is a stop word and the others have stems, in the other languages of the tables no text has all of them.
+ASKED = "die heiten ung"
+
 
 def query(name: str, sql: str | None = None):
     def add(f):
@@ -143,17 +146,42 @@ on_both("filter_searchable_page", lambda d, p: search.searchable(p.filter("embed
 TOK = r"list_filter(string_split_regex(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> '')"
 TF = "len(list_filter(" + TOK + ", lambda t: t = '{1}'))"
 _o, _t = TF.format("original_markdown", WORD), TF.format("translated_markdown", WORD)
-FTS_SQL = f"fts AS (SELECT page_id, document_id, ({_o} * 0.1::DOUBLE + {_t} * 0.1::DOUBLE) AS fts_score FROM w_pages JOIN w_documents d USING (document_id) WHERE d.status = 'completed' AND extraction_status = 'completed' AND ({_o} > 0 OR {_t} > 0))"
+# the word is a German stop word; no other word of the tables has it as its stem in another language
+FTS_SQL = f"fts AS (SELECT page_id, document_id, ({_o} * 0.1::DOUBLE + CASE target_language WHEN 'de' THEN 0 ELSE {_t} END * 0.1::DOUBLE) AS fts_score FROM w_pages JOIN w_documents d USING (document_id) WHERE d.status = 'completed' AND extraction_status = 'completed' AND ({_o} > 0 OR CASE target_language WHEN 'de' THEN 0 ELSE {_t} END > 0))"
+
+# The words of the tables that the published German stemmer reduces to two stems.
+STEMS = {
+    "heit": "heit heiten heitst heiter heitener heitenlich heitsten heitenen heiterer heitenheit heiterheit heiteren heitster heiterlich",
+    "ung": "ung unger ungen ungerlich ungeren ungenen ungerer ungenheit ungerheit ungenlich ungener",
+}
+STEMS_SQL = "stems AS (SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{stem}')" for stem, words in STEMS.items() for w in words.split()) + ") t(word, stem))"
+
+
+def COVER_SQL(name: str, pages: str, column: str, stems: str, n_terms: int) -> str:
+    """Cover density by definition: among the places of the terms (word, stem), each shortest run that has all of them counts 0.1 / (1 + other words in it)."""
+    return f"""{name}_e AS (SELECT page_id, pos, stem FROM (SELECT page_id, unnest(toks) AS word, unnest(range(len(toks))) AS pos FROM (SELECT page_id, {TOK.format(column)} AS toks FROM {pages})) JOIN {stems} USING (word)),
+{name}_r AS (SELECT e.page_id, e.pos, min(x.pos) AS start FROM {name}_e e, LATERAL (SELECT stem, max(pos) AS pos FROM {name}_e l WHERE l.page_id = e.page_id AND l.pos <= e.pos GROUP BY stem) x GROUP BY ALL HAVING count(*) = {n_terms}),
+{name}_c AS (SELECT page_id, start, min(pos) AS stop FROM {name}_r GROUP BY ALL),
+{name} AS (SELECT page_id, sum(0.1::DOUBLE / (1 + (stop - start + 1) - (SELECT count(*) FROM {name}_e e WHERE e.page_id = c.page_id AND e.pos BETWEEN start AND stop))) AS score FROM {name}_c c GROUP BY 1)"""
+
+
+_own = "(SELECT p.* FROM w_pages p JOIN w_documents d USING (document_id) WHERE d.status = 'completed' AND extraction_status = 'completed'{})"
+ASKED_TERMS = "plain AS (SELECT word, word AS stem FROM (VALUES " + ", ".join(f"('{x}')" for x in ASKED.split()) + ") t(word))"
+#: What the question finds: originals by its words, German translations by the two stems.
+ASKED_SQL = (
+    f"{STEMS_SQL}, {ASKED_TERMS}, " + COVER_SQL("inn", _own.format(""), "original_markdown", "plain", 3) + ", " + COVER_SQL("outt", _own.format(" AND target_language = 'de'"), "translated_markdown", "stems", 2)
+    + ", fts AS (SELECT page_id, document_id, round(coalesce(inn.score, 0) + coalesce(outt.score, 0), 9) AS fts_score FROM w_pages LEFT JOIN inn USING (page_id) LEFT JOIN outt USING (page_id) WHERE inn.score > 0 OR outt.score > 0)"
+)
 
 
 def SEM_SQL(vec: int = QUERY_VECTOR) -> str:
     return f"sem AS (SELECT page_id, document_id, round(list_cosine_similarity(embedding::DOUBLE[], (SELECT embedding::DOUBLE[] FROM embeddings WHERE vec_id = {vec})), 9) AS semantic_score FROM w_pages JOIN w_documents d USING (document_id) WHERE d.status = 'completed' AND extraction_status = 'completed' AND embedding IS NOT NULL)"
 
 
-def FUSED_SQL(k: int = 60) -> str:
+def FUSED_SQL(k: int = 60, fts: str = FTS_SQL) -> str:
     return (
         w.BOTH
-        + f""", {FTS_SQL}, {SEM_SQL()},
+        + f""", {fts}, {SEM_SQL()},
 fr AS (SELECT *, row_number() OVER (ORDER BY fts_score DESC, page_id) AS fts_rank FROM fts), sr AS (SELECT *, row_number() OVER (ORDER BY semantic_score DESC, page_id) AS semantic_rank FROM sem),
 rrf AS (SELECT coalesce(sr.page_id, fr.page_id) AS page_id, coalesce(sr.document_id, fr.document_id) AS document_id, coalesce(fts_score, 0) AS fts_score, coalesce(semantic_score, 0) AS semantic_score, semantic_rank, fts_rank,
   coalesce(1.0::DOUBLE / ({k}::DOUBLE + semantic_rank), 0) + coalesce(1.0::DOUBLE / ({k}::DOUBLE + fts_rank), 0) AS rrf_score FROM sr FULL OUTER JOIN fr ON sr.page_id = fr.page_id) """
@@ -246,18 +274,73 @@ def _(s, d):
     return search.hybrid_search(p, doc, WORD, vector(s, d), offset=5, highlight=False).select("page_id", C("document_title").alias("title"), "page_number")
 
 
-@query("hybrid_search_highlighted")
+HEADS = r"""CASE WHEN n_hits = 0 THEN array_to_string(words[1:15], ' ') ELSE array_to_string(list_transform(range(start + 1, least(start + 35, len(words)) + 1), lambda k: CASE WHEN hit[k] THEN '<b>' || words[k] || '</b>' ELSE words[k] END), ' ') END"""
+
+
+def HEADLINE_SQL(rows: str, text_column: str, marked: str) -> str:
+    """rows with headline: 35 words from 10 before the first word that has one of the marked ones, all such words marked; without any the first 15."""
+    words = rf"list_filter(string_split_regex({text_column}, '\s+'), lambda x: x <> '')"
+    hit = rf"list_transform(words, lambda x: len(list_intersect(string_split_regex(lower(x), '[^\p{{L}}\p{{N}}]+'), {marked})) > 0)"
+    start = "greatest(0, least(list_position(hit, true) - 11, len(words) - 35))"
+    return f"(SELECT *, {HEADS} AS headline FROM (SELECT *, len(list_filter(hit, lambda x: x)) AS n_hits, {start} AS start FROM (SELECT *, {hit} AS hit FROM (SELECT *, {words} AS words FROM ({rows})))))"
+
+
+_top = "SELECT r.page_id, r.document_id, d.title AS document_title, d.target_language, p.page_number, p.image_path, r.rrf_score AS score, r.fts_score, p.translated_markdown, p.original_markdown FROM (SELECT * FROM rrf WHERE rrf_score >= 0.01 ORDER BY rrf_score DESC, page_id LIMIT 20) r JOIN w_pages p USING (page_id) JOIN w_documents d ON d.document_id = r.document_id"
+# in a translation the words of the stems are marked, in an original the question's own
+_marked = "CASE WHEN translated_markdown IS NULL OR target_language <> 'de' THEN {} ELSE {} END"
+
+
+def TOP_SQL(fts: str, plain: str, german: str) -> str:
+    rows = HEADLINE_SQL(_top, "coalesce(translated_markdown, original_markdown)", _marked.format(plain, german))
+    return FUSED_SQL(fts=fts) + f"SELECT page_id, document_id, document_title, page_number, image_path, score, {CLEAN.format(f'CASE WHEN fts_score > 0 THEN headline ELSE {SNIP} END')} AS snippet FROM {rows} ORDER BY score DESC, page_id"
+
+
+@query("hybrid_search_highlighted", TOP_SQL(FTS_SQL, f"['{WORD}']", "[]::VARCHAR[]"))
 def _(s, d):
-    """With headlines; rows only, as headlines are text heuristics."""
     doc, p = docs_pages(s, d)
     return search.hybrid_search(p, doc, WORD, vector(s, d))
 
 
-@query("hybrid_search_languages")
+@query("hybrid_search_languages", TOP_SQL(ASKED_SQL, str(ASKED.split()), str([w for words in STEMS.values() for w in words.split()])))
+def _(s, d):
+    """Several words; translations matched and marked in their language's configuration: stop words and stems."""
+    doc, p = docs_pages(s, d)
+    return search.hybrid_search(p, doc, ASKED, vector(s, d))
+
+
+@query("fts_match_languages", w.BOTH + f", {ASKED_SQL} SELECT page_id, document_id, fts_score FROM fts")
+def _(s, d):
+    """The text list alone, for several words."""
+    doc, p = docs_pages(s, d)
+    return search.text_scores(p, doc, ASKED)
+
+
+@query("fts_match_indexed", ORACLES["fts_match_languages"])
+def _(s, d):
+    """The same from the derived columns that are written with each page."""
+    doc, p = docs_pages(s, d)
+    return search.text_scores(search.indexed(p, doc), doc, ASKED)
+
+
+_count_languages = FUSED_SQL(fts=ASKED_SQL) + "SELECT count(*) AS total FROM rrf WHERE rrf_score >= 0.01"
+
+
+@query("hybrid_count_languages", _count_languages)
+def _(s, d):
+    doc, p = docs_pages(s, d)
+    return search.hybrid_count(p, doc, ASKED, vector(s, d))
+
+
+@query(
+    "searchable_columns",
+    w.BOTH + f", {STEMS_SQL} SELECT page_id, len({TOK.format('original_markdown')})::BIGINT AS n_original, {TOK.format('original_markdown')}[1] AS first_word, CASE WHEN target_language = 'de' THEN (SELECT count(*) FROM (SELECT unnest({TOK.format('translated_markdown')}) AS word) JOIN stems USING (word)) END AS n_stems FROM w_pages JOIN w_documents USING (document_id)",
+)
 def _(s, d):
-    """Translations matched in their language's configuration: stop words and stems."""
+    """The lexemes that go with a page: numbers of an original's tokens and of the two stems in German translations."""
     doc, p = docs_pages(s, d)
-    return search.hybrid_search(p, doc, "waiting things", vector(s, d), analyzer=None)
+    found = search.indexed(p, doc).join(doc.select("document_id", "target_language"), "document_id")
+    stems = F.size(F.filter(F.coalesce("translated_searchable", F.array().cast("array<string>")), lambda x: x.isin(*STEMS)))
+    return found.select("page_id", F.size("original_searchable").cast("long").alias("n_original"), F.try_element_at("original_searchable", F.lit(1)).alias("first_word"), F.when(C("target_language") == "de", stems.cast("long")).alias("n_stems"))
 
 
 _count = FUSED_SQL() + "SELECT count(*) AS total FROM rrf WHERE rrf_score >= 0.01"
@@ -289,14 +372,20 @@ def _(s, d):
 
 on_table("format_snippet", "pages", lambda t: t.select("page_id", sanitizing.snippet_text(C("html")).alias("out")), r"SELECT page_id, trim(regexp_replace(regexp_replace(html, '</?b>', '', 'g'), '\s+', ' ', 'g')) AS out FROM pages")
 on_pages("snippet_fallback", lambda p: p.select("page_id", search.snippet(C("original_markdown"), C("translated_markdown")).alias("out")), f"SELECT page_id, {SNIP} AS out FROM w_pages")
-query("snippet_headline")(lambda s, d: w.table(s, d, "documents").select("doc_id", text.headlines(text.query_terms(WORDS))("text").alias("headline")))
+query("snippet_headline", f"SELECT doc_id, headline FROM {HEADLINE_SQL('SELECT doc_id, text FROM documents', 'text', str(WORDS.split()))}")(lambda s, d: w.table(s, d, "documents").select("doc_id", text.headlines(text.query_terms(WORDS))("text").alias("headline")))
 on_documents("fts_config", lambda d: d.select("document_id", labels.fts_config(C("target_language")).alias("config")), f"SELECT document_id, {FTS_CASE} AS config FROM w_documents")
 on_table("to_tsvector", "documents", lambda t: search.postings(t.selectExpr("doc_id AS page_id", "text AS original_markdown")).select("lexeme", "page_id", "tf"), f"SELECT w AS lexeme, doc_id AS page_id, count(*) AS tf FROM (SELECT doc_id, unnest({TOK.format('text')}) AS w FROM documents) GROUP BY ALL")
 query("plainto_tsquery", "SELECT 'the' AS term UNION ALL SELECT 'and'")(lambda s, d: s.createDataFrame([(t,) for t in text.query_terms("The, and the!")], "term string"))
 on_table("ts_match", "documents", lambda t: t.filter(F.forall(F.array(*(text.occurrences(C("text"), x) for x in text.query_terms(WORDS))), lambda n: n > 0)).select("doc_id"), f"SELECT doc_id FROM documents WHERE list_has_all({TOK.format('text')}, ['the', 'and'])")
 on_table("ts_match_postings", "documents", lambda t: search.match_postings(search.postings(t.selectExpr("doc_id AS page_id", "text AS original_markdown")), ["the", "and"]), f"SELECT doc_id AS page_id, (SELECT count(*) FROM (SELECT unnest(toks) AS x) WHERE x IN ('the', 'and')) AS tf FROM (SELECT doc_id, {TOK.format('text')} AS toks FROM documents) WHERE list_has_all(toks, ['the', 'and'])")
 on_table("ts_rank_cd", "documents", lambda t: t.select("doc_id", F.round(text.occurrences(C("text"), "the") * 0.1, 6).alias("rank")), f"SELECT doc_id, round({TF.format('text', 'the')} * 0.1::DOUBLE, 6) AS rank FROM documents")
-query("ts_rank_cd_cover")(lambda s, d: w.table(s, d, "documents").select("doc_id", F.round(text.rank_texts(["the", "and"])(text.tokens(C("text"))), 6).alias("rank")))
+_pair = "SELECT doc_id AS page_id, text FROM documents"
+query(
+    "ts_rank_cd_cover",
+    f"WITH places AS (SELECT page_id, pos, word FROM (SELECT page_id, unnest(toks) AS word, unnest(range(len(toks))) AS pos FROM (SELECT page_id, {TOK.format('text')} AS toks FROM ({_pair}))) WHERE word IN ('the', 'and')), "
+    "pairs AS (SELECT page_id, pos, lag(pos) OVER w AS start, word <> lag(word) OVER w AS other FROM places WINDOW w AS (PARTITION BY page_id ORDER BY pos)) "
+    "SELECT doc_id, round(coalesce(score, 0), 6) AS rank FROM documents LEFT JOIN (SELECT page_id, sum(0.1::DOUBLE / (pos - start)) AS score FROM pairs WHERE other GROUP BY 1) ON page_id = doc_id",
+)(lambda s, d: w.table(s, d, "documents").select("doc_id", F.round(text.rank_texts(["the", "and"])(text.tokens(C("text"))), 6).alias("rank")))
 
 # --- joins, aggregates, windows -----------------------------------------------------------------------------------------
 

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 from lectern import workload
 from lectern.functions import text, vectors
 from lectern.operators import search
-from lectern.plans.rank import fused, global_row_number
+from lectern.plans.rank import bucketed, deepest, fused, global_row_number
 from lectern.queries import vector
 
 SF = "/root/testdata/sf0.01"
@@ -33,8 +33,12 @@ def test_statuses_gate_and_stems_match(spark):
     found = {r.page_id: r.score for r in search.hybrid_search(pages, docs, "run", [1.0, 0.0], analyzer=None).collect()}
     assert set(found) == {1, 2, 5}  # 3: document in work; 4: page pending; 6: zero vector and no match
     assert found[1] == pytest.approx(1 / 61 + 1 / 62)  # second in text: `running` has the stem once, page 5 the word three times
-    simple = {r.page_id for r in search.text_scores(pages, docs, "run").collect()}
+    simple = {r.page_id for r in search.text_scores(pages, docs, "run", "simple").collect()}
     assert simple == {5}
+    ready = search.indexed(pages, docs)
+    for q in ("run", "the running", "corredor corría", "the"):
+        plain, stored = ({r.page_id: r.fts_score for r in search.text_scores(p, docs, q).collect()} for p in (pages, ready))
+        assert plain == stored and (plain or q == "the")
 
 
 def test_document_search_is_scoped_and_floored(spark):
@@ -72,16 +76,58 @@ def test_pages_of_results_join_to_the_whole_list(spark, tables):
     assert search.hybrid_count(pages, docs, "the", q).first().total == len(whole)
 
 
-@pytest.mark.parametrize("keys", [None, (0, 6999), (100, 3000)])
-def test_global_row_numbers_without_a_single_partition(spark, keys):
-    rows = [(k, float(k % 8) / 8) for k in range(3000)] + [(5000 + k, 0.5) for k in range(2000)] + [(-1, 7.0), (-2, -7.0)]
+@pytest.mark.parametrize(("scores", "keys"), [(256, 64), (4, 3), (1, 1)])
+@pytest.mark.parametrize("spread", [8, 100_000])
+def test_global_row_numbers_without_a_single_partition(spark, scores, keys, spread):
+    rows = [(k, float(k * 37 % spread) / 8) for k in range(3000)] + [(5000 + k, 0.5) for k in range(2000)] + [(-1, 7.0), (-2, -7.0)]
     df = spark.createDataFrame(rows, "id long, score double").repartition(5)
-    numbered = global_row_number(df, "score", "id", "n", 0.0, 1.0, keys)
+    numbered = global_row_number(df, "score", "id", "n", scores, keys)
     want = {i: n for n, (i, s) in enumerate(sorted(rows, key=lambda r: (-r[1], r[0])), 1)}
     assert {r.id: r.n for r in numbered.collect()} == want
     plan = numbered._jdf.queryExecution().executedPlan().toString()
     assert "Window" in plan and "CartesianProduct" not in plan and "ReusedExchange" in plan
+    assert global_row_number(df.limit(0), "score", "id", "n").collect() == []
+
+
+def test_cells_do_not_grow_with_the_rows(spark):
+    """No cell has more than a few quantiles' share, whether scores are few or many."""
+    for score in ("id % 3", "id * 7 % 1000003", "IF(id % 2 = 0, 0, id)"):
+        df = spark.range(40_000).selectExpr("id", f"double({score}) score")
+        bounds = df.agg(F.percentile_approx("score", [k / 256 for k in range(257)], 4096)).first()[0]
+        assert len(set(bounds)) <= 257
+        cells = {}
+        numbered = global_row_number(df, "score", "id", "n")
+        plan = numbered._jdf.queryExecution().optimizedPlan().toString()
+        assert "_level" in plan and "_part" in plan
+        levels = bucketed(bucketed(df, "score", sorted(set(bounds)), "l"), "id", [40_000 / 64 * k for k in range(64)], "p")
+        for r in levels.groupBy("l", "p").count().collect():
+            cells[r.l, r.p] = r["count"]
+        assert max(cells.values()) < 4 * 40_000 / 64
+
+
+def test_ranking_prunes_before_the_lists_are_joined(spark, tables):
+    docs, pages = tables
+    assert deepest(0.01, 60) == 140 and deepest(0.01, 300) == 0
+    plan = search.combined(pages, docs, "nicht", vector(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("FullOuter") < plan.index("LeftSemi")
+
+
+def test_texts_of_results_alone_are_read(spark, data):
+    docs, pages = workload.documents(spark, data), workload.pages(spark, data)
+    plan = search.hybrid_search(pages, docs, "nicht", vector(spark, data))._jdf.queryExecution().executedPlan().toString()
+    for scan in plan.split("FileScan parquet")[1:]:
+        head = scan.split("\n")[0]
+        assert "text" not in head.split("]")[0] or "In(doc_id" in head or "doc_id IN" in head or "EqualTo(doc_id" in head
+    text_branch = [x for x in plan.split("Window")[1:]]
+    assert text_branch and not any("text#" in x.split("\n")[0] for x in text_branch)
+
+
+def test_cover_density_is_linear():
+    import time
 
+    began = time.perf_counter()
+    text.cover_density([list(range(0, 200_000, 2)), list(range(1, 200_000, 2))])
+    assert time.perf_counter() - began < 3
 
 def test_ranking_reads_no_text_for_the_semantic_list(spark, data):
     docs, pages = workload.documents(spark, data), workload.pages(spark, data)
