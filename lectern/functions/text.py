@@ -287,6 +287,25 @@ def lexemes(token_column: Column, config: Column):
     return analyse(token_column, config)
 
 
+#: Letters that stemmers reduce to a plain one.
+PLAIN = {"a": "aàáâãäå", "c": "cç", "e": "eèéêë", "i": "iìíîï", "n": "nñ", "o": "oòóôõö", "u": "uùúûü", "s": "sß"}
+
+
+def stem_pattern(stem: str) -> str:
+    """A pattern that every word with this stem begins with: stemmers rewrite its last two letters at most, reduce letters and write ss for one letter."""
+    head = stem[: max(1, len(stem) - 2)]
+    of = {letter: letters for letters in PLAIN.values() for letter in letters}
+    return "".join("[sß]+" if c[0] in "sß" else f"[{of[c]}]" if c in of else re.escape(c) for c in re.findall("[sß]+|.", head))
+
+
+def may_have_stems(text: Column, stems: list[str]) -> Column:
+    """Whether a text has letters that a word with each of the stems begins with; never false where it has such words."""
+    low, hit = F.lower(text), F.lit(True)
+    for s in stems:
+        hit = hit & low.rlike(stem_pattern(s))
+    return F.coalesce(hit, F.lit(False))
+
+
 def language_scores(query: str, configs: list[str]):
     """A pandas UDF from tokens and configuration to the cover density of the query's terms there; null where not all of them occur, or where the query has none."""
     terms = {c: query_terms(query, c) for c in configs}

@@ -4,7 +4,7 @@ Pages have page_id, document_id, page_number, image_path, original_markdown, tra
 status, target_language. Ties are broken by page_id everywhere. Ranking branches carry ids and scores alone; texts join after the limit.
 
 Originals are analysed in the simple configuration, translations in the one of their document's language. Pages may have these lexemes as columns (`indexed`), else they are
-made on the way.
+made on the way. Scores, a few numbers for each page, are written once before they are ranked.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels, sanitizing, text, vectors
+from ..plans.keep import kept
 from ..plans.rank import deepest, fused, global_row_number
 
 RRF_K, FLOOR, PAGE_SIZE = 60, 0.01, 20
@@ -34,7 +35,7 @@ def semantic_scores(pages: DataFrame, documents: DataFrame, query: Sequence[floa
 
 
 def semantic_ranked(pages: DataFrame, documents: DataFrame, query: Sequence[float]) -> DataFrame:
-    return global_row_number(semantic_scores(pages, documents, query), "semantic_score", "page_id", "semantic_rank")
+    return global_row_number(kept(semantic_scores(pages, documents, query)), "semantic_score", "page_id", "semantic_rank")
 
 
 #: The configurations that a translation can be in.
@@ -70,7 +71,7 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
     elif len(simple) == 1:
         # one term needs its number of occurrences alone
         hits = text.occurrences(F.col("original_markdown"), simple[0])
-        first = F.when(hits > 0, hits * F.lit(0.1))
+        first = F.when(_may_match(F.col("original_markdown"), simple) & (hits > 0), hits * F.lit(0.1))
     else:
         # a text that lacks a term's letters needs no tokens
         original = text.tokens(F.when(_may_match(F.col("original_markdown"), simple), F.col("original_markdown")))
@@ -84,11 +85,12 @@ def text_scores(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
         hits = text.occurrences(F.col("translated_markdown"), simple[0])
         second = F.when(hits > 0, hits * F.lit(0.1))
     elif of:
-        # only translations in a configuration in which the query has terms leave the JVM
-        own = F.col("translated_markdown").isNotNull() & config.isin(*of)
-        if "simple" in of:
-            own = own & ((config != "simple") | _may_match(F.col("translated_markdown"), simple))
-        second = text.language_scores(query, list(of))(F.when(own, text.tokens(F.col("translated_markdown"))), config)
+        # only translations that may have all terms of their configuration leave the JVM
+        may = F.lit(False)
+        for c, terms in of.items():
+            column = F.col("translated_markdown")
+            may = F.when(config == c, _may_match(column, simple) if c == "simple" else text.may_have_stems(column, terms)).otherwise(may)
+        second = text.language_scores(query, list(of))(F.when(may, text.tokens(F.col("translated_markdown"))), config)
     else:
         second = F.lit(None).cast("double")
     scored = found.select("page_id", "document_id", first.alias("_first"), second.alias("_second")).filter("_first IS NOT NULL OR _second IS NOT NULL")
@@ -110,7 +112,7 @@ def _density(token_column: Column, terms: list[str]) -> Column:
 
 
 def text_ranked(pages: DataFrame, documents: DataFrame, query: str, analyzer: str | None = None) -> DataFrame:
-    return global_row_number(text_scores(pages, documents, query, analyzer), "fts_score", "page_id", "fts_rank")
+    return global_row_number(kept(text_scores(pages, documents, query, analyzer)), "fts_score", "page_id", "fts_rank")
 
 
 def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None) -> DataFrame:

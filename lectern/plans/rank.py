@@ -9,6 +9,9 @@ from pyspark.sql.window import Window
 #: Quantiles of the scores and of the keys that bound cells, the same number whatever the data, and the accuracy of their sketch.
 SCORES, KEYS, ACCURACY = 256, 64, 4096
 
+#: Rows that are few enough for one cell, so that no sketch is needed.
+FEW = 50_000
+
 
 def bucketed(df: DataFrame, column: str, marks: list[float], name: str) -> DataFrame:
     """df with name: how many of the ascending marks are at most the column, by binary search."""
@@ -20,18 +23,20 @@ def bucketed(df: DataFrame, column: str, marks: list[float], name: str) -> DataF
     return out.withColumn(name, F.coalesce(F.col(name).cast("int"), F.lit(0)))  # never null, so that no join filters one branch alone
 
 
-def global_row_number(df: DataFrame, score: str, key: str, name: str, scores: int = SCORES, keys: int = KEYS) -> DataFrame:
+def global_row_number(df: DataFrame, score: str, key: str, name: str, scores: int = SCORES, keys: int = KEYS, few: int = FEW) -> DataFrame:
     """df with name: the row number by score descending, then key ascending, over all rows. Scores and keys are not null.
 
     Rows fall into ordered cells; a row's number is the rows in better cells plus its place in its own. Cells are bounded by quantiles of a sketch, one pass over df that
     leaves a fixed number of values: a score between two quantiles is in the cell of that gap, a score that is itself a quantile, as one that very many
     rows share, is in a cell of its own, which is cut again by quantiles of the key. So there are at most (2 * scores + 1) * (keys + 1) cells, none of which grows beyond its share of the rows,
-    and the window over their counts is as small. There is one exchange, of df's columns, which counts and places share. Cells are functions of the row
-    alone, so a recomputed task finds the same ones.
+    and the window over their counts is as small. Up to `few` rows, counted first, are one cell. There is one exchange, of df's columns, which counts and places share. Cells are functions of the row
+    alone, so a recomputed task finds the same ones. Up to `few` rows are one cell. df is read twice: it should be a table.
     """
     share = lambda n: [k / n for k in range(n + 1)]
-    row = df.agg(F.percentile_approx(score, share(scores), ACCURACY).alias("s"), F.percentile_approx(key, share(keys), ACCURACY).alias("k")).first()
-    marks, cuts = sorted(set(row.s or [])), sorted(set(row.k or []))
+    marks, cuts = [], []
+    if df.count() > few:
+        row = df.agg(F.percentile_approx(score, share(scores), ACCURACY).alias("s"), F.percentile_approx(key, share(keys), ACCURACY).alias("k")).first()
+        marks, cuts = sorted(set(row.s)), sorted(set(row.k))
     placed = bucketed(bucketed(df, score, marks, "_level"), key, [float(x) for x in cuts], "_part")
     is_mark = F.coalesce(F.element_at(F.array(*map(F.lit, marks)), F.nullif(F.col("_level"), F.lit(0))) == F.col(score), F.lit(False)) if marks else F.lit(False)
     placed = placed.withColumn("_part", F.when(is_mark, F.col("_part")).otherwise(0)).withColumn("_level", is_mark.cast("int") - 2 * F.col("_level"))
