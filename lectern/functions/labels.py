@@ -123,3 +123,11 @@ def clamped_page(page: Column, total: Column) -> Column:
 
 def zoomed(zoom: Column, steps: Column) -> Column:
     return F.greatest(F.lit(50), F.least(F.lit(200), zoom + 25 * steps))
+
+
+def error_message(template: Column, plural: Column, count: Column, **bindings: Column) -> Column:
+    """A validator's message: the plural if there is a count other than one; %{name} and %{count} are filled in, unknown names stay."""
+    out = F.when(count.isNotNull() & (count != 1), plural).otherwise(template)
+    for name, value in {"count": count, **bindings}.items():
+        out = F.when(value.isNull(), out).otherwise(F.replace(out, F.lit(f"%{{{name}}}"), value.cast("string")))
+    return out

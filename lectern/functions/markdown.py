@@ -32,71 +32,93 @@ def inline(text: str) -> str:
     return re.sub("\0(\\d+)\0", lambda m: kept[int(m[1])], text)
 
 
+#: Quotes in quotes beyond this depth are text.
+DEEPEST = 100
+
+
+def nested(items: list[tuple[int, str, str]]) -> str:
+    """Items (indentation, ul or ol, text) as lists in lists: what is indented further is a list inside the item before."""
+    out, open_lists = [], []
+    for indent, tag, text in items:
+        while open_lists and indent < open_lists[-1][0]:
+            out.append(f"</li></{open_lists.pop()[1]}>")
+        if open_lists and indent < open_lists[-1][0] + 2 and tag == open_lists[-1][1]:
+            out.append("</li>")
+        else:
+            if open_lists and indent < open_lists[-1][0] + 2:
+                out.append(f"</li></{open_lists.pop()[1]}>")
+            out.append(f"<{tag}>")
+            open_lists.append((indent, tag))
+        out.append(f"<li>{inline(text)}")
+    return "".join(out) + "".join(f"</li></{tag}>" for _, tag in reversed(open_lists))
+
+
 def to_html(text: str | None) -> str:
-    """Headings, paragraphs, lists, quotes, rules, tables and code; raw HTML is shown, not run. Null and empty texts are empty."""
-    if not text:
-        return ""
-    out, paragraph, items, kind, quote = [], [], [], "", []
-
-    def flush():
-        nonlocal kind
-        if paragraph:
-            out.append(f"<p>{inline(chr(10).join(paragraph))}</p>")
-            paragraph.clear()
-        if items:
-            out.append(f"<{kind}>" + "".join(f"<li>{inline(i)}</li>" for i in items) + f"</{kind}>")
-            items.clear()
-            kind = ""
-        if quote:
-            out.append(f"<blockquote>{to_html(chr(10).join(quote))}</blockquote>")
-            quote.clear()
-
-    lines = text.replace("\r\n", "\n").split("\n")
-    k = 0
-    while k < len(lines):
-        line = lines[k]
-        fence = re.match(r"\s*(```+|~~~+)", line)
-        bullet = re.match(r"\s*(?:([-*+])|(\d+)[.)])\s+(.*)", line)
-        if fence:
-            flush()
-            end = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith(fence[1])), len(lines))
-            out.append("<pre><code>" + html.escape("\n".join(lines[k + 1 : end]), False) + "</code></pre>")
-            k = end
-        elif not line.strip():
-            flush()
-        elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
-            flush()
-            out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
-        elif re.fullmatch(r"\s*([-*_])(?:\s*\1){2,}\s*", line):
-            flush()
-            out.append("<hr>")
-        elif line.startswith(">"):
-            if paragraph or items:
+    """Headings, paragraphs, lists, quotes, rules, tables and code; raw HTML is shown, not run. Null and empty texts are empty. Quotes are worked off from a stack."""
+    out: list[str] = []
+    frames = [((text or "").replace("\r\n", "\n").split("\n") if text else [], 0, "")]
+    while frames:
+        lines, k, close = frames.pop()
+        paragraph, items, quote = [], [], []
+
+        def flush():
+            if paragraph:
+                out.append(f"<p>{inline(chr(10).join(paragraph))}</p>")
+                paragraph.clear()
+            if items:
+                out.append(nested(items))
+                items.clear()
+
+        while k < len(lines):
+            line = lines[k]
+            is_quote = line.startswith(">") and len(frames) < DEEPEST
+            if quote and not is_quote:
+                break
+            fence = re.match(r"\s*(```+|~~~+)", line)
+            bullet = re.match(r"(\s*)(?:([-*+])|(\d+)[.)])\s+(.*)", line)
+            if is_quote:
                 flush()
-            quote.append(line[1:].removeprefix(" "))
-        elif bullet:
-            tag = "ul" if bullet[1] else "ol"
-            if paragraph or quote or (kind and kind != tag):
+                quote.append(line[1:].removeprefix(" "))
+            elif fence:
                 flush()
-            kind = tag
-            items.append(bullet[3])
-        elif "|" in line and k + 1 < len(lines) and re.fullmatch(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*", lines[k + 1]) and "|" in lines[k + 1]:
-            flush()
-            row = lambda s, tag: "<tr>" + "".join(f"<{tag}>{inline(c.strip())}</{tag}>" for c in s.strip().strip("|").split("|")) + "</tr>"
-            body, j = [], k + 2
-            while j < len(lines) and "|" in lines[j]:
-                body.append(row(lines[j], "td"))
-                j += 1
-            out.append(f"<table><thead>{row(line, 'th')}</thead><tbody>{''.join(body)}</tbody></table>")
-            k = j - 1
-        elif items and line.startswith("  "):
-            items[-1] += " " + line.strip()
-        else:
-            if items or quote:
+                end = next((j for j in range(k + 1, len(lines)) if lines[j].strip().startswith(fence[1])), len(lines))
+                out.append("<pre><code>" + html.escape("\n".join(lines[k + 1 : end]), False) + "</code></pre>")
+                k = end
+            elif not line.strip():
+                flush()
+            elif m := re.match(r"(#{1,6})\s+(.*?)\s*#*$", line):
                 flush()
-            paragraph.append(line.strip())
-        k += 1
-    flush()
+                out.append(f"<h{len(m[1])}>{inline(m[2])}</h{len(m[1])}>")
+            elif re.fullmatch(r"\s*([-*_])(?:\s*\1){2,}\s*", line):
+                flush()
+                out.append("<hr>")
+            elif bullet:
+                if paragraph:
+                    flush()
+                items.append((len(bullet[1].expandtabs(4)), "ul" if bullet[2] else "ol", bullet[4]))
+            elif "|" in line and k + 1 < len(lines) and re.fullmatch(r"\s*\|?[\s:|-]*-[\s:|-]*\|?\s*", lines[k + 1]) and "|" in lines[k + 1]:
+                flush()
+                row = lambda s, tag: "<tr>" + "".join(f"<{tag}>{inline(c.strip())}</{tag}>" for c in s.strip().strip("|").split("|")) + "</tr>"
+                body, j = [], k + 2
+                while j < len(lines) and "|" in lines[j]:
+                    body.append(row(lines[j], "td"))
+                    j += 1
+                out.append(f"<table><thead>{row(line, 'th')}</thead><tbody>{''.join(body)}</tbody></table>")
+                k = j - 1
+            elif items and line.startswith("  "):
+                items[-1] = (*items[-1][:2], items[-1][2] + " " + line.strip())
+            else:
+                if items:
+                    flush()
+                paragraph.append(line.strip())
+            k += 1
+        flush()
+        if quote:
+            out.append("<blockquote>")
+            frames.append((lines, k, close))
+            frames.append((quote, 0, "</blockquote>"))
+        else:
+            out.append(close)
     return "".join(out)
 
 
@@ -119,11 +141,17 @@ def sanitized(markup: str) -> str:
 
 
 def rendered(text: Column | str) -> Column:
-    """A Column of Markdown as safe HTML."""
+    """A Column of Markdown as safe HTML; a text that cannot be read as Markdown is shown as it is."""
+
+    def safe(t: str | None) -> str:
+        try:
+            return sanitized(to_html(t))
+        except Exception:  # noqa: BLE001  one text must not fail the others
+            return f"<p>{html.escape(t or '', False)}</p>"
 
     @F.pandas_udf("string")
     def render(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: sanitized(to_html(t)))
+        return texts.map(safe, na_action=None)
 
     return render(text)
 

@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 MOST_MARKDOWN = 50_000
 
+# Fixed value: the characters that an underscore takes the place of in a filename.
+UNSAFE = r'[<>:"/?*|\x01-\x1f]'
+
 
 def _steps(text: Column, *steps: tuple[str, str]) -> Column:
     for pattern, by in steps:
@@ -21,7 +24,7 @@ def filename(name: Column) -> Column:
 
 def filename_string(name: Column) -> Column:
     """Every dangerous character becomes an underscore, NUL vanishes; what is no string is empty."""
-    return F.coalesce(_steps(name, (r"\.\.", "_"), ("/", "_"), (r"\x00", ""), (r'[<>:"\\/?*|\x01-\x1f]'.replace("\\\\", ""), "_")), F.lit(""))
+    return F.coalesce(_steps(name, (r"\.\.", "_"), ("/", "_"), (r"\x00", ""), (UNSAFE, "_")), F.lit(""))
 
 
 def markdown_string(text: Column) -> Column:

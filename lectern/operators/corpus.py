@@ -122,19 +122,22 @@ def inserted(table: DataFrame, rows: DataFrame) -> DataFrame:
 
 
 def bulk_pages(pages: DataFrame, document_id: str, images: DataFrame, first_id: int) -> DataFrame:
-    """pages with a new pending page for each row of images (page_number, image_path)."""
-    number = F.row_number().over(Window.orderBy("page_number"))
+    """pages with a new pending page for each row of images (page_number, image_path), numbered from 1; ids follow the page numbers."""
     new = images.select(
-        (number + first_id - 1).cast("long").alias("page_id"), F.lit(document_id).alias("document_id"), F.col("page_number"), "image_path", *(F.lit("pending").alias(c) for c in ("extraction_status", "translation_status", "embedding_status"))
+        (F.col("page_number") + first_id - 1).cast("long").alias("page_id"), F.lit(document_id).alias("document_id"), F.col("page_number"), "image_path", *(F.lit("pending").alias(c) for c in ("extraction_status", "translation_status", "embedding_status"))
     )
     return pages.unionByName(new, allowMissingColumns=True)
 
 
-def updated(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
-    """table with the non-null values of changes (one row for each key) in place; keys that the table lacks change nothing."""
-    columns = [c for c in changes.columns if c != key]
-    new = changes.select(key, *(F.col(c).alias(f"_new_{c}") for c in columns))
-    return table.join(new, key, "left").select(*(F.coalesce(f"_new_{c}", c).alias(c) if c in columns else F.col(c) for c in table.columns))
+def updated(table: DataFrame, changes: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """table with the values of changes in place, nulls too; keys that the table lacks change nothing.
+
+    Of several changes of a key the last by order counts, or the greatest of their values if there is none.
+    """
+    columns = [c for c in changes.columns if c not in (key, order)]
+    values = F.struct(*columns)
+    new = changes.groupBy(key).agg((F.max_by(values, order) if order else F.max(values)).alias("_new"))
+    return table.join(new, key, "left").select(*(F.when(F.col("_new").isNotNull(), F.col(f"_new.{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in table.columns))
 
 
 def deleted(documents: DataFrame, pages: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,8 @@
 """Ingest: from uploaded files to completed documents, with injected tools and models.
 
 Each step is a table made from the one before, so a run is a chain of DataFrames: pages of files, their texts, vectors and translations, and the
-states that these leave. Failures stay with their page.
+states that these leave. Failures stay with their page. What a foreign call returns is written once, so that no call is made twice for a row and all that follows
+agrees on what it said.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import labels
+from ..plans.keep import kept
 from ..sources import files as sources
 from ..sources import models
 from . import corpus, lifecycle
@@ -32,16 +34,16 @@ def ingest(
     ready = routed.filter("route = 'pdf'").select("path", "content")
     failed = routed.filter("route = 'unsupported'").select("path", F.lit("unsupported format").alias("reason"))
     if convert is not None:
-        done = sources.converted(routed.filter("route = 'convertible'"), convert)
+        done = kept(sources.converted(routed.filter("route = 'convertible'"), convert))
         ready = ready.unionByName(done.filter("error IS NULL").select("path", "content"))
         failed = failed.unionByName(done.filter("error IS NOT NULL").select("path", F.col("error").alias("reason")))
     how = {"attempts": attempts, "sleep": sleep}
-    pages = sources.extracted(ready, extract).join(uploads.select("path", "document_id"), "path").withColumn("page_id", F.concat_ws("/", "document_id", "page_number"))
-    texts = models.read_images(pages, "page_id", "content", read, **how).select("page_id", F.col("value").alias("original_markdown"), F.col("error").alias("extraction_error"))
+    pages = kept(sources.extracted(ready, extract)).join(uploads.select("path", "document_id"), "path").withColumn("page_id", F.concat_ws("/", "document_id", "page_number"))
+    texts = kept(models.read_images(pages, "page_id", "content", read, **how)).select("page_id", F.col("value").alias("original_markdown"), F.col("error").alias("extraction_error"))
     pages = pages.select("page_id", "document_id", "page_number").join(texts, "page_id")
-    vectors = models.embedded(pages.filter("extraction_error IS NULL"), "page_id", "original_markdown", embed, **how).select("page_id", F.col("value").alias("embedding"), F.col("error").alias("embedding_error"))
+    vectors = kept(models.embedded(pages.filter("extraction_error IS NULL"), "page_id", "original_markdown", embed, **how)).select("page_id", F.col("value").alias("embedding"), F.col("error").alias("embedding_error"))
     prompts = pages.filter("extraction_error IS NULL AND original_markdown <> ''")
-    translated = models.generated(prompts, "page_id", "original_markdown", translate, **how).select("page_id", F.col("value").alias("translated_markdown"), F.col("error").alias("translation_error"))
+    translated = kept(models.generated(prompts, "page_id", "original_markdown", translate, **how)).select("page_id", F.col("value").alias("translated_markdown"), F.col("error").alias("translation_error"))
     pages = pages.join(vectors, "page_id", "left").join(translated, "page_id", "left")
     state = lambda failed_, gone: F.when(gone, "pending").when(failed_.isNotNull(), "error").otherwise("completed")
     no_text = F.col("extraction_error").isNotNull()

@@ -79,14 +79,20 @@ def recovery_edges(checks: DataFrame, key: str, ts: str, ok: Column) -> DataFram
 
 
 def queued(jobs: DataFrame, cap: int = 10, key: str | None = None) -> DataFrame:
-    """jobs (seq, priority) with place and accepted: high priority goes to the front, the newest first; the rest stays first in, first out; places beyond the cap are refused.
+    """jobs (seq, priority) with place and accepted: a job that comes while cap jobs are queued is refused, whatever its priority, and has no place. High priority goes to the
+    front, the newest first; the rest stays first in, first out.
 
-    A queue is one ordered list by definition; with key there is one for each value of it.
+    With key there is a queue for each value of it. Without, there is one: its first cap jobs are all that is put in order.
     """
     high = F.col("priority") == "high"
     order = [F.desc(high.cast("int")), F.when(high, -F.col("seq")).otherwise(F.col("seq"))]
-    w = Window.partitionBy(key) if key else Window.partitionBy(F.lit(0))
-    return jobs.withColumn("place", F.row_number().over(w.orderBy(*order))).withColumn("accepted", F.row_number().over(w.orderBy("seq")) <= cap)
+    if key is None:
+        first = jobs.orderBy("seq").limit(cap).withColumn("_q", F.lit(0))
+        places = first.withColumn("place", F.row_number().over(Window.partitionBy("_q").orderBy(*order))).select("seq", "place")  # cap rows
+        return jobs.join(F.broadcast(places), "seq", "left").select(*jobs.columns, "place", F.col("place").isNotNull().alias("accepted"))
+    came = jobs.withColumn("accepted", F.row_number().over(Window.partitionBy(key).orderBy("seq")) <= cap)
+    place = F.row_number().over(Window.partitionBy(key, "accepted").orderBy(*order))
+    return came.select(*jobs.columns, F.when(F.col("accepted"), place).alias("place"), "accepted")
 
 
 def cancelled(jobs: DataFrame, documents: DataFrame, pages: DataFrame) -> DataFrame:
@@ -110,3 +116,9 @@ def topics(updates: DataFrame, doc: str = "document_id") -> DataFrame:
 def stale(started: Column, now: Column, seconds: int = 360) -> Column:
     """Whether a page's task has run out of time."""
     return F.coalesce(F.unix_micros(now.cast("timestamp")) - F.unix_micros(started.cast("timestamp")) > seconds * 1_000_000, F.lit(False))
+
+
+def recovered(documents: DataFrame, pages: DataFrame) -> DataFrame:
+    """(page_id, document_id) to work on after a start: the pending pages of documents that are queued or in work."""
+    begun = documents.filter(F.col("status").isin("processing", "queued")).select("document_id")
+    return pages.filter("extraction_status = 'pending'").join(begun, "document_id").select("page_id", "document_id")

@@ -59,32 +59,40 @@ def build_messages(system: Column, past: Column, question: Column) -> Column:
     return F.concat(message("system", system), F.slice(past, F.greatest(F.lit(1), F.size(past) - HISTORY + 1), F.lit(HISTORY)), message("user", question))
 
 
-def ask(pages: DataFrame, documents: DataFrame, document_id: str, question: str, vector: Sequence[float], past: DataFrame | None = None, limit: int = search.CONTEXT_PAGES, min_similarity: float = search.MIN_SIMILARITY) -> DataFrame:
-    """(document_id, context, messages) for one question; an empty question is an error."""
+def ask(pages: DataFrame, documents: DataFrame, document_id: str, question: str, vector: Sequence[float], past: DataFrame | None = None, conversation=None, limit: int = search.CONTEXT_PAGES, min_similarity: float = search.MIN_SIMILARITY) -> DataFrame:
+    """(document_id, context, messages) for one question; an empty question is an error. past (conv_id, history) counts by its row of the conversation."""
     question = question.strip()
     if not question:
         raise ValueError("empty_question")
-    found = search.document_search(pages, document_id, vector, limit, min_similarity)
-    text = context(found)
-    doc = documents.filter(F.col("document_id") == document_id).select("document_id", "title")
-    row = doc.join(F.broadcast(text))  # one row of at most `limit` pages
+    asked = documents.filter(F.col("document_id") == document_id).select("document_id", F.lit(conversation).alias("conv_id"), F.lit(question).alias("question"))
+    return ask_each(asked, pages, documents, document_id, vector, past, limit, min_similarity).select("document_id", "context", "messages")
+
+
+def ask_each(asked: DataFrame, pages: DataFrame, documents: DataFrame, document_id: str, vector: Sequence[float], past: DataFrame | None = None, limit: int = search.CONTEXT_PAGES, min_similarity: float = search.MIN_SIMILARITY) -> DataFrame:
+    """(document_id, conv_id, context, messages) for the questions (conv_id, question) of many conversations about one document that share a vector; blank questions are left out."""
+    text = context(search.document_search(pages, document_id, vector, limit, min_similarity))
+    about = documents.filter(F.col("document_id") == document_id).select("document_id", "title").join(F.broadcast(text))  # one row of at most `limit` pages
+    rows = asked.select("conv_id", trimmed(F.col("question")).alias("question")).filter("question <> ''").withColumn("document_id", F.lit(document_id)).join(F.broadcast(about), "document_id")
     old = F.array().cast("array<struct<role:string,content:string>>")
     if past is not None:
-        row = row.join(F.broadcast(past.select("history").limit(1)), how="left")
+        rows = rows.join(past.select("conv_id", "history"), "conv_id", "left")
         old = F.coalesce("history", old)
-    return row.select("document_id", "context", build_messages(system_prompt(F.col("title"), F.col("context")), old, F.lit(question)).alias("messages"))
+    return rows.select("document_id", "conv_id", "context", build_messages(system_prompt(F.col("title"), F.col("context")), old, F.col("question")).alias("messages"))
 
 
 def answered(asked: DataFrame, model: Callable[[list[dict]], str]) -> DataFrame:
-    """asked with answer: what the model says to each row's messages, trimmed and without fences; an empty answer is an error, null here."""
+    """asked with answer: what the model says to each row's messages, trimmed and without fences; an empty answer is an error, null here. conv_id passes if there is one."""
     import re
 
+    keys = [c for c in ("document_id", "conv_id") if c in asked.columns]
+    kinds = dict(asked.dtypes)
+
     def run(batches):
         for batch in batches:
             out = []
             for messages in batch["messages"]:
                 said = re.sub(r"\n?```\s*\Z", "", re.sub(r"\A```[^\n]*\n", "", (model([dict(m) if isinstance(m, dict) else m.asDict() for m in messages]) or "").strip())).strip()
                 out.append(said or None)
-            yield pd.DataFrame({"document_id": batch["document_id"], "answer": out})
+            yield pd.DataFrame({**{c: batch[c] for c in keys}, "answer": out})
 
-    return asked.select("document_id", "messages").mapInPandas(run, "document_id string, answer string")
+    return asked.select(*keys, "messages").mapInPandas(run, ", ".join(f"{c} {kinds[c]}" for c in keys) + ", answer string")

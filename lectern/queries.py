@@ -106,8 +106,9 @@ def _(s, d):
 
 on_both(
     "sink_update",
-    lambda d, p: corpus.updated(d, d.filter("status = 'processing'").select("document_id", F.lit("completed").alias("status"), F.concat("title", F.lit(" (done)")).alias("title")), "document_id").select("document_id", "title", "status"),
-    "SELECT document_id, title || CASE status WHEN 'processing' THEN ' (done)' ELSE '' END AS title, CASE status WHEN 'processing' THEN 'completed' ELSE status END AS status FROM w_documents",
+    # the error message is set to null, and each change comes twice
+    lambda d, p: corpus.updated(d, (lambda x: x.unionByName(x))(d.filter("status IN ('processing', 'error')").select("document_id", F.lit("completed").alias("status"), F.concat("title", F.lit(" (done)")).alias("title"), F.lit(None).cast("string").alias("error_message"))), "document_id").select("document_id", "title", "status", "error_message"),
+    "SELECT document_id, title || CASE WHEN status IN ('processing', 'error') THEN ' (done)' ELSE '' END AS title, CASE WHEN status IN ('processing', 'error') THEN 'completed' ELSE status END AS status, CASE WHEN status NOT IN ('processing', 'error') THEN error_message END AS error_message FROM w_documents",
 )
 FTS_CASE = "CASE target_language WHEN 'da' THEN 'danish' WHEN 'de' THEN 'german' WHEN 'en' THEN 'english' WHEN 'es' THEN 'spanish' WHEN 'fr' THEN 'french' WHEN 'it' THEN 'italian' WHEN 'nl' THEN 'dutch' WHEN 'no' THEN 'norwegian' WHEN 'pt' THEN 'portuguese' WHEN 'sv' THEN 'swedish' ELSE 'simple' END"
 on_both("sink_update_from_join", lambda d, p: corpus.backfilled(p, d).select("page_id", "fts_config"), f"SELECT page_id, {FTS_CASE} AS fts_config FROM w_pages LEFT JOIN w_documents USING (document_id)")
@@ -410,14 +411,14 @@ on_both("progress", lambda d, p: corpus.with_progress(d, p).select("document_id"
 on_both("progress_round", lambda d, p: corpus.with_progress(d, p).select("document_id", F.round("progress", 1).alias("progress")), f"SELECT document_id, round(progress, 1) AS progress FROM ({PROGRESS})")
 on_documents("progress_visible", lambda d: d.select("document_id", C("status").isin("extracting", "processing").alias("visible")), "SELECT document_id, status IN ('extracting', 'processing') AS visible FROM w_documents")
 on_both("dashboard", lambda d, p: corpus.dashboard(d, p).select("document_id", "title", "status", "n_pages", F.round("progress", 9).alias("progress")), f"SELECT document_id, title, status, n_pages, round(progress, 9) AS progress FROM ({PROGRESS}) JOIN (SELECT document_id, count(*) AS n_pages FROM w_pages GROUP BY 1) USING (document_id) ORDER BY inserted_at DESC, document_id")
-COMPLETION = "SELECT document_id, coalesce(o, 0) = 0 AS all_completed FROM w_documents LEFT JOIN (SELECT document_id, count(*) FILTER (translation_status <> 'completed' AND extraction_status <> 'error') AS o FROM w_pages WHERE page_id % 5 < 2 GROUP BY 1) USING (document_id)"
-on_both("all_pages_completed", lambda d, p: corpus.completion(d, p.filter("page_id % 5 < 2")), COMPLETION)
-on_both("completion_check", lambda d, p: lifecycle.completed_documents(d, corpus.completion(d, p.filter("page_id % 5 < 2"))).select("document_id", "status"), f"SELECT document_id, CASE WHEN all_completed AND status = 'processing' THEN 'completed' ELSE status END AS status FROM w_documents JOIN ({COMPLETION}) USING (document_id)")
+COMPLETION = "SELECT document_id, coalesce(o, 0) = 0 AS all_completed FROM w_documents LEFT JOIN (SELECT document_id, count(*) FILTER (translation_status <> 'completed' AND extraction_status <> 'error') AS o FROM w_pages GROUP BY 1) USING (document_id)"
+on_both("all_pages_completed", lambda d, p: corpus.completion(d, p), COMPLETION)
+on_both("completion_check", lambda d, p: lifecycle.completed_documents(d, corpus.completion(d, p)).select("document_id", "status"), f"SELECT document_id, CASE WHEN all_completed AND status = 'processing' THEN 'completed' ELSE status END AS status FROM w_documents JOIN ({COMPLETION}) USING (document_id)")
 on_pages("not_done_predicate", lambda p: p.filter(corpus.NOT_DONE).select("page_id"), f"SELECT page_id FROM w_pages WHERE {corpus.NOT_DONE}")
 on_pages("next_for_extraction", lambda p: corpus.next_page(p, "extraction"), "SELECT document_id, min(page_number) AS page_number, arg_min(page_id, page_number) AS page_id FROM w_pages WHERE extraction_status = 'pending' GROUP BY 1")
 on_pages("next_for_translation", lambda p: corpus.next_page(p, "translation"), "SELECT document_id, min(page_number) AS page_number, arg_min(page_id, page_number) AS page_id FROM w_pages WHERE extraction_status = 'completed' AND translation_status = 'pending' GROUP BY 1")
 on_pages("limit_one", lambda p: p.filter("extraction_status = 'pending'").select("page_id").orderBy("page_id").limit(1), "SELECT page_id FROM w_pages WHERE extraction_status = 'pending' ORDER BY page_id LIMIT 1")
-on_both("embeddings_ready", lambda d, p: corpus.embeddings_ready(d, p.filter("page_id % 3 = 0")), "SELECT document_id, coalesce(r, false) AS ready FROM w_documents LEFT JOIN (SELECT document_id, bool_or(embedding IS NOT NULL AND embedding_status = 'completed') AS r FROM w_pages WHERE page_id % 3 = 0 GROUP BY 1) USING (document_id)")
+on_both("embeddings_ready", lambda d, p: corpus.embeddings_ready(d, p), "SELECT document_id, coalesce(r, false) AS ready FROM w_documents LEFT JOIN (SELECT document_id, bool_or(embedding IS NOT NULL AND embedding_status = 'completed') AS r FROM w_pages GROUP BY 1) USING (document_id)")
 on_both("has_thumbnail", lambda d, p: corpus.with_thumbnail(d, p), "SELECT document_id, image_path IS NOT NULL AS has_thumbnail FROM w_documents LEFT JOIN (SELECT document_id, image_path FROM w_pages WHERE page_number = 1) USING (document_id)")
 on_pages("page_count", lambda p: p.groupBy("document_id").agg(F.count("*").alias("n")), "SELECT document_id, count(*) AS n FROM w_pages GROUP BY 1")
 on_table("page_numbering", "documents", lambda t: t.select("doc_id", F.row_number().over(Window.partitionBy("source", "lang").orderBy("doc_id")).cast("long").alias("n")), "SELECT doc_id, row_number() OVER (PARTITION BY source, lang ORDER BY doc_id) AS n FROM documents")
@@ -428,7 +429,7 @@ STATE = "CASE event_id % 4 WHEN 0 THEN 'pending' WHEN 1 THEN 'completed' WHEN 2
 on_table("queue_stats", "events", lambda t: ops.queue_stats(t.withColumn("state", F.expr(STATE))), f"SELECT count(*) FILTER (s <> 'processing') AS total, count(*) FILTER (s = 'pending') AS pending, 0::BIGINT AS processing, count(*) FILTER (s = 'completed') AS completed, count(*) FILTER (s = 'failed') AS failed FROM (SELECT {STATE} AS s FROM events)")
 on_table("health_rollup", "events", lambda t: ops.health_rollup(t, C("value") > 0.5, "event_type"), "SELECT event_type, count(*) AS total, count(*) FILTER (value > 0.5) AS healthy, count(*) FILTER (NOT coalesce(value > 0.5, false)) AS unhealthy, bool_and(coalesce(value > 0.5, false)) AS all_healthy FROM events GROUP BY 1")
 on_table("telemetry_counter", "events", lambda t: ops.counter(t, "event_type"), "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
-on_table("telemetry_summary", "events", lambda t: ops.summary(t, "value", "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", "most", "mean", "median", "p95"))), "SELECT event_type, count(value) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
+on_table("telemetry_summary", "events", lambda t: ops.summary(t, "value", "event_type").select("event_type", "n", *(F.round(c, 6).alias(c) for c in ("least", "most", "mean", "median", "p95"))), "SELECT event_type, count(value) AS n, round(min(value), 6) AS least, round(max(value), 6) AS most, round(avg(value), 6) AS mean, round(quantile_disc(value, 0.5), 6) AS median, round(quantile_disc(value, 0.95), 6) AS p95 FROM events GROUP BY 1")
 on_table("telemetry_sum", "events", lambda t: ops.total(t, "value", "event_type").withColumn("total", F.round("total", 4)), "SELECT event_type, round(sum(value), 4) AS total FROM events GROUP BY 1")
 on_table("module_size_having", "documents", lambda t: ops.oversized(t.select(F.concat("source", F.lit("-"), "lang").alias("file"), F.size(F.split("text", "\n")).cast("long").alias("n_lines")), 50), "SELECT source || '-' || lang AS file, sum(len(string_split(text, chr(10))))::BIGINT AS n_lines, sum(len(string_split(text, chr(10))))::BIGINT - 50 AS over FROM documents GROUP BY 1 HAVING sum(len(string_split(text, chr(10)))) > 50")
 query("module_size_check", ORACLES["module_size_having"])(QUERIES["module_size_having"])

@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import workload as w
 from .functions import labels, resilience, sanitizing, validation
-from .operators import corpus, lifecycle, rag
-from .queries import DOC_SEARCH, FTS_CASE, OWN, C, by_id, docs_pages, on_both, on_documents, on_inputs, on_pages, on_table, own_document, query, vector  # noqa: F401
+from .operators import corpus, lifecycle, logs, rag
+from .sources import models
+from .queries import DOC_SEARCH, FTS_CASE, OWN, QUERY_VECTOR, C, by_id, docs_pages, on_both, on_documents, on_inputs, on_pages, on_table, own_document, query, vector  # noqa: F401
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 LANGS = ", ".join(f"'{x}'" for x in validation.LANGUAGES)
@@ -37,7 +39,7 @@ on_inputs(
     f"SELECT id, coalesce(CASE WHEN filename IS NULL OR content_type IS NULL THEN 'Invalid file upload structure' END, {NAME_ERR}, {TYPE_ERR}, {SIZE_ERR}) AS with_limit, coalesce({NAME_ERR}, {SIZE_ERR}, {TYPE_ERR}) AS configured FROM w_inputs",
 )
 MISS = "array_to_string(list_filter([CASE WHEN title IS NULL THEN 'title' END, CASE WHEN filename IS NULL THEN 'original_filename' END, CASE WHEN language IS NULL THEN 'target_language' END], lambda x: x IS NOT NULL), ', ')"
-FNAME = r"""regexp_replace(replace(replace(regexp_replace({}, '\.\.', '_', 'g'), '/', '_'), chr(0), ''), '[<>:"/?*|\x01-\x1f]', '_', 'g')""".replace("replace(replace(", "replace((").replace("), chr(0), '')", "))")
+FNAME = r"""regexp_replace(replace(regexp_replace({}, '\.\.', '_', 'g'), '/', '_'), '[<>:"/?*|\x01-\x1f]', '_', 'g')"""
 on_inputs(
     "validate_document_attrs",
     lambda i: i.select("id", validation.document_error(C("title"), C("filename"), C("language")).alias("error"), validation.trimmed(C("title")).alias("title"), sanitizing.filename_string(C("filename")).alias("original_filename"), "language"),
@@ -53,7 +55,7 @@ by_id("sanitize_filename", lambda: sanitizing.filename(C("filename")), r"trim(re
 by_id("sanitize_filename_string", lambda: sanitizing.filename_string(C("filename")), f"coalesce({FNAME.format('filename')}, '')")
 on_table("sanitize_markdown_string", "pages", lambda t: t.select("page_id", sanitizing.markdown_string(C("html")).alias("out")), f"SELECT page_id, {MD.format('html')} AS out FROM pages")
 on_table("sanitize_markdown", "pages", lambda t: t.select("page_id", sanitizing.markdown(C("html")).alias("out")), r"""SELECT page_id, left(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '<script[^>]*>', '', 'gi'), '</script>', '', 'gi'), 'javascript:', '', 'gi'), 'data:[^"\s]*]', '', 'gi'), 50000) AS out FROM pages""")
-FENCED = "CASE doc_id % 3 WHEN 0 THEN '```markdown' || chr(10) || substr(text, 1, 200) || chr(10) || '```  ' WHEN 1 THEN '  ' || substr(text, 1, 100) || ' ' ELSE substr(text, 1, 50) || '```' END"
+FENCED = "CASE doc_id % 3 WHEN 0 THEN '```markdown' || chr(10) || text || chr(10) || '```  ' WHEN 1 THEN '  ' || text || ' ' ELSE text || '```' END"
 UNFENCED = r"regexp_replace(regexp_replace({}, '\A```[^\n]*\n', ''), '\n?```\s*\z', '')".format(FENCED)
 on_table("strip_code_fences", "documents", lambda t: t.select("doc_id", sanitizing.code_fences(F.expr(FENCED)).alias("out")), f"SELECT doc_id, {TRIM.format(UNFENCED)} AS out FROM documents")
 on_inputs("title_from_filename", lambda i: i.select("id", labels.title_of(C("filename")).alias("out")), r"SELECT id, regexp_replace(regexp_replace(string_split(filename, '/')[-1], '\.pdf$', ''), '[_-]+', ' ', 'g') AS out FROM w_inputs")
@@ -101,8 +103,8 @@ by_id("zoom_step", lambda: labels.zoomed(C("id") % 200, C("id") % 5 - 2).cast("l
 FIELD, DIR = "CASE id % 3 WHEN 0 THEN 'title' WHEN 1 THEN 'inserted_at' ELSE 'x' END", "CASE id % 2 WHEN 0 THEN 'asc' ELSE 'desc' END"
 by_id("sort_label", lambda: labels.sort_label(F.expr(FIELD), F.expr(DIR)), case(f"(({FIELD}) || ' ' || ({DIR}))", {" ".join(k): v for k, v in labels.SORT_LABELS.items()}, "'Sort'"))
 query("language_options_sort", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in labels.LANGUAGE_NAMES.items()) + ") t(code, name) ORDER BY name")(lambda s, d: s.createDataFrame(list(labels.LANGUAGE_NAMES.items()), "code string, name string").orderBy("name"))
-ESC = r"""replace(replace(replace(substr(text, 1, 60) || '\n\"x\\', '\n', chr(10)), '\"', '"'), '\\', '\')"""
-on_table("po_unescape", "documents", lambda t: t.select("doc_id", labels.po_unescaped(F.concat(F.substring("text", 1, 60), F.lit('\\n\\"x\\\\'))).alias("out")), f"SELECT doc_id, {ESC} AS out FROM documents")
+ESC = r"""replace(replace(replace(text || '\n\"x\\', '\n', chr(10)), '\"', '"'), '\\', '\')"""
+on_table("po_unescape", "documents", lambda t: t.select("doc_id", labels.po_unescaped(F.concat(C("text"), F.lit('\\n\\"x\\\\'))).alias("out")), f"SELECT doc_id, {ESC} AS out FROM documents")
 on_table("truncate", "documents", lambda t: t.select("doc_id", labels.truncated(C("text"), 30).alias("out")), "SELECT doc_id, CASE WHEN length(text) > 30 THEN left(text, 27) || '...' ELSE text END AS out FROM documents")
 on_inputs(
     "upload_rules",
@@ -125,7 +127,12 @@ on_pages(
     f"SELECT page_id, extraction_status = 'processing' AS extracting, page_id % 2 <> 0 AND extraction_status = 'completed' AND translation_status = 'processing' AS translating, extraction_status = 'pending' AS pending, extraction_status = 'error' OR translation_status = 'error' AS error, {SHOW} AS content FROM w_pages",
 )
 on_pages("embedding_choice", lambda p: p.select("page_id", F.length(corpus.embedding_text(C("original_markdown"), C("translated_markdown"), False)).cast("long").alias("n")), "SELECT page_id, length(coalesce(translated_markdown, original_markdown)) AS n FROM w_pages")
-on_pages("embed_worker", lambda p: p.filter("extraction_status = 'completed'").select("page_id", F.length("original_markdown").cast("long").alias("n"), F.lit("completed").alias("embedding_status")), "SELECT page_id, length(original_markdown) AS n, 'completed' AS embedding_status FROM w_pages WHERE extraction_status = 'completed'")
+on_pages(
+    "embed_worker",
+    # a stand-in for the model: the vector of a text is its length; some texts are missing
+    lambda p: models.embedded_pages(p.withColumn("original_markdown", F.expr("CASE WHEN page_id % 6 <> 0 THEN original_markdown END")), lambda t: [len(t)], attempts=1).select("page_id", C("embedding")[0].cast("long").alias("n"), "embedding_status"),
+    "SELECT page_id, CASE WHEN page_id % 6 <> 0 THEN length(original_markdown) END AS n, 'completed' AS embedding_status FROM w_pages WHERE extraction_status = 'completed'",
+)
 on_pages("page_fsm", lambda p: p.select("page_id", lifecycle.page_action(C(E_), C(T_), C("original_markdown")).alias("action")), "SELECT page_id, CASE WHEN extraction_status = 'pending' THEN 'extract' WHEN extraction_status = 'completed' AND translation_status = 'pending' THEN CASE WHEN coalesce(original_markdown, '') <> '' THEN 'translate' ELSE 'complete_empty' END ELSE 'skip' END AS action FROM w_pages")
 MODELS = "CASE id % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE 'zz' END"
 by_id("model_allow_list", lambda: F.array_contains(F.array(F.lit("a"), F.lit("b")), F.expr(MODELS)) & F.array_contains(F.array(F.lit("a"), F.lit("b")), F.expr("CASE id % 3 WHEN 0 THEN 'a' ELSE 'c' END")), f"list_contains(['a', 'b'], {MODELS}) AND list_contains(['a', 'b'], CASE id % 3 WHEN 0 THEN 'a' ELSE 'c' END)")
@@ -171,14 +178,31 @@ on_documents(
     f"SELECT document_id, event, {fsm_sql()} FROM w_documents, (SELECT unnest(['start', 'complete', 'fail', 'reset']) AS event)",
 )
 on_documents("document_fsm_silent", lambda d: d.select("document_id", lifecycle.silently(C("status"), "processing").alias("processing"), lifecycle.silently(C("status"), "queued").alias("queued")), "SELECT document_id, CASE WHEN status IN ('uploading', 'extracting', 'queued') THEN 'processing' ELSE status END AS processing, CASE WHEN status = 'extracting' THEN 'queued' ELSE status END AS queued FROM w_documents")
-FAILURES = "FROM events WHERE event_type IN ('error', 'click')"
+FAILURES = "FROM events WHERE value > 60"
 on_table(
     "breaker_window",
     "events",
-    lambda t: lifecycle.breaker_opens(t.filter(C("event_type").isin("error", "click")), 3, 14_400, "event_type").select("event_id", "n", "open"),
+    lambda t: lifecycle.breaker_opens(t.filter("value > 60"), 3, 14_400, "event_type").select("event_id", "n", "open"),
     f"SELECT event_id, n, n > 3 AS open FROM (SELECT event_id, count(*) OVER (PARTITION BY event_type ORDER BY ts RANGE BETWEEN INTERVAL 14400 SECONDS PRECEDING AND CURRENT ROW) AS n {FAILURES})",
 )
-on_table("circuit_breaker", "events", lambda t: lifecycle.breaker_opens(t.filter("event_type = 'error'"), 5, 36_000, "event_type").filter("open").select("event_id", "n"), "SELECT event_id, n FROM (SELECT event_id, count(*) OVER (ORDER BY ts RANGE BETWEEN INTERVAL 36000 SECONDS PRECEDING AND CURRENT ROW) AS n FROM events WHERE event_type = 'error') WHERE n > 5")
+# failures are values above a limit; an opening is found from the time of the failure that is one more than the tolerated number back, and the next one only after the pause
+OPENINGS = """c AS (SELECT event_type AS fuse, epoch_us(ts) AS us, event_id AS id, value > 60 AS failed, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS n FROM events),
+f AS (SELECT *, lag(us, 3) OVER (PARTITION BY fuse ORDER BY n) AS back FROM c WHERE failed),
+o(fuse, n, opened) AS (
+  SELECT fuse, min(n), min(us) FROM f WHERE back >= us - 14400000000 GROUP BY fuse
+  UNION ALL
+  SELECT * FROM (SELECT o.fuse, (SELECT min(f.n) FROM f WHERE f.fuse = o.fuse AND f.back >= f.us - 14400000000 AND f.back >= o.opened + 1800000000) AS n,
+    (SELECT min(f.us) FROM f WHERE f.fuse = o.fuse AND f.back >= f.us - 14400000000 AND f.back >= o.opened + 1800000000) AS opened FROM o) WHERE n IS NOT NULL)"""
+
+
+@query(
+    "circuit_breaker",
+    f"WITH RECURSIVE {OPENINGS} SELECT c.fuse, c.us AS \"at\", c.id, CASE WHEN EXISTS (SELECT 1 FROM o WHERE o.fuse = c.fuse AND c.n > o.n AND c.us < o.opened + 1800000000) THEN 'rejected' WHEN failed THEN 'failed' ELSE 'ok' END AS outcome, EXISTS (SELECT 1 FROM o WHERE o.fuse = c.fuse AND o.n = c.n) AS opened FROM c",
+)
+def _(s, d):
+    """Every call of every fuse: more than three failures in four hours open it for half an hour."""
+    calls = w.table(s, d, "events").select(C("event_type").alias("fuse"), F.unix_micros(C("ts").cast("timestamp")).alias("at"), C("event_id").alias("id"), (C("value") > 60).alias("failed"))
+    return logs.breaker_calls(calls, 3, 14_400, 1_800)
 
 
 @query("breaker_status", "SELECT f AS fuse, coalesce((SELECT arg_max(CASE WHEN value > 10 THEN 'blown' ELSE 'ok' END, ts) FROM events WHERE event_type = f), 'not_found') AS state FROM (SELECT unnest(['error', 'click', 'none']) AS f)")
@@ -195,12 +219,13 @@ on_table("job_filter_json", "events", lambda t: t.filter((F.get_json_object("pro
 on_table("job_filter_any", "events", lambda t: t.filter(F.get_json_object("props", "$.k").isin("1", "2", "3")).select("event_id"), "SELECT event_id FROM events WHERE props->>'$.k' IN ('1', '2', '3')")
 on_table("job_reprocess_args", "events", lambda t: t.select("event_id", lifecycle.reprocess_args(C("event_id"), F.when(C("event_id") % 2 == 0, "m1"), F.when(C("event_id") % 3 == 0, "m2")).alias("args")), """SELECT event_id, '{"page_id":"' || event_id || '"' || CASE WHEN event_id % 2 = 0 THEN ',"extraction_model":"m1"' ELSE '' END || CASE WHEN event_id % 3 = 0 THEN ',"translation_model":"m2"' ELSE '' END || '}' AS args FROM events""")
 PRI = "CASE WHEN event_id % 5 = 0 THEN 1 ELSE 2 END"
-on_table("job_priority", "events", lambda t: t.withColumn("priority", F.expr(PRI)).orderBy("priority", "ts").limit(50).select("event_id", "priority"), f"SELECT event_id, {PRI} AS priority FROM events ORDER BY priority, ts LIMIT 50")
+on_table("job_priority", "events", lambda t: t.withColumn("priority", F.expr(PRI)).orderBy("priority", "ts", "event_id").select("event_id", "priority"), f"SELECT event_id, {PRI} AS priority FROM events ORDER BY priority, ts, event_id")
 on_table(
     "priority_queue",
     "events",
     lambda t: lifecycle.queued(t.select(C("event_id").alias("seq"), "user_id", F.when(C("event_type") == "error", "high").otherwise("normal").alias("priority")), 10, "user_id").select("seq", C("place").cast("long").alias("place"), "accepted"),
-    "SELECT seq, row_number() OVER (PARTITION BY user_id ORDER BY high DESC, CASE WHEN high = 1 THEN -seq ELSE seq END) AS place, row_number() OVER (PARTITION BY user_id ORDER BY seq) <= 10 AS accepted FROM (SELECT event_id AS seq, user_id, (event_type = 'error')::INT AS high FROM events)",
+    # a full queue refuses; among the accepted the high ones come first, the newest before older ones
+    "SELECT seq, CASE WHEN accepted THEN row_number() OVER (PARTITION BY user_id, accepted ORDER BY high DESC, CASE WHEN high = 1 THEN -seq ELSE seq END) END AS place, accepted FROM (SELECT *, count(*) OVER (PARTITION BY user_id ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) < 10 AS accepted FROM (SELECT event_id AS seq, user_id, (event_type = 'error')::INT AS high FROM events))",
 )
 JOBS = "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN '{\"page_id\":\"' || event_id || '\"}' WHEN 1 THEN '{\"document_id\":\"src' || event_id % 20 || '-en\"}' ELSE '{}' END AS args, CASE event_id % 4 WHEN 0 THEN 'available' WHEN 1 THEN 'executing' WHEN 2 THEN 'retryable' ELSE 'scheduled' END AS state FROM {t}"
 
@@ -218,14 +243,90 @@ def _(s, d):
     return lifecycle.cancelled(jobs, doc.filter("status = 'processing'").select("document_id"), p.select("page_id", "document_id")).select("id", "state")
 
 
-@query("queue_ops", "SELECT event_type AS queue, arg_min(event_id, ts) AS next, count(*) FILTER (value > 10) AS completed, count(*) FILTER (value <= 1) AS failed FROM events GROUP BY 1")
+OPS = "CASE event_id % 8 WHEN 3 THEN 'next' WHEN 4 THEN 'complete' WHEN 5 THEN 'timeout' WHEN 6 THEN 'remove' WHEN 7 THEN CASE WHEN event_id % 5 = 0 THEN 'clear' ELSE 'next' END ELSE 'add' END"
+
+
+@query(
+    "queue_ops",
+    f"""WITH RECURSIVE e AS (SELECT user_id % 40 AS queue, event_id AS seq, row_number() OVER w AS n, {OPS} AS op, CASE WHEN {OPS} = 'add' THEN event_id ELSE lag(event_id) OVER w END AS id, event_type = 'error' AS high FROM events WINDOW w AS (PARTITION BY user_id % 40 ORDER BY event_id)),
+s AS (SELECT queue, NULL::BIGINT AS seq, 0::BIGINT AS n, []::BIGINT[] AS q, NULL::VARCHAR AS result, 0::BIGINT AS completed, 0::BIGINT AS failed FROM e GROUP BY queue
+  UNION ALL
+  SELECT e.queue, e.seq, e.n,
+    CASE op WHEN 'add' THEN CASE WHEN len(q) >= 10 THEN q WHEN high THEN list_prepend(e.id, q) ELSE list_append(q, e.id) END WHEN 'next' THEN q[2:] WHEN 'remove' THEN list_filter(q, lambda x: e.id IS NULL OR x <> e.id) ELSE q END,
+    CASE op WHEN 'add' THEN CASE WHEN len(q) >= 10 THEN 'queue_full' ELSE 'ok' END WHEN 'next' THEN coalesce(q[1]::VARCHAR, 'empty') ELSE 'ok' END,
+    CASE op WHEN 'complete' THEN completed + 1 WHEN 'clear' THEN 0 ELSE completed END, failed + (op = 'timeout')::BIGINT
+  FROM s JOIN e ON e.queue = s.queue AND e.n = s.n + 1)
+SELECT queue, seq, result, len(q) AS pending, completed, failed FROM s WHERE n > 0""",
+)
+def _(s, d):
+    """Every operation on every queue: its result and what the queue holds after it."""
+    events = w.table(s, d, "events").select((C("user_id") % 40).alias("queue"), C("event_id").alias("seq"), F.expr(OPS).alias("op"), (C("event_type") == "error").alias("high"))
+    target = F.when(C("op") == "add", C("seq")).otherwise(F.lag("seq").over(Window.partitionBy("queue").orderBy("seq")))
+    return logs.queue_log(events.withColumn("id", target))
+
+
+KINDS = "CASE event_id % 5 WHEN 1 THEN 'reply' WHEN 2 THEN 'reply' WHEN 3 THEN 'error' ELSE 'ask' END"
+
+
+@query(
+    "chat_async",
+    f"""WITH RECURSIVE e AS (SELECT user_id % 40 AS conversation, event_id AS seq, row_number() OVER w AS n, {KINDS} AS kind, CASE WHEN {KINDS} = 'ask' THEN event_id ELSE lag(event_id, CASE WHEN event_id % 3 = 0 THEN 2 ELSE 1 END) OVER w END AS ref, event_id % 11 <> 0 AS worded FROM events WINDOW w AS (PARTITION BY user_id % 40 ORDER BY event_id)),
+s AS (SELECT conversation, NULL::BIGINT AS seq, 0::BIGINT AS n, NULL::BIGINT AS waiting, NULL::VARCHAR AS outcome, 0::BIGINT AS history FROM e GROUP BY conversation
+  UNION ALL
+  SELECT e.conversation, e.seq, e.n,
+    CASE WHEN kind = 'ask' THEN CASE WHEN waiting IS NULL AND worded THEN e.ref ELSE waiting END WHEN waiting = e.ref THEN NULL ELSE waiting END,
+    CASE WHEN kind = 'ask' THEN CASE WHEN waiting IS NULL AND worded THEN 'asked' ELSE 'ignored' END WHEN waiting IS NULL OR e.ref IS NULL OR waiting <> e.ref THEN 'stale' WHEN kind = 'error' THEN 'failed' ELSE 'answered' END,
+    CASE WHEN kind = 'reply' AND waiting = e.ref THEN least(16, history + 2) ELSE history END
+  FROM s JOIN e ON e.conversation = s.conversation AND e.n = s.n + 1)
+SELECT conversation, seq, outcome, history FROM s WHERE n > 0""",
+)
+def _(s, d):
+    """Questions and answers of many conversations: one question at a time, answers to others are stale."""
+    events = w.table(s, d, "events").select((C("user_id") % 40).alias("conversation"), C("event_id").alias("seq"), F.expr(KINDS).alias("kind"), F.when(C("event_id") % 11 != 0, "why?").otherwise("  ").alias("text"))
+    order = Window.partitionBy("conversation").orderBy("seq")
+    back = F.when(C("seq") % 3 == 0, F.lag("seq", 2).over(order)).otherwise(F.lag("seq").over(order))
+    return logs.chat_log(events.withColumn("ref", F.when(C("kind") == "ask", C("seq")).otherwise(back)))
+
+
+JOB = "event_id AS id, CASE user_id % 5 WHEN 0 THEN 'pdf_extraction' WHEN 1 THEN 'llm_processing' WHEN 2 THEN 'embedding_generation' WHEN 3 THEN 'health_check' ELSE 'other' END AS queue, CASE WHEN event_id % 900 = 0 THEN 'executing' WHEN event_id % 4 = 0 THEN 'retryable' WHEN event_id % 4 = 1 THEN 'completed' ELSE 'available' END AS state, CAST(event_id % 5 AS INT) AS attempt, CAST(event_id % 3 AS INT) AS priority"
+
+
+@query(
+    "job_queues",
+    f"""WITH j AS (SELECT {JOB} FROM events), q AS (SELECT * FROM (VALUES ('pdf_extraction', 1), ('llm_processing', 1), ('embedding_generation', 5), ('health_check', 1)) t(queue, places)),
+b AS (SELECT queue, count(*) AS busy FROM j WHERE state = 'executing' GROUP BY 1),
+r AS (SELECT id, row_number() OVER (PARTITION BY queue ORDER BY priority, id) AS n FROM j WHERE state IN ('available', 'retryable') AND attempt < 3)
+SELECT id, CASE WHEN state = 'executing' THEN 'goes_on' WHEN state NOT IN ('available', 'retryable') THEN 'none' WHEN attempt >= 3 THEN 'discard' WHEN n <= coalesce(places, 0) - coalesce(busy, 0) THEN 'run' ELSE 'wait' END AS decision
+FROM j LEFT JOIN q USING (queue) LEFT JOIN b USING (queue) LEFT JOIN r USING (id)""",
+)
 def _(s, d):
-    return w.table(s, d, "events").groupBy(C("event_type").alias("queue")).agg(F.min_by("event_id", "ts").alias("next"), F.count(F.when(C("value") > 10, 1)).alias("completed"), F.count(F.when(C("value") <= 1, 1)).alias("failed"))
+    from .operators import health
+
+    return health.assigned(w.table(s, d, "events").selectExpr(*w._columns(JOB))).select("id", "decision")
+
+
+def _cron(t):
+    from .operators import health
+
+    return t.select("event_id", health.cron_matches(C("ts"), health.CRON["health_check"]).alias("health"), health.cron_matches(C("ts"), "*/15,7 8-17 * * 1-5").alias("office"))
+
+
+on_table("cron_health", "events", _cron, "SELECT event_id, true AS health, (minute(ts) % 15 = 0 OR minute(ts) = 7) AND hour(ts) BETWEEN 8 AND 17 AND dayofweek(ts) BETWEEN 1 AND 5 AS office FROM events")
+
+
+@query("sweep_schedule", "SELECT max(ts)::VARCHAR AS last_sweep, count(*) AS sweep_count, arg_max(CASE WHEN value > 60 THEN 'error: ' || event_type ELSE 'ok: ' || user_id END, ts) AS last_result, (max(ts) + INTERVAL 6 HOURS)::VARCHAR AS next_sweep FROM events WHERE ts IN (SELECT ts FROM events GROUP BY ts HAVING count(*) = 1)")
+def _(s, d):
+    from .operators import health
+
+    events = w.table(s, d, "events")
+    sweeps = events.join(events.groupBy("ts").count().filter("count = 1").select("ts"), "ts")  # one sweep at a time
+    status = health.sweep_status(sweeps.select("ts", C("user_id").alias("n"), F.when(C("value") > 60, C("event_type")).alias("error")))
+    return status.select(*(C(c).cast("string").alias(c) if c.endswith("_sweep") else C(c) for c in status.columns))
 
 
 on_documents("topic_broadcast", lambda d: lifecycle.topics(d.select("document_id", "status")), "SELECT document_id, status, unnest(['document:' || document_id, 'documents']) AS topic FROM w_documents")
 on_table("task_timeout", "events", lambda t: t.select("event_id", lifecycle.stale(C("ts"), F.expr("timestamp'2024-01-15 00:00:00'"), 360).alias("stale")), "SELECT event_id, ts < TIMESTAMP '2024-01-15 00:00:00' - INTERVAL 360 SECONDS AS stale FROM events")
-on_both("startup_recovery", lambda d, p: d.filter(C("status").isin("processing", "queued")).join(p.filter("extraction_status = 'pending'"), "document_id").select("page_id", "document_id"), "SELECT page_id, document_id FROM w_pages JOIN w_documents d USING (document_id) WHERE d.status IN ('processing', 'queued') AND extraction_status = 'pending'")
+on_both("startup_recovery", lambda d, p: lifecycle.recovered(d, p), "SELECT page_id, document_id FROM w_pages JOIN w_documents d USING (document_id) WHERE d.status IN ('processing', 'queued') AND extraction_status = 'pending'")
 
 # --- answers ------------------------------------------------------------------------------------------------------------
 
@@ -254,9 +355,24 @@ _lines = " || chr(10) || ".join("'" + x.replace("'", "''") + "'" for x in rag.GR
 query("system_prompt", f"{FOUND} SELECT {_lines} AS prompt FROM ({CONTEXT})")(lambda s, d: rag.context(found(s, d)).select(rag.system_prompt(F.lit("T"), C("context")).alias("prompt")))
 
 
-@query("rag_answer")
+QUESTION = "CASE WHEN conv_id % 7 = 0 THEN '  ' ELSE ' what is ' || conv_id || '? ' END"
+
+
+@query(
+    "rag_answer",
+    f"{FOUND}, c AS ({CONTEXT}), past AS (SELECT conv_id, string_agg(role || ':' || text, '|' ORDER BY turn) AS past FROM ({LAST.format(8)}) GROUP BY 1) "
+    f"SELECT (SELECT source || '-' || lang FROM documents WHERE doc_id = {QUERY_VECTOR}) AS document_id, conv_id, trim({QUESTION}) || ' after ' || md5(past) AS answer FROM past, c WHERE trim({QUESTION}) <> ''",
+)
 def _(s, d):
-    """Up to the model's answer, with a model that repeats the question: rows only."""
+    """A question in every conversation, each with its own history; the model repeats the question and a digest of the history."""
+    import hashlib
+
     doc, p = docs_pages(s, d)
-    asked = rag.ask(p, doc, own_document(s, d), " what is it? ", vector(s, d), rag.history(w.table(s, d, "conversations").filter("conv_id = 0")), 3, -0.2)
-    return rag.answered(asked, lambda messages: "```\n" + messages[-1]["content"] + "\n```")
+    past = rag.history(w.table(s, d, "conversations"))
+    asked = rag.ask_each(past.select("conv_id", F.expr(QUESTION).alias("question")), p, doc, own_document(s, d), vector(s, d), past, 3, -0.2)
+
+    def model(messages):
+        old = "|".join(f"{m['role']}:{m['content']}" for m in messages[1:-1])
+        return f"```\n{messages[-1]['content']} after {hashlib.md5(old.encode()).hexdigest()}\n```"
+
+    return rag.answered(asked, model)

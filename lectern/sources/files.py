@@ -18,6 +18,11 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, is_dir boolean, mtime double").withColumn("mtime", F.col("mtime").cast("timestamp"))
 
 
+def older_than(listed: DataFrame, hours: int, now: Column) -> DataFrame:
+    """The directories (name, is_dir, mtime) of a listing that were last changed more than so many hours before now; without a time none is."""
+    return listed.filter(F.col("is_dir") & (F.col("mtime") < now - F.expr(f"INTERVAL {hours} HOURS")))
+
+
 def sweep(spark: SparkSession, root: str, orphans: DataFrame, dry_run: bool = False) -> int:
     """Deletes the named directories below root and returns how many there were; a dry run only counts."""
     if dry_run:

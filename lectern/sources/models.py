@@ -1,4 +1,4 @@
-"""External models as injected callables: they run in batches inside mapInPandas, retry, and keep a breaker for each partition."""
+"""External models as injected callables: they run in batches inside mapInPandas, retry, and have one breaker for each service in a worker."""
 
 from __future__ import annotations
 
@@ -43,6 +43,18 @@ class Breaker:
             self.opened = now
 
 
+#: By service: failures that are tolerated, within so many seconds, and seconds for which the breaker stays open.
+SERVICES = {"model_api": (5, 60.0, 30.0), "embedding_api": (3, 30.0, 15.0)}
+_BREAKERS: dict[str, Breaker] = {}
+
+
+def breaker_of(service: str) -> Breaker:
+    """The breaker of a service in this worker: all partitions that the worker runs share it. Workers do not see each other's failures."""
+    if service not in _BREAKERS:
+        _BREAKERS[service] = Breaker(*SERVICES.get(service, (5, 60.0, 30.0)))
+    return _BREAKERS[service]
+
+
 def cleaned(text: str | None) -> str:
     """A model's reply, trimmed and without fences around it; an empty reply is an error."""
     out = re.sub(r"\n?```\s*\Z", "", re.sub(r"\A```[^\n]*\n", "", (text or "").strip())).strip()
@@ -67,9 +79,9 @@ def called(call: Callable, *args, attempts: int = 3, delay: Callable[[int], floa
     return None
 
 
-def _applied(df: DataFrame, key: str, column: str, kind: str, one: Callable, **how) -> DataFrame:
+def _applied(df: DataFrame, key: str, column: str, kind: str, one: Callable, service: str = "model_api", **how) -> DataFrame:
     def run(batches):
-        breaker = Breaker()
+        breaker = breaker_of(service)
         for batch in batches:
             rows = []
             for k, value in zip(batch[key], batch[column], strict=True):
@@ -94,7 +106,7 @@ def read_images(df: DataFrame, key: str, content: str, model: Callable[[str], st
 
 def embedded(df: DataFrame, key: str, column: str, model: Callable[[str], list[float]], **how) -> DataFrame:
     """(key, value, error): a vector for each text; null and empty texts have none, and that is no error."""
-    return _applied(df, key, column, "array<float>", lambda t: [float(x) for x in model(t)] if t else None, **how)
+    return _applied(df, key, column, "array<float>", lambda t: [float(x) for x in model(t)] if t else None, **{"service": "embedding_api", **how})
 
 
 def chat(messages: list[dict], model: Callable[[list[dict]], str], **how) -> str:
@@ -108,3 +120,9 @@ def model_names(tags: dict) -> list[str]:
 
 def allowed(wanted: list[str | None], available: list[str]) -> bool:
     return all(w in available for w in wanted if w)
+
+
+def embedded_pages(pages: DataFrame, model: Callable[[str], list[float]], **how) -> DataFrame:
+    """(page_id, embedding, embedding_status) of the extracted pages: vectors of their original texts. A page without text is completed without a vector."""
+    done = pages.filter("extraction_status = 'completed'")
+    return embedded(done, "page_id", "original_markdown", model, **how).selectExpr("page_id", "value AS embedding", "CASE WHEN error IS NULL THEN 'completed' ELSE 'error' END AS embedding_status")

@@ -18,7 +18,7 @@ CASE doc_id % 5 WHEN 0 THEN 'application/pdf' WHEN 1 THEN 'text/rtf' WHEN 2 THEN
 CASE WHEN doc_id % 9 = 0 THEN NULL ELSE doc_id * 500000 END AS size,
 CASE doc_id % 6 WHEN 0 THEN lang WHEN 1 THEN ' ' || upper(lang) || ' ' WHEN 2 THEN 'xx' WHEN 3 THEN NULL WHEN 4 THEN 'pl' ELSE '' END AS language,
 CASE doc_id % 7 WHEN 0 THEN '  ' WHEN 1 THEN NULL ELSE ' Title ' || CAST(doc_id AS VARCHAR(20)) || ' ' END AS title,
-CASE doc_id % 6 WHEN 0 THEN 'ab' WHEN 1 THEN text WHEN 2 THEN substr(text, 1, 40) WHEN 3 THEN 'x <script> y' WHEN 4 THEN NULL ELSE '  ' || substr(text, 1, 3) || '  ' END AS query,
+CASE doc_id % 6 WHEN 0 THEN 'ab' WHEN 1 THEN text WHEN 2 THEN source || ' ' || lang WHEN 3 THEN 'x <script> y' WHEN 4 THEN NULL ELSE '  ' || lang || ' ' END AS query,
 CASE doc_id % 6 WHEN 0 THEN 'pending' WHEN 1 THEN 'in_progress' WHEN 2 THEN 'completed' WHEN 3 THEN 'failed' WHEN 4 THEN 'processing' ELSE NULL END AS step,
 text, lang, source"""
 
