@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import shutil
 import tempfile
@@ -169,3 +170,11 @@ def steps(ascending: np.ndarray) -> bytes:
 def climbed(data: bytes) -> np.ndarray:
     """The numbers that steps has packed."""
     return np.cumsum(numbers(data, np.uint64), dtype=np.uint64)
+
+
+def give_back() -> None:
+    """Returns freed memory of a worker to the system, which else stays with it from stage to stage."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)

@@ -35,13 +35,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bucketed, climbed, fold, numbers, planes, prepare, steps, stored, words
+from .common import arrow_schema, bucketed, climbed, fold, give_back, numbers, planes, prepare, steps, stored, words
 
 #: Strength of the priors in tokens, for the second and the third level: of a few pairs those that gave held-out text of the test tables the best scores.
 MU = (1000.0, 3.0)
 
 #: Tokens in a block at most, and about in a part of a shard and in a shard.
-BLOCK, PART, SHARD = 4_000_000, 3_000_000, 8_000_000
+BLOCK, PART, SHARD = 3_400_000, 1_500_000, 6_000_000
 
 #: The names of the end and the start token; no word contains white space.
 NAMES = (b" end", b" start")
@@ -469,6 +469,7 @@ def blocks(batches, most: int = BLOCK) -> Iterator[Block]:
             if n >= most:
                 yield done()
                 of, ids, known, held, n, number = [], [], [], [], 0, fresh_numbers()
+                give_back()
     if of:
         yield done()
 
@@ -528,6 +529,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
         base = TaskContext.get().partitionId() << 20
         for serial, block in enumerate(blocks(batches, block_tokens)):
             yield pa.RecordBatch.from_arrays([pa.array([base + serial]), pa.array([block.dump()], pa.binary())], schema=arrow_schema("block long, payload binary"))
+        give_back()
 
     cores = spark.sparkContext.defaultParallelism
     table = bucketed(source.mapInArrow(tokenise, "block long, payload binary"), "blocks", "block", min(50_000, max(2 * cores, source.rdd.getNumPartitions())))
@@ -555,6 +557,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
                 block = Block.load(data.as_py())
                 block.deal(shards * parts, sent.value[0], sent.value[2])
                 counts = block.counts()
+                give_back()
                 for s in range(shards):
                     asked = [question(block, counts, s * parts + k) for k in range(parts)]
                     if any(asked):
@@ -572,6 +575,7 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
                 for i, x in zip(some, part_answers([asked[i][k] for i in some], *sent.value[:2], mu), strict=True):
                     found[i][k] = x
                     asked[i][k] = b""
+                give_back()
         for name, x in zip(names, found, strict=True):
             yield pa.RecordBatch.from_arrays([pa.array([name]), key_array(key), pa.array([_join(*x)], pa.binary())], ["block", "shard", "payload"])
 
@@ -603,7 +607,10 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
             "base_score": pa.array(np.add.reduceat(np.log10(plain), block.starts)),
             "score": pa.array(np.add.reduceat(np.log10(smoothed), block.starts)),
         }
-        return pa.Table.from_pydict(cols, schema=arrow_schema(SCORED))
+        out = pa.Table.from_pydict(cols, schema=arrow_schema(SCORED))
+        del cols, known, plain, smoothed, mass_2, back_2, mass_3, block, each
+        give_back()
+        return out
 
     answers = table.mapInArrow(ask, "block long, shard int, payload binary").groupBy("shard").applyInArrow(answer, "block long, shard int, payload binary")
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)
