@@ -1,12 +1,14 @@
 """Toxicity by nearest labelled examples under exact TF-IDF cosine.
 
-Terms are all words of a text, in lower case, weighted by 1 + log of their number and by the smoothed inverse document frequency in the sample; words that no
-example has count in a text's length. Every sampled example of both labels is in the index: each term has its examples in order of place, in blocks.
+Terms are all words of a text, in lower case, and the beginnings of longer words, by which inflected and compound words meet; weighted by 1 + log of their number and
+by the smoothed inverse document frequency in the sample. Terms that fewer than one in LEAST examples has are left out, whatever their labels: they are most of
+the words of a corpus, and in the texts' lengths they outweigh all that texts share. Every sampled example of both labels with a term is in the index: each term has its
+examples in order of place, in blocks.
 Terms of many examples (common ones) also lie in dense columns with the greatest weight in each block. A query's bound for a block is the greatest score there by
 its rarer terms, which is exact, plus the sum of its common weights times these maxima; blocks are searched by falling bound until no other block can hold one of the k
-nearest, which are exact. Neighbours vote with weights that rise as the distance falls. The votes become a score by a logistic curve that is
-learned on the examples, each scored without itself, and weighted to the labels' true shares; the nearest examples' ids are the evidence. Texts that
-share no word with an example score the share of label 1.
+nearest, which are exact. Neighbours vote with weights that rise as the distance falls. The votes of the few nearest, of more and of all of them become a score by a
+logistic curve that is learned on the examples, each scored without itself, and weighted to the labels' true shares; the nearest examples' ids are the evidence.
+Texts that share no term with an example score the share of label 1.
 
 Learned from a bounded sample, in one task: of each label the rows with the smallest hash of their id, label 1 first up to half of SAMPLE, so that all
 examples of a rare label are learned. The index that is broadcast is bounded by the sample's words. Only text is an input of a score; whole texts are read.
@@ -32,6 +34,15 @@ from .common import arrow_schema, fold, labelled, prepare
 
 SAMPLE, BLOCK, NEAREST = 6000, 64, 16
 
+#: A term is had by at least one in so many examples.
+LEAST = 50
+
+#: Letters of the beginnings of words that are terms beside the words.
+BEGINNINGS = (3, 4, 5)
+
+#: Votes are counted among so many nearest examples, and among all that are sought.
+FEW = (5, NEAREST)
+
 #: A term that at least one in so many examples has is common: its weights lie in a dense column.
 COMMON = 8
 
@@ -41,16 +52,28 @@ GROUP = 64
 _words = re.compile(r"\w+").findall
 
 
+def terms(text: str) -> Counter:
+    """The words of a text and the beginnings of longer ones, marked by a star, with their numbers."""
+    counts = Counter(_words(text.lower()))
+    found = counts.copy()
+    for w, c in counts.items():
+        for n in BEGINNINGS:
+            if len(w) <= n:
+                break
+            found[w[:n] + "*"] += c
+    return found
+
+
 class NearestExamples:
     def __init__(self, examples: list[tuple[int, str, int]], of_labels: tuple[int, int] | None = None):
         """examples: (id, text, label), in any order; of_labels: the rows of label 0 and of label 1 that they were drawn from, if not all are here."""
         examples = sorted(examples, key=lambda e: (e[0], e[2], e[1]))
-        counts = [Counter(_words(text.lower())) for _, text, _ in examples]
+        counts = [terms(text) for _, text, _ in examples]
         having = Counter(w for c in counts for w in c)
-        self.term = {w: k for k, w in enumerate(sorted(having))}
+        self.term = {w: k for k, w in enumerate(sorted(w for w, n in having.items() if n * LEAST >= len(examples)))}
         self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + having[w])) for w in self.term])
-        self.unknown = 1 + math.log(1 + len(examples))
-        rows = [(i, y, self._weights(c)) for (i, _, y), c in zip(examples, counts, strict=True) if c]
+        rows = [(i, y, self._weights(c)) for (i, _, y), c in zip(examples, counts, strict=True)]
+        rows = [r for r in rows if len(r[2][0])]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
         self.n_blocks = -(-len(rows) // BLOCK)
@@ -97,22 +120,11 @@ class NearestExamples:
         return out
 
     def _weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
-        """Known terms of a text and their weights; the text's length is 1 with its unknown words."""
-        term, known, n, unknown = self.term, [], [], 0.0
-        for w, c in counts.items():
-            k = term.get(w)
-            if k is None:
-                unknown += (self.unknown * (1 + math.log(c))) ** 2
-            else:
-                known.append(k)
-                n.append(c)
-        at = np.array(known, np.int64)
-        weight = (1 + np.log(np.array(n, float))) * self.idf[at]
-        length = math.sqrt(float(weight @ weight) + unknown)
-        return at, weight / length if length else weight
-
-    def _vector(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return self._weights(Counter(words))
+        """The index's terms in a text and their weights, of length 1 together."""
+        found = [(k, c) for w, c in counts.items() if (k := self.term.get(w)) is not None]
+        at, n = np.array(found, np.int64).reshape(-1, 2).T
+        weight = (1 + np.log(n)) * self.idf[at]
+        return at, weight / math.sqrt(float(weight @ weight)) if len(at) else weight
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int | None = None):
         """For each vector the places and cosines of its k nearest examples that share a term, in order. With but, vector j is example but + j and leaves itself out."""
@@ -161,15 +173,17 @@ class NearestExamples:
 
     def nearest(self, text: str, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, in order."""
-        return next(self._nearest([self._vector(_words(text.lower()))], k))
+        return next(self._nearest([self._weights(terms(text))], k))
 
-    def _votes(self, at: np.ndarray, cosine: np.ndarray) -> float:
-        """The share of label 1 among neighbours, weighted by nearness: 20 at distance 0, almost nothing if little is shared."""
+    def _votes(self, at: np.ndarray, cosine: np.ndarray) -> list[float]:
+        """The shares of label 1 among the FEW nearest and all neighbours, weighted by nearness: 20 at distance 0, almost nothing if little is shared."""
+        if not len(at):
+            return [self.share] * (len(FEW) + 1)
         vote = cosine / (0.05 + np.maximum(0.0, 1 - cosine))
-        return float(vote @ self.labels[at] / vote.sum()) if len(at) else self.share
+        return [float(vote[:k] @ self.labels[at[:k]] / vote[:k].sum()) for k in (*FEW, None)]
 
     def _calibrate(self, vectors: list[tuple[np.ndarray, np.ndarray]], n0: int, n1: int) -> None:
-        """The logistic curve from votes to the share of label 1 among n0 + n1 rows, by Newton's steps on the examples, each without itself."""
+        """The logistic curve from the votes to the share of label 1 among n0 + n1 rows, by Newton's steps on the examples, each without itself."""
         y = self.labels
         self.curve, self.share = None, float(y.mean()) if len(y) else self.prior
         if not 0 < self.share < 1 or not n0 or not n1:
@@ -177,22 +191,22 @@ class NearestExamples:
         groups = range(0, len(vectors), GROUP)
         x = np.array([self._votes(*found) for g in groups for found in self._nearest(vectors[g : g + GROUP], self.reach, g)])
         weight = np.where(y == 1, n1 / self.share, n0 / (1 - self.share)) / (n0 + n1)
-        middle, spread = x.mean(), x.std() + 1e-9
-        z = np.stack((np.ones(len(x)), (x - middle) / spread), axis=1)
-        b, ridge = np.zeros(2), np.diag([1e-3, 1.0])
+        middle, spread = x.mean(axis=0), x.std(axis=0) + 1e-9
+        z = np.hstack((np.ones((len(x), 1)), (x - middle) / spread))
+        b, ridge = np.zeros(z.shape[1]), np.diag([1e-3] + [1.0] * x.shape[1])
         for _ in range(30):
             p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
             b += np.linalg.solve((z * (weight * p * (1 - p))[:, None]).T @ z + ridge, z.T @ (weight * (y - p)) - ridge @ b)
-        self.curve = float(b[0] - b[1] * middle / spread), float(b[1] / spread)
+        self.curve = float(b[0] - b[1:] @ (middle / spread)), b[1:] / spread
 
     def scores(self, texts: list[str]):
         """For each text the score, the ids of the nearest examples and the cosine of the nearest one."""
         for g in range(0, len(texts), GROUP):
-            for at, cosine in self._nearest([self._vector(_words(t.lower())) for t in texts[g : g + GROUP]], self.reach):
+            for at, cosine in self._nearest([self._weights(terms(t)) for t in texts[g : g + GROUP]], self.reach):
                 if not len(at) or self.curve is None:
                     score = self.prior
                 else:
-                    score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + self.curve[1] * self._votes(at, cosine)))))
+                    score = 1 / (1 + math.exp(-max(-30.0, min(30.0, self.curve[0] + float(self.curve[1] @ self._votes(at, cosine))))))
                 yield score, self.ids[at[:3]].tolist(), float(cosine[0]) if len(at) else 0.0
 
 

@@ -75,7 +75,7 @@ def test_block_max_search_is_exact():
     assert np.allclose(np.linalg.norm(dense, axis=1), 1)
     for _, text, _ in examples[:300]:
         at, cosine = index.nearest(text)
-        terms, weights = index._vector(re.findall(r"\w+", text))
+        terms, weights = index._weights(toxicity.terms(text))
         scores = dense[:, terms] @ weights if len(terms) else np.zeros(len(dense))
         want = [k for k in np.lexsort((np.arange(len(scores)), -np.round(scores, 12)))[: toxicity.NEAREST] if scores[k] > 0]
         assert at.tolist() == want and np.allclose(cosine, scores[want])
@@ -90,9 +90,13 @@ def test_whole_texts_of_both_labels_are_searched():
     assert list(index.scores(["nothing shared"])) == [(index.prior, [], 0.0)]
 
 
-def test_words_that_no_example_has_lengthen_a_text():
-    index = toxicity.NearestExamples([(1, "one two", 0), (2, "three four", 1)])
-    assert index.nearest("one two")[1][0] == pytest.approx(1) and index.nearest("one two unheard of")[1][0] < 0.7
+def test_terms_are_words_and_beginnings_that_enough_examples_have():
+    assert toxicity.terms("Über-see Überseen") == {"über": 1, "see": 1, "überseen": 1, "übe*": 2, "über*": 1, "übers*": 1}
+    assert toxicity.terms("") == {}
+    index = toxicity.NearestExamples([(i, f"tree only{chr(97 + i % 26)}{i}" + " vile" * (i < 2), int(i < 2)) for i in range(100)])
+    assert "vile" in index.term and "tree" in index.term and "only*" in index.term and "onlya0" not in index.term
+    assert index.nearest("vile")[0].tolist() == [0, 1] and len(index.nearest("onlya0x")[0]) == toxicity.NEAREST
+    assert len(index.nearest("nothing")[0]) == 0
 
 
 def test_all_examples_of_a_rare_label_are_learned(spark):
@@ -144,16 +148,17 @@ def test_query_of_toxicity_against_brute_force(spark, data):
     index = pickle.loads(packed)
     texts = {r.doc_id: r.text or "" for r in docs.collect()}
     learned = sorted({(r.doc_id, r.toxic) for r in labels.collect() if r.toxic in (0, 1) and zlib.crc32(str(r.doc_id).encode()) % 3 != 1 and r.doc_id in texts})
-    count = {i: Counter(re.findall(r"\w+", texts[i].lower())) for i in texts}
+    found = {i: re.findall(r"\w+", texts[i].lower()) for i in texts}
+    count = {i: Counter([*of, *(w[:n] + "*" for n in (3, 4, 5) for w in of if len(w) > n)]) for i, of in found.items()}
     having = Counter(w for i, _ in learned for w in count[i])
 
     def vector(c):
-        v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(learned)) / (1 + having[w]))) for w, n in c.items()}
+        v = {w: (1 + math.log(n)) * (1 + math.log((1 + len(learned)) / (1 + having[w]))) for w, n in c.items() if having[w] >= len(learned) / 50}
         length = math.sqrt(sum(x * x for x in v.values())) or 1.0
         return {w: x / length for w, x in v.items()}
 
     vectors = {i: vector(count[i]) for i in texts}
-    examples = [(i, y) for i, y in learned if count[i]]
+    examples = [(i, y) for i, y in learned if vectors[i]]
     assert index.ids.tolist() == [i for i, _ in examples]
     got = {r.doc_id: r for r in toxicity.apply_index(docs, packed).collect()}
     assert set(got) == set(texts)
@@ -164,8 +169,8 @@ def test_query_of_toxicity_against_brute_force(spark, data):
             assert got[i].score == index.prior
             continue
         votes = [(c / (0.05 + 1 - min(1.0, c)), examples[k][1]) for c, k in cosines]
-        share = sum(v * y for v, y in votes) / sum(v for v, _ in votes)
-        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(index.curve[0] + index.curve[1] * share))), rel=1e-6, abs=1e-9)
+        shares = [sum(v * y for v, y in votes[:k]) / sum(v for v, _ in votes[:k]) for k in (5, 16, None)]
+        assert got[i].score == pytest.approx(1 / (1 + math.exp(-(index.curve[0] + sum(b * x for b, x in zip(index.curve[1], shares, strict=True))))), rel=1e-6, abs=1e-9)
         assert got[i].similarity == pytest.approx(cosines[0][0], abs=1e-9)
 
 
