@@ -41,7 +41,7 @@ LEAST = 50
 BEGINNINGS = (3, 4, 5)
 
 #: Votes are counted among so many nearest examples, and among all that are sought.
-FEW = (5, NEAREST)
+FEW = (3, 8, NEAREST)
 
 #: A term that at least one in so many examples has is common: its weights lie in a dense column.
 COMMON = 8
@@ -49,30 +49,27 @@ COMMON = 8
 #: So many texts are weighed at once.
 GROUP = 64
 
+#: Words of so many letters at most, and so many of them, are remembered with their terms.
+KNOWN_LETTERS, KNOWN = 32, 100_000
+
 _words = re.compile(r"\w+").findall
 
 
-def terms(text: str) -> Counter:
-    """The words of a text and the beginnings of longer ones, marked by a star, with their numbers."""
-    counts = Counter(_words(text.lower()))
-    found = counts.copy()
-    for w, c in counts.items():
-        for n in BEGINNINGS:
-            if len(w) <= n:
-                break
-            found[w[:n] + "*"] += c
-    return found
+def terms(text: str) -> set[str]:
+    """The words of a text and the beginnings of longer ones, marked by a star."""
+    found = set(_words(text.lower()))
+    return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
 class NearestExamples:
     def __init__(self, examples: list[tuple[int, str, int]], of_labels: tuple[int, int] | None = None):
         """examples: (id, text, label), in any order; of_labels: the rows of label 0 and of label 1 that they were drawn from, if not all are here."""
         examples = sorted(examples, key=lambda e: (e[0], e[2], e[1]))
-        counts = [terms(text) for _, text, _ in examples]
-        having = Counter(w for c in counts for w in c)
+        having = Counter(w for _, text, _ in examples for w in terms(text))
         self.term = {w: k for k, w in enumerate(sorted(w for w, n in having.items() if n * LEAST >= len(examples)))}
         self.idf = np.array([1 + math.log((1 + len(examples)) / (1 + having[w])) for w in self.term])
-        rows = [(i, y, self._weights(c)) for (i, _, y), c in zip(examples, counts, strict=True)]
+        self.known = {}
+        rows = [(i, y, self._weights(text)) for i, text, y in examples]
         rows = [r for r in rows if len(r[2][0])]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
@@ -102,10 +99,10 @@ class NearestExamples:
         self.most = self.dense.max(axis=1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most")}
+        return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most", "known")}
 
     def __setstate__(self, state):
-        self.__dict__.update(state)
+        self.__dict__.update(state, known={})
         self._open()
 
     @property
@@ -119,11 +116,30 @@ class NearestExamples:
             out[t] = block, np.maximum.reduceat(w, first), {int(k): (at[a:b] % BLOCK, w[a:b]) for k, a, b in zip(block, first, ends, strict=True)}
         return out
 
-    def _weights(self, counts: Counter) -> tuple[np.ndarray, np.ndarray]:
+    def _terms_of(self, word: str) -> list[int]:
+        """The index's terms that a word counts for; a beginning is as frequent as any longer one at least, so the first unknown one ends the search."""
+        found = [self.term[word]] if word in self.term else []
+        for n in BEGINNINGS:
+            k = self.term.get(word[:n] + "*") if len(word) > n else None
+            if k is None:
+                break
+            found.append(k)
+        return found
+
+    def _weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The index's terms in a text and their weights, of length 1 together."""
-        found = [(k, c) for w, c in counts.items() if (k := self.term.get(w)) is not None]
-        at, n = np.array(found, np.int64).reshape(-1, 2).T
-        weight = (1 + np.log(n)) * self.idf[at]
+        known, at, n = self.known, [], []
+        for w, c in Counter(_words(text.lower())).items():
+            of = known.get(w)
+            if of is None:
+                of = self._terms_of(w)
+                if len(w) <= KNOWN_LETTERS and len(known) < KNOWN:
+                    known[w] = of
+            at += of
+            n += [c] * len(of)
+        numbers = np.bincount(np.array(at, np.int64), np.array(n, float), len(self.term))
+        at = np.flatnonzero(numbers)
+        weight = (1 + np.log(numbers[at])) * self.idf[at]
         return at, weight / math.sqrt(float(weight @ weight)) if len(at) else weight
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int | None = None):
@@ -173,7 +189,7 @@ class NearestExamples:
 
     def nearest(self, text: str, k: int = NEAREST) -> tuple[np.ndarray, np.ndarray]:
         """Places and cosines of the k nearest examples that share a term, in order."""
-        return next(self._nearest([self._weights(terms(text))], k))
+        return next(self._nearest([self._weights(text)], k))
 
     def _votes(self, at: np.ndarray, cosine: np.ndarray) -> list[float]:
         """The shares of label 1 among the FEW nearest and all neighbours, weighted by nearness: 20 at distance 0, almost nothing if little is shared."""
@@ -202,7 +218,7 @@ class NearestExamples:
     def scores(self, texts: list[str]):
         """For each text the score, the ids of the nearest examples and the cosine of the nearest one."""
         for g in range(0, len(texts), GROUP):
-            for at, cosine in self._nearest([self._weights(terms(t)) for t in texts[g : g + GROUP]], self.reach):
+            for at, cosine in self._nearest([self._weights(t) for t in texts[g : g + GROUP]], self.reach):
                 if not len(at) or self.curve is None:
                     score = self.prior
                 else:

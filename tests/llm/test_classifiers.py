@@ -75,7 +75,7 @@ def test_block_max_search_is_exact():
     assert np.allclose(np.linalg.norm(dense, axis=1), 1)
     for _, text, _ in examples[:300]:
         at, cosine = index.nearest(text)
-        terms, weights = index._weights(toxicity.terms(text))
+        terms, weights = index._weights(text)
         scores = dense[:, terms] @ weights if len(terms) else np.zeros(len(dense))
         want = [k for k in np.lexsort((np.arange(len(scores)), -np.round(scores, 12)))[: toxicity.NEAREST] if scores[k] > 0]
         assert at.tolist() == want and np.allclose(cosine, scores[want])
@@ -91,8 +91,8 @@ def test_whole_texts_of_both_labels_are_searched():
 
 
 def test_terms_are_words_and_beginnings_that_enough_examples_have():
-    assert toxicity.terms("Über-see Überseen") == {"über": 1, "see": 1, "überseen": 1, "übe*": 2, "über*": 1, "übers*": 1}
-    assert toxicity.terms("") == {}
+    assert toxicity.terms("Über-see Überseen") == {"über", "see", "überseen", "übe*", "über*", "übers*"}
+    assert toxicity.terms("") == set()
     index = toxicity.NearestExamples([(i, f"tree only{chr(97 + i % 26)}{i}" + " vile" * (i < 2), int(i < 2)) for i in range(100)])
     assert "vile" in index.term and "tree" in index.term and "only*" in index.term and "onlya0" not in index.term
     assert index.nearest("vile")[0].tolist() == [0, 1] and len(index.nearest("onlya0x")[0]) == toxicity.NEAREST
@@ -169,7 +169,7 @@ def test_query_of_toxicity_against_brute_force(spark, data):
             assert got[i].score == index.prior
             continue
         votes = [(c / (0.05 + 1 - min(1.0, c)), examples[k][1]) for c, k in cosines]
-        shares = [sum(v * y for v, y in votes[:k]) / sum(v for v, _ in votes[:k]) for k in (5, 16, None)]
+        shares = [sum(v * y for v, y in votes[:k]) / sum(v for v, _ in votes[:k]) for k in (3, 8, 16, None)]
         assert got[i].score == pytest.approx(1 / (1 + math.exp(-(index.curve[0] + sum(b * x for b, x in zip(index.curve[1], shares, strict=True))))), rel=1e-6, abs=1e-9)
         assert got[i].similarity == pytest.approx(cosines[0][0], abs=1e-9)
 
