@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, lm, packing, quality_model, quality_rules, simhash, topk, toxicity
+from . import bpe, html_text, line_dedup, lm, packing, quality_model, quality_rules, resampling, simhash, topk, toxicity
 from .common import spread, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,10 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -68,10 +72,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
+    "op12_resampling": op12_resampling,
 }
 
 #: DuckDB SQL by query; a query that SQL cannot express is tested against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.SQL,
     "op10_topk": topk.SQL,
+    "op12_resampling": resampling.SQL,
 }
