@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, html_text, line_dedup, lm, packing, quality_model, quality_rules, resampling, simhash, topk, toxicity
+from . import bpe, hard_negatives, html_text, line_dedup, lm, packing, quality_model, quality_rules, resampling, simhash, topk, toxicity
 from .common import spread, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -61,6 +61,11 @@ def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").selectExpr("vec_id", "if(vec_id % 7 = 0, (label + 1) % 10, label) label", "embedding")
+    return hard_negatives.mine(vectors, vectors.filter("vec_id % 50 = 0"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bpe": op1_bpe,
     "op2_lm": op2_lm,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
     "op12_resampling": op12_resampling,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 #: DuckDB SQL by query; a query that SQL cannot express is tested against brute force in tests/llm.
@@ -80,4 +86,5 @@ ORACLES: dict[str, str] = {
     "op8_line_dedup": line_dedup.SQL,
     "op10_topk": topk.SQL,
     "op12_resampling": resampling.SQL,
+    "op13_hard_negatives": hard_negatives.SQL,
 }
