@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hard_negatives, html_text, line_dedup, lm, packing, quality_model, quality_rules, resampling, simhash, topk, toxicity
+from . import bpe, hard_negatives, html_text, language_id, line_dedup, lm, packing, quality_model, quality_rules, resampling, simhash, topk, toxicity
 from .common import spread, table
 
 BYTE_BPE = public_tokenizers.path("byte_bpe_50k.json")
@@ -57,6 +57,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"))
 
 
+def op11_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return language_id.predict(spread(docs), language_id.fit(docs))
+
+
 def op12_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resampling.resample(spread(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
@@ -77,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_topk": op10_topk,
+    "op11_language_id": op11_language_id,
     "op12_resampling": op12_resampling,
     "op13_hard_negatives": op13_hard_negatives,
 }
