@@ -56,11 +56,11 @@ def bucket_gains(docs: DataFrame, target: DataFrame, buckets: int = BUCKETS) ->
     counted = lambda df, name: exploded(df.select("text"), [], buckets).filter("bucket is not null").groupBy("bucket").agg(F.count(F.lit(1)).alias(name))
     every = docs.sparkSession.range(buckets).selectExpr("cast(id as int) bucket")
     # n-grams of docs and target, by bucket and in all
-    n = every.join(counted(docs, "s"), "bucket", "left").join(counted(target, "t"), "bucket", "left").na.fill(0)
-    totals = n.agg(F.sum("s").alias("all_s"), F.sum("t").alias("all_t"))
+    n = checkpointed(every.join(counted(docs, "s"), "bucket", "left").join(counted(target, "t"), "bucket", "left").na.fill(0))
+    all_s, all_t = n.agg(F.sum("s"), F.sum("t")).first()
     real = lambda x: F.expr(x).cast("double")
-    ratio = (real("t + 1") * real(f"all_s + {buckets}")) / (real("s + 1") * real(f"all_t + {buckets}"))
-    return checkpointed(n.join(F.broadcast(totals)).select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain")))
+    ratio = (real("t + 1") * float(all_s + buckets)) / (real("s + 1") * float(all_t + buckets))
+    return n.select("bucket", F.floor(F.lit(1000.0) * F.log(ratio)).alias("gain"))
 
 
 def scored(docs: DataFrame, gains: DataFrame, buckets: int = BUCKETS, seed: str = SEED) -> DataFrame:
