@@ -313,7 +313,7 @@ def language_scores(query: str, configs: list[str]):
 
     @F.pandas_udf("double")
     def rank(token_lists: pd.Series, configs: pd.Series) -> pd.Series:
-        of = {c: lexemes_of(c, sent.get(c, [])) for c in configs.dropna().unique()}
+        of = {c: lexemes_of(c, sent[c]) for c in configs.dropna().unique() if c in sent}  # a worker keeps them, so never without their stop words
         out = []
         for found, c in zip(token_lists, configs, strict=True):
             wanted = terms.get(c) if c is not None else None

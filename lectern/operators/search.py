@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import labels, sanitizing, text, vectors
 from ..plans.keep import kept
-from ..plans.rank import deepest, fused, global_row_number
+from ..plans.rank import best, deepest, global_row_number, ranks_by_counting
 
 RRF_K, FLOOR, PAGE_SIZE = 60, 0.01, 20
 CONTEXT_PAGES, MIN_SIMILARITY = 3, 0.35
@@ -115,26 +115,47 @@ def text_ranked(pages: DataFrame, documents: DataFrame, query: str, analyzer: st
     return global_row_number(kept(text_scores(pages, documents, query, analyzer)), "fts_score", "page_id", "fts_rank")
 
 
-def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None) -> DataFrame:
+FUSED = "semantic_score double, fts_score double, semantic_rank long, fts_rank long, rrf_score double"
+
+
+def combined(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None, index=None) -> DataFrame:
     """Both lists joined in full by page, with the fused score; pages below the floor are gone.
 
-    A page beyond a fixed rank in both lists cannot reach the floor, so only the few that are better in one of them are joined.
+    A page beyond a fixed rank in both lists cannot reach the floor, so only the best of each list matter, and the other list's rank of these is found by counting the rows before
+    them: no list is sorted, exchanged or written to the shared folder. Matches, three values each, stay with the executors while they are read twice; the vectors are
+    read twice. 2 * deepest(FLOOR, k) rows at most, 400 for k = 0, pass the driver, whatever the tables.
     """
-    semantic, matched = semantic_ranked(pages, documents, vector), text_ranked(pages, documents, query or "", analyzer)
-    most = deepest(FLOOR, k)
-    best = semantic.filter(F.col("semantic_rank") <= most).select("page_id").unionByName(matched.filter(F.col("fts_rank") <= most).select("page_id")).distinct()  # 2 * most rows at most
-    semantic, matched = (x.join(F.broadcast(best), "page_id", "left_semi") for x in (semantic, matched))
-    f = matched.select(F.col("page_id").alias("f_page"), F.col("document_id").alias("f_document"), "fts_score", "fts_rank")
-    both = semantic.join(f, semantic.page_id == f.f_page, "full_outer")
-    return both.select(
-        F.coalesce("page_id", "f_page").alias("page_id"),
-        F.coalesce("document_id", "f_document").alias("document_id"),
-        F.coalesce("semantic_score", F.lit(0.0)).alias("semantic_score"),
-        F.coalesce("fts_score", F.lit(0.0)).alias("fts_score"),
-        "semantic_rank",
-        "fts_rank",
-        fused(F.col("semantic_rank"), F.col("fts_rank"), k).alias("rrf_score"),
-    ).filter(F.col("rrf_score") >= FLOOR)
+    spark, most = pages.sparkSession, deepest(FLOOR, k)
+    kind = "page_id {}, document_id {}, ".format(*(pages.schema[c].dataType.simpleString() for c in ("page_id", "document_id"))) + FUSED
+    if not most:
+        return spark.createDataFrame([], kind)
+    near_all = semantic_scores(pages, documents, vector)
+    near = best(near_all, "semantic_score", "page_id", most).collect()
+    matches, points = None, []
+    if query:
+        matches = (text_scores(pages, documents, query, analyzer) if index is None else index.text_scores(pages, documents, query)).persist()
+    matched = best(matches, "fts_score", "page_id", most).collect() if query else []
+    text_score, text_rank = {r.page_id: r.fts_score for r in matched}, {r.page_id: n for n, r in enumerate(matched, 1)}
+    if len(matched) == most:  # there may be more
+        also = [r.page_id for r in near if r.page_id not in text_rank]
+        points = [(r.fts_score, r.page_id) for r in matches.filter(F.col("page_id").isin(also)).collect()]
+        text_score |= {i: s for s, i in points}
+        text_rank |= ranks_by_counting(matches, "fts_score", "page_id", points)
+    if matches is not None:
+        matches.unpersist()
+    vector_score, vector_rank = {r.page_id: r.semantic_score for r in near}, {r.page_id: n for n, r in enumerate(near, 1)}
+    also = [r.page_id for r in matched if r.page_id not in vector_rank]
+    if also and len(near) == most:
+        points = [(r.semantic_score, r.page_id) for r in semantic_scores(pages.filter(F.col("page_id").isin(also)), documents, vector).collect()]
+        vector_score |= {i: s for s, i in points}
+        vector_rank |= ranks_by_counting(near_all, "semantic_score", "page_id", points)
+    share = lambda rank: 1.0 / (float(k) + rank) if rank else 0.0
+    rows = []
+    for i, document in {r.page_id: r.document_id for r in [*near, *matched]}.items():
+        score = share(vector_rank.get(i)) + share(text_rank.get(i))
+        if score >= FLOOR:
+            rows.append((i, document, vector_score.get(i, 0.0), text_score.get(i, 0.0), vector_rank.get(i), text_rank.get(i), score))
+    return spark.createDataFrame(rows, kind)
 
 
 def snippet(original: Column, translated: Column) -> Column:
@@ -142,20 +163,17 @@ def snippet(original: Column, translated: Column) -> Column:
     return F.when(F.length(chosen) > SNIPPET, F.concat(F.substring(chosen, 1, SNIPPET), F.lit("..."))).otherwise(chosen)
 
 
-FOUND = "page_id long, document_id string, semantic_score double, fts_score double, semantic_rank long, fts_rank long, rrf_score double"
-
-
-def hybrid_search(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], limit: int = PAGE_SIZE, offset: int = 0, k: int = RRF_K, analyzer: str | None = None, highlight: bool = True) -> DataFrame:
+def hybrid_search(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], limit: int = PAGE_SIZE, offset: int = 0, k: int = RRF_K, analyzer: str | None = None, highlight: bool = True, index=None) -> DataFrame:
     """page_id, document_id, document_title, page_number, image_path, score, snippet: one page of results, best first. An empty query finds nothing.
 
-    The results of the ranking, `limit` rows at most, pass the driver, so that their texts and numbers are read by key and no other text is touched. Headlines mark a translation in
+    The ranking leaves few rows (`combined`), so their texts and numbers are read by key and no other text is touched. Headlines mark a translation in
     its language's configuration, an original in the simple one.
     """
-    top = combined(pages, documents, query, vector, k, analyzer).orderBy(F.desc("rrf_score"), "page_id").offset(offset).limit(limit).collect() if query else []
-    ids = [r.page_id for r in top]
+    top = combined(pages, documents, query, vector, k, analyzer, index).orderBy(F.desc("rrf_score"), "page_id").offset(offset).limit(limit)
+    ids = [r.page_id for r in top.select("page_id").collect()] if query else []
     chosen = pages.filter(F.col("page_id").isin(*ids)) if ids else pages.filter("false")
     shown = (
-        F.broadcast(pages.sparkSession.createDataFrame(top, FOUND))
+        F.broadcast(top)
         .join(chosen.select("page_id", "page_number", "image_path"), "page_id")
         .join(chosen.select("page_id", "original_markdown", "translated_markdown"), "page_id")
         .join(documents.select("document_id", "title", "target_language"), "document_id")
@@ -169,9 +187,9 @@ def hybrid_search(pages: DataFrame, documents: DataFrame, query: str | None, vec
     return shown.select("page_id", "document_id", F.col("title").alias("document_title"), "page_number", "image_path", F.col("rrf_score").alias("score"), sanitizing.snippet_text(plain).alias("snippet")).orderBy(F.desc("score"), "page_id")
 
 
-def hybrid_count(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None) -> DataFrame:
+def hybrid_count(pages: DataFrame, documents: DataFrame, query: str | None, vector: Sequence[float], k: int = RRF_K, analyzer: str | None = None, index=None) -> DataFrame:
     """total: how many results there are."""
-    found = combined(pages, documents, query, vector, k, analyzer)
+    found = combined(pages, documents, query, vector, k, analyzer, index)
     return (found if query else found.filter("false")).agg(F.count("*").alias("total"))
 
 

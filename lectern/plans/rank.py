@@ -50,6 +50,33 @@ def global_row_number(df: DataFrame, score: str, key: str, name: str, scores: in
     return placed.withColumn("_in", inside).join(F.broadcast(offsets), cells).select(*df.columns, (F.col("_before") + F.col("_in")).cast("long").alias(name))
 
 
+def ranks_by_counting(df: DataFrame, score: str, key: str, points: list[tuple]) -> dict:
+    """The row number of each row of points, (score, key), in df ordered by score descending, then key ascending, by key. The points are few.
+
+    Each row finds its place among the points' scores by binary search, and among the keys of one score only where it has that very score; what is counted is the rows
+    of each place. So each task sends three rows a point at most, and df is neither sorted nor exchanged.
+    """
+    if not points:
+        return {}
+    marks = sorted({s for s, _ in points})
+    keys = [sorted(k for s, k in points if s == mark) for mark in marks]
+    placed = bucketed(df, score, marks, "_level")
+    at = F.nullif(F.col("_level"), F.lit(0))
+    level_keys = F.element_at(F.array(*(F.array(*map(F.lit, own)) for own in keys)), at)
+    tied = F.when(F.element_at(F.array(*map(F.lit, marks)), at) == F.col(score), F.size(F.filter(level_keys, lambda x: x <= F.col(key))))
+    counts = placed.groupBy("_level", tied.alias("_tied")).count().collect()
+    out = {}
+    for level, own in enumerate(keys, 1):
+        for no, k in enumerate(own):  # a row of this score is ahead of k if no more than k's predecessors are at or before it
+            out[k] = 1 + sum(r["count"] for r in counts if r._level > level or r._level == level and (r._tied is None or r._tied <= no))
+    return out
+
+
+def best(df: DataFrame, score: str, key: str, n: int) -> DataFrame:
+    """The n best rows by score descending, then key ascending: each task keeps n."""
+    return df.orderBy(F.desc(score), F.asc(key)).limit(n)
+
+
 def deepest(floor: float, k: int) -> int:
     """The last rank in the better of two lists that can still reach a floor of the fused score: both ranks would have to be it."""
     return max(0, int(2 / floor - k + 1e-9))

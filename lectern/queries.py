@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -10,7 +11,8 @@ from pyspark.sql.window import Window
 
 from . import workload as w
 from .functions import labels, sanitizing, text, vectors
-from .operators import corpus, lifecycle, ops, search
+from .operators import corpus, lifecycle, ops, search, store, text_index
+from .plans import keep
 from .sources import files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -323,6 +325,50 @@ def _(s, d):
     return search.text_scores(search.indexed(p, doc), doc, ASKED)
 
 
+def stored(s, name: str) -> str:
+    """A new folder for what a query stores, beside the session's checkpoints."""
+    return f"{keep.shared_folder(s)}/{name}-{uuid.uuid4().hex}"
+
+
+def older(p: DataFrame) -> DataFrame:
+    """The pages as they were before their last writes: some had other texts, some were not there, and some are gone since."""
+    was = lambda c: F.when(C("page_id") % 50 == 3, F.lit("die heiten ung, as it was")).otherwise(C(c)).alias(c)
+    before = p.filter("page_id % 50 <> 4").select(*(was(c) if c in ("original_markdown", "translated_markdown") else c for c in p.columns))
+    return before.unionByName(p.filter("page_id % 50 = 5").withColumn("page_id", -1 - C("page_id")))
+
+
+@query("fts_match_stored", ORACLES["fts_match_languages"])
+def _(s, d):
+    """The same from posting lists that are stored in buckets of lexemes: built from the older texts, then brought up to date by two batches."""
+    doc, p = docs_pages(s, d)
+    index = text_index.TextIndex(stored(s, "postings"))
+    index.write(older(p), doc, 0)
+    index.write(p.filter("page_id % 50 IN (3, 4)"), doc, 1)
+    index.write(p.filter("false"), doc, 2, removed=p.filter("page_id % 50 = 5").select((-1 - C("page_id")).alias("page_id")))
+    return index.text_scores(p, doc, ASKED)
+
+
+@query("hybrid_search_stored", ORACLES["hybrid_search_languages"])
+def _(s, d):
+    """Both lists fused, the text list from stored postings."""
+    doc, p = docs_pages(s, d)
+    index = text_index.TextIndex(stored(s, "postings"))
+    index.write(p, doc, 0)
+    return search.hybrid_search(p, doc, ASKED, vector(s, d), index=index)
+
+
+@query("sink_stored_writes", w.ONLY_PAGES + "SELECT page_id, document_id, extraction_status, translation_status, length(original_markdown) AS n FROM w_pages")
+def _(s, d):
+    """A stored table of pages after an upsert that changes and adds, the same one again, and a deletion."""
+    p = w.pages(s, d).select("page_id", "document_id", "extraction_status", "translation_status", "original_markdown")
+    table = store.Table(stored(s, "pages"), "page_id", "document_id", 16)
+    table.create(older(p.withColumn("translated_markdown", F.lit(None).cast("string"))).drop("translated_markdown"))
+    for _ in range(2):
+        table.upsert(p.filter("page_id % 50 IN (3, 4)"), 1)
+    table.delete(p.filter("page_id % 50 = 5").select((-1 - C("page_id")).alias("page_id"), "document_id"), 2)
+    return table.read(s).select("page_id", "document_id", "extraction_status", "translation_status", F.length("original_markdown").cast("long").alias("n"))
+
+
 _count_languages = FUSED_SQL(fts=ASKED_SQL) + "SELECT count(*) AS total FROM rrf WHERE rrf_score >= 0.01"
 
 
