@@ -27,6 +27,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -69,8 +70,8 @@ class NearestExamples:
         self.term = {w: k for k, w in enumerate(sorted(having))}
         self.idf = np.array([(1 + math.log((1 + len(examples)) / (1 + having[w]))) ** POWER for w in self.term])
         self.known = {}
-        rows = [(i, y, self._weights(text)) for i, text, y in examples]
-        rows = [r for r in rows if len(r[2][0])]
+        rows = [(i, y, self._counts(text)) for i, text, y in examples]
+        rows = [(i, y, (at, *self._lengthened(at, n)), n) for i, y, (at, n) in rows if len(at)]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
         self.n_blocks = -(-len(rows) // BLOCK)
@@ -79,16 +80,18 @@ class NearestExamples:
         #: The postings of term k, in order of place: start[k] to start[k + 1].
         self.start = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(self.term)))))
         self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2][0]) for r in rows])[order]
-        self.weight = np.concatenate([np.empty(0), *(r[2][1] for r in rows)])[order]
+        self.number = np.concatenate([np.empty(0), *(r[3] for r in rows)])[order]
+        self.length = np.array([r[2][2] for r in rows])
         self._open()
         n1 = sum(y for _, _, y in examples)
         n0, n1 = of_labels or (len(examples) - n1, n1)
         self.prior = (n1 + 1) / (n0 + n1 + 2)
         self.reach = max(NEAREST, math.isqrt(len(rows)))
-        self._calibrate([r[2] for r in rows], n0, n1)
+        self._calibrate([r[2][:2] for r in rows], n0, n1)
 
     def _open(self) -> None:
-        """The dense columns of common terms and their block maxima; they follow from the postings and do not travel."""
+        """Weights, the dense columns of common terms and their block maxima; they follow from the postings' numbers and do not travel."""
+        self.weight = (1 + np.log(self.number)) * np.repeat(self.idf, np.diff(self.start)) / self.length[self.at]
         common = np.flatnonzero(np.diff(self.start) * COMMON > len(self.ids))
         self.column = np.full(len(self.term), -1)
         self.column[common] = np.arange(len(common))
@@ -99,10 +102,14 @@ class NearestExamples:
         self.most = self.dense.max(axis=1)
 
     def __getstate__(self):
-        return {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most", "known")}
+        """Places and numbers as the least integers that hold them."""
+        small = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most", "known", "weight", "term")}
+        return kept | {"at": small(self.at), "number": small(self.number), "words": "\n".join(self.term)}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, known={})
+        self.__dict__.update(state, known={}, at=state["at"].astype(np.int32), number=state["number"].astype(float))
+        self.term = {w: k for k, w in enumerate(self.__dict__.pop("words").split("\n") if len(self.idf) else ())}
         self._open()
 
     @property
@@ -126,8 +133,8 @@ class NearestExamples:
             found.append(k)
         return found
 
-    def _weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """The index's terms in a text and their weights, of length 1 together."""
+    def _counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The index's terms in a text, ascending, and how often each is there."""
         known, at, n = self.known, [], []
         for w, c in Counter(_words(text.lower())).items():
             of = known.get(w)
@@ -138,8 +145,18 @@ class NearestExamples:
             at += of
             n += [c] * len(of)
         at, which = np.unique(np.array(at, np.int64), return_inverse=True)
-        weight = (1 + np.log(np.bincount(which, np.array(n, float), len(at)))) * self.idf[at]
-        return at, weight / math.sqrt(float(weight @ weight)) if len(at) else weight
+        return at, np.bincount(which, np.array(n, float), len(at))
+
+    def _lengthened(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
+        """Weights of length 1 together, and their length before."""
+        weight = (1 + np.log(n)) * self.idf[at]
+        length = math.sqrt(float(weight @ weight)) or 1.0
+        return weight / length, length
+
+    def _weights(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """The index's terms in a text and their weights."""
+        at, n = self._counts(text)
+        return at, self._lengthened(at, n)[0]
 
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int | None = None):
         """For each vector the places and cosines of its k nearest examples that share a term, in order. With but, vector j is example but + j and leaves itself out."""
@@ -235,13 +252,17 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=lambda
     def run(batches):
         rows = [(i, t or "", y) for batch in batches for i, t, y in zip(*(c.to_pylist() for c in batch.columns), strict=True)]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(NearestExamples(rows, (n0, n1)))])], schema=arrow_schema("index binary"))
+            yield pa.RecordBatch.from_arrays([pa.array([zstandard.compress(pickle.dumps(NearestExamples(rows, (n0, n1))))])], schema=arrow_schema("index binary"))
 
     of = [labelled(docs, labels.filter(F.col(label) == y), label, usable, most) for y, most in ((1, most_1), (0, min(n0, sample - most_1))) if most]
     found = reduce(DataFrame.unionAll, of).repartition(1).mapInArrow(run, "index binary").collect() if of else []
     return bytes(found[0][0]) if found else None
 
 
+def opened(index: bytes) -> NearestExamples:
+    return pickle.loads(zstandard.decompress(index))
+
+
 SCORED = "doc_id long, held_out boolean, score double, predicted int, nearest array<long>, similarity double"
 
 
@@ -250,7 +271,7 @@ def apply_index(docs: DataFrame, index: bytes | None, threshold: float = 0.7) ->
     sent = docs.sparkSession.sparkContext.broadcast(index)
 
     def run(batches):
-        index = pickle.loads(sent.value) if sent.value else None
+        index = opened(sent.value) if sent.value else None
         for batch in batches:
             texts = [x or "" for x in batch.column(1).to_pylist()]
             out = list(index.scores(texts)) if index else [(0.5, [], 0.0)] * len(texts)

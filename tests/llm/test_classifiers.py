@@ -1,4 +1,3 @@
-import pickle
 import re
 import zlib
 
@@ -104,7 +103,7 @@ def test_terms_are_all_words_and_beginnings():
 def test_all_examples_of_a_rare_label_are_learned(spark):
     docs = spark.createDataFrame([(i, f"text number {i}") for i in range(400)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, int(i % 40 == 0)) for i in range(400)], "doc_id long, toxic int")
-    index = pickle.loads(toxicity.fit(docs, labels, usable=lambda doc_id: doc_id >= 0, sample=30))
+    index = toxicity.opened(toxicity.fit(docs, labels, usable=lambda doc_id: doc_id >= 0, sample=30))
     assert len(index.ids) == 30 and sorted(index.ids[index.labels == 1].tolist()) == list(range(0, 400, 40))
     assert index.prior == pytest.approx(11 / 402)
 
