@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.validation import trimmed
-from . import search
+from . import search, vector_join
 
 HISTORY, SESSION = 8, 16
 BREAK = "\n\n---\n\n"
@@ -80,6 +80,24 @@ def ask_each(asked: DataFrame, pages: DataFrame, documents: DataFrame, document_
     return rows.select("document_id", "conv_id", "context", build_messages(system_prompt(F.col("title"), F.col("context")), old, F.col("question")).alias("messages"))
 
 
+def ask_many(asked: DataFrame, pages: DataFrame, documents: DataFrame, past: DataFrame | None = None, limit: int = search.CONTEXT_PAGES, min_similarity: float = search.MIN_SIMILARITY) -> DataFrame:
+    """(document_id, conv_id, context, messages) for questions (conv_id, question, document_id, vector), one a conversation, each about its own document with its own vector.
+
+    Blank questions and those about unknown documents are left out; where a document has nothing similar, the context is empty and the prompt says so. Texts join after the
+    few pages of each question are found.
+    """
+    rows = asked.select("conv_id", "document_id", "vector", trimmed(F.col("question")).alias("question")).filter("question <> ''").join(documents.select("document_id", "title"), "document_id")
+    usable = pages.filter("extraction_status = 'completed' AND embedding IS NOT NULL").select("page_id", "document_id", F.col("embedding").alias("vector"))
+    found = vector_join.nearest(rows.select(F.col("conv_id").alias("question"), "document_id", "vector"), usable, limit, min_similarity)
+    shown = found.withColumnRenamed("question", "conv_id").join(pages.select("page_id", "page_number", "original_markdown", "translated_markdown"), "page_id")
+    rows = rows.join(context(shown, ("conv_id",)), "conv_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
+    old = F.array().cast("array<struct<role:string,content:string>>")
+    if past is not None:
+        rows = rows.join(past.select("conv_id", "history"), "conv_id", "left")
+        old = F.coalesce("history", old)
+    return rows.select("document_id", "conv_id", "context", build_messages(system_prompt(F.col("title"), F.col("context")), old, F.col("question")).alias("messages"))
+
+
 def answered(asked: DataFrame, model: Callable[[list[dict]], str]) -> DataFrame:
     """asked with answer: what the model says to each row's messages, trimmed and without fences; an empty answer is an error, null here. conv_id passes if there is one."""
     import re

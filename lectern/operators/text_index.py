@@ -3,8 +3,7 @@
     path/postings/batch=<n>/bucket=<b>   lexeme, field, config, page_id, positions, tf; sorted by these, so row groups of other lexemes are skipped
     path/written/batch=<n>               page_id: the pages that a batch has written, also those that it has removed or emptied
 
-A posting counts if no later batch has written its page. A batch is the unit of repetition: writing one again replaces it and nothing else, and no write touches the files of another batch.
-Readers list the buckets of a query's lexemes alone. `compacted` writes all that counts as a single batch elsewhere.
+A posting counts if no later batch has written its page (`plans.batches`), and no write touches the files of another batch. Readers list the buckets of a query's lexemes alone. `compacted` writes all that counts as a single batch elsewhere.
 
 Originals are indexed in the simple configuration, translations in the one of their document's language (`search.indexed`); texts are analysed when they are written, and queries run without Python.
 Frequent lexemes have long lists: writers cut a bucket into files by size, whatever lexemes they hold.
@@ -19,16 +18,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
+from ..plans import batches
 from . import search
 
 #: Buckets of lexemes. A bucket is a folder of each batch.
 BUCKETS = 64
 
-#: Bytes of pages written since the index was built up to which readers are sent them all; beyond, they are matched by a shuffle.
-SEND_BYTES = 64 << 20
-
 ORIGINAL, TRANSLATED = 0, 1
 
+COLUMNS = "lexeme string, field int, config string, positions array<int>, tf int, bucket int"
+
 
 def cover_density(places: Column, n_terms: int, weight: float = 0.1) -> Column:
     """text.cover_density of an array<array<int>> column, the places of each term, as an expression.
@@ -78,32 +77,17 @@ class TextIndex(NamedTuple):
         lists = postings_of(pages, documents, self.buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", "field", "config", "page_id")
         lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         gone = pages.select("page_id") if removed is None else pages.select("page_id").unionByName(removed.select("page_id"))
-        # last, since it is what makes the batch count
-        gone.distinct().write.mode("overwrite").parquet(f"{self.path}/written/batch={batch}")
-
-    def batches(self, spark: SparkSession) -> list[int]:
-        """The batches that count, in order: those whose pages are written to the end. A listing of one folder."""
-        top = spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/written")
-        fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-        done = lambda p: fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS"))
-        return sorted(int(x.getPath().getName().removeprefix("batch=")) for x in fs.listStatus(top) if done(x.getPath()))
-
-    def _read(self, spark: SparkSession, what: str, batches: list[int]) -> DataFrame:
-        return spark.read.option("basePath", f"{self.path}/{what}").parquet(*(f"{self.path}/{what}/batch={n}" for n in batches))
+        batches.finish(gone, self.path, batch)
 
     def postings(self, spark: SparkSession, lexemes: list[str] | None = None) -> DataFrame:
         """The postings that count, with their batch; of some lexemes only, from their buckets."""
-        batches = self.batches(spark)
-        found = self._read(spark, "postings", batches)
-        if lexemes is not None:
-            found = found.filter(F.col("bucket").isin(sorted({zlib.crc32(x.encode()) % self.buckets for x in lexemes}))).filter(F.col("lexeme").isin(lexemes))
-        if len(batches) < 2:
-            return found
-        later = self._read(spark, "written", batches[1:])
-        changed = later.groupBy("page_id").agg(F.max("batch").alias("_last"))
-        if bytes_of(later) <= SEND_BYTES:
-            changed = F.broadcast(changed)
-        return found.join(changed, "page_id", "left").filter("_last IS NULL OR batch >= _last").drop("_last")
+
+        def only(rows: DataFrame) -> DataFrame:
+            if lexemes is None:
+                return rows
+            return rows.filter(F.col("bucket").isin(sorted({zlib.crc32(x.encode()) % self.buckets for x in lexemes}))).filter(F.col("lexeme").isin(lexemes))
+
+        return batches.current(spark, self.path, "postings", "page_id", COLUMNS, only)
 
     def frequencies(self, spark: SparkSession, lexemes: list[str] | None = None) -> DataFrame:
         """lexeme, config, pages, occurrences."""
@@ -139,10 +123,5 @@ class TextIndex(NamedTuple):
         """All that counts as batch 0 of an index elsewhere; this one stays as it is."""
         out = TextIndex(path, self.buckets)
         self.postings(spark).drop("batch").hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", "field", "config", "page_id").write.partitionBy("bucket").parquet(f"{path}/postings/batch=0")
-        self._read(spark, "written", self.batches(spark)).select("page_id").distinct().write.parquet(f"{path}/written/batch=0")
+        batches.finish(batches.read(spark, self.path, "written", batches.done(spark, self.path)).select("page_id"), path, 0)
         return out
-
-
-def bytes_of(df: DataFrame) -> int:
-    """What the optimizer takes df's size to be: for files that are read whole, theirs."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())

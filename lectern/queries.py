@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from . import workload as w
 from .functions import labels, sanitizing, text, vectors
-from .operators import corpus, lifecycle, ops, search, store, text_index
+from .operators import corpus, lifecycle, ops, search, store, text_index, vector_index
 from .plans import keep
 from .sources import files
 
@@ -234,6 +234,16 @@ def _(s, d):
     return QUERIES["cosine_similarity"](s, d).orderBy(F.desc("similarity"), "vec_id").limit(3)
 
 
+@query("topk_similarity_indexed", ORACLES["topk_similarity"])
+def _(s, d):
+    """The same from stored centroid lists, by the exact search; a part of the vectors comes by a later batch."""
+    v = w.table(s, d, "embeddings").select("vec_id", C("embedding").alias("vector"))
+    index = vector_index.VectorIndex(stored(s, "vectors"), "vec_id")
+    index.create(v.withColumn("vector", F.when(C("vec_id") % 20 == 1, F.transform("vector", lambda x: -x)).otherwise(C("vector"))))
+    index.write(v.filter("vec_id % 20 = 1"), 1)
+    return index.search(s, vector(s, d), 3, exact=True)
+
+
 @query("rrf_score", FUSED_SQL() + "SELECT page_id, semantic_rank, fts_rank, rrf_score FROM rrf WHERE rrf_score >= 0.01")
 def _(s, d):
     doc, p = docs_pages(s, d)

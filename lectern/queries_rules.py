@@ -376,3 +376,24 @@ def _(s, d):
         return f"```\n{messages[-1]['content']} after {hashlib.md5(old.encode()).hexdigest()}\n```"
 
     return rag.answered(asked, model)
+
+
+_many = f"""asked AS (SELECT conv_id, source || '-' || lang AS document_id, {{}} AS question, e.embedding AS v FROM (SELECT DISTINCT conv_id FROM conversations) JOIN documents ON doc_id = conv_id % 200 JOIN embeddings e ON vec_id = conv_id * 3 % 400),
+f AS (SELECT * FROM (SELECT conv_id, page_id, page_number, original_markdown, translated_markdown, similarity, row_number() OVER (PARTITION BY conv_id ORDER BY similarity DESC, page_id) AS n FROM (
+  SELECT conv_id, page_id, page_number, original_markdown, translated_markdown, round(list_cosine_similarity(embedding::DOUBLE[], v::DOUBLE[]), 9) AS similarity FROM asked JOIN w_pages USING (document_id) WHERE extraction_status = 'completed' AND embedding IS NOT NULL) WHERE similarity >= -0.05) WHERE n <= 3)"""
+
+
+@query(
+    "rag_ask_many",
+    f"{w.ONLY_PAGES}, {_many.format(QUESTION)}, c AS (SELECT conv_id, {CONTEXT.removeprefix('SELECT ').removesuffix(' FROM f')} FROM f GROUP BY conv_id), past AS (SELECT conv_id, count(*) AS n FROM ({LAST.format(8)}) GROUP BY 1) "
+    f"SELECT conv_id, document_id, md5(coalesce(context, '')) AS context, n + 2 AS n_messages FROM asked LEFT JOIN c USING (conv_id) JOIN past USING (conv_id) WHERE trim(question) <> ''",
+)
+def _(s, d):
+    """Every conversation asks about its own document with its own vector."""
+    doc, p = docs_pages(s, d)
+    past = rag.history(w.table(s, d, "conversations"))
+    about = w.table(s, d, "documents").select(C("doc_id").alias("_d"), F.concat_ws("-", "source", "lang").alias("document_id"))
+    with_vector = w.table(s, d, "embeddings").select(C("vec_id").alias("_v"), C("embedding").alias("vector"))
+    asked = past.select("conv_id", F.expr(QUESTION).alias("question")).join(about, C("conv_id") % 200 == C("_d")).join(with_vector, C("conv_id") * 3 % 400 == C("_v"))
+    found = rag.ask_many(asked, p, doc, past, 3, -0.05)
+    return found.select("conv_id", "document_id", F.md5(C("context").cast("binary")).alias("context"), F.size("messages").cast("long").alias("n_messages"))
