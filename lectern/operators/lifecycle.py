@@ -53,9 +53,17 @@ def completed_documents(documents: DataFrame, completion: DataFrame) -> DataFram
 
 
 def failures_in_window(events: DataFrame, seconds: int, key: str = "fuse", ts: str = "ts") -> DataFrame:
-    """events (failures) with n: failures of the same fuse within the seconds up to each, itself included."""
-    w = Window.partitionBy(key).orderBy(F.unix_micros(F.col(ts).cast("timestamp"))).rangeBetween(-seconds * 1_000_000, 0)
-    return events.withColumn("n", F.count("*").over(w))
+    """events (failures) with n: failures of the same fuse within the seconds up to each, itself included.
+
+    Time is cut into cells as long as the window, and each event also goes, as a halo, to its fuse's next cell, so that a cell has all that its own events look back to.
+    Tasks get cells, however few the fuses; events without a time count each other.
+    """
+    length = max(1, seconds) * 1_000_000
+    at = F.unix_micros(F.col(ts).cast("timestamp"))
+    cell = F.floor(at / length)
+    placed = events.withColumn("_at", at).withColumn("_own", F.explode(F.when(at.isNull(), F.array(F.lit(True))).otherwise(F.array(F.lit(True), F.lit(False))))).withColumn("_cell", F.when(F.col("_own"), cell).otherwise(cell + 1))
+    w = Window.partitionBy(key, "_cell").orderBy("_at").rangeBetween(-seconds * 1_000_000, 0)
+    return placed.withColumn("n", F.count("*").over(w)).filter("_own").select(*events.columns, "n")
 
 
 def breaker_opens(events: DataFrame, tolerated: int, seconds: int, key: str = "fuse", ts: str = "ts") -> DataFrame:
@@ -69,10 +77,24 @@ def breaker_status(changes: DataFrame, known: DataFrame, key: str = "fuse") -> D
     return known.select(key).join(last, key, "left").select(key, F.coalesce("state", F.lit("not_found")).alias("state"))
 
 
-def recovery_edges(checks: DataFrame, key: str, ts: str, ok: Column) -> DataFrame:
-    """checks with reset: whether a check is good right after a bad one."""
-    w = Window.partitionBy(key).orderBy(ts)
-    return checks.withColumn("_ok", ok).withColumn("reset", F.coalesce(F.col("_ok") & ~F.lag("_ok").over(w), F.lit(False))).drop("_ok")
+#: Seconds of a cell of time in which checks are put in order.
+CHECK_CELL = 86_400
+
+
+def recovery_edges(checks: DataFrame, key: str, ts: str, ok: Column, cell_seconds: int = CHECK_CELL) -> DataFrame:
+    """checks with reset: whether a check is good right after a bad one.
+
+    Checks are put in order within cells of time; the first of a cell follows the last of the key's cell before, of which there is one row a cell. Checks without a time come first.
+    """
+    cell = F.coalesce(F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (cell_seconds * 1_000_000)), F.lit(-(1 << 62)))
+    placed = checks.withColumn("_ok", ok).withColumn("_cell", cell)
+    last = placed.groupBy(key, "_cell").agg(F.max_by("_ok", F.struct(F.col(ts).isNotNull(), F.col(ts))).alias("_last"))
+    before = last.withColumn("_before", F.lag("_last").over(Window.partitionBy(key).orderBy("_cell"))).select(F.col(key).alias("_key"), F.col("_cell").alias("_in"), "_before")
+    w = Window.partitionBy(key, "_cell").orderBy(ts)
+    ordered = placed.withColumn("_n", F.row_number().over(w)).withColumn("_lag", F.lag("_ok").over(w))
+    joined = ordered.join(before, F.col(key).eqNullSafe(F.col("_key")) & (F.col("_cell") == F.col("_in")), "left")
+    earlier = F.when(F.col("_n") == 1, F.col("_before")).otherwise(F.col("_lag"))
+    return joined.withColumn("reset", F.coalesce(F.col("_ok") & ~earlier, F.lit(False))).select(*checks.columns, "reset")
 
 
 # --- queues ---

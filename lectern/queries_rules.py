@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from . import workload as w
 from .functions import labels, resilience, sanitizing, validation
-from .operators import corpus, lifecycle, logs, rag
+from .operators import corpus, lifecycle, logs, rag, replay
 from .sources import models
 from .queries import DOC_SEARCH, FTS_CASE, OWN, QUERY_VECTOR, C, by_id, docs_pages, on_both, on_documents, on_inputs, on_pages, on_table, own_document, query, vector  # noqa: F401
 
@@ -178,6 +178,26 @@ on_documents(
     f"SELECT document_id, event, {fsm_sql()} FROM w_documents, (SELECT unnest(['start', 'complete', 'fail', 'reset']) AS event)",
 )
 on_documents("document_fsm_silent", lambda d: d.select("document_id", lifecycle.silently(C("status"), "processing").alias("processing"), lifecycle.silently(C("status"), "queued").alias("queued")), "SELECT document_id, CASE WHEN status IN ('uploading', 'extracting', 'queued') THEN 'processing' ELSE status END AS processing, CASE WHEN status = 'extracting' THEN 'queued' ELSE status END AS queued FROM w_documents")
+LOG = "SELECT CASE WHEN event_id % 2 = 0 THEN 'src1-en' WHEN event_id % 97 = 5 THEN 'none' ELSE 'src' || CAST(event_id % 20 AS VARCHAR(2)) || '-en' END AS document_id, event_id AS seq, CASE event_id * 7 % 11 % 5 WHEN 0 THEN 'start' WHEN 1 THEN 'complete' WHEN 2 THEN 'fail' WHEN 3 THEN 'reset' ELSE 'other' END AS event FROM {}"
+
+
+# a status after an event follows from the one before, so SQL steps through each document's events
+@query(
+    "document_fsm_log",
+    w.ONLY_DOCUMENTS.replace("WITH ", "WITH RECURSIVE ", 1)
+    + f""", l AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY seq) AS n FROM ({LOG.format('events')})),
+s AS (SELECT document_id, 0::BIGINT AS n, status FROM (SELECT DISTINCT document_id FROM l) LEFT JOIN w_documents USING (document_id)
+  UNION ALL SELECT document_id, l.n, CASE WHEN event = 'start' AND status IN ('queued', 'extracting') THEN 'processing' WHEN event = 'complete' AND status = 'processing' THEN 'completed' WHEN event = 'fail' AND status = 'processing' THEN 'error'
+    WHEN event = 'reset' AND status <> 'completed' THEN 'queued' ELSE status END FROM s JOIN l USING (document_id) WHERE l.n = s.n + 1)
+SELECT document_id, seq, event, status, result, coalesce(error, CASE WHEN status IS NULL THEN 'document_not_found' END) AS error FROM (
+  SELECT document_id, seq, event, {fsm_sql()} FROM (SELECT l.document_id, seq, event, s.status FROM l JOIN s ON s.document_id = l.document_id AND s.n = l.n - 1))""",
+)
+def _(s, d):
+    """A log in which one document has half of all events."""
+    log = s.sql(LOG.format("{t}"), t=w.table(s, d, "events"))
+    return replay.replayed(log, w.documents(s, d)).select("document_id", "seq", "event", "status", "result", "error")
+
+
 FAILURES = "FROM events WHERE value > 60"
 on_table(
     "breaker_window",
