@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import schema
 from . import workload as w
 from .functions import labels, sanitizing, text, vectors
 from .operators import corpus, lifecycle, ops, search, store, text_index, vector_index
@@ -413,6 +414,28 @@ def _(s, d):
     return table.read(s).select("page_id", "document_id", "extraction_status", "translation_status", F.length("original_markdown").cast("long").alias("n"))
 
 
+# pages and documents as they were if constraints did not hold
+_BROKEN_PAGES = """SELECT page_id, CASE WHEN page_id % 60 = 2 THEN 'gone' ELSE document_id END AS document_id, CASE WHEN page_id % 40 = 1 THEN 1 ELSE page_number END AS page_number, CASE WHEN page_id % 70 = 4 THEN 'odd' WHEN page_id % 70 = 5 THEN NULL ELSE extraction_status END AS extraction_status,
+translation_status, embedding_status, CASE WHEN page_id % 30 = 3 THEN {half} ELSE embedding END AS embedding FROM {pages}"""
+_BROKEN_DOCUMENTS = "SELECT CASE WHEN document_id IN ('src0-en', 'src0-de') THEN 'src0' ELSE document_id END AS id, CASE WHEN document_id = 'src2-en' THEN 'lost' ELSE status END AS status FROM {documents}"
+
+
+@query(
+    "constraint_violations",
+    w.BOTH + f""", p AS ({_BROKEN_PAGES.format(half='embedding[1:10]', pages='w_pages')}), d AS ({_BROKEN_DOCUMENTS.format(documents='w_documents')}), r AS (
+  SELECT 'status of documents' AS rule, count(*) AS n FROM d WHERE coalesce(status NOT IN ('uploading', 'queued', 'extracting', 'processing', 'completed', 'error'), true)
+  UNION ALL SELECT 'extraction_status of pages', count(*) FROM p WHERE coalesce(extraction_status NOT IN ('pending', 'processing', 'completed', 'error'), true)
+  UNION ALL SELECT 'documents.id is unique', count(*) FROM (SELECT id FROM d GROUP BY id HAVING count(*) > 1)
+  UNION ALL SELECT 'one page of a number in a document', count(*) FROM (SELECT 1 FROM p GROUP BY document_id, page_number HAVING count(*) > 1)
+  UNION ALL SELECT 'every page has a document', count(*) FROM p WHERE document_id NOT IN (SELECT id FROM d)
+  UNION ALL SELECT 'length of embedding', count(*) FROM p WHERE len(embedding) <> 64) SELECT rule, n FROM r WHERE n > 0""",
+)
+def _(s, d):
+    """What a store's constraints would refuse."""
+    doc, p = docs_pages(s, d)
+    return schema.violations(s.sql(_BROKEN_DOCUMENTS, documents=doc), s.sql(_BROKEN_PAGES.replace("{half}", "slice(embedding, 1, 10)"), pages=p), 64)
+
+
 _count_languages = FUSED_SQL(fts=ASKED_SQL) + "SELECT count(*) AS total FROM rrf WHERE rrf_score >= 0.01"
 
 
@@ -534,7 +557,8 @@ def _(s, d):
 
 
 query("lang_cross", "WITH t AS (" + TEMPLATES + ") SELECT l.lang, t.domain, count(*) AS n FROM t CROSS JOIN (SELECT DISTINCT lang FROM documents) l GROUP BY ALL")(
-    lambda s, d: (lambda t: s.sql(TEMPLATES.replace("documents", "{t}"), t=t).crossJoin(F.broadcast(t.select("lang").distinct())).groupBy("lang", "domain").agg(F.count("*").alias("n")))(w.table(s, d, "documents"))
+    # every template meets every language, so domains are counted first, and a count meets the languages
+    lambda s, d: (lambda t: s.sql(TEMPLATES.replace("documents", "{t}"), t=t).groupBy("domain").agg(F.count("*").alias("n")).crossJoin(t.select("lang").distinct()).select("lang", "domain", "n"))(w.table(s, d, "documents"))
 )
 query("missing_by_lang_domain", f"SELECT lang, domain, count(*) AS n FROM ({MISSING}) GROUP BY ROLLUP (lang, domain)")(lambda s, d: ops.missing_counts(QUERIES["missing_translation_anti"](s, d)))
 query("translation_completeness", f"SELECT lang, count(*) AS n FROM ({MISSING}) GROUP BY 1")(lambda s, d: QUERIES["missing_translation_anti"](s, d).groupBy("lang").agg(F.count("*").alias("n")))
