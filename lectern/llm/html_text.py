@@ -6,7 +6,8 @@ templates, comments, frames and media, choices of data lists, descriptions and d
 or their inline style's display takes out, with all that is in them; a display that is set shows a hidden element. An inline style's visibility is inherited, and what sets it to visible inside is
 shown. Labels of drawings, formulas and the fallback of objects are shown. Layout rules emit the rest: blocks on lines of their
 own with their spacing, items with bullets or numbers and indentation, preformatted text as it is, and table cells aligned in columns, over spans of columns and rows; a cell of
-several lines, as one that holds a table, takes several. Alignment has bounds (WIDE, LINE, REACHING), so that padding stays in proportion to the cells.
+several lines, as one that holds a table, takes several. Columns are aligned exactly as long as that takes no
+more blanks than PADDING allows, or whatever it takes if the caller sets no bound. Dialogs that are not open and what a closed details element holds beside its summary are not shown, style sheets are not read.
 
 Nothing recurses, so depth is bounded by memory alone, and time is linear in the page but for tables in tables, whose lines are copied once for each level. Results: a null or empty page has
 the empty text. Rows with equal ids are pages of their own; very long pages are read whole; ties do not arise. Other columns are ignored.
@@ -15,8 +16,10 @@ the empty text. Rows with equal ids are pages of their own; very long pages are
 from __future__ import annotations
 
 import html
+import math
 import re
 import unicodedata
+from bisect import insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -26,7 +29,7 @@ from .common import arrow_schema, prepare
 # Element names of HTML, by the role they play here.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-HIDDEN = frozenset("head script style title template noscript iframe audio video canvas datalist noembed noframes".split())
+HIDDEN = frozenset("head script style title template noscript iframe audio video canvas datalist noembed noframes rp".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul xmp".split())
 SPACED = frozenset("blockquote dl figure h1 h2 h3 h4 h5 h6 ol p pre table ul menu dir xmp".split())
 CLOSES_P = BLOCK - frozenset("body html caption dd dt legend li optgroup option summary tbody td tfoot th thead tr".split()) | {"hr"}
@@ -64,8 +67,13 @@ _remark = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 KEPT = str.maketrans({" ": "\0", "\t": "\x01"})
 GIVEN = str.maketrans({"\0": " ", "\x01": "\t"})
 
-#: Columns of a table are widened up to WIDE and begin at LINE at most; so many cells at once reach into rows below. Beyond that cells stand less well aligned, none is lost.
-WIDE, LINE, REACHING = 160, 1000, 256
+#: Blanks that aligning a table may take, beside so many for each character of its cells. A table that needs more, as one with a very wide cell in very many rows, has its columns widened up to
+#: WIDE and begun at LINE at most, so that a page of a megabyte does not become gigabytes; without this bound (None) every table is aligned.
+PADDING, TIMES = 1 << 22, 16
+WIDE, LINE = 160, 1000
+
+#: Runs of columns that cells from above hold at once, for different numbers of rows; further ones hold none.
+REACHING = 4096
 
 
 def declared(style: str) -> dict[str, str]:
@@ -97,13 +105,14 @@ class Node:
         if self.tag in HIDDEN:
             return False, None
         low = self.attributes.lower()
-        if "hidden" not in low and "style" not in low:
+        closed = self.tag == "dialog" and self.get("open") is None
+        if not closed and "hidden" not in low and "style" not in low:
             return True, None
         style = declared(self.get("style") or "") if "style" in low else {}
         display = style.get("display")
         if display == "none" or self.tag == "input" and (self.get("type") or "").lower() == "hidden":
             return False, None
-        hidden = self.get("hidden") if "hidden" in low else None
+        hidden = "" if closed else self.get("hidden") if "hidden" in low else None
         if hidden is not None and (display in (None, "", "initial", "inherit", "unset", "revert") or hidden.lower() == "until-found"):
             return False, None
         return True, {"hidden": False, "collapse": False, "visible": True, "initial": True}.get(style.get("visibility", ""))
@@ -245,31 +254,60 @@ class Grid:
 
     def placed(self) -> list[list[tuple[int, int, list[str]]]]:
         """For each row its own cells, each as the columns it begins and ends before; columns that cells from above reach into are passed over."""
-        below: list[tuple[int, int, int]] = []  # (first column, column after the last, rows still taken), by column
+        below: list[tuple[int, int, int]] = []  # first column, column after the last, last row taken; by column
+        soonest = math.inf
         out = []
-        for r in self.rows:
+        for n, r in enumerate(self.rows):
+            if soonest < n:
+                below = [x for x in below if x[2] >= n]
+                soonest = min((x[2] for x in below), default=math.inf)
             k, j, row, reach = 0, 0, [], []
             for lines, across, down in r:
                 while j < len(below) and below[j][0] <= k:
                     k, j = max(k, below[j][1]), j + 1
                 row.append((k, k + across, lines))
-                if down > 1 and len(below) + len(reach) < REACHING:
-                    reach.append((k, k + across, down))
+                if down > 1:
+                    last = n + down - 1
+                    if reach and reach[-1][1] == k and reach[-1][2] == last:
+                        reach[-1] = (reach[-1][0], k + across, last)
+                    else:
+                        reach.append((k, k + across, last))
                 k += across
             out.append(row)
-            if below or reach:
-                below = sorted((a, b, n - 1) for a, b, n in below + reach if n > 1)
+            for x in reach[: REACHING - len(below)]:
+                insort(below, x)
+                soonest = min(soonest, x[2])
         return out
 
-    def lines(self) -> list[str]:
+    def lines(self, padding: int | None = PADDING) -> list[str]:
         rows = [r for r in self.placed() if any(x for _, _, x in r)]
         column = {c: n for n, c in enumerate(sorted({c for r in rows for a, b, _ in r for c in (a, b)}))}  # only where cells begin or end
-        widths = [0] * len(column)
+        cells = [[(column[a], column[b], lines, [width(x) for x in lines]) for a, b, lines in r] for r in rows]
+        starts = self._starts(cells, len(column), math.inf, math.inf)
+        if padding is not None:
+            needed = sum(starts[a] * max(map(len, (x for _, _, x, _ in r))) for r in cells for a in (max(a for a, _, x, _ in r if x),))
+            if needed > padding + TIMES * sum(sum(w) for r in cells for *_, w in r):
+                starts = self._starts(cells, len(column), WIDE, LINE)
+        out = []
+        for r in cells:
+            for n in range(max(len(x) for _, _, x, _ in r)):
+                line, at = [], 0
+                for a, _, lines, wide in r:
+                    if n < len(lines) and lines[n]:
+                        gap = max(2 if at else 0, starts[a] - at)
+                        line += (" " * gap, lines[n])
+                        at += gap + wide[n]
+                out.append("".join(line).rstrip())
+        return out
+
+    @staticmethod
+    def _starts(cells: list, columns: int, widest: float, latest: float) -> list[int]:
+        """Where columns begin, two blanks apart, with room for all cells of at most the widest."""
+        widths = [0] * columns
         spans = []
-        for r in rows:
-            for a, b, lines in r:
-                a, b = column[a], column[b]
-                wide = max((w for w in map(width, lines) if w <= WIDE), default=0)
+        for r in cells:
+            for a, b, _, wide in r:
+                wide = max((w for w in wide if w <= widest), default=0)
                 if b == a + 1:
                     widths[a] = max(widths[a], wide)
                 elif wide:
@@ -278,18 +316,8 @@ class Grid:
             widths[b - 1] += max(0, wide - sum(widths[a:b]) - 2 * (b - a - 1))
         starts = [0]
         for w in widths:
-            starts.append(min(LINE, starts[-1] + w + 2))
-        out = []
-        for r in rows:
-            for n in range(max(len(x) for _, _, x in r)):
-                line, at = [], 0
-                for a, _, lines in r:
-                    if n < len(lines) and lines[n]:
-                        gap = max(2 if at else 0, starts[column[a]] - at)
-                        line += (" " * gap, lines[n])
-                        at += gap + width(lines[n])
-                out.append("".join(line).rstrip())
-        return out
+            starts.append(min(latest, starts[-1] + w + 2))
+        return starts
 
 
 def number(raw: str | None, least: int, most: int) -> int:
@@ -297,7 +325,12 @@ def number(raw: str | None, least: int, most: int) -> int:
     return min(most, max(least, int(raw))) if raw and raw.strip().isdecimal() and len(raw) < 8 else 1
 
 
-def render(root: Node) -> str:
+def whole(raw: str | None) -> int | None:
+    """A whole number as an attribute gives it."""
+    return int(raw) if raw and re.fullmatch(r"\s*-?\d{1,9}\s*", raw) else None
+
+
+def render(root: Node, padding: int | None = PADDING) -> str:
     flows, grids, counters = [Flow()], [], []
     pre = 0
     todo: list = [(root, False, True)]
@@ -356,11 +389,15 @@ def render(root: Node) -> str:
             elif tag in BLOCK:
                 flow.end_line(1 if tag in SPACED and not (tag in LISTS and counters) else 0)
                 if tag in LISTS:
-                    start = node.get("start")
-                    counters.append([int(start) - 1 if start and re.fullmatch(r"-?\d{1,9}", start) else 0, tag == "ol"])
+                    step = -1 if tag == "ol" and node.get("reversed") is not None else 1
+                    first = whole(node.get("start"))
+                    if first is None:
+                        first = 1 if step > 0 else sum(isinstance(c, Node) and c.tag == "li" for c in node.children)
+                    counters.append([first - step, tag == "ol", step])
                 elif tag == "li":
                     if counters:
-                        counters[-1][0] += 1
+                        value = whole(node.get("value"))
+                        counters[-1][0] = counters[-1][0] + counters[-1][2] if value is None else value
                     flow.bullet = f"{counters[-1][0]}. " if counters and counters[-1][1] else "- "
                     flow.prefix.append(" " * len(flow.bullet))
                 elif tag in ("blockquote", "dd"):
@@ -369,9 +406,16 @@ def render(root: Node) -> str:
                     pre += 1
                     if node.children and isinstance(node.children[0], str):
                         node.children[0] = node.children[0].removeprefix("\n")
+            elif tag == "q" and visible:
+                flow.write("\u201c")
+            children = node.children
+            if tag == "details" and node.get("open") is None:  # closed: its first summary alone
+                children = [c for c in children if isinstance(c, Node) and c.tag == "summary"][:1]
             todo.append((node, True, visible))
-            todo.extend((c, False, visible) for c in reversed(node.children))
+            todo.extend((c, False, visible) for c in reversed(children))
             continue
+        if tag == "q" and visible:
+            flow.write("\u201d")
         if tag in ("td", "th") and grids and len(flows) > 1:
             lines = [x for x in flows.pop().text().split("\n") if x.strip()]
             if not grids[-1].rows:
@@ -380,7 +424,7 @@ def render(root: Node) -> str:
             grids[-1].rows[-1].append((lines, *spans))
         elif tag == "table":
             flow.end_line()
-            for line in grids.pop().lines():
+            for line in grids.pop().lines(padding):
                 flow.put(line)
             flow.gap = max(flow.gap, 1)
         elif tag in BLOCK and not (tag == "tr" and grids):
@@ -397,21 +441,21 @@ def render(root: Node) -> str:
     return flows[0].text()
 
 
-def visible_text(page: str | None) -> str:
-    return render(parse(page)) if page else ""
+def visible_text(page: str | None, padding: int | None = PADDING) -> str:
+    return render(parse(page), padding) if page else ""
 
 
 EXTRACTED = "page_id long, text string, n_lines long"
 
 
-def extract(pages: DataFrame) -> DataFrame:
+def extract(pages: DataFrame, padding: int | None = PADDING) -> DataFrame:
     """page_id, the visible text, and its number of lines (none for the empty text)."""
     prepare(pages.sparkSession)
 
     def run(batches):
         schema = arrow_schema(EXTRACTED)
         for batch in batches:
-            texts = [visible_text(x) for x in batch.column(1).to_pylist()]
+            texts = [visible_text(x, padding) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array([t.count("\n") + 1 if t else 0 for t in texts], pa.int64())], schema=schema)
 
     return pages.selectExpr("cast(page_id as long) page_id", "html").mapInArrow(run, EXTRACTED)

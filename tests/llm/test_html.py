@@ -77,3 +77,57 @@ def test_inline_content_ends_an_open_head():
     for body in ("text", "<span>text</span>", "<a href=x>text</a>", "<b>text</b>", '<img alt="text">'):
         assert html_text.visible_text(f"<html><head><meta charset=utf-8> <title>T</title>\n<style>s</style>{body}") == "text"
     assert html_text.visible_text("<head><noscript><img alt=no><div>no</div></noscript><template>no</template></head><body>yes") == "yes"
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<details><summary>S</summary><p>secret</details>after", "S\nafter"),
+        ("<details open><summary>S</summary><p>shown</details>", "S\n\nshown"),
+        ("<details>only<b>text</b></details>x", "x"),
+        ("<dialog>closed</dialog><dialog open>open</dialog><dialog style='display:block'>set</dialog>", "open\nset"),
+        ("<ruby>漢<rp>(</rp><rt>kan</rt><rp>)</rp></ruby>", "漢kan"),
+        ("<ol><li value=5>a<li>b<li value=x>c</ol>", "5. a\n6. b\n7. c"),
+        ("<ol reversed><li>a<li>b<li>c</ol>", "3. a\n2. b\n1. c"),
+        ("<ol reversed start=10><li>a<li value=4>b<li>c</ol>", "10. a\n4. b\n3. c"),
+        ("He said <q>yes</q>.", "He said “yes”."),
+    ],
+)
+def test_more_forms(page, text):
+    assert html_text.visible_text(page) == text
+
+
+def grid_text(cells):
+    """The text of a table by definition: column c begins two blanks behind the widest cell of the one before."""
+    widths = [max(len(r[c][0]) for r in cells if c < len(r)) for c in range(max(map(len, cells)))]
+    starts = [sum(widths[:c]) + 2 * c for c in range(len(widths))]
+    out = []
+    for r in cells:
+        line = ""
+        for c, (x,) in enumerate(r):
+            line = line.ljust(starts[c]) + x if x else line
+        out.append(line.rstrip())
+    return "\n".join(out)
+
+
+@pytest.mark.parametrize(("seed", "columns", "rows", "longest"), [(1, 3, 4, 9), (2, 15, 3, 100), (3, 40, 6, 300), (4, 300, 2, 3), (5, 1, 50, 500)])
+def test_cells_are_aligned_at_any_width(seed, columns, rows, longest):
+    import random
+
+    rnd = random.Random(seed)
+    cells = [[("x" * rnd.randint(1, longest),) for _ in range(columns)] for _ in range(rows)]
+    page = "<table>" + "".join("<tr>" + "".join(f"<td>{x}" for (x,) in r) for r in cells) + "</table>"
+    assert html_text.visible_text(page) == grid_text(cells)
+
+
+def test_many_cells_reach_into_the_next_row():
+    page = "<table><tr>" + "<td rowspan=2>aa" * 300 + "<td>b<tr><td>c</table>"
+    first, second = html_text.visible_text(page).split("\n")
+    assert len(second) - 1 == first.index("b") == 1200 and second.strip() == "c"
+
+
+def test_alignment_of_huge_tables_is_bounded_unless_asked_for():
+    page = "<table>" + f"<tr><td>{'w' * 20_000}<td>x" + "<tr><td>a<td>b" * 3000 + "</table>"
+    near, exact = html_text.visible_text(page), html_text.visible_text(page, None)
+    assert len(near) < 3e5 and len(exact) > 5e7
+    assert "".join(near.split()) == "".join(exact.split()) and all(x.index("b") == 20_002 for x in exact.split("\n")[1:])
