@@ -8,7 +8,8 @@ would leave the two side by side. Back-pointers from the end then give the ids.
 for one very long pre-token.
 
 Results: a null text counts as empty (no tokens, hashes of the empty string). Rows with equal ids or texts are
-encoded independently, one result row for each input row; very long texts and pre-tokens are encoded whole; other columns are ignored.
+encoded independently, one result row for each input row; very long texts and pre-tokens are encoded whole; other columns are ignored. No ties
+arise, as a prefix has one encoding; an empty table gives an empty one.
 """
 
 from __future__ import annotations

@@ -10,7 +10,7 @@ several lines, as one that holds a table, takes several. Columns are aligned exa
 more blanks than PADDING allows, or whatever it takes if the caller sets no bound. Dialogs that are not open and what a closed details element holds beside its summary are not shown, style sheets are not read.
 
 Nothing recurses, so depth is bounded by memory alone, and time is linear in the page but for tables in tables, whose lines are copied once for each level. Results: a null or empty page has
-the empty text. Rows with equal ids are pages of their own; very long pages are read whole; ties do not arise. Other columns are ignored.
+the empty text. Rows with equal ids are pages of their own; very long pages are read whole; ties do not arise; an empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations

@@ -11,7 +11,7 @@ of a fixed size. Only text is an input of a score.
 
 Results: a null text counts as empty; a text without features scores by the bias alone, which is the share of label 1 in the sample. If no labelled row can be
 learned from, every score is 0.5. Unlabelled rows and null labels teach nothing; a row labelled twice teaches twice. Rows with equal ids are scored each for
-itself; other columns are ignored or pass through keep_good.
+itself, very long texts in whole; no ties arise, and an empty table gives an empty one; other columns are ignored or pass through keep_good.
 """
 
 from __future__ import annotations

@@ -10,6 +10,8 @@ MIN_WORDS are never judged by divergence. The limits leave clean prose of every
 
 Results: a null or empty text has no words, so it fails the base rules. Rows with equal ids or texts are judged each
 for itself. If no document can serve as reference, the base rules decide alone. Other columns are ignored.
+Whole texts are measured, however long. Of references equally near the first language counts, and a share or distance at its limit passes. An empty table gives an empty one. Texts in a
+language without common words here (LANGUAGES has those that are known) are measured against references of others, so prose in them may be rejected.
 """
 
 from __future__ import annotations

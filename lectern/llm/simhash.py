@@ -10,6 +10,7 @@ spanning forest, never all its pairs; components are found over these links.
 Results: null, empty and wordless texts have fingerprint zero and are linked like any other. A text of one or two words is one
 shingle. component_id is the smallest doc_id reachable; null ids count as larger than any (a component of null ids alone has a null
 component_id). Repeated rows and ids stay rows of their own; a fingerprint or component of very many rows is not shuffled. Very long texts are read whole. Other columns are ignored, or pass through keep_one.
+A bit that exactly half of the hashes set is 0. An empty table gives an empty one. A last bucket holds 2^20 fingerprints at most and is compared in whole, quadratic in its size.
 """
 
 from __future__ import annotations

@@ -15,7 +15,8 @@ to BLOCK, once there are cells enough for all cores.
 Results: components become floor(64 * x). Vectors that are null or hold null, NaN or infinite components take no part. Shorter vectors count as
 padded with zeros. Ties go to the smaller vec_id, then arbitrarily among rows with the same id. Components that 32 bits do not hold, and scores that
 64 bits do not hold, are clamped to the range. A query's own row is every row with its id; queries with the same id are
-answered together, by one list of the k best of all their pairs. Rows with a null vec_id take no part.
+answered together, by one list of the k best of all their pairs. Rows with a null vec_id take no part. Vectors may be of any length,
+and there are no texts. Empty vectors or queries give an empty table. Other columns are not looked at.
 """
 
 from __future__ import annotations

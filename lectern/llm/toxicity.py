@@ -14,7 +14,7 @@ Learned from a bounded sample, in one task: of each label the rows with the smal
 examples of a rare label are learned. The index that is broadcast is bounded by the sample's words. Only text is an input of a score; whole texts are read.
 
 Results: a null text counts as empty. Without labelled rows every score is 0.5. Null labels teach nothing, a row labelled
-twice teaches twice; equal similarities go to the smaller example id. Other columns are ignored.
+twice teaches twice; equal similarities go to the smaller example id. An empty table gives an empty one. Other columns are ignored.
 """
 
 from __future__ import annotations
