@@ -1,6 +1,9 @@
 """From raw documents to packed training sequences: the stages, in order, each over all that its predecessor kept.
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents.
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return the columns of documents, and other columns that docs may have.
+
+Nulls, empty and very long texts, ties and repeated rows are as the operators' docstrings say: a null or empty text fails the rules and goes first; whole texts are read; of equal texts the near duplicates'
+stage keeps one; rows with equal ids are judged each for itself. Empty documents give empty sequences, and without labels the classifier keeps everything.
 """
 
 from __future__ import annotations
