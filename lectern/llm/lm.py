@@ -46,6 +46,9 @@ BLOCK, PART, SHARD = 3_400_000, 1_500_000, 6_000_000
 #: The names of the end and the start token; no word contains white space.
 NAMES = (b" end", b" start")
 
+#: Tasks over which shards are dealt at most.
+TASKS = 20_000
+
 PAIR_BITS, TRIPLE_BITS = 40, 32
 
 #: A word is frequent if it is more than this part of a shard's share of the tokens; very frequent if it is more than so many of all tokens.
@@ -563,24 +566,32 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
                     if any(asked):
                         yield pa.RecordBatch.from_arrays([pa.array([name.as_py()]), pa.array([s], pa.int32()), pa.array([_join(*asked)], pa.binary())], schema=schema)
 
-    def answer(key: tuple[pa.Scalar, ...], given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, asked = [], []
+    def by_shard(given: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[list[bytes]]]]:
+        """A task's shards one after the other, with the names of the blocks that ask and their questions."""
+        shard, names, asked = None, [], []
         for batch in given:
-            names += batch.column("block").to_pylist()
-            asked += [_split(x) for x in batch.column("payload").to_pylist()]
-        found: list[list[bytes]] = [[b""] * parts for _ in names]
-        for k in range(parts):
-            some = [i for i, x in enumerate(asked) if x[k]]
-            if some:
-                for i, x in zip(some, part_answers([asked[i][k] for i in some], *sent.value[:2], mu), strict=True):
-                    found[i][k] = x
-                    asked[i][k] = b""
-                give_back()
-        for name, x in zip(names, found, strict=True):
-            yield pa.RecordBatch.from_arrays([pa.array([name]), key_array(key), pa.array([_join(*x)], pa.binary())], ["block", "shard", "payload"])
-
-    def key_array(key):
-        return pa.array([key[0].as_py()], pa.int32())
+            for name, s, x in zip(*(batch.column(c) for c in ("block", "shard", "payload")), strict=True):
+                if names and s.as_py() != shard:
+                    yield shard, names, asked
+                    names, asked = [], []
+                shard = s.as_py()
+                names.append(name.as_py())
+                asked.append(_split(x.as_py()))
+        if names:
+            yield shard, names, asked
+
+    def answer(given: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, names, asked in by_shard(given):
+            found: list[list[bytes]] = [[b""] * parts for _ in names]
+            for k in range(parts):
+                some = [i for i, x in enumerate(asked) if x[k]]
+                if some:
+                    for i, x in zip(some, part_answers([asked[i][k] for i in some], *sent.value[:2], mu), strict=True):
+                        found[i][k] = x
+                        asked[i][k] = b""
+                    give_back()
+            for name, x in zip(names, found, strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([shard], pa.int32()), pa.array([_join(*x)], pa.binary())], ["block", "shard", "payload"])
 
     def score(key: tuple[pa.Scalar, ...], given: pa.Table, found: pa.Table) -> pa.Table:
         block = Block.load(given.column("payload")[0].as_py())
@@ -612,5 +623,8 @@ def score_documents(docs: DataFrame, folds: int = 7, held: int = 2, mu=MU, block
         give_back()
         return out
 
-    answers = table.mapInArrow(ask, "block long, shard int, payload binary").groupBy("shard").applyInArrow(answer, "block long, shard int, payload binary")
+    # dealt by number, so that no task gets two shards while another has none
+    tasks = min(TASKS, shards)
+    asked = table.mapInArrow(ask, "block long, shard int, payload binary").repartitionById(tasks, F.expr(f"shard % {tasks}"))
+    answers = (asked if tasks == shards else asked.sortWithinPartitions("shard")).mapInArrow(answer, "block long, shard int, payload binary")
     return table.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score, SCORED)

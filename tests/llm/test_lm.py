@@ -144,3 +144,11 @@ def test_frequent_words_are_dealt_to_many_shards():
 def test_the_model_beats_the_base_on_held_out_text(spark):
     rows = lm.score_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).filter("held_out").collect()
     assert sum(r.score for r in rows) > sum(r.base_score for r in rows)
+
+
+def test_tasks_with_several_shards_give_the_same(spark, data, monkeypatch):
+    docs = spark.read.parquet(f"{data}/documents.parquet").limit(60).repartition(3)
+    rows = lambda: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in lm.score_documents(docs, block_tokens=2000, part_tokens=500, shard_tokens=1000).collect())
+    one_each = rows()
+    monkeypatch.setattr(lm, "TASKS", 2)
+    assert rows() == one_each
