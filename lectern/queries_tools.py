@@ -76,7 +76,7 @@ query("health_checks", "SELECT * FROM (VALUES ('session', 'ok', NULL), ('tables'
     lambda s, d: health.run_checks(s, {"session": lambda: health.check_session(s), "tables": lambda: None if w.table(s, d, "region").count() else "empty", "broken": lambda: "no answer", "cut": lambda: None}, frozenset({"cut"})).select("check", "result", "error")
 )
 TABLES = "benchmark conversations customer documents embeddings events labels lineitem nation orders pages part region supplier"
-query("dir_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', false)" for t in TABLES.split()) + ") t(name, is_dir)")(lambda s, d: files.listing(s, d).select("name", "is_dir"))
+query("dir_scan", "SELECT * FROM (VALUES " + ", ".join(f"('{t}.parquet', false)" for t in TABLES.split()) + ") t(name, is_dir)")(lambda s, d: files.as_tables(s, d, files.listing(s, d)).select("name", "is_dir"))
 
 
 @query("file_mtime_scan", f"SELECT name, mtime::VARCHAR AS mtime FROM ({DIRS.format('to_hours(doc_id % 100)', 'documents')}) WHERE is_dir AND mtime < TIMESTAMP '2024-01-13 00:00:00' - INTERVAL 30 HOURS")

@@ -18,6 +18,22 @@ def listing(spark: SparkSession, root: str) -> DataFrame:
     return spark.createDataFrame(rows, "name string, is_dir boolean, mtime double").withColumn("mtime", F.col("mtime").cast("timestamp"))
 
 
+def as_tables(spark: SparkSession, root: str, listed: DataFrame) -> DataFrame:
+    """A listing of root in which a stored table is one entry and no directory, whether it is one file or a folder of files: a folder x.parquet that holds visible entries, all of
+    them Parquet files or partitions (column=value). Other folders with that name stay directories."""
+    jvm = spark.sparkContext._jvm
+    fs = jvm.org.apache.hadoop.fs.Path(root).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+    def holds_table(name: str) -> bool:
+        inside = [(s.getPath().getName(), s.isDirectory()) for s in fs.listStatus(jvm.org.apache.hadoop.fs.Path(root, name))]
+        seen = [("=" in n if folder else n.endswith(".parquet")) for n, folder in inside if not n.startswith(("_", "."))]
+        return bool(seen) and all(seen)
+
+    names = [r.name for r in listed.filter(F.col("is_dir") & F.col("name").endswith(".parquet")).select("name").toLocalIterator()]
+    tables = [n for n in names if holds_table(n)]
+    return listed.withColumn("is_dir", F.col("is_dir") & ~F.col("name").isin(tables)) if tables else listed
+
+
 def older_than(listed: DataFrame, hours: int, now: Column) -> DataFrame:
     """The directories (name, is_dir, mtime) of a listing that were last changed more than so many hours before now; without a time none is."""
     return listed.filter(F.col("is_dir") & (F.col("mtime") < now - F.expr(f"INTERVAL {hours} HOURS")))

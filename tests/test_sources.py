@@ -2,6 +2,7 @@ import os
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from lectern.operators import health, ingest, ops
 from lectern.sources import catalogues, files, models
@@ -57,6 +58,20 @@ def test_sweep(spark, tmp_path):
     assert files.listing(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_stored_tables_are_entries_and_no_directories(spark, tmp_path):
+    from lectern.queries import QUERIES
+
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
+    spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "parts.parquet"))
+    (tmp_path / "one.parquet").write_text("x")
+    for name in ("uploads", "empty.parquet", "mixed.parquet"):
+        (tmp_path / name).mkdir()
+    (tmp_path / "mixed.parquet" / "original.pdf").write_text("x")
+    directories = {r.name for r in files.listing(spark, str(tmp_path)).filter("is_dir").collect()}
+    assert directories == {"many.parquet", "parts.parquet", "uploads", "empty.parquet", "mixed.parquet"}
+    assert {r.name: r.is_dir for r in QUERIES["dir_scan"](spark, str(tmp_path)).collect()} == {"many.parquet": False, "parts.parquet": False, "one.parquet": False, "uploads": True, "empty.parquet": True, "mixed.parquet": True}
+
+
 def test_images_and_source_files(spark, tmp_path):
     for name in ("page-10.png", "page-002.png", "page-x.png", "original.docx"):
         (tmp_path / name).write_bytes(b"\x89PNG" + name.encode())
