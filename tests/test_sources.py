@@ -59,7 +59,7 @@ def test_sweep(spark, tmp_path):
 
 
 def test_stored_tables_are_entries_and_no_directories(spark, tmp_path):
-    from lectern.queries import QUERIES
+    from lectern.queries_tools import QUERIES
 
     spark.range(10).repartition(3).write.parquet(str(tmp_path / "many.parquet"))
     spark.range(4).withColumn("k", F.col("id") % 2).write.partitionBy("k").parquet(str(tmp_path / "parts.parquet"))
