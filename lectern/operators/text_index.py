@@ -12,13 +12,18 @@ Frequent lexemes have long lists: writers cut a bucket into files by size, whate
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import labels, text
 from ..plans import batches
+from ..plans.arrow import short_batches
 from . import search
 
 #: Buckets of lexemes. A bucket is a folder of each batch.
@@ -26,6 +31,9 @@ BUCKETS = 64
 
 ORIGINAL, TRANSLATED = 0, 1
 
+#: Bytes of the tokens, as Arrow, whose postings are packed together: what a writer's worker holds, times about ten.
+PACK_BYTES = 16 << 20
+
 COLUMNS = "lexeme string, field int, config string, positions array<int>, tf int, bucket int"
 
 
@@ -51,15 +59,82 @@ def cover_density(places: Column, n_terms: int, weight: float = 0.1) -> Column:
     return F.aggregate(events, start, step, lambda s: s["total"])
 
 
-def postings_of(pages: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
-    """bucket, lexeme, field, config, page_id, positions, tf of all texts of pages; stop words have none."""
-    ready = search.indexed(pages, documents).join(documents.select("document_id", "target_language"), "document_id", "left")
+def _listed(ids: pa.Array, token_lists: pa.Array, configs: pa.Array, field: int, buckets: int, stop: dict[str, list[str]]) -> pa.RecordBatch:
+    """The postings of one field of some pages, a row for each lexeme and configuration, by bucket: each word is analysed once, and one sort brings its places in a page together."""
+    lengths = np.diff(token_lists.offsets.to_numpy())
+    words = pc.dictionary_encode(token_lists.flatten())
+    row = np.repeat(np.arange(len(ids)), lengths)
+    at = np.arange(len(row)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    config = pc.dictionary_encode(configs)
+    names, vocabulary = config.dictionary.to_pylist(), words.dictionary.to_pylist()
+    pair = config.indices.to_numpy()[row].astype(np.int64) * len(vocabulary) + words.indices.to_numpy()
+    pairs, which = np.unique(pair, return_inverse=True)
+    of = [text.lexemes_of(c, stop.get(c, [])) for c in names]
+    found = [(of[p // len(vocabulary)][vocabulary[p % len(vocabulary)]], p // len(vocabulary)) for p in pairs.tolist()]
+    bucket = {x: zlib.crc32(x.encode()) % buckets for x, _ in found}
+    ordered = sorted(set(found), key=lambda x: (bucket[x[0]], x))
+    place = {x: k for k, x in enumerate(ordered)}
+    code = np.array([place[x] for x in found], np.int64)[which]
+    kept = np.array([x != "" for x, _ in ordered], bool)[code]  # stop words
+    key, at = code[kept] * len(ids) + row[kept], at[kept]
+    order = np.argsort(key, kind="stable")  # places of a page stay in order
+    key = key[order]
+    first = np.flatnonzero(np.diff(key, prepend=-1))  # of each posting
+    whose = key[first] // len(ids)
+    head = np.flatnonzero(np.diff(whose, prepend=-1))  # of each row
+    ends = lambda starts, n: np.append(starts, n).astype(np.int32)
+    by_row = lambda values: pa.ListArray.from_arrays(ends(head, len(first)), values)
+    tfs = by_row(pa.array(np.diff(np.append(first, len(key))).astype(np.int32)))
+    begin = first[head]
+    places = pa.ListArray.from_arrays(ends(begin, len(key)), pa.array(at[order].astype(np.int32)))
+    starts = by_row(pa.array((first - np.repeat(begin, np.diff(np.append(head, len(first)))) + 1).astype(np.int32)))
+    page_ids = by_row(ids.take(pa.array(key[first] % len(ids))))
+    mine = [ordered[k] for k in whose[head].tolist()]
+    columns = [pa.array([bucket[x] for x, _ in mine], pa.int32()), pa.array([x for x, _ in mine], pa.string()), pa.array([field] * len(mine), pa.int32()), pa.array([names[c] for _, c in mine], pa.string()), page_ids, starts, tfs, places]
+    return pa.RecordBatch.from_arrays(columns, ["bucket", "lexeme", "field", "config", "page_ids", "starts", "tfs", "places"])
+
+
+def packed(pages: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
+    """bucket, lexeme, field, config, page_ids, starts, tfs, places: the postings of some hundred pages at a time, those of a lexeme in one row, their places one after the other.
+
+    A page is a row, so its postings are made where it lies and words are not exchanged; packed like this, postings travel in a few bytes each.
+    """
+    short_batches(pages.sparkSession)
+    found = pages.join(documents.select("document_id", "target_language"), "document_id", "left")
     config = labels.fts_config(F.coalesce("target_language", F.lit("en")))
-    field = lambda no, config, found: F.struct(F.lit(no).alias("field"), config.alias("config"), F.col(found).alias("found"))
-    fields = F.array(field(ORIGINAL, F.lit("simple"), "original_searchable"), field(TRANSLATED, config, "translated_searchable"))
-    words = ready.select("page_id", F.inline(fields)).select("page_id", "field", "config", F.posexplode("found").alias("at", "lexeme")).filter("lexeme <> ''")
-    lists = words.groupBy("lexeme", "field", "config", "page_id").agg(F.array_sort(F.collect_list("at")).alias("positions"))
-    return lists.select(bucket_of(F.col("lexeme"), buckets).alias("bucket"), "lexeme", "field", "config", "page_id", "positions", F.size("positions").alias("tf"))
+    ready = found.select("page_id", config.alias("config"), *(text.tokens(F.col(c)).alias(c) for c in ("original_markdown", "translated_markdown")))
+    stop = {c: sorted(text.stop_words(c)) for c in search.CONFIGS}
+
+    def listed(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, configs, original, translated = (c.combine_chunks() for c in pa.Table.from_batches(held).columns)
+        simple = pa.array(["simple"] * len(ids), pa.string())
+        for field, lists, of in ((ORIGINAL, original, simple), (TRANSLATED, translated, configs)):
+            if len(lists.flatten()):
+                yield _listed(ids, lists, of, field, buckets, stop)
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= PACK_BYTES:
+                yield from listed(held)
+                held, size = [], 0
+        if held:
+            yield from listed(held)
+
+    return ready.mapInArrow(run, f"bucket int, lexeme string, field int, config string, page_ids array<{dict(pages.dtypes)['page_id']}>, starts array<int>, tfs array<int>, places array<int>")
+
+
+def unpacked(packs: DataFrame) -> DataFrame:
+    """A row for each posting of packed ones."""
+    rows = packs.select("bucket", "lexeme", "field", "config", "places", F.inline(F.arrays_zip("page_ids", "starts", "tfs")))
+    return rows.select("bucket", "lexeme", "field", "config", F.col("page_ids").alias("page_id"), F.slice("places", F.col("starts"), F.col("tfs")).alias("positions"), F.col("tfs").alias("tf"))
+
+
+def postings_of(pages: DataFrame, documents: DataFrame, buckets: int) -> DataFrame:
+    """bucket, lexeme, field, config, page_id, positions, tf of all texts of pages; stop words have none. A page_id that pages have twice has postings for each."""
+    return unpacked(packed(pages, documents, buckets))
 
 
 def bucket_of(lexeme: Column, buckets: int) -> Column:
@@ -74,7 +149,7 @@ class TextIndex(NamedTuple):
 
     def write(self, pages: DataFrame, documents: DataFrame, batch: int, removed: DataFrame | None = None) -> None:
         """Writes pages, with their whole texts, as a batch, and takes out those of removed (page_id). The first batch builds the index."""
-        lists = postings_of(pages, documents, self.buckets).hint("rebalance", "bucket").sortWithinPartitions("bucket", "lexeme", "field", "config", "page_id")
+        lists = unpacked(packed(pages, documents, self.buckets).hint("rebalance", "bucket")).sortWithinPartitions("bucket", "lexeme", "field", "config", "page_id")
         lists.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.path}/postings/batch={batch}")
         gone = pages.select("page_id") if removed is None else pages.select("page_id").unionByName(removed.select("page_id"))
         batches.finish(gone, self.path, batch)
@@ -107,9 +182,12 @@ class TextIndex(NamedTuple):
                 number = F.when((F.col("config") == c) & (F.col("lexeme") == t), k).otherwise(number)
         n_terms = F.create_map(*(x for c, terms in of.items() for x in (F.lit(c), F.lit(len(terms)))))
         hits = found.withColumn("_k", number).filter("_k IS NOT NULL")
-        # as many rows a group as the query has terms
-        texts = hits.groupBy("page_id", "field", "config").agg(F.array_sort(F.collect_list(F.struct("_k", "positions"))).alias("own")).filter(F.size("own") == n_terms[F.col("config")])
-        places = F.transform("own", lambda x: x["positions"])
+        # as many rows a group as the query has terms, or more if a page was written twice in a batch
+        texts = hits.groupBy("page_id", "field", "config").agg(F.collect_list(F.struct("_k", "positions")).alias("all"))
+        of_term = lambda k: F.array_sort(F.flatten(F.transform(F.filter("all", lambda x: x["_k"] == k), lambda x: x["positions"])))
+        own = F.transform(F.array_sort(F.array_distinct(F.transform("all", lambda x: x["_k"]))), of_term)
+        texts = texts.withColumn("own", own).filter(F.size("own") == n_terms[F.col("config")])
+        places = F.col("own")
         score = F.lit(None).cast("double")
         for n in sorted({len(terms) for terms in of.values()} - {0}):
             score = F.when(F.size("own") == n, F.size(places[0]) * F.lit(0.1) if n == 1 else cover_density(places, n)).otherwise(score)

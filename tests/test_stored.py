@@ -141,3 +141,25 @@ def test_hybrid_search_over_stored_lists(spark, tmp_path):
     for q in ("the and", "nicht", ""):
         plain, stored = (rows(search.hybrid_search(pages, docs, q, vector, index=i)) for i in (None, index))
         assert plain == stored and (plain or not q)
+
+
+def test_postings_are_made_where_pages_lie(spark, tables):
+    docs, pages = tables
+    made = text_index.postings_of(pages, docs, 16)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "collect_list" not in plan and "hashpartitioning(lexeme" not in plan
+    got = {(r.lexeme, r.page_id): list(r.positions) for r in made.filter("field = 0").collect()}
+    want = {}
+    for r in pages.select("page_id", text.tokens(F.col("original_markdown")).alias("t")).collect():
+        for at, x in enumerate(r.t):
+            want.setdefault((x, r.page_id), []).append(at)
+    assert got == want
+    packs = text_index.packed(pages.coalesce(1), docs, 16).filter("field = 0")
+    assert packs.count() == len({x for x, _ in got}) < len(got)  # one row has a lexeme's postings of many pages
+
+
+def test_a_page_written_twice_in_a_batch_is_found(spark, tables, tmp_path):
+    docs, pages = tables
+    index = TextIndex(f"{tmp_path}/index", 4)
+    index.write(pages.unionByName(pages), docs, 0)
+    assert {r.page_id for r in index.matches(spark, "the and").collect()} == {r.page_id for r in search.text_scores(pages.withColumn("extraction_status", F.lit("completed")), docs.withColumn("status", F.lit("completed")), "the and").collect()}
