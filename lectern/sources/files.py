@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.arrow import BYTES, short_batches
+
 
 def listing(spark: SparkSession, root: str) -> DataFrame:
     """(name, is_dir, mtime) of the entries of a directory, through the Hadoop file system, so on any store; a missing one is empty."""
@@ -71,29 +73,43 @@ def page_count(info: Column) -> Column:
     return F.when(digits != "", digits.cast("int"))
 
 
+def _frames(rows: Iterator[tuple], columns: list[str], most: int = BYTES) -> Iterator[pd.DataFrame]:
+    """Rows with content as frames that are yielded as soon as their contents reach most bytes, so that a worker holds about so much, however many rows a file gives."""
+    held, size = [], 0
+    for row in rows:
+        held.append(row)
+        size += 100 + len(row[columns.index("content")] or b"")
+        if size >= most:
+            yield pd.DataFrame(held, columns=columns)
+            held, size = [], 0
+    if held:
+        yield pd.DataFrame(held, columns=columns)
+
+
 def extracted(files: DataFrame, extract: Callable[[bytes], Iterator[bytes]], page: int | None = None) -> DataFrame:
     """(path, page_number, content): the pages that an injected tool makes of each file, or the one page asked for."""
+    short_batches(files.sparkSession)
 
     def run(batches):
-        for batch in batches:
-            rows = [(p, k, img) for p, content in zip(batch["path"], batch["content"], strict=True) for k, img in enumerate(extract(bytes(content)), 1) if page is None or k == page]
-            yield pd.DataFrame(rows, columns=["path", "page_number", "content"])
+        rows = ((p, k, img) for batch in batches for p, content in zip(batch["path"], batch["content"], strict=True) for k, img in enumerate(extract(bytes(content)), 1) if page is None or k == page)
+        yield from _frames(rows, ["path", "page_number", "content"])
 
     return files.select("path", "content").mapInPandas(run, "path string, page_number int, content binary")
 
 
 def converted(files: DataFrame, convert: Callable[[bytes], bytes]) -> DataFrame:
     """(path, content, error): files as an injected converter leaves them; its failures become error."""
+    short_batches(files.sparkSession)
+
+    def one(p, content):
+        try:
+            return p, convert(bytes(content)), None
+        except Exception as e:  # noqa: BLE001  the tool is foreign code
+            return p, None, f"{type(e).__name__}: {e}"
 
     def run(batches):
-        for batch in batches:
-            rows = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
-                try:
-                    rows.append((p, convert(bytes(content)), None))
-                except Exception as e:  # noqa: BLE001  the tool is foreign code
-                    rows.append((p, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "content", "error"])
+        rows = (one(p, content) for batch in batches for p, content in zip(batch["path"], batch["content"], strict=True))
+        yield from _frames(rows, ["path", "content", "error"])
 
     return files.select("path", "content").mapInPandas(run, "path string, content binary, error string")
 
