@@ -11,6 +11,8 @@ from dataclasses import dataclass, field
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from ..plans.arrow import short_batches
+
 
 class ModelError(Exception):
     """A failure of a model: permanent ones are not retried."""
@@ -80,6 +82,8 @@ def called(call: Callable, *args, attempts: int = 3, delay: Callable[[int], floa
 
 
 def _applied(df: DataFrame, key: str, column: str, kind: str, one: Callable, service: str = "model_api", **how) -> DataFrame:
+    short_batches(df.sparkSession)
+
     def run(batches):
         breaker = breaker_of(service)
         for batch in batches:

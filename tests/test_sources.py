@@ -167,3 +167,24 @@ def test_health(spark, tmp_path):
     assert got["session"] == got["disk"] == ("ok", None) and got["none"][0] == "error" and got["model"] == ("error", "division by zero") and got["cut"] == ("error", "circuit_open")
     assert not list(tmp_path.iterdir())
     assert not health.due(None, 5, 0, "health") and health.due(None, 10, 0, "health") and not health.due(10, 69, 0, "health") and health.due(10, 70, 0, "health")
+
+
+def test_python_gets_and_gives_small_batches(spark):
+    from lectern.functions import markdown, text
+    from lectern.plans import arrow
+
+    rows = spark.range(3).selectExpr("cast(id AS string) AS path", "cast('a b' AS binary) AS content", "'a b' AS t", "'simple' AS c")
+    lists = text.tokens(F.col("t"))
+    makers = [
+        lambda: files.extracted(rows, lambda raw: iter([raw])), lambda: files.converted(rows, lambda raw: raw), lambda: models.generated(rows, "path", "t", lambda p: p), lambda: markdown.rendered("t"),
+        lambda: text.lexemes(lists, F.col("c")), lambda: text.rank_texts(["a", "b"])(lists), lambda: text.language_scores("a b", ["simple"])(lists, F.col("c")),
+    ]
+    for make in makers:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+        make()
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == arrow.ROWS and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) == arrow.BYTES
+    sizes = [len(f) for f in files._frames((("p", k, b"x" * 900) for k in range(25)), ["path", "page_number", "content"], 10_000)]
+    assert sizes == [10, 10, 5]
+    held = text.Lexemes("german", frozenset())
+    assert held.most <= 100_000
