@@ -5,8 +5,8 @@ by a power of the smoothed inverse document frequency in the sample. The vocabul
 sample's. The power and the letters of beginnings were chosen by two-fold cross-validation among the rows that may be learned from, never by others. Every sampled example of both labels with a term is in the index: each term has its
 examples in order of place, in blocks.
 Terms of many examples (common ones) also lie in dense columns with the greatest weight in each block. A query's bound for a block is the greatest score there by
-its rarer terms, which is exact, plus the sum of its common weights times these maxima; blocks are searched by falling bound until no other block can hold one of the k
-nearest, which are exact. Neighbours vote with weights that rise as the distance falls. The votes of the few nearest, of more and of all of them become a score by a
+its rarer terms, which is exact, plus the sum of its common weights times these maxima; the blocks of the greatest bounds are searched first, then those that can still hold one of the k
+nearest, which are exact; a block meets all queries of a group that search it at once. Neighbours vote with weights that rise as the distance falls. The votes of the few nearest, of more and of all of them become a score by a
 logistic curve that is learned on the examples, each scored without itself, and weighted to the labels' true shares; the nearest examples' ids are the evidence.
 Texts that share no term with an example score the share of label 1.
 
@@ -23,7 +23,8 @@ import math
 import pickle
 import re
 from collections import Counter
-from functools import reduce
+from functools import lru_cache, reduce
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +49,10 @@ FEW = (3, 8, NEAREST)
 COMMON = 8
 
 #: So many texts are weighed at once.
-GROUP = 64
+GROUP = 256
 
-#: Words of so many letters at most, and so many of them, are remembered with their terms.
-KNOWN_LETTERS, KNOWN = 32, 100_000
+#: The postings of a term of more examples are copied as a whole; those of others are picked one by one.
+LONG = 64
 
 _words = re.compile(r"\w+").findall
 
@@ -62,25 +63,45 @@ def terms(text: str) -> set[str]:
     return found.union(*({w[:n] + "*" for w in found if len(w) > n} for n in BEGINNINGS))
 
 
+def _small(a: np.ndarray) -> np.ndarray:
+    """Integers as the least kind that holds them."""
+    return a.astype(np.min_scalar_type(int(a.max(initial=0))))
+
+
+def _ranges(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """n integers from each first one on, one after the other."""
+    ends = np.cumsum(n)
+    return np.repeat(first - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Terms(dict):
+    """The numbers of terms. A word that is none has the number of its longest beginning that is one, or else the number of terms."""
+
+    def __missing__(self, word: str) -> int:
+        for n in reversed(BEGINNINGS):
+            if len(word) > n and (k := self.get(word[:n] + "*")) is not None:
+                return k
+        return len(self)
+
+
 class NearestExamples:
     def __init__(self, examples: list[tuple[int, str, int]], of_labels: tuple[int, int] | None = None):
         """examples: (id, text, label), in any order; of_labels: the rows of label 0 and of label 1 that they were drawn from, if not all are here."""
         examples = sorted(examples, key=lambda e: (e[0], e[2], e[1]))
         having = Counter(w for _, text, _ in examples for w in terms(text))
-        self.term = {w: k for k, w in enumerate(sorted(having))}
+        self._name(sorted(having, key=lambda w: (-having[w], w)))
         self.idf = np.array([(1 + math.log((1 + len(examples)) / (1 + having[w]))) ** POWER for w in self.term])
-        self.known = {}
         rows = [(i, y, self._counts(text)) for i, text, y in examples]
         rows = [(i, y, (at, *self._lengthened(at, n)), n) for i, y, (at, n) in rows if len(at)]
         self.ids = np.array([r[0] for r in rows], np.int64)
         self.labels = np.array([r[1] for r in rows], float)
         self.n_blocks = -(-len(rows) // BLOCK)
         of = np.concatenate([np.empty(0, np.int64), *(r[2][0] for r in rows)])
-        order = np.argsort(of, kind="stable")
-        #: The postings of term k, in order of place: start[k] to start[k + 1].
+        at, number = np.repeat(np.arange(len(rows)), [len(r[2][0]) for r in rows]), np.concatenate([np.empty(0, np.int64), *(r[3] for r in rows)])
+        order = np.lexsort((at, number, of))
+        #: The postings of term k, by number and place: start[k] to start[k + 1].
         self.start = np.concatenate(([0], np.cumsum(np.bincount(of, minlength=len(self.term)))))
-        self.at = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[2][0]) for r in rows])[order]
-        self.number = np.concatenate([np.empty(0), *(r[3] for r in rows)])[order]
+        self.at, self.number = _small(at[order]), _small(number[order])
         self.length = np.array([r[2][2] for r in rows])
         self._open()
         n1 = sum(y for _, _, y in examples)
@@ -89,63 +110,64 @@ class NearestExamples:
         self.reach = max(NEAREST, math.isqrt(len(rows)))
         self._calibrate([r[2][:2] for r in rows], n0, n1)
 
+    def _name(self, terms: list[str]) -> None:
+        """The numbers of the terms, the most frequent first, so that what most texts ask for lies together, and of each the longest beginning that is another one: all that a word counts for is met by going back from its own number."""
+        self.term = Terms(zip(terms, range(len(terms)), strict=True))
+        self.back = np.array([*(self.term.__missing__(w.rstrip("*")) for w in terms), len(terms)], np.int64)
+
+    @property
+    def weight(self) -> np.ndarray:
+        """The weight of each posting."""
+        return (1 + np.log(self.number.astype(float))) * np.repeat(self.idf, self.having) / self.length[self.at]
+
     def _open(self) -> None:
-        """Weights, the dense columns of common terms and their block maxima; they follow from the postings' numbers and do not travel."""
-        self.weight = (1 + np.log(self.number)) * np.repeat(self.idf, np.diff(self.start)) / self.length[self.at]
-        common = np.flatnonzero(np.diff(self.start) * COMMON > len(self.ids))
-        self.column = np.full(len(self.term), -1)
-        self.column[common] = np.arange(len(common))
-        self.dense = np.zeros((self.n_blocks, BLOCK, len(common)))
-        for k, t in enumerate(common.tolist()):
-            at = self.at[self.start[t] : self.start[t + 1]]
-            self.dense[at // BLOCK, at % BLOCK, k] = self.weight[self.start[t] : self.start[t + 1]]
+        """The dense columns of common terms, their block maxima and what else follows from the postings; it does not travel."""
+        self.having = np.diff(self.start)
+        self.n_common, self.n_long = (int((self.having > n).sum()) for n in (len(self.ids) / COMMON, min(LONG, len(self.ids) / COMMON)))
+        ends = self.start[: self.n_long + 1].tolist()
+        self.long = [self.at[x:y] for x, y in pairwise(ends)]
+        # runs of the same term and number, which weigh alike but for the examples' lengths: their first one of each term, their sizes and weights
+        of = np.repeat(np.arange(len(self.having)), self.having)
+        first = np.flatnonzero(np.diff(of, prepend=-1) | np.diff(self.number.astype(np.int64), prepend=-1))
+        self.runs = np.searchsorted(of[first], np.arange(len(self.having) + 1))
+        self.size, self.loudness = np.diff(first, append=len(of)), (1 + np.log(self.number[first].astype(float))) * self.idf[of[first]]
+        weight = self.weight
+        self.dense = np.zeros((self.n_blocks, BLOCK, self.n_common))
+        for t, (x, y) in enumerate(pairwise(ends[: self.n_common + 1])):
+            self.dense[self.at[x:y] // BLOCK, self.at[x:y] % BLOCK, t] = weight[x:y]
         self.most = self.dense.max(axis=1)
 
     def __getstate__(self):
         """Places and numbers as the least integers that hold them."""
-        small = lambda a: a.astype(np.min_scalar_type(int(a.max(initial=0))))
-        kept = {k: v for k, v in self.__dict__.items() if k not in ("column", "dense", "most", "known", "weight", "term")}
-        return kept | {"at": small(self.at), "number": small(self.number), "words": "\n".join(self.term)}
+        kept = {k: v for k, v in self.__dict__.items() if k not in ("having", "long", "runs", "size", "loudness", "dense", "most", "term", "back")}
+        return kept | {"words": "\n".join(self.term)}
 
     def __setstate__(self, state):
-        self.__dict__.update(state, known={}, at=state["at"].astype(np.int32), number=state["number"].astype(float))
-        self.term = {w: k for k, w in enumerate(self.__dict__.pop("words").split("\n") if len(self.idf) else ())}
+        self.__dict__.update(state)
+        self._name(self.__dict__.pop("words").split("\n") if len(self.idf) else [])
         self._open()
 
     @property
     def blocks(self) -> dict[int, tuple[np.ndarray, np.ndarray, dict]]:
         """By term: the blocks it occurs in, its greatest weight in each, and by block the places in it with their weights. For inspection."""
-        out = {}
+        out, all_at, all_weight = {}, self.at.astype(np.int64), self.weight
         for t in range(len(self.term)):
-            at, w = (x[self.start[t] : self.start[t + 1]] for x in (self.at, self.weight))
+            at, w = (x[self.start[t] : self.start[t + 1]] for x in (all_at, all_weight))
+            order = np.argsort(at)
+            at, w = at[order], w[order]
             block, first = np.unique(at // BLOCK, return_index=True)
             ends = np.append(first[1:], len(at))
             out[t] = block, np.maximum.reduceat(w, first), {int(k): (at[a:b] % BLOCK, w[a:b]) for k, a, b in zip(block, first, ends, strict=True)}
         return out
 
-    def _terms_of(self, word: str) -> list[int]:
-        """The index's terms that a word counts for; a beginning is as frequent as any longer one at least, so the first unknown one ends the search."""
-        found = [self.term[word]] if word in self.term else []
-        for n in BEGINNINGS:
-            k = self.term.get(word[:n] + "*") if len(word) > n else None
-            if k is None:
-                break
-            found.append(k)
-        return found
-
     def _counts(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """The index's terms in a text, ascending, and how often each is there."""
-        known, at, n = self.known, [], []
-        for w, c in Counter(_words(text.lower())).items():
-            of = known.get(w)
-            if of is None:
-                of = self._terms_of(w)
-                if len(w) <= KNOWN_LETTERS and len(known) < KNOWN:
-                    known[w] = of
-            at += of
-            n += [c] * len(of)
-        at, which = np.unique(np.array(at, np.int64), return_inverse=True)
-        return at, np.bincount(which, np.array(n, float), len(at))
+        found = [np.fromiter(map(self.term.__getitem__, _words(text.lower())), np.int64)]
+        for _ in BEGINNINGS:
+            found.append(self.back[found[-1]])
+        at, n = np.unique(np.concatenate(found), return_counts=True)
+        known = np.searchsorted(at, len(self.term))
+        return at[:known], n[:known]
 
     def _lengthened(self, at: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, float]:
         """Weights of length 1 together, and their length before."""
@@ -158,44 +180,56 @@ class NearestExamples:
         at, n = self._counts(text)
         return at, self._lengthened(at, n)[0]
 
+    def _by_rarer(self, vectors: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """The scores of all places by the terms that are not common, from their postings: long runs are copied, others picked."""
+        score = np.empty((len(vectors), self.n_blocks * BLOCK))
+        cuts = [np.searchsorted(terms, (self.n_common, self.n_long)) for terms, _ in vectors]
+        most = max(int(self.having[terms[c:]].sum()) for (terms, _), (c, _) in zip(vectors, cuts, strict=True))
+        all_at, all_places = np.empty(most, self.at.dtype), np.empty(most, np.int64)  # used for one text after another: fresh memory costs more than a copy
+        for j, ((terms, weights), (c, r)) in enumerate(zip(vectors, cuts, strict=True)):
+            picked = _ranges(self.start[terms[r:]], self.having[terms[r:]])
+            n = int(self.having[terms[c:]].sum())
+            at = np.concatenate([*map(self.long.__getitem__, terms[c:r].tolist()), self.at[picked]], out=all_at[:n])
+            places = all_places[:n]
+            places[:] = at
+            n = self.runs[terms[c:] + 1] - self.runs[terms[c:]]
+            runs = _ranges(self.runs[terms[c:]], n)
+            weight = np.repeat(np.repeat(weights[c:], n) * self.loudness[runs], self.size[runs])
+            score[j] = np.bincount(places, weight, score.shape[1])
+        score[:, : len(self.length)] /= self.length
+        return score.reshape(len(vectors), -1, BLOCK)
+
+    def _search(self, blocks: np.ndarray, score: np.ndarray, common: np.ndarray) -> None:
+        """Adds the common terms' part to the scores of the blocks that are marked, by query and block; a block meets all its queries in one product."""
+        for b in np.flatnonzero(blocks.any(axis=0)).tolist():
+            of = np.flatnonzero(blocks[:, b])
+            score[of, b] += common[of] @ self.dense[b].T
+
     def _nearest(self, vectors: list[tuple[np.ndarray, np.ndarray]], k: int, but: int | None = None):
         """For each vector the places and cosines of its k nearest examples that share a term, in order. With but, vector j is example but + j and leaves itself out."""
         if not self.n_blocks:
             yield from ((np.empty(0, np.int64), np.empty(0)) for _ in vectors)
             return
-        common = np.zeros((len(vectors), self.dense.shape[2]))
-        for row, (terms, weights) in zip(common, vectors, strict=True):
-            column = self.column[terms]
-            row[column[column >= 0]] = weights[column >= 0]
-        bounds, product = common @ self.most.T, None
+        common, score = np.zeros((len(vectors), self.n_common)), self._by_rarer(vectors)
         for j, (terms, weights) in enumerate(vectors):
-            rare = self.column[terms] < 0
-            a, b = self.start[terms[rare]], self.start[terms[rare] + 1]
-            n = b - a
-            posting = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])) if len(n) else a, n) + np.arange(n.sum())
-            score = np.bincount(self.at[posting], np.repeat(weights[rare], n) * self.weight[posting], self.n_blocks * BLOCK).astype(float).reshape(-1, BLOCK)
+            c = np.searchsorted(terms, self.n_common)
+            common[j, terms[:c]] = weights[:c]
             if but is not None:
-                score[(but + j) // BLOCK, (but + j) % BLOCK] = -np.inf
-            bound = score.max(axis=1) + bounds[j]
-            order = np.argsort(-bound, kind="stable")
-            done = order[: max(8, -(-4 * k // BLOCK))]
-            done = done[bound[done] > 0]
-            for b in done.tolist():
-                score[b] += self.dense[b] @ common[j]
-            if len(done) * BLOCK > k:
-                floor = np.partition(score[done], -k, axis=None)[-k]
-                rest = order[len(done) :]
-                rest = rest[(bound[rest] > 0) & (bound[rest] >= floor - 1e-9)]
-                if len(rest) > 8:  # one product for the group costs less than many small ones
-                    product = common @ self.dense.reshape(-1, common.shape[1]).T if product is None else product
-                    score[rest] += product[j].reshape(-1, BLOCK)[rest]
-                else:
-                    for b in rest.tolist():
-                        score[b] += self.dense[b] @ common[j]
-                done = np.concatenate((done, rest))
-            done.sort()
-            found = score[done].ravel()
-            places = (done[:, None] * BLOCK + np.arange(BLOCK)).ravel()
+                score[j, (but + j) // BLOCK, (but + j) % BLOCK] = -np.inf
+        bound = score.max(axis=2) + common @ self.most.T
+        done = np.zeros(bound.shape, bool)
+        np.put_along_axis(done, np.argsort(-bound, axis=1, kind="stable")[:, : max(8, -(-4 * k // BLOCK))], True, axis=1)
+        done &= bound > 0
+        self._search(done, score, common)
+        floor = np.full(len(vectors), -np.inf)
+        for j in np.flatnonzero(done.sum(axis=1) * BLOCK > k).tolist():
+            floor[j] = np.partition(score[j, done[j]], -k, axis=None)[-k]
+        rest = ~done & (bound > 0) & (bound >= floor[:, None] - 1e-9)
+        self._search(rest, score, common)
+        done |= rest
+        for j in range(len(vectors)):
+            found = score[j, done[j]].ravel()
+            places = (np.flatnonzero(done[j])[:, None] * BLOCK + np.arange(BLOCK)).ravel()
             if len(found) > 4 * k:
                 few = found >= np.partition(found, -k)[-k] - 1e-9
                 found, places = found[few], places[few]
@@ -259,7 +293,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", usable=lambda
     return bytes(found[0][0]) if found else None
 
 
+@lru_cache(maxsize=1)
 def opened(index: bytes) -> NearestExamples:
+    """The index, opened once in a worker for all its tasks."""
     return pickle.loads(zstandard.decompress(index))
 
 

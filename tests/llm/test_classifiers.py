@@ -206,3 +206,26 @@ def test_labels_of_absent_documents_and_long_texts_leave_a_sample(spark):
     assert common.labelled(docs, labels, "quality", usable, 20).count() == 20
     assert common.labelled(docs, labels, "quality", usable, 20, 4500).count() == 4
     assert common.labelled(docs, labels, "quality", usable, 20, 10).count() == 1
+
+
+def test_toxicity_opens_an_index_once_and_meets_blocks_with_many_texts():
+    """Long and short lists of postings, numbers above one, common terms and unknown words against cosines from their definitions; the work of a group of texts is shared."""
+    rng = np.random.default_rng(7)
+    make = lambda: " ".join(f"w{k}" for k in np.minimum(rng.zipf(1.3, 80), 4000)) + f" only{rng.integers(9)}"
+    examples = [(i, make(), i % 2) for i in range(1400)]
+    packed = common.zstandard.compress(toxicity.pickle.dumps(toxicity.NearestExamples(examples)))
+    index = toxicity.opened(packed)
+    assert toxicity.opened(packed) is index
+    having = np.diff(index.start)
+    assert having[0] > len(examples) / toxicity.COMMON and (np.diff(having) <= 0).all() and having[index.n_common] > toxicity.LONG > having[-1] and index.number.max() > 2
+    dense = np.zeros((len(index.ids), len(having)))
+    dense[index.at, np.repeat(np.arange(len(having)), having)] = index.weight
+    texts = [make() + " w3 w3 unseen onlyx" for _ in range(300)]
+    vectors, calls = [index._weights(t) for t in texts], []
+    search = index._search
+    index._search = lambda *x: calls.append(x[0].shape[0]) or search(*x)
+    for (at, cosine), (terms, weights) in zip(index._nearest(vectors, 30), vectors, strict=True):
+        scores = dense[:, terms] @ weights
+        want = np.lexsort((np.arange(len(scores)), -np.round(scores, 12)))[:30]
+        assert at.tolist() == want.tolist() and np.allclose(cosine, scores[want], atol=1e-12)
+    assert calls == [300, 300]  # the first blocks of all texts, then what else can hold one of the nearest
