@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -43,6 +43,15 @@ def vector(spark: SparkSession, sf_dir: str, vec_id: int = QUERY_VECTOR) -> list
     return list(w.table(spark, sf_dir, "embeddings").filter(C("vec_id") == vec_id).first().embedding)
 
 
+# A stand-in for a model that embeds: the length of a text. Vectors hold floats, which are exact up to 2**24, so it takes two of them. Lambdas travel by value; workers need not load this module.
+length_vector = lambda t: [len(t) >> 24, len(t) & 0xFFFFFF]
+
+
+def length_of(vector: Column) -> Column:
+    """The length that such a vector holds; null without a vector."""
+    return vector[0].cast("long") * (1 << 24) + vector[1].cast("long")
+
+
 def on_pages(name: str, build: Callable[[DataFrame], DataFrame], sql: str):
     query(name, w.ONLY_PAGES + sql)(lambda s, d: build(w.pages(s, d)))
 

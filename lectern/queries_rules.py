@@ -9,7 +9,7 @@ from . import workload as w
 from .functions import labels, resilience, sanitizing, validation
 from .operators import corpus, lifecycle, logs, rag, replay
 from .sources import models
-from .queries import DOC_SEARCH, FTS_CASE, OWN, QUERY_VECTOR, C, by_id, docs_pages, on_both, on_documents, on_inputs, on_pages, on_table, own_document, query, vector  # noqa: F401
+from .queries import DOC_SEARCH, FTS_CASE, OWN, QUERY_VECTOR, C, by_id, docs_pages, length_of, length_vector, on_both, on_documents, on_inputs, on_pages, on_table, own_document, query, vector  # noqa: F401
 
 TRIM = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
 LANGS = ", ".join(f"'{x}'" for x in validation.LANGUAGES)
@@ -129,8 +129,8 @@ on_pages(
 on_pages("embedding_choice", lambda p: p.select("page_id", F.length(corpus.embedding_text(C("original_markdown"), C("translated_markdown"), False)).cast("long").alias("n")), "SELECT page_id, length(coalesce(translated_markdown, original_markdown)) AS n FROM w_pages")
 on_pages(
     "embed_worker",
-    # a stand-in for the model: the vector of a text is its length; some texts are missing
-    lambda p: models.embedded_pages(p.withColumn("original_markdown", F.expr("CASE WHEN page_id % 6 <> 0 THEN original_markdown END")), lambda t: [len(t)], attempts=1).select("page_id", C("embedding")[0].cast("long").alias("n"), "embedding_status"),
+    # the vector of a text holds its length; some texts are missing
+    lambda p: models.embedded_pages(p.withColumn("original_markdown", F.expr("CASE WHEN page_id % 6 <> 0 THEN original_markdown END")), length_vector, attempts=1).select("page_id", length_of(C("embedding")).alias("n"), "embedding_status"),
     "SELECT page_id, CASE WHEN page_id % 6 <> 0 THEN length(original_markdown) END AS n, 'completed' AS embedding_status FROM w_pages WHERE extraction_status = 'completed'",
 )
 on_pages("page_fsm", lambda p: p.select("page_id", lifecycle.page_action(C(E_), C(T_), C("original_markdown")).alias("action")), "SELECT page_id, CASE WHEN extraction_status = 'pending' THEN 'extract' WHEN extraction_status = 'completed' AND translation_status = 'pending' THEN CASE WHEN coalesce(original_markdown, '') <> '' THEN 'translate' ELSE 'complete_empty' END ELSE 'skip' END AS action FROM w_pages")
