@@ -11,7 +11,7 @@ from .functions import labels, markdown
 from .operators import health, ingest, ops, rag
 from .operators.lifecycle import TRANSITIONS
 from .plans.keep import shared_folder
-from .queries import DIRS, ORACLES, QUERIES, C, docs_pages, on_documents, on_inputs, on_table, query  # noqa: F401
+from .queries import DIRS, ORACLES, QUERIES, C, docs_pages, length_of, length_vector, on_documents, on_inputs, on_table, query  # noqa: F401
 from .sources import catalogues, files, models
 from .streaming import run, stateful
 
@@ -47,7 +47,7 @@ query("http_generate", "SELECT doc_id, length(text) || ':' || text || 'x' AS val
     lambda s, d: models.generated(w.table(s, d, "documents").select("doc_id", "text"), "doc_id", "text", lambda p: f"```md\n{len(p)}:{p}x\n```", attempts=1)
 )
 query("http_embed", "SELECT doc_id, CASE WHEN doc_id % 9 <> 0 THEN length(text)::VARCHAR END AS value, NULL::VARCHAR AS error FROM documents")(
-    lambda s, d: models.embedded(w.table(s, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 9 <> 0 THEN text END AS t"), "doc_id", "t", lambda t: [len(t)]).select("doc_id", C("value")[0].cast("long").cast("string").alias("value"), "error")
+    lambda s, d: models.embedded(w.table(s, d, "documents").selectExpr("doc_id", "CASE WHEN doc_id % 9 <> 0 THEN text END AS t"), "doc_id", "t", length_vector).select("doc_id", length_of(C("value")).cast("string").alias("value"), "error")
 )
 
 

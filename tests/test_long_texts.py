@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from lectern import queries, queries_rules, queries_tools  # noqa: F401
 
 
-@pytest.mark.parametrize("name", ["embed_worker"])
+@pytest.mark.parametrize("name", ["embed_worker", "http_embed"])
 def test_lengths_of_very_long_texts_are_exact(spark, data, tmp_path, name):
     sizes = "CASE id WHEN 7 THEN 16777216 WHEN 10 THEN 16777217 WHEN 11 THEN 16777219 WHEN 13 THEN 33554437 ELSE 5 END"
     texts = spark.range(3, 18).selectExpr("id AS doc_id", f"CASE WHEN id <> 14 THEN repeat('ß', {sizes}) END AS text", "'de' AS lang", "'src1' AS source")
